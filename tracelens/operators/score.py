@@ -217,6 +217,34 @@ def conclusion_finality(sentences: Column, window: int = lexicon.FINALITY_WINDOW
     return kw.finality_score(F.lower(F.array_join(tail, " ")))
 
 
+def with_statements(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stage 1: sentences, hedges and verifications as arrays on each row.
+
+    Adds ``_blank``, ``_sents`` (array<string>), ``_hedges`` and ``_vers``
+    (array<struct<idx,id,pos,sentence,keyword,subject,toks,n2>>); drops ``text_col``.
+    """
+    keep = [c for c in df.columns if c != text_col]
+    t = F.col(text_col)
+    s1 = df.select(*keep, text.is_blank(t).alias("_blank"), text.split_sentences(t).alias("_sents"))
+    s2 = s1.select(*keep, "_blank", "_sents", annotated_sentences(F.col("_sents")).alias("_ann"))
+    return s2.select(
+        *keep,
+        "_blank",
+        "_sents",
+        hedge_statements(F.col("_ann")).alias("_hedges"),
+        verification_statements(F.col("_ann")).alias("_vers"),
+    )
+
+
+def with_candidates(
+    stmts: DataFrame,
+    decay: float = lexicon.PROXIMITY_DECAY,
+    weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
+) -> DataFrame:
+    """Stage 2: ``_scored`` = each hedge with its scored later verifications."""
+    return stmts.withColumn("_scored", candidate_lists(F.col("_hedges"), F.col("_vers"), decay, weights))
+
+
 def score_traces(
     df: DataFrame,
     text_col: str = "text",
@@ -232,20 +260,7 @@ def score_traces(
     omits in that case.
     """
     keep = [c for c in df.columns if c != text_col]
-    t = F.col(text_col)
-    s1 = df.select(
-        *keep,
-        text.is_blank(t).alias("_blank"),
-        text.split_sentences(t).alias("_sents"),
-    )
-    s2 = s1.select(*keep, "_blank", "_sents", annotated_sentences(F.col("_sents")).alias("_ann"))
-    s3 = s2.select(
-        *keep,
-        "_blank",
-        "_sents",
-        hedge_statements(F.col("_ann")).alias("_hedges"),
-        verification_statements(F.col("_ann")).alias("_vers"),
-    )
+    s3 = with_statements(df, text_col)
     s4 = s3.select(
         *keep,
         "_blank",

@@ -74,7 +74,11 @@ def planted_traces(spark: SparkSession, events: DataFrame, key: str = "user_day"
     """
     cols = TRACE_KEYS[key]
     s = planted_sentences(spark, events)
-    grouped = s.groupBy(*cols).agg(
+    # Scoring after this step is CPU-heavy per trace, so the trace rows keep the
+    # configured shuffle width instead of letting AQE merge small partitions
+    # into one task. The aggregate reuses this hash partitioning (one exchange).
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = s.repartition(n, *cols).groupBy(*cols).agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "sentence"))).alias("_evs")
     )
     return grouped.select(
