@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import keywords as kw
 from tracelens.functions import lexicon, scoring, similarity, text
+from tracelens.operators import joins
 
 CAND_TYPE = "struct<idx:int,id:string,pos:int,sim:double,prox:double,score:double>"
 MATCH_FIELDS = (
@@ -307,7 +308,7 @@ def score_traces(
     def unless_blank(c: Column) -> Column:
         return F.when(~blank, c)
 
-    return s7.select(
+    out = s7.select(
         *keep,
         F.col("total_hedges").cast("int").alias("total_hedges"),
         F.col("resolved_hedges").cast("int").alias("resolved_hedges"),
@@ -323,6 +324,9 @@ def score_traces(
         ).alias("predicted_certainty"),
         F.col("matches"),
     )
+    # A later filter on any metric would otherwise be pushed below these
+    # projections and carry the whole fold into the filter (computed twice).
+    return joins.barrier(out)
 
 
 def metrics_struct(df: DataFrame) -> Column:
