@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelens.plans import eval_queries, trace_queries
+from tracelens.plans import call_queries, eval_queries, trace_queries
 
-_MODULES = [trace_queries, eval_queries]
+_MODULES = [trace_queries, eval_queries, call_queries]
 
 
 def queries() -> dict:
