@@ -60,28 +60,28 @@ def finality(tail_low: str) -> str:
     return f"(CASE WHEN {c} + {u} = 0 THEN 0.0 ELSE {round4(f'({c} - {u}) / ({c} + {u})')} END)"
 
 
-def subject_ctes(src: str) -> str:
-    """CTEs ``subj1, subj2, subj`` adding ``subject`` to rows of ``src`` (needs ``sentence``)."""
+def subject_ctes(src: str, name: str = "subj") -> str:
+    """CTEs ``<name>1..3, <name>`` adding ``subject`` to rows of ``src`` (needs ``sentence``)."""
     p0, opener, verb, head = text.SUBJECT_ABOUT, text.SUBJECT_OPENER, text.SUBJECT_VERB, text.SUBJECT_HEAD
     return f"""
-subj1 AS (SELECT *, {strip('lower(sentence)')} AS _tl FROM {src}),
-subj2 AS (
+{name}1 AS (SELECT *, {strip('lower(sentence)')} AS _tl FROM {src}),
+{name}2 AS (
   SELECT *,
     CASE WHEN regexp_matches(_tl, {q(p0)}) THEN {strip(f"regexp_extract(_tl, {q(p0)}, 1)")} END AS _about,
     regexp_replace(regexp_replace(_tl, {q(opener)}, ''), {q(verb)}, '') AS _cleaned
-  FROM subj1),
-subj3 AS (
+  FROM {name}1),
+{name}3 AS (
   SELECT *,
     {strip(f"regexp_extract(_cleaned, {q(head)}, 1)")} AS _head,
     list_filter(regexp_split_to_array(_cleaned, {q(WS + '+')}), lambda w: w <> '') AS _words
-  FROM subj2),
-subj AS (
+  FROM {name}2),
+{name} AS (
   SELECT * EXCLUDE (_tl, _about, _cleaned, _head, _words),
     CASE WHEN _about IS NOT NULL THEN _about
          WHEN _head <> '' THEN _head
          WHEN len(_words) > 0 THEN array_to_string(_words[1:3], ' ')
          ELSE substring(sentence, 1, 30) END AS subject
-  FROM subj3)"""
+  FROM {name}3)"""
 
 
 def trace_ctes(key: str = "user_day", source: str | None = None, keys: str | None = None) -> str:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelens.plans import call_queries, eval_queries, trace_queries
+from tracelens.plans import call_queries, eval_queries, io_queries, trace_queries
 
-_MODULES = [trace_queries, eval_queries, call_queries]
+_MODULES = [trace_queries, eval_queries, call_queries, io_queries]
 
 
 def queries() -> dict:
