@@ -15,7 +15,7 @@ from tracelens.functions import lexicon, text
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file_path, text)``: one row per file, UTF-8, stripped."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("file_path"), text.strip_ws(F.col("value")).alias("text"))
 
 
