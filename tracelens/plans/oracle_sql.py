@@ -84,7 +84,7 @@ def subject_ctes(src: str, name: str = "subj") -> str:
   FROM {name}3)"""
 
 
-def trace_ctes(key: str = "user_day", source: str | None = None, keys: str | None = None) -> str:
+def trace_ctes(key: str = "user_day", source: str | None = None, keys: str | None = None, exact_sum: bool = False) -> str:
     """``WITH`` chain from planted traces to per-trace metrics.
 
     Defines: traces, tsplit, sents, ann, hedges, verifs, stmts, subj*, toks,
@@ -92,6 +92,10 @@ def trace_ctes(key: str = "user_day", source: str | None = None, keys: str | Non
     """
     keys = keys or ", ".join(planted.TRACE_KEYS[key])
     src = source or planted.planted_trace_sql(key)
+    if exact_sum:  # decimal sum of the 4-dp reductions (sentence-row scorer)
+        wsum = f"CAST(sum(CAST({round4('1.0 - effective_weight')} AS DECIMAL(20,4))) AS DOUBLE)"
+    else:  # left-to-right float sum in hedge order (one-row scorer, as Python sums)
+        wsum = f"list_reduce(list({round4('1.0 - effective_weight')} ORDER BY hidx), lambda a, b: a + b)"
     return f"""
 WITH RECURSIVE
 traces AS ({src}),
@@ -167,7 +171,7 @@ matches AS (
   JOIN subj s ON s.kind = 'H' AND s.trace_id = h.trace_id AND s.idx = h.hidx),
 mstats AS (
   SELECT trace_id, count(*) AS total, count_if(resolved) AS resolved,
-         list_reduce(list({round4('1.0 - effective_weight')} ORDER BY hidx), lambda a, b: a + b) AS wsum
+         {wsum} AS wsum
   FROM matches GROUP BY trace_id),
 lstats AS (
   SELECT m.trace_id, count(*) AS unres, count_if(m.position >= len(t.sents) / 2.0) AS late

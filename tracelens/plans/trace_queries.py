@@ -505,3 +505,34 @@ def q_cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     )
     j = joins.join_checked(e, cent, "label")
     return j.select("vec_id", "label", scoring.round4(similarity.vector_cosine(F.col("embedding"), F.col("centroid"))).alias("cosine_to_centroid"))
+
+
+# ---------------------------------------------------------------------------
+# Sentence-row scorer (traces of any length, skew-safe)
+# ---------------------------------------------------------------------------
+def _rows_scored(spark: SparkSession, sf: str, key: str):
+    from tracelens.operators import sentence_rows as sr
+
+    sents = sr.planted_sentence_rows(spark, table(spark, sf, "events"), key)
+    return sr.score_sentence_rows(sents)
+
+
+@register(
+    "trace_metrics_rows",
+    o.trace_ctes("user", exact_sum=True) + f" SELECT trace_id, {METRICS_SQL} FROM metrics",
+)
+def q_trace_metrics_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship metrics from event rows without gathering a trace anywhere:
+    skew-safe numbering, term-join similarity, claim fixpoint."""
+    metrics, _ = _rows_scored(spark, sf, "user")
+    return metrics.select("trace_id", *METRICS)
+
+
+@register(
+    "assign_resolutions_rows",
+    o.trace_ctes("user_day") + f" SELECT trace_id, {', '.join(MATCH_COLS)} FROM matches",
+)
+def q_assign_resolutions_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-hedge assignment detail from the sentence-row scorer."""
+    _, matches = _rows_scored(spark, sf, "user_day")
+    return matches.select("trace_id", *MATCH_COLS)
