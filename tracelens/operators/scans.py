@@ -31,6 +31,21 @@ from pyspark.sql import types as T
 PID = "_pid"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared checkpoint folder) computed once.
+
+    ``checkpoint`` writes in a second job; persisting first lets that job read
+    the first job's output instead of recomputing the plan. The cache is only
+    a speed-up: the returned frame reads the checkpoint files.
+    """
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
+
+
 def _n_parts(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,7 +111,7 @@ def _number_batch(pdf: pd.DataFrame, carry, group: list[str]):
 def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, n: int | None = None) -> DataFrame:
     """0-based dense row number within ``group`` by ``order`` (order must be
     unique within a group), without ever placing a group in one task."""
-    local = _local_scan(df, group, order, _number_batch, [T.StructField("_local", T.LongType(), False)], n).checkpoint()
+    local = materialize(_local_scan(df, group, order, _number_batch, [T.StructField("_local", T.LongType(), False)], n))
     sizes = local.groupBy(*group, PID).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, PID, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
@@ -140,7 +155,7 @@ def suffix_min(values: DataFrame, queries: DataFrame, group: Sequence[str], n: i
                        F.lit(None).cast("double").alias("_v"), F.col("qid"))
     u = v.unionByName(q)
     out_fields = [T.StructField("_run", T.DoubleType(), True)]
-    local = _local_scan(u, group, [F.col("_k").desc(), F.col("_t").asc()], _suffix_batch, out_fields, n).checkpoint()
+    local = materialize(_local_scan(u, group, [F.col("_k").desc(), F.col("_t").asc()], _suffix_batch, out_fields, n))
     pmin = local.groupBy(*group, PID).agg(F.min("_v").alias("_pm"))
     w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     carry = pmin.select(*group, PID, F.min("_pm").over(w).alias("_carry"))

@@ -76,7 +76,7 @@ def statements(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
     v0 = ann.where(F.col("nver") > 0).select("trace_id", "pos", "sentence")
     h = scans.group_row_number(h0, ["trace_id"], [F.col("pos")], "_i").withColumn("hidx", (F.col("_i") + 1).cast("int")).drop("_i")
     v = scans.group_row_number(v0, ["trace_id"], [F.col("pos")], "_i").withColumn("vidx", (F.col("_i") + 1).cast("int")).drop("_i")
-    return _subject(h).checkpoint(), _subject(v).checkpoint()
+    return scans.materialize(_subject(h)), scans.materialize(_subject(v))
 
 
 def hedge_subject_similarity(hedges: DataFrame, vers: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def assign(
     """Greedy exclusive assignment by claim fixpoint: ``(trace_id, hidx, vidx, vpos, sim, prox, score)``
     for every hedge with a candidate."""
     spark = hedges.sparkSession
-    hg = hedge_subject_similarity(hedges, vers).checkpoint()
+    hg = scans.materialize(hedge_subject_similarity(hedges, vers))
     vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
     hq = hedges.select("trace_id", "hidx", F.col("pos").alias("key"))
     # term-sharing subjects above the reuse similarity ignore claims: computed once
@@ -143,17 +143,15 @@ def assign(
         scored = cands.join(hpos, ["trace_id", "hidx"]).select(
             "trace_id", "hidx", "hpos", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")
         ).withColumn("score", scoring.match_score(F.col("sim"), F.col("prox"), weights))
-        best = (
+        best = scans.materialize(
             scored.groupBy("trace_id", "hidx", "hpos")
             .agg(F.max_by(F.struct("vidx", "vpos", "sim", "prox", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b"))
             .select("trace_id", "hidx", "hpos", "b.*")
-            .checkpoint()
         )
-        new_claims = (
+        new_claims = scans.materialize(
             best.where((F.col("score") >= threshold) & (F.col("sim") <= reuse_sim))
             .groupBy("trace_id", "vidx")
             .agg(F.min("hpos").cast("int").alias("cpos"))
-            .checkpoint()
         )
         same = new_claims.exceptAll(claims).limit(1).count() == 0 and claims.exceptAll(new_claims).limit(1).count() == 0
         if same:
