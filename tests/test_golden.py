@@ -114,3 +114,14 @@ def test_midpoint_counts_as_late(scored):
     r = scored["midpoint"]
     # 4 sentences, hedges at 0 and 2, no verification: 2 >= 4/2 is late
     assert r["late_unresolved_ratio"] == 0.5
+
+
+def test_encoder_plugin(spark):
+    from tracelens.functions.similarity import hashing_encoder
+
+    df = spark.createDataFrame([("g1", G1)], "name string, text string")
+    r = score_traces(df, encoder=hashing_encoder(32)).collect()[0].asDict(recursive=True)
+    assert r["total_hedges"] == 3 and r["total_verifications"] == 1
+    h1 = r["matches"][0]
+    # "the equation" vs "equation": one shared term of two, cosine 1/sqrt(2)
+    assert h1["subject_similarity"] == 0.7071 and h1["resolved"] is True

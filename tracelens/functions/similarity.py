@@ -68,3 +68,34 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(
         F.least(F.greatest(dot / (na * nb), F.lit(0.0)), F.lit(1.0))
     )
+
+
+def hashing_encoder(dim: int = 64):
+    """A deterministic stand-in encoder (feature hashing of subject terms).
+
+    Shows the plug-in contract for real models: an iterator of pandas batches
+    over *distinct* subjects, with the model loaded once in the iterator's
+    prologue, returning ``(subject, vec)``. Runs on the executors via
+    ``mapInPandas``; only distinct subjects are encoded.
+    """
+    import hashlib
+
+    def encode(batches):
+        import numpy as np
+        import pandas as pd
+
+        # a real encoder would load its weights here, once per task
+        for pdf in batches:
+            vecs = []
+            for s in pdf["subject"].fillna(""):
+                v = np.zeros(dim)
+                for tok in s.lower().split():
+                    h = int.from_bytes(hashlib.blake2b(tok.encode(), digest_size=8).digest(), "little")
+                    v[h % dim] += 1.0 if (h >> 32) & 1 else -1.0
+                vecs.append(v.tolist())
+            yield pd.DataFrame({"subject": pdf["subject"], "vec": vecs})
+
+    def run(subjects):
+        return subjects.mapInPandas(encode, "subject string, vec array<double>")
+
+    return run

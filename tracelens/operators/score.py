@@ -111,13 +111,25 @@ def _with_subjects(stmts: Column, prefix: str, keyword: bool) -> Column:
     )
 
 
+def _pair_similarity(h: Column, v: Column, mode: str) -> Column:
+    if mode == "vectors":
+        empty = (h["subject"] == F.lit("")) | (v["subject"] == F.lit("")) | h["vec"].isNull() | v["vec"].isNull()
+        return F.when(empty, F.lit(0.0)).otherwise(similarity.vector_cosine(h["vec"], v["vec"]))
+    return similarity.tf_cosine_from_tokens(h["toks"], h["n2"], v["toks"], v["n2"])
+
+
 def candidate_lists(
     hedges: Column,
     verifications: Column,
     decay: float = lexicon.PROXIMITY_DECAY,
     weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
+    mode: str = "tf_cosine",
 ) -> Column:
-    """Each hedge with its later verifications, scored, in verification order."""
+    """Each hedge with its later verifications, scored, in verification order.
+
+    ``mode`` is ``tf_cosine`` (term-count cosine of subjects) or ``vectors``
+    (cosine of the subject vectors attached by :func:`attach_vectors`).
+    """
 
     def cands(h: Column) -> Column:
         later = F.filter(verifications, lambda v: v["pos"] > h["pos"])
@@ -127,7 +139,7 @@ def candidate_lists(
                 v["idx"].alias("idx"),
                 v["id"].alias("id"),
                 v["pos"].alias("pos"),
-                similarity.tf_cosine_from_tokens(h["toks"], h["n2"], v["toks"], v["n2"]).alias("sim"),
+                _pair_similarity(h, v, mode).alias("sim"),
                 scoring.proximity_score(v["pos"] - h["pos"], decay).alias("prox"),
             ),
         )
@@ -246,6 +258,48 @@ def with_candidates(
     return stmts.withColumn("_scored", candidate_lists(F.col("_hedges"), F.col("_vers"), decay, weights))
 
 
+def attach_vectors(stmts: DataFrame, subject_vectors: DataFrame | None = None, encoder=None) -> DataFrame:
+    """Add ``vec`` to every hedge and verification struct of a statements frame.
+
+    Distinct subjects over *all* traces are embedded once (the reference's
+    per-process embedding cache becomes a ``distinct`` + join), either by
+    joining ``subject_vectors`` (``subject, vec``) or by calling ``encoder``, a
+    function ``DataFrame[subject] -> DataFrame[subject, vec]`` (for example an
+    iterator pandas UDF that loads a model once per worker). The vectors are
+    gathered back per trace row, which is already one row, so nothing grows
+    beyond the trace itself.
+    """
+    from tracelens.operators.scans import materialize
+
+    base = materialize(stmts.withColumn("_rid", F.monotonically_increasing_id()))
+    items = base.select(
+        "_rid",
+        F.inline(
+            F.concat(
+                F.transform("_hedges", lambda h: F.struct(F.concat(F.lit("H"), h["idx"].cast("string")).alias("k"), h["subject"].alias("subject"))),
+                F.transform("_vers", lambda v: F.struct(F.concat(F.lit("V"), v["idx"].cast("string")).alias("k"), v["subject"].alias("subject"))),
+            )
+        ),
+    )
+    distinct = items.select("subject").distinct()
+    vecs = encoder(distinct) if encoder is not None else subject_vectors.join(distinct, "subject", "left_semi")
+    vecs = vecs.select("subject", F.col("vec").cast("array<double>").alias("vec"))
+    per_row = (
+        items.join(vecs, "subject", "left")
+        .groupBy("_rid")
+        .agg(F.map_from_entries(F.collect_list(F.struct("k", "vec"))).alias("_vmap"))
+    )
+    j = base.join(per_row, "_rid", "left")
+    fields = ["idx", "id", "pos", "sentence", "keyword", "subject", "toks", "n2"]
+
+    def add(arr: str, prefix: str) -> Column:
+        return F.transform(
+            arr, lambda x: _restruct(x, fields, vec=F.try_element_at(F.col("_vmap"), F.concat(F.lit(prefix), x["idx"].cast("string"))))
+        )
+
+    return j.withColumn("_hedges", add("_hedges", "H")).withColumn("_vers", add("_vers", "V")).drop("_vmap", "_rid")
+
+
 def score_traces(
     df: DataFrame,
     text_col: str = "text",
@@ -253,21 +307,28 @@ def score_traces(
     decay: float = lexicon.PROXIMITY_DECAY,
     weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
     reduction: float = lexicon.RESOLUTION_WEIGHT_REDUCTION,
+    subject_vectors: DataFrame | None = None,
+    encoder=None,
 ) -> DataFrame:
     """Score every trace of ``df[text_col]``; all other columns pass through.
 
     Adds the 11 reference metric columns. A null or whitespace-only text gets
     zero counts, empty ``matches`` and null for the five fields the reference
-    omits in that case.
+    omits in that case. Similarity is the native term-count cosine unless
+    ``subject_vectors`` or ``encoder`` supplies subject embeddings.
     """
     keep = [c for c in df.columns if c != text_col]
     s3 = with_statements(df, text_col)
+    mode = "tf_cosine"
+    if subject_vectors is not None or encoder is not None:
+        s3 = attach_vectors(s3, subject_vectors, encoder)
+        mode = "vectors"
     s4 = s3.select(
         *keep,
         "_blank",
         "_sents",
         F.size("_vers").alias("_nver"),
-        candidate_lists(F.col("_hedges"), F.col("_vers"), decay, weights).alias("_scored"),
+        candidate_lists(F.col("_hedges"), F.col("_vers"), decay, weights, mode).alias("_scored"),
     )
     s5 = s4.select(
         *keep,

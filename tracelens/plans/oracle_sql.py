@@ -84,7 +84,13 @@ def subject_ctes(src: str, name: str = "subj") -> str:
   FROM {name}3)"""
 
 
-def trace_ctes(key: str = "user_day", source: str | None = None, keys: str | None = None, exact_sum: bool = False) -> str:
+def trace_ctes(
+    key: str = "user_day",
+    source: str | None = None,
+    keys: str | None = None,
+    exact_sum: bool = False,
+    vec_join: str | None = None,
+) -> str:
     """``WITH`` chain from planted traces to per-trace metrics.
 
     Defines: traces, tsplit, sents, ann, hedges, verifs, stmts, subj*, toks,
@@ -92,6 +98,26 @@ def trace_ctes(key: str = "user_day", source: str | None = None, keys: str | Non
     """
     keys = keys or ", ".join(planted.TRACE_KEYS[key])
     src = source or planted.planted_trace_sql(key)
+    if vec_join:  # similarity = cosine of subject vectors; vec_join maps s.subject to embeddings e
+        sim_ctes = f"""
+svec AS (SELECT s.kind, s.trace_id, s.idx, s.subject, CAST(e.embedding AS DOUBLE[]) AS vec
+         FROM subj s LEFT JOIN embeddings e ON {vec_join}),
+vsim AS (
+  SELECT h.trace_id, h.idx AS hidx, v.idx AS vidx,
+    CASE WHEN h.subject = '' OR v.subject = '' OR h.vec IS NULL OR v.vec IS NULL THEN 0.0
+         ELSE (SELECT CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE least(greatest(dot / (na * nb), 0.0), 1.0) END
+               FROM (SELECT list_reduce(list_transform(list_zip(h.vec, v.vec), lambda z: z[1] * z[2]), lambda a, b: a + b) AS dot,
+                            sqrt(list_reduce(list_transform(h.vec, lambda x: x * x), lambda a, b: a + b)) AS na,
+                            sqrt(list_reduce(list_transform(v.vec, lambda x: x * x), lambda a, b: a + b)) AS nb)) END AS vsimval
+  FROM svec h JOIN svec v ON v.trace_id = h.trace_id AND h.kind = 'H' AND v.kind = 'V'),"""
+        sim_from = "LEFT JOIN vsim vs ON vs.trace_id = h.trace_id AND vs.hidx = h.hidx AND vs.vidx = v.vidx, LATERAL (SELECT coalesce(vs.vsimval, 0.0) AS sim)"
+    else:
+        sim_ctes = ""
+        sim_from = """LEFT JOIN norms hn ON hn.kind = 'H' AND hn.trace_id = h.trace_id AND hn.idx = h.hidx
+  LEFT JOIN norms vn ON vn.kind = 'V' AND vn.trace_id = v.trace_id AND vn.idx = v.vidx
+  LEFT JOIN dots d ON d.trace_id = h.trace_id AND d.hidx = h.hidx AND d.vidx = v.vidx,
+  LATERAL (SELECT CASE WHEN coalesce(hn.n2, 0) = 0 OR coalesce(vn.n2, 0) = 0 THEN 0.0
+                       ELSE least(greatest(coalesce(d.dot, 0) / (sqrt(hn.n2) * sqrt(vn.n2)), 0.0), 1.0) END AS sim)"""
     if exact_sum:  # decimal sum of the 4-dp reductions (sentence-row scorer)
         wsum = f"CAST(sum(CAST({round4('1.0 - effective_weight')} AS DECIMAL(20,4))) AS DOUBLE)"
     else:  # left-to-right float sum in hedge order (one-row scorer, as Python sums)
@@ -131,18 +157,14 @@ dots AS (
   SELECT ht.trace_id, ht.idx AS hidx, vt.idx AS vidx, sum(ht.cnt * vt.cnt) AS dot
   FROM toks ht JOIN toks vt ON ht.trace_id = vt.trace_id AND ht.tok = vt.tok
   WHERE ht.kind = 'H' AND vt.kind = 'V'
-  GROUP BY ht.trace_id, ht.idx, vt.idx),
+  GROUP BY ht.trace_id, ht.idx, vt.idx),{sim_ctes}
 pairs AS (
   SELECT h.trace_id, h.hidx, v.vidx, v.pos AS vpos, h.pos AS hpos, sim,
          exp(-(v.pos - h.pos) / 50.0) AS prox,
          0.7 * sim + 0.3 * exp(-(v.pos - h.pos) / 50.0) AS score
   FROM hedges h
   JOIN verifs v ON v.trace_id = h.trace_id AND v.pos > h.pos
-  LEFT JOIN norms hn ON hn.kind = 'H' AND hn.trace_id = h.trace_id AND hn.idx = h.hidx
-  LEFT JOIN norms vn ON vn.kind = 'V' AND vn.trace_id = v.trace_id AND vn.idx = v.vidx
-  LEFT JOIN dots d ON d.trace_id = h.trace_id AND d.hidx = h.hidx AND d.vidx = v.vidx,
-  LATERAL (SELECT CASE WHEN coalesce(hn.n2, 0) = 0 OR coalesce(vn.n2, 0) = 0 THEN 0.0
-                       ELSE least(greatest(coalesce(d.dot, 0) / (sqrt(hn.n2) * sqrt(vn.n2)), 0.0), 1.0) END AS sim)),
+  {sim_from}),
 greedy AS (
   SELECT trace_id, 0 AS hidx, CAST([] AS INTEGER[]) AS claimed,
          CAST(NULL AS INTEGER) AS vidx, CAST(NULL AS DOUBLE) AS sim, CAST(NULL AS DOUBLE) AS prox,

@@ -536,3 +536,34 @@ def q_assign_resolutions_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Per-hedge assignment detail from the sentence-row scorer."""
     _, matches = _rows_scored(spark, sf, "user_day")
     return matches.select("trace_id", *MATCH_COLS)
+
+
+# ---------------------------------------------------------------------------
+# Subject vectors (embedding similarity)
+# ---------------------------------------------------------------------------
+# FIXED VALUES (ours): every distinct subject is given one row of `embeddings`
+# by a rule both engines compute; ids 0-499 exist at every scale.
+VEC_RULE_SQL = "e.vec_id = (length(s.subject) * 31 + ascii(s.subject)) % 500"
+
+
+def subject_vector_table(spark: SparkSession, sf: str, subjects: DataFrame) -> DataFrame:
+    """``(subject, vec)`` for the given distinct subjects, looked up in ``embeddings``."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    rule = F.pmod(F.length("subject") * 31 + F.ascii("subject"), F.lit(500)).cast("bigint")
+    return subjects.select("subject", rule.alias("vec_id")).join(e, "vec_id").select("subject", "vec")
+
+
+@register(
+    "trace_metrics_vectors",
+    o.trace_ctes("user", vec_join=VEC_RULE_SQL) + f" SELECT trace_id, {METRICS_SQL} FROM metrics",
+)
+def q_trace_metrics_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship with embedding similarity: distinct subjects are mapped to
+    vectors once (a dedup + join, the reference's embedding cache), then the
+    fold compares vectors."""
+    t = traces(spark, sf, "user")
+    stmts_subjects = statements(spark, sf, "user").select(
+        F.explode(F.concat(F.transform("_hedges", lambda x: x["subject"]), F.transform("_vers", lambda x: x["subject"]))).alias("subject")
+    ).distinct()
+    vecs = subject_vector_table(spark, sf, stmts_subjects)
+    return score.score_traces(t, subject_vectors=vecs).select("trace_id", *METRICS)
