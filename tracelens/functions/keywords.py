@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from tracelens.functions import lexicon, scoring
 
 
+def with_lower(sentence: Column, fn) -> Column:
+    """Apply ``fn`` to ``lower(sentence)`` computed once.
+
+    Passing ``lower(s)`` straight into a keyword lambda re-lowers the sentence
+    for every keyword once Catalyst inlines the projection; binding it as a
+    lambda variable of a one-element ``transform`` evaluates it once.
+    """
+    return F.get(F.transform(F.array(F.lower(sentence)), fn), 0)
+
+
 def lit_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

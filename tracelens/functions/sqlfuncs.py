@@ -72,9 +72,9 @@ def definitions() -> dict[str, str]:
     bodies = {
         "split_sentences": ("t STRING", "ARRAY<STRING>", split),
         "strip_ws": ("x STRING", "STRING", _strip("x")),
-        "hedge_keyword": ("s STRING", "STRING", f"get(filter({_arr(lexicon.HEDGE_KEYWORDS)}, k -> contains(lower(s), k)), 0)"),
-        "verification_count": ("s STRING", "INT", f"size(filter({_arr(lexicon.VERIFICATION_KEYWORDS)}, k -> contains(lower(s), k)))"),
-        "is_verification": ("s STRING", "BOOLEAN", f"exists({_arr(lexicon.VERIFICATION_KEYWORDS)}, k -> contains(lower(s), k))"),
+        "hedge_keyword": ("s STRING", "STRING", _bind("lower(s)", "l", f"get(filter({_arr(lexicon.HEDGE_KEYWORDS)}, k -> contains(l, k)), 0)")),
+        "verification_count": ("s STRING", "INT", _bind("lower(s)", "l", f"size(filter({_arr(lexicon.VERIFICATION_KEYWORDS)}, k -> contains(l, k)))")),
+        "is_verification": ("s STRING", "BOOLEAN", _bind("lower(s)", "l", f"exists({_arr(lexicon.VERIFICATION_KEYWORDS)}, k -> contains(l, k))")),
         "extract_subject": ("s STRING", "STRING", subject),
         "proximity_score": (f"gap INT, decay DOUBLE DEFAULT {lexicon.PROXIMITY_DECAY}", "DOUBLE", "exp(-gap / decay)"),
         "match_score": (

@@ -227,7 +227,7 @@ def conclusion_finality(sentences: Column, window: int = lexicon.FINALITY_WINDOW
     """
     n = F.size(sentences)
     tail = F.slice(sentences, F.greatest(n - F.lit(window - 1), F.lit(1)), window)
-    return kw.finality_score(F.lower(F.array_join(tail, " ")))
+    return kw.with_lower(F.array_join(tail, " "), kw.finality_score)
 
 
 def with_statements(df: DataFrame, text_col: str = "text") -> DataFrame:

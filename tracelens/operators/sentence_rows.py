@@ -68,10 +68,10 @@ def _term_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def statements(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hedges, verifications) with ids, positions and subjects."""
-    low = F.lower(F.col("sentence"))
-    ann = joins.barrier(
-        sents.select("trace_id", "pos", "sentence", kw.verification_count(low).alias("nver"), kw.hedge_keyword(low).alias("keyword"))
+    both = kw.with_lower(
+        F.col("sentence"), lambda low: F.struct(kw.verification_count(low).alias("nver"), kw.hedge_keyword(low).alias("keyword"))
     )
+    ann = joins.barrier(sents.select("trace_id", "pos", "sentence", both.alias("_b")).select("trace_id", "pos", "sentence", "_b.*"))
     h0 = ann.where(F.col("keyword").isNotNull() & (F.col("nver") < 2)).select("trace_id", "pos", "sentence", "keyword")
     v0 = ann.where(F.col("nver") > 0).select("trace_id", "pos", "sentence")
     h = scans.group_row_number(h0, ["trace_id"], [F.col("pos")], "_i").withColumn("hidx", (F.col("_i") + 1).cast("int")).drop("_i")
@@ -211,7 +211,7 @@ def score_sentence_rows(
         .where(F.col("pos") >= F.col("n") - lexicon.FINALITY_WINDOW)
         .groupBy("trace_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_t"))
-        .select("trace_id", F.lower(F.array_join(F.transform("_t", lambda x: x["sentence"]), " ")).alias("tail"))
+        .select("trace_id", F.array_join(F.transform("_t", lambda x: x["sentence"]), " ").alias("tail"))
     )
     base = n.join(nver, "trace_id", "left").join(mstats, "trace_id", "left").join(tail, "trace_id", "left")
     total = F.coalesce(F.col("total"), F.lit(0))
@@ -221,7 +221,7 @@ def score_sentence_rows(
     late_ratio = F.when(F.coalesce(F.col("unres"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
         scoring.round4(F.col("late_unres") / F.col("unres"))
     )
-    fin = kw.finality_score(F.coalesce(F.col("tail"), F.lit("")))
+    fin = kw.with_lower(F.coalesce(F.col("tail"), F.lit("")), kw.finality_score)
     stage = base.select(
         "trace_id",
         total.cast("int").alias("total_hedges"),

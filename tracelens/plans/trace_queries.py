@@ -79,7 +79,7 @@ def q_explode_sentences(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_sentence_keyword_any(spark: SparkSession, sf: str) -> DataFrame:
     rows = sentence_rows(text_table(spark, sf, "documents"), "doc_id")
-    return rows.select("doc_id", "position", kw.is_verification(F.lower("sentence")).alias("is_verification"))
+    return rows.select("doc_id", "position", kw.with_lower(F.col("sentence"), kw.is_verification).alias("is_verification"))
 
 
 @register(
@@ -88,7 +88,7 @@ def q_sentence_keyword_any(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_sentence_keyword_count(spark: SparkSession, sf: str) -> DataFrame:
     rows = sentence_rows(traces(spark, sf, "user_day"), "trace_id")
-    return rows.select("trace_id", "position", kw.verification_count(F.lower("sentence")).alias("n_verification"))
+    return rows.select("trace_id", "position", kw.with_lower(F.col("sentence"), kw.verification_count).alias("n_verification"))
 
 
 @register(
@@ -97,7 +97,7 @@ def q_sentence_keyword_count(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_first_hedge_keyword(spark: SparkSession, sf: str) -> DataFrame:
     rows = sentence_rows(traces(spark, sf, "user_day"), "trace_id")
-    return rows.select("trace_id", "position", kw.hedge_keyword(F.lower("sentence")).alias("hedge_keyword"))
+    return rows.select("trace_id", "position", kw.with_lower(F.col("sentence"), kw.hedge_keyword).alias("hedge_keyword"))
 
 
 @register(
@@ -107,9 +107,13 @@ def q_first_hedge_keyword(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_verification_dominance(spark: SparkSession, sf: str) -> DataFrame:
     rows = sentence_rows(traces(spark, sf, "user_day"), "trace_id")
-    low = F.lower("sentence")
+    both = kw.with_lower(
+        F.col("sentence"), lambda low: F.struct(kw.verification_count(low).alias("n"), kw.hedge_keyword(low).alias("h"))
+    )
     ann = joins.barrier(
-        rows.select("trace_id", "position", "sentence", kw.verification_count(low).alias("n_verification"), kw.hedge_keyword(low).alias("hkw"))
+        rows.select("trace_id", "position", "sentence", both.alias("_b")).select(
+            "trace_id", "position", "sentence", F.col("_b.n").alias("n_verification"), F.col("_b.h").alias("hkw")
+        )
     )
     return ann.where(F.col("hkw").isNotNull() & (F.col("n_verification") >= 2)).drop("hkw")
 
