@@ -51,3 +51,19 @@ def test_sentence_rows_equal_one_row_form(spark):
             assert got[d["trace_id"]][k] == d[k], (d["trace_id"], k)
         for m in d["matches"]:
             assert {k: det[(d["trace_id"], m["id"])][k] for k in m} == m
+
+
+def test_hybrid_routes_long_traces(spark):
+    from tracelens.sources import planted
+
+    s = planted.planted_sentences(spark, table(spark, SF_SMALL, "events")).withColumn("trace_id", planted.trace_id_col("user_day"))
+    rows = s.select("trace_id", "ts", "event_id", F.col("sentence").alias("text"))
+    mixed = {r.trace_id: r.asDict() for r in sentence_rows.score_row_traces(rows, ["ts", "event_id"], max_rows=3).collect()}
+    ref = {r.trace_id: r.asDict() for r in scored(spark, SF_SMALL, "user_day").drop("matches", "user_id", "day").collect()}
+    assert mixed.keys() == ref.keys()
+    for tid, d in ref.items():
+        for k, v in d.items():
+            if k != "weighted_trur":  # exact decimal sum on the long-trace path
+                assert mixed[tid][k] == v, (tid, k)
+            else:
+                assert abs(mixed[tid][k] - v) <= 0.0001

@@ -250,3 +250,54 @@ def planted_sentence_rows(spark, events: DataFrame, key: str = "user_day") -> Da
     s = planted.planted_sentences(spark, events).withColumn("trace_id", planted.trace_id_col(key))
     return sentence_rows(s.withColumnRenamed("sentence", "text"), ["ts", "event_id"])
 
+
+
+# Rows a trace may have and still be gathered into one row for the one-row scorer.
+ONE_ROW_LIMIT = 50_000
+
+
+def score_row_traces(
+    rows: DataFrame,
+    order: Sequence[str],
+    text_col: str = "text",
+    max_rows: int = ONE_ROW_LIMIT,
+) -> DataFrame:
+    """Per-trace metrics for traces given as rows (``trace_id, order..., text``).
+
+    Trace sizes are counted first (a partial aggregate). Traces of at most
+    ``max_rows`` rows are gathered into one row each (rows joined by newlines,
+    so every row boundary stays a sentence boundary) and scored by the fast
+    one-row scorer; longer ones, which could not be gathered safely, go to the
+    skew-safe sentence-row scorer. The list of long trace ids is broadcast only
+    after it has been counted.
+    """
+    from tracelens.operators import score
+
+    r = rows.select("trace_id", *order, F.col(text_col).alias("_text"))
+    sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > max_rows).select("trace_id")
+    n_hot = hot.count()
+    metrics_cols = [
+        "total_hedges", "resolved_hedges", "unresolved_hedges", "trur", "weighted_trur", "total_verifications",
+        "hvr", "late_unresolved_ratio", "conclusion_finality", "predicted_certainty",
+    ]
+    cold = r
+    parts = []
+    if n_hot:
+        hot_side = F.broadcast(hot) if n_hot <= joins.BROADCAST_ROW_LIMIT else hot
+        cold = r.join(hot_side, "trace_id", "left_anti")
+        hot_rows = r.join(hot_side, "trace_id", "left_semi")
+        m, _ = score_sentence_rows(sentence_rows(hot_rows, order, "_text"))
+        parts.append(m.select("trace_id", *metrics_cols))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = (
+        cold.repartition(n, "trace_id")
+        .groupBy("trace_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*order, "_text"))).alias("_rows"))
+        .select("trace_id", F.array_join(F.transform("_rows", lambda x: x["_text"]), "\n").alias("text"))
+    )
+    parts.insert(0, score.score_traces(gathered).select("trace_id", *metrics_cols))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -438,10 +438,19 @@ def q_collect_matches(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("trace_id", F.size("matches").alias("n_matches"), F.array_join(ids, ",").alias("match_ids"))
 
 
-@register("trace_metrics", o.trace_ctes("user") + f" SELECT trace_id, user_id, {METRICS_SQL} FROM metrics")
+@register("trace_metrics", o.trace_ctes("user") + f" SELECT trace_id, {METRICS_SQL} FROM metrics")
 def q_trace_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: the 11 reference fields (minus the nested detail) per user trace."""
-    return scored(spark, sf, "user").select("trace_id", "user_id", *METRICS)
+    """Flagship: the reference's per-trace fields for every user trace.
+
+    Trace sizes decide the plan: ordinary traces are gathered into one row and
+    folded there; a trace too long to gather is scored from its rows by the
+    skew-safe sentence-row scorer.
+    """
+    from tracelens.operators import sentence_rows as sr
+    from tracelens.sources import planted
+
+    s = planted.planted_sentences(spark, table(spark, sf, "events")).withColumn("trace_id", planted.trace_id_col("user"))
+    return sr.score_row_traces(s.select("trace_id", "ts", "event_id", F.col("sentence").alias("text")), ["ts", "event_id"])
 
 
 @register("trace_metrics_user_day", o.trace_ctes("user_day") + f" SELECT trace_id, user_id, day, {METRICS_SQL} FROM metrics")
