@@ -125,3 +125,19 @@ def test_encoder_plugin(spark):
     h1 = r["matches"][0]
     # "the equation" vs "equation": one shared term of two, cosine 1/sqrt(2)
     assert h1["subject_similarity"] == 0.7071 and h1["resolved"] is True
+
+
+def test_subject_extractor_plugin(spark):
+    from pyspark.sql import functions as F
+
+    def last_word(pairs):
+        # stand-in for a parser: the sentence's last word, lower-cased
+        words = F.split(F.regexp_replace(F.lower("sentence"), r"[^a-z ]", ""), " ")
+        return pairs.select("sentence", "keyword", F.element_at(words, -1).alias("subject"))
+
+    df = spark.createDataFrame([("g1", G1)], "name string, text string")
+    r = score_traces(df, extractor=last_word).collect()[0].asDict(recursive=True)
+    subjects = [m["subject"] for m in r["matches"]]
+    assert subjects == ["incorrect", "condition", "reasonable"]
+    # "incorrect" vs "equation": no shared term, so H1 can only reach 0.3 * proximity
+    assert r["matches"][0]["resolved"] is False and r["matches"][0]["subject_similarity"] == 0.0

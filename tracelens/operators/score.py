@@ -300,6 +300,50 @@ def attach_vectors(stmts: DataFrame, subject_vectors: DataFrame | None = None, e
     return j.withColumn("_hedges", add("_hedges", "H")).withColumn("_vers", add("_vers", "V")).drop("_vmap", "_rid")
 
 
+def attach_subjects(stmts: DataFrame, extractor) -> DataFrame:
+    """Replace the regex subjects with a user extractor's.
+
+    ``extractor`` maps ``DataFrame[sentence, keyword]`` to
+    ``DataFrame[sentence, keyword, subject]`` (a parser wrapped in an iterator
+    Arrow UDF, say). It sees each distinct (sentence, keyword) pair once over
+    all traces; hedges pass their matched keyword, verifications a null one.
+    Its answers are joined back and gathered per trace row.
+    """
+    from tracelens.operators.scans import materialize
+
+    base = materialize(stmts.withColumn("_rid", F.monotonically_increasing_id()))
+
+    def items(arr: str, prefix: str) -> Column:
+        return F.transform(
+            arr,
+            lambda x: F.struct(
+                F.concat(F.lit(prefix), x["idx"].cast("string")).alias("k"),
+                x["sentence"].alias("sentence"),
+                x["keyword"].alias("keyword"),
+            ),
+        )
+
+    rows = base.select("_rid", F.inline(F.concat(items("_hedges", "H"), items("_vers", "V"))))
+    distinct = rows.select("sentence", "keyword").distinct()
+    found = extractor(distinct).select("sentence", "keyword", F.col("subject").cast("string").alias("subject"))
+    cond = (rows["sentence"] == found["sentence"]) & rows["keyword"].eqNullSafe(found["keyword"])
+    per_row = (
+        rows.join(found, cond, "left")
+        .groupBy(rows["_rid"])
+        .agg(F.map_from_entries(F.collect_list(F.struct(rows["k"], F.coalesce(found["subject"], F.lit(""))))).alias("_smap"))
+    )
+    j = base.join(per_row, "_rid", "left")
+    fields = ["idx", "id", "pos", "sentence", "keyword"]
+
+    def swap(arr: str, prefix: str) -> Column:
+        subj = lambda x: F.coalesce(F.try_element_at(F.col("_smap"), F.concat(F.lit(prefix), x["idx"].cast("string"))), F.lit(""))
+        with_subject = F.transform(arr, lambda x: _restruct(x, fields, subject=subj(x)))
+        with_toks = F.transform(with_subject, lambda x: _restruct(x, fields + ["subject"], toks=similarity.subject_tokens(x["subject"])))
+        return F.transform(with_toks, lambda x: _restruct(x, fields + ["subject", "toks"], n2=similarity.term_norm2(x["toks"])))
+
+    return j.withColumn("_hedges", swap("_hedges", "H")).withColumn("_vers", swap("_vers", "V")).drop("_smap", "_rid")
+
+
 def score_traces(
     df: DataFrame,
     text_col: str = "text",
@@ -309,16 +353,21 @@ def score_traces(
     reduction: float = lexicon.RESOLUTION_WEIGHT_REDUCTION,
     subject_vectors: DataFrame | None = None,
     encoder=None,
+    extractor=None,
 ) -> DataFrame:
     """Score every trace of ``df[text_col]``; all other columns pass through.
 
     Adds the 11 reference metric columns. A null or whitespace-only text gets
     zero counts, empty ``matches`` and null for the five fields the reference
-    omits in that case. Similarity is the native term-count cosine unless
-    ``subject_vectors`` or ``encoder`` supplies subject embeddings.
+    omits in that case. Subjects come from the regex extractor unless
+    ``extractor`` is given (see :func:`attach_subjects`); similarity is the
+    native term-count cosine unless ``subject_vectors`` or ``encoder``
+    supplies subject embeddings (see :func:`attach_vectors`).
     """
     keep = [c for c in df.columns if c != text_col]
     s3 = with_statements(df, text_col)
+    if extractor is not None:
+        s3 = attach_subjects(s3, extractor)
     mode = "tf_cosine"
     if subject_vectors is not None or encoder is not None:
         s3 = attach_vectors(s3, subject_vectors, encoder)
