@@ -106,3 +106,55 @@ def subject_from_parts(parts: Column, sentence: Column) -> Column:
 def extract_subject(sentence: Column) -> Column:
     """Regex subject of one sentence (single-expression convenience form)."""
     return subject_from_parts(subject_parts(sentence), sentence)
+
+
+# FIXED VALUES (ours): words skipped when taking content words after a hedge
+# keyword (articles, determiners, prepositions, pronouns, auxiliaries). They
+# stand in for the part-of-speech filter a parser would apply.
+SKIP_WORDS = [
+    "a", "an", "the", "this", "that", "these", "those", "of", "to", "in", "on", "at", "for", "with", "by",
+    "from", "as", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does",
+    "did", "has", "have", "had", "will", "would", "can", "could", "should", "shall", "may", "might", "must",
+    "it", "its", "i", "we", "you", "he", "she", "they", "me", "my", "our", "your", "their", "not", "no", "so",
+    "if", "then", "than", "there", "here",
+]
+EDGE_PUNCT = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+KEYWORD_WINDOW = 5
+KEYWORD_TAKE = 2
+
+
+def sentence_tokens(sentence: Column) -> Column:
+    """Lower-cased whitespace tokens with edge punctuation removed."""
+    parts = F.split(F.lower(sentence), rf"{WS}+")
+    return F.filter(F.transform(parts, lambda t: F.regexp_replace(t, EDGE_PUNCT, "")), lambda t: t != F.lit(""))
+
+
+def keyword_window_subject(sentence: Column, keyword: Column) -> Column:
+    """Subject from the words just after the matched keyword (approximation).
+
+    Finds the keyword's words (split on spaces) in the sentence tokens, takes
+    the next five tokens, drops skip words and keeps the first two. A keyword
+    that is not found (one ending in a comma, say) or a window with no content
+    word falls back to the regex subject. This re-aims a parser's
+    "noun phrase right after the hedge" without part-of-speech tags.
+    """
+    toks = sentence_tokens(sentence)
+    kw = F.split(F.lower(keyword), " ")
+    n = F.size(kw)
+    starts = F.filter(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.slice(toks, i, n) == kw)
+    start = F.when(keyword.isNotNull() & (F.size(toks) >= n), F.get(starts, 0))
+    window = F.slice(toks, F.coalesce(start, F.lit(1)) + n, KEYWORD_WINDOW)
+    skip = F.array(*[F.lit(w) for w in SKIP_WORDS])
+    content = F.filter(window, lambda t: ~F.array_contains(skip, t))
+    return F.when(start.isNull() | (F.size(content) == 0), extract_subject(sentence)).otherwise(
+        F.array_join(F.slice(content, 1, KEYWORD_TAKE), " ")
+    )
+
+
+def keyword_window_extractor():
+    """``extractor=`` plug-in for :func:`tracelens.operators.score.score_traces`."""
+
+    def run(pairs):
+        return pairs.select("sentence", "keyword", keyword_window_subject(F.col("sentence"), F.col("keyword")).alias("subject"))
+
+    return run

@@ -580,3 +580,38 @@ def q_trace_metrics_vectors(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
     vecs = subject_vector_table(spark, sf, stmts_subjects)
     return score.score_traces(t, subject_vectors=vecs).select("trace_id", *METRICS)
+
+
+SKIP_SQL = "[" + ", ".join(o.q(w) for w in text.SKIP_WORDS) + "]"
+
+
+@register(
+    "extract_subject_by_keyword",
+    o.trace_ctes("user_day")
+    + f""",
+ktok AS (
+  SELECT h.trace_id, h.hidx, s.subject AS regex_subject,
+    list_filter(list_transform(regexp_split_to_array(lower(h.sentence), {o.q(o.WS + '+')}),
+                               lambda t: regexp_replace(t, {o.q(text.EDGE_PUNCT)}, '', 'g')), lambda t: t <> '') AS toks,
+    string_split(lower(h.hkw), ' ') AS kw
+  FROM hedges h JOIN subj s ON s.kind = 'H' AND s.trace_id = h.trace_id AND s.idx = h.hidx),
+kstart AS (
+  SELECT *, CASE WHEN len(toks) >= len(kw) THEN
+           list_filter(range(1, len(toks) - len(kw) + 2), lambda i: toks[i:i + len(kw) - 1] = kw)[1] END AS st
+  FROM ktok),
+kwin AS (
+  SELECT *, list_filter(toks[st + len(kw):st + len(kw) + {text.KEYWORD_WINDOW - 1}], lambda t: NOT list_contains({SKIP_SQL}, t)) AS content
+  FROM kstart)
+SELECT trace_id, 'H' || hidx AS id,
+  CASE WHEN st IS NULL OR len(content) = 0 THEN regex_subject ELSE array_to_string(content[1:{text.KEYWORD_TAKE}], ' ') END AS subject
+FROM kwin""",
+)
+def q_extract_subject_by_keyword(spark: SparkSession, sf: str) -> DataFrame:
+    """Hedge subjects from the words after the matched keyword (approximation)."""
+    s = statements(spark, sf, "user_day")
+    h = s.select("trace_id", F.explode("_hedges").alias("h"))
+    return h.select(
+        "trace_id",
+        F.col("h.id").alias("id"),
+        text.keyword_window_subject(F.col("h.sentence"), F.col("h.keyword")).alias("subject"),
+    )
