@@ -37,3 +37,18 @@ def statements(spark: SparkSession, sf_dir: str, key: str = "user_day") -> DataF
 
 def scored(spark: SparkSession, sf_dir: str, key: str = "user_day") -> DataFrame:
     return score.score_traces(traces(spark, sf_dir, key))
+
+
+def sentence_rows(spark: SparkSession, sf_dir: str, key: str = "user_day") -> DataFrame:
+    """Planted traces as ``(trace_id, pos, sentence)`` rows, numbered skew-safely
+    (no trace is ever gathered into one task)."""
+    from tracelens.operators import sentence_rows as sr
+
+    return sr.planted_sentence_rows(spark, table(spark, sf_dir, "events"), key)
+
+
+def row_statements(spark: SparkSession, sf_dir: str, key: str = "user_day") -> tuple[DataFrame, DataFrame]:
+    """(hedges, verifications) as rows with ids, positions and subjects."""
+    from tracelens.operators import sentence_rows as sr
+
+    return sr.statements(sentence_rows(spark, sf_dir, key))

@@ -9,7 +9,7 @@ from tracelens.functions import keywords as kw
 from tracelens.functions import lexicon, scoring, similarity, text
 from tracelens.operators import joins, score
 from tracelens.plans import oracle_sql as o
-from tracelens.plans.common import scored, statements, table, text_table, traces
+from tracelens.plans.common import row_statements, scored, sentence_rows as planted_rows, statements, table, text_table, traces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +68,7 @@ def q_normalize_newlines(spark: SparkSession, sf: str) -> DataFrame:
     o.trace_ctes("user") + " SELECT trace_id, CAST(pos AS INTEGER) AS position, sentence FROM sents",
 )
 def q_explode_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_rows(traces(spark, sf, "user"), "trace_id")
+    return planted_rows(spark, sf, "user").select("trace_id", F.col("pos").alias("position"), "sentence")
 
 
 @register(
@@ -87,7 +87,7 @@ def q_sentence_keyword_any(spark: SparkSession, sf: str) -> DataFrame:
     o.trace_ctes("user_day") + " SELECT trace_id, CAST(pos AS INTEGER) AS position, CAST(nver AS INTEGER) AS n_verification FROM ann",
 )
 def q_sentence_keyword_count(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sentence_rows(traces(spark, sf, "user_day"), "trace_id")
+    rows = planted_rows(spark, sf, "user_day").withColumnRenamed("pos", "position")
     return rows.select("trace_id", "position", kw.with_lower(F.col("sentence"), kw.verification_count).alias("n_verification"))
 
 
@@ -96,7 +96,7 @@ def q_sentence_keyword_count(spark: SparkSession, sf: str) -> DataFrame:
     o.trace_ctes("user_day") + " SELECT trace_id, CAST(pos AS INTEGER) AS position, hkw AS hedge_keyword FROM ann",
 )
 def q_first_hedge_keyword(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sentence_rows(traces(spark, sf, "user_day"), "trace_id")
+    rows = planted_rows(spark, sf, "user_day").withColumnRenamed("pos", "position")
     return rows.select("trace_id", "position", kw.with_lower(F.col("sentence"), kw.hedge_keyword).alias("hedge_keyword"))
 
 
@@ -106,7 +106,7 @@ def q_first_hedge_keyword(spark: SparkSession, sf: str) -> DataFrame:
     + " SELECT trace_id, CAST(pos AS INTEGER) AS position, sentence, CAST(nver AS INTEGER) AS n_verification FROM ann WHERE hkw IS NOT NULL AND nver >= 2",
 )
 def q_verification_dominance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sentence_rows(traces(spark, sf, "user_day"), "trace_id")
+    rows = planted_rows(spark, sf, "user_day").withColumnRenamed("pos", "position")
     both = kw.with_lower(
         F.col("sentence"), lambda low: F.struct(kw.verification_count(low).alias("n"), kw.hedge_keyword(low).alias("h"))
     )
@@ -127,14 +127,14 @@ def q_verification_dominance(spark: SparkSession, sf: str) -> DataFrame:
     + " SELECT trace_id, 'H' || hidx AS id, CAST(pos AS INTEGER) AS position, sentence, hkw AS matched_keyword FROM hedges",
 )
 def q_detect_hedges(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf, "user_day")
-    h = s.select("trace_id", F.explode("_hedges").alias("h"))
+    """Hedge statements from sentence rows; ids by skew-safe numbering."""
+    h, _ = row_statements(spark, sf, "user_day")
     return h.select(
         "trace_id",
-        F.col("h.id").alias("id"),
-        F.col("h.pos").alias("position"),
-        F.col("h.sentence").alias("sentence"),
-        F.col("h.keyword").alias("matched_keyword"),
+        F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("id"),
+        F.col("pos").alias("position"),
+        "sentence",
+        F.col("keyword").alias("matched_keyword"),
     )
 
 
@@ -143,9 +143,8 @@ def q_detect_hedges(spark: SparkSession, sf: str) -> DataFrame:
     o.trace_ctes("user_day") + " SELECT trace_id, 'V' || vidx AS id, CAST(pos AS INTEGER) AS position, sentence FROM verifs",
 )
 def q_detect_verifications(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf, "user_day")
-    v = s.select("trace_id", F.explode("_vers").alias("v"))
-    return v.select("trace_id", F.col("v.id").alias("id"), F.col("v.pos").alias("position"), F.col("v.sentence").alias("sentence"))
+    _, v = row_statements(spark, sf, "user_day")
+    return v.select("trace_id", F.concat(F.lit("V"), F.col("vidx").cast("string")).alias("id"), F.col("pos").alias("position"), "sentence")
 
 
 @register(
@@ -153,10 +152,10 @@ def q_detect_verifications(spark: SparkSession, sf: str) -> DataFrame:
     o.trace_ctes("user") + " SELECT trace_id, kind, kind || idx AS id, subject FROM subj",
 )
 def q_extract_subject(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf, "user")
-    h = s.select("trace_id", F.lit("H").alias("kind"), F.explode("_hedges").alias("x"))
-    v = s.select("trace_id", F.lit("V").alias("kind"), F.explode("_vers").alias("x"))
-    return h.unionByName(v).select("trace_id", "kind", F.col("x.id").alias("id"), F.col("x.subject").alias("subject"))
+    h, v = row_statements(spark, sf, "user")
+    hs = h.select("trace_id", F.lit("H").alias("kind"), F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("id"), "subject")
+    vs = v.select("trace_id", F.lit("V").alias("kind"), F.concat(F.lit("V"), F.col("vidx").cast("string")).alias("id"), "subject")
+    return hs.unionByName(vs)
 
 
 @register(
@@ -164,8 +163,8 @@ def q_extract_subject(spark: SparkSession, sf: str) -> DataFrame:
     o.trace_ctes("user") + " SELECT subject, count(*) AS n_statements FROM subj GROUP BY subject",
 )
 def q_distinct_subjects(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf, "user")
-    subj = s.select(F.explode(F.concat(F.transform("_hedges", lambda x: x["subject"]), F.transform("_vers", lambda x: x["subject"]))).alias("subject"))
+    h, v = row_statements(spark, sf, "user")
+    subj = h.select("subject").unionByName(v.select("subject"))
     # partial aggregation on the map side: a hot subject never reaches one task whole
     return subj.groupBy("subject").agg(F.count(F.lit(1)).alias("n_statements"))
 
