@@ -75,7 +75,7 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where(F.col("valid")), validated.where(~F.col("valid"))
 
 
-def _openai_payload(r: Column | None = None) -> Column:
+def _openai_payload() -> Column:
     sys_msg = F.when(
         F.col("system_instruction").isNotNull(),
         F.struct(F.lit("system").alias("role"), F.col("system_instruction").alias("content")),

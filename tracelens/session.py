@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,5 +52,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    suffix = next(tempfile._get_candidate_names())  # unique, no directory created
-    return f"{base}/{name}-{suffix}"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
