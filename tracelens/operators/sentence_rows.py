@@ -124,20 +124,27 @@ def assign(
     # term-sharing subjects above the reuse similarity ignore claims: computed once
     high = hg.where(F.col("sim") > reuse_sim)
     free_vals = vrows.select("trace_id", "subject", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
-    c_high = _nearest(free_vals, high.select("trace_id", "subject", "hidx", F.col("hpos").alias("key")), ["trace_id", "subject"])
+    c_high = scans.materialize(
+        _nearest(free_vals, high.select("trace_id", "subject", "hidx", F.col("hpos").alias("key")), ["trace_id", "subject"])
+    )
     low = hg.where(F.col("sim") <= reuse_sim).select("trace_id", "subject", "hidx", F.col("hpos").alias("key"))
 
+    hpos = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"))
     claims = spark.createDataFrame([], "trace_id string, vidx int, cpos int")
-    best = None
+    best_all = None
+    active = None  # traces still moving; None = all
     for _ in range(MAX_ROUNDS):
-        vk = vrows.join(claims, ["trace_id", "vidx"], "left").select(
+
+        def only(df: DataFrame) -> DataFrame:
+            return df if active is None else df.join(active, "trace_id", "left_semi")
+
+        vk = only(vrows).join(claims, ["trace_id", "vidx"], "left").select(
             "trace_id", "subject", F.coalesce(F.col("cpos"), F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value")
         )
-        c_all = _nearest(vk.drop("subject"), hq, ["trace_id"])
-        c_low = _nearest(vk, low, ["trace_id", "subject"])
-        cands = c_all.unionByName(c_low).unionByName(c_high).join(vrows, ["trace_id", "vpos"])
+        c_all = _nearest(vk.drop("subject"), only(hq), ["trace_id"])
+        c_low = _nearest(vk, only(low), ["trace_id", "subject"])
+        cands = c_all.unionByName(c_low).unionByName(only(c_high)).join(vrows, ["trace_id", "vpos"])
         cands = cands.join(hg.select("trace_id", "hidx", "subject", "sim"), ["trace_id", "hidx", "subject"], "left")
-        hpos = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"))
         sim = F.coalesce(F.col("sim"), F.lit(0.0))
         prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
         scored = cands.join(hpos, ["trace_id", "hidx"]).select(
@@ -153,11 +160,23 @@ def assign(
             .groupBy("trace_id", "vidx")
             .agg(F.min("hpos").cast("int").alias("cpos"))
         )
-        same = new_claims.exceptAll(claims).limit(1).count() == 0 and claims.exceptAll(new_claims).limit(1).count() == 0
-        if same:
+        old_claims = only(claims)
+        moved = (
+            new_claims.exceptAll(old_claims).unionByName(old_claims.exceptAll(new_claims)).select("trace_id").distinct()
+        )
+        moved = scans.materialize(moved)
+        # Claims never cross traces, so a trace whose claims did not move is at
+        # its fixpoint; only moving traces are recomputed next round.
+        if best_all is None:
+            best_all = best
+        else:
+            best_all = scans.materialize(best_all.join(active, "trace_id", "left_anti").unionByName(best))
+        n_moved = moved.count()
+        if n_moved == 0:
             break
-        claims = new_claims
-    return best
+        claims = scans.materialize(claims.join(moved, "trace_id", "left_anti").unionByName(new_claims.join(moved, "trace_id", "left_semi")))
+        active = F.broadcast(moved) if n_moved <= joins.BROADCAST_ROW_LIMIT else moved
+    return best_all
 
 
 def score_sentence_rows(
