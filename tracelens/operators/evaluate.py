@@ -137,10 +137,13 @@ def with_truth(results: DataFrame) -> DataFrame:
 
 def label_accuracy(spark: SparkSession, results: DataFrame) -> DataFrame:
     """Per expected label: correct, total, accuracy. All four labels appear."""
+    dim = label_dimension(spark)
     per = with_truth(results).groupBy("ExpectedLabel").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct")
     )
-    j = label_dimension(spark).join(F.broadcast(per), "ExpectedLabel", "left")
+    # at most one row per known label after the semi-join: a proven broadcast size
+    known = per.join(F.broadcast(dim.select("ExpectedLabel")), "ExpectedLabel", "left_semi")
+    j = dim.join(F.broadcast(known), "ExpectedLabel", "left")
     total = F.coalesce("total", F.lit(0))
     correct = F.coalesce("correct", F.lit(0))
     return j.select(
@@ -154,8 +157,10 @@ def label_accuracy(spark: SparkSession, results: DataFrame) -> DataFrame:
 
 def label_breakdown(spark: SparkSession, results: DataFrame) -> DataFrame:
     """Per expected label, count of each predicted label (pivot, zeros filled)."""
+    dim = label_dimension(spark)
     piv = results.groupBy("ExpectedLabel").pivot("predicted_certainty", lexicon.PREDICTED_LABELS).count()
-    j = label_dimension(spark).join(F.broadcast(piv), "ExpectedLabel", "left")
+    known = piv.join(F.broadcast(dim.select("ExpectedLabel")), "ExpectedLabel", "left_semi")
+    j = dim.join(F.broadcast(known), "ExpectedLabel", "left")
     return j.select(
         "ExpectedLabel",
         "label_order",
