@@ -96,6 +96,9 @@ def hashing_encoder(dim: int = 64):
             yield pd.DataFrame({"subject": pdf["subject"], "vec": vecs})
 
     def run(subjects):
+        from tracelens.session import ship_package
+
+        ship_package(subjects.sparkSession)
         return subjects.mapInPandas(encode, "subject string, vec array<double>")
 
     return run

@@ -52,6 +52,9 @@ def _n_parts(df: DataFrame, n: int | None) -> int:
 
 def _local_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column], fn, out_fields: list[T.StructField], n: int | None) -> DataFrame:
     """Range-partition + sort, then ``fn(pdf, carry) -> (pdf, carry)`` per batch."""
+    from tracelens.session import ship_package
+
+    ship_package(df.sparkSession)
     parts = _n_parts(df, n)
     keys = [F.col(g) for g in group] + list(order)
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)

@@ -36,8 +36,35 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tracelens`` importable in Python workers (once per context).
+
+    Functions run by ``mapInPandas`` are pickled by reference to this package,
+    so executors must be able to import it. On a cluster this is what
+    ``--py-files`` does; here the package is zipped and added with
+    ``addPyFile`` unless the context already has it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tracelens_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="tracelens-pyfiles-"), "tracelens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._tracelens_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
+    ship_package(spark)
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
