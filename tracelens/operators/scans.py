@@ -99,27 +99,60 @@ def _last_key(pdf: pd.DataFrame, group: list[str]) -> tuple:
 # ---------------------------------------------------------------------------
 # Row numbering
 # ---------------------------------------------------------------------------
-def _number_batch(pdf: pd.DataFrame, carry, group: list[str]):
+def _number_batch(pdf: pd.DataFrame, carry, group: list[str], flags: Sequence[str] = ()):
     starts = _group_change(pdf, group)
     starts[0] = True
     seg = np.cumsum(starts) - 1
-    idx = np.arange(len(pdf)) - np.flatnonzero(starts)[seg]
+    first_rows = np.flatnonzero(starts)
+    idx = np.arange(len(pdf)) - first_rows[seg]
+    cums = {}
+    for f in flags:
+        v = pdf[f].fillna(False).to_numpy(dtype=bool).astype(np.int64)
+        c = np.cumsum(v)
+        base = np.where(first_rows > 0, c[first_rows - 1], 0)
+        cums[f] = c - base[seg]
     if carry is not None and carry[0] == _first_key(pdf, group):
-        idx[seg == 0] += carry[1]
+        same = seg == 0
+        idx[same] += carry[1]
+        for f in flags:
+            cums[f][same] += carry[2][f]
     pdf["_local"] = idx.astype(np.int64)
-    last_seg = seg == seg[-1]
-    return pdf, (_last_key(pdf, group), int(idx[last_seg][-1]) + 1)
+    for f in flags:
+        pdf[f"_cum_{f}"] = cums[f]
+    last = len(pdf) - 1
+    return pdf, (_last_key(pdf, group), int(idx[last]) + 1, {f: int(cums[f][last]) for f in flags})
 
 
-def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, n: int | None = None) -> DataFrame:
+def group_row_number(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, n: int | None = None, flags: Sequence[str] = ()
+) -> DataFrame:
     """0-based dense row number within ``group`` by ``order`` (order must be
-    unique within a group), without ever placing a group in one task."""
-    local = materialize(_local_scan(df, group, order, _number_batch, [T.StructField("_local", T.LongType(), False)], n))
-    sizes = local.groupBy(*group, PID).agg(F.count(F.lit(1)).alias("_cnt"))
+    unique within a group), without ever placing a group in one task.
+
+    For each boolean column in ``flags`` the same scan also yields
+    ``<out>_<flag>``: the number of rows up to and including this one (within
+    the group, in order) where the flag is true.
+    """
+    flags = list(flags)
+    fields = [T.StructField("_local", T.LongType(), False)] + [T.StructField(f"_cum_{f}", T.LongType(), False) for f in flags]
+
+    def batch(pdf, carry, grp):
+        return _number_batch(pdf, carry, grp, flags)
+
+    local = materialize(_local_scan(df, group, order, batch, fields, n))
+    sizes = local.groupBy(*group, PID).agg(
+        F.count(F.lit(1)).alias("_cnt"), *[F.count_if(F.col(f)).alias(f"_n_{f}") for f in flags]
+    )
     w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, PID, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    offsets = sizes.select(
+        *group,
+        PID,
+        F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
+        *[F.coalesce(F.sum(f"_n_{f}").over(w), F.lit(0)).alias(f"_off_{f}") for f in flags],
+    )
     j = local.join(offsets, [*group, PID])
-    return j.select(*df.columns, (F.col("_local") + F.col("_off")).alias(out))
+    extra = [(F.col(f"_cum_{f}") + F.col(f"_off_{f}")).alias(f"{out}_{f}") for f in flags]
+    return j.select(*df.columns, (F.col("_local") + F.col("_off")).alias(out), *extra)
 
 
 # ---------------------------------------------------------------------------

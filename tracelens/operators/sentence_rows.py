@@ -66,19 +66,50 @@ def _term_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return toks.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def statements(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hedges, verifications) with ids, positions and subjects."""
+def annotate(sents: DataFrame) -> DataFrame:
+    """Per-sentence keyword facts: ``nver``, ``keyword`` and the two statement flags."""
     both = kw.with_lower(
         F.col("sentence"), lambda low: F.struct(kw.verification_count(low).alias("nver"), kw.hedge_keyword(low).alias("keyword"))
     )
-    ann = joins.barrier(sents.select("trace_id", "pos", "sentence", both.alias("_b")).select("trace_id", "pos", "sentence", "_b.*"))
-    h0 = ann.where(F.col("keyword").isNotNull() & (F.col("nver") < 2)).select("trace_id", "pos", "sentence", "keyword")
-    v0 = ann.where(F.col("nver") > 0).select("trace_id", "pos", "sentence")
-    h = scans.group_row_number(h0, ["trace_id"], [F.col("pos")], "_i").withColumn("hidx", (F.col("_i") + 1).cast("int")).drop("_i")
-    v = scans.group_row_number(v0, ["trace_id"], [F.col("pos")], "_i").withColumn("vidx", (F.col("_i") + 1).cast("int")).drop("_i")
+    ann = joins.barrier(sents.select(*sents.columns, both.alias("_b")).select(*sents.columns, "_b.*"))
+    return ann.select(
+        "*",
+        (F.col("keyword").isNotNull() & (F.col("nver") < 2)).alias("is_hedge"),
+        (F.col("nver") > 0).alias("is_ver"),
+    )
+
+
+def _split_statements(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    h = numbered.where("is_hedge").select("trace_id", "pos", "sentence", "keyword", F.col("hidx").cast("int").alias("hidx"))
+    v = numbered.where("is_ver").select("trace_id", "pos", "sentence", F.col("vidx").cast("int").alias("vidx"))
     return scans.materialize(_subject(h)), scans.materialize(_subject(v))
 
 
+def statements(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hedges, verifications) with ids, positions and subjects, from numbered
+    sentence rows: one skew-safe scan counts hedges and verifications so far."""
+    ann = annotate(sents)
+    n = scans.group_row_number(ann, ["trace_id"], [F.col("pos")], "_rn", flags=["is_hedge", "is_ver"])
+    n = n.withColumnRenamed("_rn_is_hedge", "hidx").withColumnRenamed("_rn_is_ver", "vidx")
+    return _split_statements(n)
+
+
+def statements_from_rows(rows: DataFrame, order: Sequence[str], text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sentences, hedges, verifications) from unnumbered rows in one numbering
+    scan: positions, hedge ids and verification ids together."""
+    exploded = rows.select(
+        "trace_id",
+        *[F.col(c) for c in order],
+        F.posexplode(text.split_sentences(F.col(text_col))).alias("_sub", "sentence"),
+    )
+    ann = annotate(exploded)
+    keys = [F.col(c) for c in order] + [F.col("_sub")]
+    n = scans.group_row_number(ann, ["trace_id"], keys, "pos", flags=["is_hedge", "is_ver"])
+    n = n.withColumn("pos", F.col("pos").cast("int")).withColumnRenamed("pos_is_hedge", "hidx").withColumnRenamed("pos_is_ver", "vidx")
+    hedges, vers = _split_statements(n)
+    return n.select("trace_id", "pos", "sentence"), hedges, vers
+
+
 def hedge_subject_similarity(hedges: DataFrame, vers: DataFrame) -> DataFrame:
     """``(trace_id, hidx, hpos, subject, sim)`` for every hedge and verification
     subject of its trace that share a term (sim > 0); all other pairs have sim 0."""
@@ -192,6 +223,19 @@ def score_sentence_rows(
     metric fields, and one row per hedge with the eleven detail fields.
     """
     hedges, vers = statements(sents)
+    return score_statements(sents, hedges, vers, threshold, decay, weights, reduction)
+
+
+def score_statements(
+    sents: DataFrame,
+    hedges: DataFrame,
+    vers: DataFrame,
+    threshold: float = lexicon.SIMILARITY_THRESHOLD,
+    decay: float = lexicon.PROXIMITY_DECAY,
+    weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
+    reduction: float = lexicon.RESOLUTION_WEIGHT_REDUCTION,
+) -> tuple[DataFrame, DataFrame]:
+    """Scoring after statement detection (see :func:`score_sentence_rows`)."""
     best = assign(hedges, vers, threshold, decay, weights)
     resolved = F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False))
     ms = scoring.round4(F.col("score"))
@@ -262,12 +306,22 @@ def score_sentence_rows(
     return metrics, matches
 
 
-def planted_sentence_rows(spark, events: DataFrame, key: str = "user_day") -> DataFrame:
-    """Planted traces as sentence rows (no per-trace gathering)."""
+def planted_rows(spark, events: DataFrame, key: str = "user_day") -> DataFrame:
+    """Planted traces as ``(trace_id, ts, event_id, text)`` rows."""
     from tracelens.sources import planted
 
     s = planted.planted_sentences(spark, events).withColumn("trace_id", planted.trace_id_col(key))
-    return sentence_rows(s.withColumnRenamed("sentence", "text"), ["ts", "event_id"])
+    return s.select("trace_id", "ts", "event_id", F.col("sentence").alias("text"))
+
+
+def planted_sentence_rows(spark, events: DataFrame, key: str = "user_day") -> DataFrame:
+    """Planted traces as sentence rows (no per-trace gathering)."""
+    return sentence_rows(planted_rows(spark, events, key), ["ts", "event_id"])
+
+
+def planted_statements(spark, events: DataFrame, key: str = "user_day") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sentences, hedges, verifications) of planted traces in one numbering scan."""
+    return statements_from_rows(planted_rows(spark, events, key), ["ts", "event_id"])
 
 
 
@@ -306,7 +360,8 @@ def score_row_traces(
         hot_side = F.broadcast(hot) if n_hot <= joins.BROADCAST_ROW_LIMIT else hot
         cold = r.join(hot_side, "trace_id", "left_anti")
         hot_rows = r.join(hot_side, "trace_id", "left_semi")
-        m, _ = score_sentence_rows(sentence_rows(hot_rows, order, "_text"))
+        sents, hs, vs = statements_from_rows(hot_rows, order, "_text")
+        m, _ = score_statements(sents, hs, vs)
         parts.append(m.select("trace_id", *metrics_cols))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = (

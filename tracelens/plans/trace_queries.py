@@ -525,8 +525,8 @@ def q_cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def _rows_scored(spark: SparkSession, sf: str, key: str):
     from tracelens.operators import sentence_rows as sr
 
-    sents = sr.planted_sentence_rows(spark, table(spark, sf, "events"), key)
-    return sr.score_sentence_rows(sents)
+    sents, hedges, vers = sr.planted_statements(spark, table(spark, sf, "events"), key)
+    return sr.score_statements(sents, hedges, vers)
 
 
 @register(
