@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.functions import keywords as kw
-from tracelens.functions import lexicon, scoring, similarity, text
+from tracelens.functions import scoring, similarity, text
 from tracelens.operators import joins, score
 from tracelens.plans import oracle_sql as o
 from tracelens.plans.common import row_statements, scored, sentence_rows as planted_rows, statements, table, text_table, traces
