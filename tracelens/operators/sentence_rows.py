@@ -80,7 +80,10 @@ def annotate(sents: DataFrame) -> DataFrame:
 
 
 def _split_statements(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    h = numbered.where("is_hedge").select("trace_id", "pos", "sentence", "keyword", F.col("hidx").cast("int").alias("hidx"))
+    # `vseen`: verifications at or before the hedge (for "strictly later" counts)
+    h = numbered.where("is_hedge").select(
+        "trace_id", "pos", "sentence", "keyword", F.col("hidx").cast("int").alias("hidx"), F.col("vidx").cast("int").alias("vseen")
+    )
     v = numbered.where("is_ver").select("trace_id", "pos", "sentence", F.col("vidx").cast("int").alias("vidx"))
     return scans.materialize(_subject(h)), scans.materialize(_subject(v))
 
@@ -307,11 +310,34 @@ def score_statements(
 
 
 def planted_rows(spark, events: DataFrame, key: str = "user_day") -> DataFrame:
-    """Planted traces as ``(trace_id, ts, event_id, text)`` rows."""
+    """Planted traces as ``(trace_id, <key cols>, ts, event_id, text)`` rows."""
     from tracelens.sources import planted
 
     s = planted.planted_sentences(spark, events).withColumn("trace_id", planted.trace_id_col(key))
-    return s.select("trace_id", "ts", "event_id", F.col("sentence").alias("text"))
+    return s.select("trace_id", *planted.TRACE_KEYS[key], "ts", "event_id", F.col("sentence").alias("text"))
+
+
+def nearest_candidates(
+    hedges: DataFrame, vers: DataFrame, decay: float = lexicon.PROXIMITY_DECAY, weights: tuple[float, float] = lexicon.MATCH_WEIGHTS
+) -> DataFrame:
+    """Each hedge with its nearest later verification (no exclusivity):
+    ``(trace_id, hidx, hpos, vidx, vpos, sim, prox, score)``; hedges with no
+    later verification are absent. A skew-safe suffix-minimum scan finds the
+    verification; similarity comes from the term join (0 without a shared term)."""
+    vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
+    vals = vrows.select("trace_id", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
+    near = _nearest(vals, hedges.select("trace_id", "hidx", F.col("pos").alias("key")), ["trace_id"])
+    hg = hedge_subject_similarity(hedges, vers).select("trace_id", "hidx", "subject", "sim")
+    j = (
+        near.join(vrows, ["trace_id", "vpos"])
+        .join(hg, ["trace_id", "hidx", "subject"], "left")
+        .join(hedges.select("trace_id", "hidx", F.col("pos").alias("hpos")), ["trace_id", "hidx"])
+    )
+    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
+    return j.select("trace_id", "hidx", "hpos", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
+        "score", scoring.match_score(F.col("sim"), F.col("prox"), weights)
+    )
 
 
 def planted_sentence_rows(spark, events: DataFrame, key: str = "user_day") -> DataFrame:
@@ -329,49 +355,112 @@ def planted_statements(spark, events: DataFrame, key: str = "user_day") -> tuple
 ONE_ROW_LIMIT = 50_000
 
 
-def score_row_traces(
+METRIC_COLS = [
+    "total_hedges", "resolved_hedges", "unresolved_hedges", "trur", "weighted_trur", "total_verifications",
+    "hvr", "late_unresolved_ratio", "conclusion_finality", "predicted_certainty",
+]
+MATCH_COLS = [
+    "id", "sentence", "matched_keyword", "subject", "position", "matched_verification",
+    "subject_similarity", "proximity_score", "match_score", "resolved", "effective_weight",
+]
+
+
+def score_row_traces_full(
     rows: DataFrame,
     order: Sequence[str],
     text_col: str = "text",
     max_rows: int = ONE_ROW_LIMIT,
-) -> DataFrame:
-    """Per-trace metrics for traces given as rows (``trace_id, order..., text``).
+    keys: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """``(metrics, matches)`` for traces given as rows (``trace_id, keys..., order..., text``).
 
     Trace sizes are counted first (a partial aggregate). Traces of at most
     ``max_rows`` rows are gathered into one row each (rows joined by newlines,
     so every row boundary stays a sentence boundary) and scored by the fast
     one-row scorer; longer ones, which could not be gathered safely, go to the
     skew-safe sentence-row scorer. The list of long trace ids is broadcast only
-    after it has been counted.
+    after it has been counted. ``keys`` are columns constant within a trace
+    that are carried to both outputs; ``matches`` has one row per hedge.
     """
     from tracelens.operators import score
 
-    r = rows.select("trace_id", *order, F.col(text_col).alias("_text"))
+    keys = list(keys)
+    r = rows.select("trace_id", *keys, *order, F.col(text_col).alias("_text"))
     sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > max_rows).select("trace_id")
     n_hot = hot.count()
-    metrics_cols = [
-        "total_hedges", "resolved_hedges", "unresolved_hedges", "trur", "weighted_trur", "total_verifications",
-        "hvr", "late_unresolved_ratio", "conclusion_finality", "predicted_certainty",
-    ]
     cold = r
-    parts = []
+    metrics_parts, match_parts = [], []
     if n_hot:
         hot_side = F.broadcast(hot) if n_hot <= joins.BROADCAST_ROW_LIMIT else hot
         cold = r.join(hot_side, "trace_id", "left_anti")
         hot_rows = r.join(hot_side, "trace_id", "left_semi")
-        sents, hs, vs = statements_from_rows(hot_rows, order, "_text")
-        m, _ = score_statements(sents, hs, vs)
-        parts.append(m.select("trace_id", *metrics_cols))
+        sents, hs, vs = statements_from_rows(hot_rows.drop(*keys), order, "_text")
+        m, mt = score_statements(sents, hs, vs)
+        if keys:
+            # one row per long trace: as many rows as were counted above
+            key_rows = hot_rows.select("trace_id", *keys).distinct()
+            key_rows = F.broadcast(key_rows) if n_hot <= joins.BROADCAST_ROW_LIMIT else key_rows
+            m = m.join(key_rows, "trace_id")
+            mt = mt.join(key_rows, "trace_id")
+        metrics_parts.append(m.select("trace_id", *keys, *METRIC_COLS))
+        match_parts.append(mt.select("trace_id", *keys, *MATCH_COLS))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = (
         cold.repartition(n, "trace_id")
-        .groupBy("trace_id")
+        .groupBy("trace_id", *keys)
         .agg(F.array_sort(F.collect_list(F.struct(*order, "_text"))).alias("_rows"))
-        .select("trace_id", F.array_join(F.transform("_rows", lambda x: x["_text"]), "\n").alias("text"))
+        .select("trace_id", *keys, F.array_join(F.transform("_rows", lambda x: x["_text"]), "\n").alias("text"))
+    )
+    one_row = score.score_traces(gathered)
+    metrics_parts.insert(0, one_row.select("trace_id", *keys, *METRIC_COLS))
+    match_parts.insert(0, one_row.select("trace_id", *keys, F.inline("matches")).select("trace_id", *keys, *MATCH_COLS))
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    return union(metrics_parts), union(match_parts)
+
+
+def score_row_traces(
+    rows: DataFrame,
+    order: Sequence[str],
+    text_col: str = "text",
+    max_rows: int = ONE_ROW_LIMIT,
+) -> DataFrame:
+    """Per-trace metrics of :func:`score_row_traces_full`."""
+    return score_row_traces_full(rows, order, text_col, max_rows)[0]
+
+
+def independent_best(
+    hedges: DataFrame, vers: DataFrame, decay: float = lexicon.PROXIMITY_DECAY, weights: tuple[float, float] = lexicon.MATCH_WEIGHTS
+) -> DataFrame:
+    """Best later verification per hedge ignoring exclusivity (ties to the
+    earliest): the first round of :func:`assign`. Candidates are the nearest
+    later verification overall and the nearest later one of every term-sharing
+    subject, which together contain the winner."""
+    vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
+    hg = hedge_subject_similarity(hedges, vers)
+    free_all = vrows.select("trace_id", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
+    free_subj = vrows.select("trace_id", "subject", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
+    c_all = _nearest(free_all, hedges.select("trace_id", "hidx", F.col("pos").alias("key")), ["trace_id"])
+    c_subj = _nearest(free_subj, hg.select("trace_id", "subject", "hidx", F.col("hpos").alias("key")), ["trace_id", "subject"])
+    cands = (
+        c_all.unionByName(c_subj)
+        .join(vrows, ["trace_id", "vpos"])
+        .join(hg.select("trace_id", "hidx", "subject", "sim"), ["trace_id", "hidx", "subject"], "left")
+        .join(hedges.select("trace_id", "hidx", F.col("pos").alias("hpos")), ["trace_id", "hidx"])
+    )
+    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
+    scored = cands.select("trace_id", "hidx", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
+        "score", scoring.match_score(F.col("sim"), F.col("prox"), weights)
+    )
+    return (
+        scored.groupBy("trace_id", "hidx")
+        .agg(F.max_by(F.struct("vidx", "vpos", "sim", "prox", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b"))
+        .select("trace_id", "hidx", "b.*")
     )
-    parts.insert(0, score.score_traces(gathered).select("trace_id", *metrics_cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

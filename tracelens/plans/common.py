@@ -53,3 +53,12 @@ def row_statements(spark: SparkSession, sf_dir: str, key: str = "user_day") -> t
 
     _, hedges, vers = sr.planted_statements(spark, table(spark, sf_dir, "events"), key)
     return hedges, vers
+
+
+def scored_rows(spark: SparkSession, sf_dir: str, key: str = "user_day") -> tuple[DataFrame, DataFrame]:
+    """(metrics, matches) of planted traces by the size-routed hybrid scorer:
+    short traces gathered and folded in one row, long ones scored from rows."""
+    from tracelens.operators import sentence_rows as sr
+
+    rows = sr.planted_rows(spark, table(spark, sf_dir, "events"), key)
+    return sr.score_row_traces_full(rows, ["ts", "event_id"], keys=planted.TRACE_KEYS[key])

@@ -9,7 +9,7 @@ from tracelens.functions import keywords as kw
 from tracelens.functions import scoring, similarity, text
 from tracelens.operators import joins, score
 from tracelens.plans import oracle_sql as o
-from tracelens.plans.common import row_statements, scored, sentence_rows as planted_rows, statements, table, text_table, traces
+from tracelens.plans.common import row_statements, scored, scored_rows, sentence_rows as planted_rows, statements, table, text_table, traces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,27 +177,36 @@ def q_distinct_subjects(spark: SparkSession, sf: str) -> DataFrame:
           GROUP BY h.trace_id, h.hidx""",
 )
 def q_late_only(spark: SparkSession, sf: str) -> DataFrame:
-    s = statements(spark, sf, "user")
-    per = s.select(
+    """Verifications strictly after each hedge: the trace's total minus those
+    seen up to the hedge, both from the one numbering scan (no pairs)."""
+    h, v = row_statements(spark, sf, "user")
+    totals = v.groupBy("trace_id").agg(F.count(F.lit(1)).cast("int").alias("_nv"))
+    j = h.join(totals, "trace_id", "left")
+    return j.select(
         "trace_id",
-        F.explode(F.transform("_hedges", lambda h: F.struct(h["id"].alias("id"), F.size(F.filter("_vers", lambda v: v["pos"] > h["pos"])).alias("n")))).alias("h"),
+        F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("id"),
+        (F.coalesce(F.col("_nv"), F.lit(0)) - F.col("vseen")).cast("int").alias("n_later_verifications"),
     )
-    return per.select("trace_id", F.col("h.id").alias("id"), F.col("h.n").alias("n_later_verifications"))
 
 
 # ---------------------------------------------------------------------------
 # Similarity, proximity, pairs
 # ---------------------------------------------------------------------------
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """Each hedge with its nearest later verification (first candidate)."""
-    c = score.with_candidates(statements(spark, sf, "user"))
-    e = c.select("trace_id", F.explode("_scored").alias("h")).where(F.size("h.cands") > 0)
-    return e.select(
-        "trace_id",
-        F.col("h.id").alias("hedge_id"),
-        F.col("h.pos").alias("hpos"),
-        F.col("h.cands")[0].alias("c"),
+    """Each hedge with its nearest later verification, from sentence rows
+    (skew-safe suffix-minimum scan, term-join similarity)."""
+    from tracelens.operators import sentence_rows as sr
+
+    h, v = row_statements(spark, sf, "user")
+    n = sr.nearest_candidates(h, v)
+    cand = F.struct(
+        F.concat(F.lit("V"), F.col("vidx").cast("string")).alias("id"),
+        F.col("vpos").alias("pos"),
+        F.col("sim").alias("sim"),
+        F.col("prox").alias("prox"),
+        F.col("score").alias("score"),
     )
+    return n.select("trace_id", F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("hedge_id"), "hpos", cand.alias("c"))
 
 
 NEAREST_SQL = o.trace_ctes("user") + """,
@@ -336,21 +345,28 @@ def q_hedge_verification_pairs(spark: SparkSession, sf: str) -> DataFrame:
            FROM pairs GROUP BY trace_id, hidx""",
 )
 def q_best_match_independent(spark: SparkSession, sf: str) -> DataFrame:
-    """Highest score per hedge, ties to the earliest verification, over the
-    reduced candidate set (which provably contains the winner)."""
-    p = reduced_pairs(statements(spark, sf, "user"))
-    best = p.groupBy("trace_id", "hedge_id").agg(
-        F.max_by(F.struct("verification_id", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b")
+    """Highest score per hedge, ties to the earliest verification, from sentence
+    rows: nearest later verification overall plus the nearest of every
+    term-sharing subject (skew-safe suffix-minimum scans), then ``max_by``."""
+    from tracelens.operators import sentence_rows as sr
+
+    h, v = row_statements(spark, sf, "user")
+    b = sr.independent_best(h, v)
+    return b.select(
+        "trace_id",
+        F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("hedge_id"),
+        F.concat(F.lit("V"), F.col("vidx").cast("string")).alias("verification_id"),
+        scoring.round4(F.col("score")).alias("match_score"),
     )
-    return best.select("trace_id", "hedge_id", F.col("b.verification_id").alias("verification_id"), scoring.round4(F.col("b.score")).alias("match_score"))
 
 
 # ---------------------------------------------------------------------------
 # Assignment and per-hedge outputs
 # ---------------------------------------------------------------------------
 def _matches(spark: SparkSession, sf: str, key: str = "user") -> DataFrame:
-    m = scored(spark, sf, key)
-    return m.select("trace_id", F.inline("matches"))
+    """Per-hedge assignment rows from the size-routed hybrid scorer."""
+    _, matches = scored_rows(spark, sf, key)
+    return matches
 
 
 @register(
@@ -399,7 +415,8 @@ def _metric_query(name: str, cols: list[str], key: str = "user_day"):
 
     @register(name, o.trace_ctes(key) + f" SELECT {', '.join(keys + cols)} FROM metrics")
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return scored(spark, sf, key).select(*keys, *cols)
+        metrics, _ = scored_rows(spark, sf, key)
+        return metrics.select(*keys, *cols)
 
     q.__name__ = f"q_{name}"
     return q
@@ -418,8 +435,9 @@ _metric_query("predict_certainty", ["predicted_certainty"], "user")
     + " SELECT trace_id, total_verifications, hvr, conclusion_finality, predicted_certainty FROM metrics WHERE total_hedges = 0",
 )
 def q_no_hedge_traces(spark: SparkSession, sf: str) -> DataFrame:
+    metrics, _ = scored_rows(spark, sf, "user_day")
     m = joins.barrier(
-        scored(spark, sf, "user_day").select("trace_id", "total_hedges", "total_verifications", "hvr", "conclusion_finality", "predicted_certainty")
+        metrics.select("trace_id", "total_hedges", "total_verifications", "hvr", "conclusion_finality", "predicted_certainty")
     )
     return m.where(F.col("total_hedges") == 0).drop("total_hedges")
 
@@ -445,16 +463,14 @@ def q_trace_metrics(spark: SparkSession, sf: str) -> DataFrame:
     folded there; a trace too long to gather is scored from its rows by the
     skew-safe sentence-row scorer.
     """
-    from tracelens.operators import sentence_rows as sr
-    from tracelens.sources import planted
-
-    s = planted.planted_sentences(spark, table(spark, sf, "events")).withColumn("trace_id", planted.trace_id_col("user"))
-    return sr.score_row_traces(s.select("trace_id", "ts", "event_id", F.col("sentence").alias("text")), ["ts", "event_id"])
+    metrics, _ = scored_rows(spark, sf, "user")
+    return metrics.select("trace_id", *METRICS)
 
 
 @register("trace_metrics_user_day", o.trace_ctes("user_day") + f" SELECT trace_id, user_id, day, {METRICS_SQL} FROM metrics")
 def q_trace_metrics_user_day(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf, "user_day").select("trace_id", "user_id", "day", *METRICS)
+    metrics, _ = scored_rows(spark, sf, "user_day")
+    return metrics.select("trace_id", "user_id", "day", *METRICS)
 
 
 DOC_TRACES = "SELECT CAST(doc_id AS VARCHAR) AS trace_id, doc_id, text FROM documents"
