@@ -100,3 +100,9 @@ REUSE_SIMILARITY = 0.90
 FINALITY_WINDOW = 3
 CERTAIN_CUTOFF = 0.50
 MIN_HEDGES_FOR_CERTAIN = 3
+# certainty score: weight of TRUR, of 1/(1+HVR); (finality, position) weights
+# when some hedge resolved, and when none did
+TRUR_WEIGHT = 0.15
+HVR_WEIGHT = 0.45
+FINALITY_POSITION_WEIGHTS_RESOLVED = (0.15, 0.25)
+FINALITY_POSITION_WEIGHTS_UNRESOLVED = (0.05, 0.35)

@@ -48,11 +48,13 @@ def hedge_verify_ratio(total_hedges: Column, total_verifications: Column) -> Col
 
 def certainty_score(trur: Column, hvr: Column, late: Column, finality: Column) -> Column:
     """Composite certainty score; finality weight drops when nothing resolved."""
-    fw = F.when(trur > 0, F.lit(0.15)).otherwise(F.lit(0.05))
-    pw = F.when(trur > 0, F.lit(0.25)).otherwise(F.lit(0.35))
+    fr, pr = lexicon.FINALITY_POSITION_WEIGHTS_RESOLVED
+    fu, pu = lexicon.FINALITY_POSITION_WEIGHTS_UNRESOLVED
+    fw = F.when(trur > 0, F.lit(fr)).otherwise(F.lit(fu))
+    pw = F.when(trur > 0, F.lit(pr)).otherwise(F.lit(pu))
     return (
-        trur * F.lit(0.15)
-        + (F.lit(1.0) / (F.lit(1.0) + hvr)) * F.lit(0.45)
+        trur * F.lit(lexicon.TRUR_WEIGHT)
+        + (F.lit(1.0) / (F.lit(1.0) + hvr)) * F.lit(lexicon.HVR_WEIGHT)
         + (F.lit(1.0) - late) * pw
         + ((finality + F.lit(1.0)) / F.lit(2.0)) * fw
     )

@@ -25,7 +25,9 @@ WS = (
 # mark, a split at blank lines and a split at every remaining newline.
 SENTENCE_BREAK = rf"([.!?]){WS}+"
 
-# Subject extraction patterns (applied to the lower-cased, stripped sentence).
+# FIXED VALUES: subject extraction patterns (applied to the lower-cased,
+# stripped sentence). Their word lists and terminators must equal the
+# reference's; only the whitespace class is spelled out (see WS).
 # Step (a): the target of "not sure / uncertain / unsure / not certain about".
 SUBJECT_ABOUT = (
     rf"(?s)(?:not{WS}+sure|uncertain|unsure|not{WS}+certain){WS}+about{WS}+(.+?)(?:\.|,|;|$)"

@@ -98,6 +98,8 @@ def trace_ctes(
     """
     keys = keys or ", ".join(planted.TRACE_KEYS[key])
     src = source or planted.planted_trace_sql(key)
+    thr, reuse, red = lexicon.SIMILARITY_THRESHOLD, lexicon.REUSE_SIMILARITY, lexicon.RESOLUTION_WEIGHT_REDUCTION
+    decay, (w_sim, w_prox) = lexicon.PROXIMITY_DECAY, lexicon.MATCH_WEIGHTS
     if vec_join:  # similarity = cosine of subject vectors; vec_join maps s.subject to embeddings e
         sim_ctes = f"""
 svec AS (SELECT s.kind, s.trace_id, s.idx, s.subject, CAST(e.embedding AS DOUBLE[]) AS vec
@@ -160,8 +162,8 @@ dots AS (
   GROUP BY ht.trace_id, ht.idx, vt.idx),{sim_ctes}
 pairs AS (
   SELECT h.trace_id, h.hidx, v.vidx, v.pos AS vpos, h.pos AS hpos, sim,
-         exp(-(v.pos - h.pos) / 50.0) AS prox,
-         0.7 * sim + 0.3 * exp(-(v.pos - h.pos) / 50.0) AS score
+         exp(-(v.pos - h.pos) / {decay}) AS prox,
+         {w_sim} * sim + {w_prox} * exp(-(v.pos - h.pos) / {decay}) AS score
   FROM hedges h
   JOIN verifs v ON v.trace_id = h.trace_id AND v.pos > h.pos
   {sim_from}),
@@ -172,22 +174,22 @@ greedy AS (
   FROM (SELECT DISTINCT trace_id FROM hedges)
   UNION ALL
   SELECT g.trace_id, g.hidx + 1,
-         CASE WHEN b.score >= 0.6 AND b.sim <= 0.9 THEN list_append(g.claimed, b.vidx) ELSE g.claimed END,
+         CASE WHEN b.score >= {thr} AND b.sim <= {reuse} THEN list_append(g.claimed, b.vidx) ELSE g.claimed END,
          b.vidx, b.sim, b.prox, b.score
   FROM greedy g
   JOIN hedges h ON h.trace_id = g.trace_id AND h.hidx = g.hidx + 1
   LEFT JOIN LATERAL (
     SELECT p.vidx, p.sim, p.prox, p.score FROM pairs p
     WHERE p.trace_id = g.trace_id AND p.hidx = g.hidx + 1
-      AND (NOT list_contains(g.claimed, p.vidx) OR p.sim > 0.9)
+      AND (NOT list_contains(g.claimed, p.vidx) OR p.sim > {reuse})
     ORDER BY p.score DESC, p.vpos ASC LIMIT 1) b ON true),
 matches AS (
   SELECT h.trace_id, h.hidx, 'H' || h.hidx AS id, h.sentence, h.hkw AS matched_keyword, s.subject,
-         h.pos AS position, coalesce(g.score >= 0.6, false) AS resolved,
-         CASE WHEN g.score >= 0.6 THEN 'V' || g.vidx END AS matched_verification,
+         h.pos AS position, coalesce(g.score >= {thr}, false) AS resolved,
+         CASE WHEN g.score >= {thr} THEN 'V' || g.vidx END AS matched_verification,
          {round4('g.sim')} AS subject_similarity, {round4('g.prox')} AS proximity_score,
          {round4('g.score')} AS match_score,
-         CASE WHEN g.score >= 0.6 THEN {round4(f"1.0 - 0.8 * {round4('g.score')}")} ELSE 1.0 END AS effective_weight
+         CASE WHEN g.score >= {thr} THEN {round4(f"1.0 - {red} * {round4('g.score')}")} ELSE 1.0 END AS effective_weight
   FROM hedges h
   JOIN greedy g ON g.trace_id = h.trace_id AND g.hidx = h.hidx
   JOIN subj s ON s.kind = 'H' AND s.trace_id = h.trace_id AND s.idx = h.hidx),
@@ -229,10 +231,10 @@ metrics AS (
     CASE WHEN NOT blank THEN fin END AS conclusion_finality,
     CASE WHEN blank THEN NULL
          WHEN total_hedges = 0 THEN 'Certain'
-         WHEN total_hedges < 3 THEN 'Uncertain'
-         WHEN trur * 0.15 + (1.0 / (1.0 + hvr)) * 0.45
-              + (1.0 - late) * (CASE WHEN trur > 0 THEN 0.25 ELSE 0.35 END)
-              + ((fin + 1.0) / 2.0) * (CASE WHEN trur > 0 THEN 0.15 ELSE 0.05 END) >= 0.5 THEN 'Certain'
+         WHEN total_hedges < {lexicon.MIN_HEDGES_FOR_CERTAIN} THEN 'Uncertain'
+         WHEN trur * {lexicon.TRUR_WEIGHT} + (1.0 / (1.0 + hvr)) * {lexicon.HVR_WEIGHT}
+              + (1.0 - late) * (CASE WHEN trur > 0 THEN {lexicon.FINALITY_POSITION_WEIGHTS_RESOLVED[1]} ELSE {lexicon.FINALITY_POSITION_WEIGHTS_UNRESOLVED[1]} END)
+              + ((fin + 1.0) / 2.0) * (CASE WHEN trur > 0 THEN {lexicon.FINALITY_POSITION_WEIGHTS_RESOLVED[0]} ELSE {lexicon.FINALITY_POSITION_WEIGHTS_UNRESOLVED[0]} END) >= {lexicon.CERTAIN_CUTOFF} THEN 'Certain'
          ELSE 'Uncertain' END AS predicted_certainty
   FROM base)
 """

@@ -623,10 +623,9 @@ FROM kwin""",
 )
 def q_extract_subject_by_keyword(spark: SparkSession, sf: str) -> DataFrame:
     """Hedge subjects from the words after the matched keyword (approximation)."""
-    s = statements(spark, sf, "user_day")
-    h = s.select("trace_id", F.explode("_hedges").alias("h"))
+    h, _ = row_statements(spark, sf, "user_day")
     return h.select(
         "trace_id",
-        F.col("h.id").alias("id"),
-        text.keyword_window_subject(F.col("h.sentence"), F.col("h.keyword")).alias("subject"),
+        F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("id"),
+        text.keyword_window_subject(F.col("sentence"), F.col("keyword")).alias("subject"),
     )
