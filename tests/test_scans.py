@@ -67,3 +67,59 @@ def test_hybrid_routes_long_traces(spark):
                 assert mixed[tid][k] == v, (tid, k)
             else:
                 assert abs(mixed[tid][k] - v) <= 0.0001
+
+
+def test_hot_trace_matches_sequential_greedy(spark):
+    """A third of all rows in one trace, scored from rows, equals a plain
+    sequential greedy computed in numpy."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from tracelens.functions import keywords as kw
+    from tracelens.functions import similarity, text
+    from tracelens.sources import planted
+
+    from .conftest import SF_MID
+
+    s = planted.planted_sentences(spark, table(spark, SF_MID, "events"))
+    tid = F.when(F.pmod(F.col("user_id"), F.lit(3)) == 0, F.lit("hot")).otherwise(F.col("user_id").cast("string"))
+    rows = s.select(tid.alias("trace_id"), "ts", "event_id", F.col("sentence").alias("text"))
+    metrics, _ = sentence_rows.score_row_traces_full(rows, ["ts", "event_id"], max_rows=1000)
+    hot = metrics.where(F.col("trace_id") == "hot").collect()[0]
+
+    sents = [r.text for r in rows.where(F.col("trace_id") == "hot").orderBy("ts", "event_id").collect()]
+    d = spark.createDataFrame([(u,) for u in sorted(set(sents))], "s string")
+    low = F.lower("s")
+    subj = text.extract_subject(F.col("s"))
+    info = {
+        r.s: r
+        for r in d.select("s", kw.verification_count(low).alias("nv"), kw.hedge_keyword(low).alias("hk"), subj.alias("subj"),
+                          similarity.subject_tokens(subj).alias("toks")).collect()
+    }
+    hedges = [(i, info[x]) for i, x in enumerate(sents) if info[x].hk is not None and info[x].nv < 2]
+    vers = [(i, info[x]) for i, x in enumerate(sents) if info[x].nv > 0]
+
+    def cos(a, b):
+        ca, cb = Counter(a), Counter(b)
+        na, nb = math.sqrt(sum(v * v for v in ca.values())), math.sqrt(sum(v * v for v in cb.values()))
+        return 0.0 if na == 0 or nb == 0 else min(max(sum(ca[t] * cb[t] for t in ca) / (na * nb), 0.0), 1.0)
+
+    vpos = np.array([p for p, _ in vers], dtype=float)
+    subs = sorted({r.subj for _, r in vers})
+    sidx = np.array([subs.index(r.subj) for _, r in vers])
+    toks = {r.subj: r.toks for _, r in vers}
+    claimed = np.zeros(len(vers), dtype=bool)
+    resolved = 0
+    for p, r in hedges:
+        sim = np.array([cos(r.toks, toks[g]) for g in subs])[sidx]
+        ok = (vpos > p) & ~(claimed & (sim <= 0.9))
+        if not ok.any():
+            continue
+        score = np.where(ok, 0.7 * sim + 0.3 * np.exp(-(vpos - p) / 50.0), -1.0)
+        j = int(np.argmax(score))
+        if score[j] >= 0.6:
+            resolved += 1
+            claimed[j] = claimed[j] or sim[j] <= 0.9
+    assert (hot.total_hedges, hot.total_verifications, hot.resolved_hedges) == (len(hedges), len(vers), resolved)

@@ -352,7 +352,7 @@ def planted_statements(spark, events: DataFrame, key: str = "user_day") -> tuple
 
 
 # Rows a trace may have and still be gathered into one row for the one-row scorer.
-ONE_ROW_LIMIT = 50_000
+ONE_ROW_LIMIT = 4_000
 
 
 METRIC_COLS = [
