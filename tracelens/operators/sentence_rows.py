@@ -464,3 +464,33 @@ def independent_best(
         .agg(F.max_by(F.struct("vidx", "vpos", "sim", "prox", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b"))
         .select("trace_id", "hidx", "b.*")
     )
+
+
+def subject_pairs(
+    hedges: DataFrame, vers: DataFrame, decay: float = lexicon.PROXIMITY_DECAY, weights: tuple[float, float] = lexicon.MATCH_WEIGHTS
+) -> DataFrame:
+    """Reduced candidate pairs: each hedge with the first later verification of
+    every distinct verification subject of its trace.
+
+    Verifications sharing a subject have the same similarity to a hedge, so
+    only the first of each can be a best match; the output is hedges x
+    distinct subjects. Subjects meet hedges through a join on the trace (AQE
+    splits a hot trace's hedge side), and the first later verification per
+    (trace, subject) comes from a skew-safe suffix-minimum scan.
+    """
+    vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
+    subjects = vrows.select("trace_id", "subject").distinct()
+    queries = hedges.select("trace_id", "hidx", F.col("pos").alias("key")).join(subjects, "trace_id")
+    vals = vrows.select("trace_id", "subject", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
+    first = _nearest(vals, queries, ["trace_id", "subject"])
+    hg = hedge_subject_similarity(hedges, vers).select("trace_id", "hidx", "subject", "sim")
+    j = (
+        first.join(vrows, ["trace_id", "vpos"])
+        .join(hg, ["trace_id", "hidx", "subject"], "left")
+        .join(hedges.select("trace_id", "hidx", F.col("pos").alias("hpos")), ["trace_id", "hidx"])
+    )
+    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
+    return j.select("trace_id", "hidx", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
+        "score", scoring.match_score(F.col("sim"), F.col("prox"), weights)
+    )
