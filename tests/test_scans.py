@@ -123,3 +123,12 @@ def test_hot_trace_matches_sequential_greedy(spark):
             resolved += 1
             claimed[j] = claimed[j] or sim[j] <= 0.9
     assert (hot.total_hedges, hot.total_verifications, hot.resolved_hedges) == (len(hedges), len(vers), resolved)
+
+
+def test_pairs_hybrid_equals_in_row(spark):
+    """Reduced pairs through the long-trace path equal the in-row reduction."""
+    rows = sentence_rows.planted_rows(spark, table(spark, SF_SMALL, "events"), "user")
+    cols = ["trace_id", "hedge_id", "verification_id", "sim", "score"]
+    in_row = sorted(tuple(r) for r in sentence_rows.row_trace_pairs(rows, ["ts", "event_id"]).select(*cols).collect())
+    routed = sorted(tuple(r) for r in sentence_rows.row_trace_pairs(rows, ["ts", "event_id"], max_rows=10).select(*cols).collect())
+    assert in_row == routed and len(in_row) > 0

@@ -439,6 +439,64 @@ def score_traces(
     return joins.barrier(out)
 
 
+def reduced_pairs(stmts: DataFrame) -> DataFrame:
+    """Candidate pairs that can win: per hedge, the first later verification of
+    each distinct verification subject.
+
+    Every verification with the same subject has the same similarity to a hedge,
+    so the nearest one has the best score and wins ties; later ones can never be
+    chosen by the independent best match. Emitting only these keeps the pair
+    count at hedges x distinct subjects instead of hedges x verifications.
+    """
+    vers = F.transform(
+        "_vers",
+        lambda v, i: F.struct(
+            v["idx"].alias("idx"),
+            v["id"].alias("id"),
+            v["pos"].alias("pos"),
+            v["toks"].alias("toks"),
+            v["n2"].alias("n2"),
+            F.aggregate(
+                F.slice("_vers", 1, i),
+                F.lit(None).cast("int"),
+                lambda acc, u: F.when(u["subject"] == v["subject"], u["pos"]).otherwise(acc),
+            ).alias("prev_same"),
+        ),
+    )
+    s = stmts.select("trace_id", "_hedges", vers.alias("_v2"))
+    pairs = s.select(
+        "trace_id",
+        F.explode(
+            F.transform(
+                "_hedges",
+                lambda h: F.struct(
+                    h["id"].alias("hedge_id"),
+                    h["pos"].alias("hpos"),
+                    F.transform(
+                        F.filter("_v2", lambda v: (v["pos"] > h["pos"]) & (v["prev_same"].isNull() | (v["prev_same"] <= h["pos"]))),
+                        lambda v: F.struct(
+                            v["id"].alias("verification_id"),
+                            v["pos"].alias("vpos"),
+                            similarity.tf_cosine_from_tokens(h["toks"], h["n2"], v["toks"], v["n2"]).alias("sim"),
+                        ),
+                    ).alias("vs"),
+                ),
+            )
+        ).alias("h"),
+    )
+    flat = pairs.select("trace_id", "h.hedge_id", "h.hpos", F.explode("h.vs").alias("v"))
+    prox = scoring.proximity_score(F.col("v.vpos") - F.col("hpos"))
+    return flat.select(
+        "trace_id",
+        "hedge_id",
+        F.col("v.verification_id").alias("verification_id"),
+        F.col("v.vpos").alias("vpos"),
+        F.col("v.sim").alias("sim"),
+        prox.alias("prox"),
+        scoring.match_score(F.col("v.sim"), prox).alias("score"),
+    )
+
+
 def metrics_struct(df: DataFrame) -> Column:
     """All metric columns of a scored frame as one struct (for JSON sinks)."""
     return F.struct(*[F.col(c) for c in METRIC_COLUMNS])

@@ -365,6 +365,56 @@ MATCH_COLS = [
 ]
 
 
+def split_by_size(r: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(short-trace rows, long-trace rows or None, long trace ids or None).
+
+    Sizes are a partial aggregate; the long-trace id list is counted, then
+    broadcast only when within the row limit.
+    """
+    sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > max_rows).select("trace_id")
+    n_hot = hot.count()
+    if not n_hot:
+        return r, None, None
+    hot_side = F.broadcast(hot) if n_hot <= joins.BROADCAST_ROW_LIMIT else hot
+    return r.join(hot_side, "trace_id", "left_anti"), r.join(hot_side, "trace_id", "left_semi"), hot_side
+
+
+def gather(cold: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One text row per (bounded) trace: rows in order, joined by newlines so
+    every row boundary stays a sentence boundary."""
+    n = int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        cold.repartition(n, "trace_id")
+        .groupBy("trace_id", *keys)
+        .agg(F.array_sort(F.collect_list(F.struct(*order, "_text"))).alias("_rows"))
+        .select("trace_id", *keys, F.array_join(F.transform("_rows", lambda x: x["_text"]), "\n").alias("text"))
+    )
+
+
+def row_trace_pairs(rows: DataFrame, order: Sequence[str], text_col: str = "text", max_rows: int = ONE_ROW_LIMIT) -> DataFrame:
+    """Reduced candidate pairs ``(trace_id, hedge_id, verification_id, sim, prox, score)``,
+    size-routed like :func:`score_row_traces_full`."""
+    from tracelens.operators import score
+
+    r = rows.select("trace_id", *order, F.col(text_col).alias("_text"))
+    cold, hot_rows, _ = split_by_size(r, max_rows)
+    cols = ["trace_id", "hedge_id", "verification_id", "sim", "prox", "score"]
+    out = score.reduced_pairs(score.with_statements(gather(cold, order))).select(*cols)
+    if hot_rows is not None:
+        _, hs, vs = statements_from_rows(hot_rows, order, "_text")
+        p = subject_pairs(hs, vs).select(
+            "trace_id",
+            F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("hedge_id"),
+            F.concat(F.lit("V"), F.col("vidx").cast("string")).alias("verification_id"),
+            "sim",
+            "prox",
+            "score",
+        )
+        out = out.unionByName(p)
+    return out
+
+
 def score_row_traces_full(
     rows: DataFrame,
     order: Sequence[str],
@@ -386,33 +436,20 @@ def score_row_traces_full(
 
     keys = list(keys)
     r = rows.select("trace_id", *keys, *order, F.col(text_col).alias("_text"))
-    sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > max_rows).select("trace_id")
-    n_hot = hot.count()
-    cold = r
+    cold, hot_rows, hot_side = split_by_size(r, max_rows)
     metrics_parts, match_parts = [], []
-    if n_hot:
-        hot_side = F.broadcast(hot) if n_hot <= joins.BROADCAST_ROW_LIMIT else hot
-        cold = r.join(hot_side, "trace_id", "left_anti")
-        hot_rows = r.join(hot_side, "trace_id", "left_semi")
+    if hot_rows is not None:
         sents, hs, vs = statements_from_rows(hot_rows.drop(*keys), order, "_text")
         m, mt = score_statements(sents, hs, vs)
         if keys:
-            # one row per long trace: as many rows as were counted above
+            # one row per long trace: as many rows as were counted
             key_rows = hot_rows.select("trace_id", *keys).distinct()
-            key_rows = F.broadcast(key_rows) if n_hot <= joins.BROADCAST_ROW_LIMIT else key_rows
+            key_rows = key_rows.join(hot_side, "trace_id", "left_semi")
             m = m.join(key_rows, "trace_id")
             mt = mt.join(key_rows, "trace_id")
         metrics_parts.append(m.select("trace_id", *keys, *METRIC_COLS))
         match_parts.append(mt.select("trace_id", *keys, *MATCH_COLS))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = (
-        cold.repartition(n, "trace_id")
-        .groupBy("trace_id", *keys)
-        .agg(F.array_sort(F.collect_list(F.struct(*order, "_text"))).alias("_rows"))
-        .select("trace_id", *keys, F.array_join(F.transform("_rows", lambda x: x["_text"]), "\n").alias("text"))
-    )
-    one_row = score.score_traces(gathered)
+    one_row = score.score_traces(gather(cold, order, keys))
     metrics_parts.insert(0, one_row.select("trace_id", *keys, *METRIC_COLS))
     match_parts.insert(0, one_row.select("trace_id", *keys, F.inline("matches")).select("trace_id", *keys, *MATCH_COLS))
 

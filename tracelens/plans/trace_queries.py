@@ -268,15 +268,16 @@ rpairs AS (
            FROM rpairs""",
 )
 def q_hedge_verification_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Reduced candidate pairs from sentence rows (hedges x distinct subjects)."""
+    """Reduced candidate pairs (hedges x distinct subjects), size-routed:
+    in-row for ordinary traces, from sentence rows for traces too long to gather."""
     from tracelens.operators import sentence_rows as sr
 
-    h, v = row_statements(spark, sf, "user")
-    p = sr.subject_pairs(h, v)
+    rows = sr.planted_rows(spark, table(spark, sf, "events"), "user")
+    p = sr.row_trace_pairs(rows, ["ts", "event_id"])
     return p.select(
         "trace_id",
-        F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("hedge_id"),
-        F.concat(F.lit("V"), F.col("vidx").cast("string")).alias("verification_id"),
+        "hedge_id",
+        "verification_id",
         scoring.round4(F.col("sim")).alias("subject_similarity"),
         scoring.round4(F.col("prox")).alias("proximity_score"),
         scoring.round4(F.col("score")).alias("match_score"),
