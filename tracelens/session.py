@@ -36,17 +36,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make ``tracelens`` importable in Python workers (once per context).
+_SHIPPED: set[int] = set()
 
-    Functions run by ``mapInPandas`` are pickled by reference to this package,
-    so executors must be able to import it. On a cluster this is what
-    ``--py-files`` does; here the package is zipped and added with
-    ``addPyFile`` unless the context already has it.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_tracelens_shipped", False):
-        return
+
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return None
+
+
+def _package_zip() -> str:
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -58,21 +59,42 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
-    sc._tracelens_shipped = True
+    return out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tracelens`` importable in Python workers (once per session).
+
+    Functions run by ``mapInPandas`` are pickled by reference to this package,
+    so executors must be able to import it. On a cluster this is what
+    ``--py-files`` does; here the package is zipped and added with
+    ``addPyFile`` (or ``addArtifacts`` on Spark Connect).
+    """
+    sc = _context(spark)
+    key = id(sc) if sc is not None else id(spark)
+    if key in _SHIPPED:
+        return
+    out = _package_zip()
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     ship_package(spark)
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="tracelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
