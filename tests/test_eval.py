@@ -89,3 +89,16 @@ def test_breakdown_order(spark):
     allg = ev.breakdown_ordered(r).collect()
     assert {x.dimension for x in allg} == {"certainty_level", "category", "total"}
     assert [x.cases for x in allg if x.dimension == "total"] == [4]
+
+
+def test_unknown_predictions_and_labels_are_not_counted(spark):
+    rows = [
+        ("TC1", "Certain", "Certain"),
+        ("TC2", "Certain", "?"),  # blank trace: not a report line
+        ("TC3", "Mystery", "Uncertain"),  # unknown expected label: never correct
+    ]
+    r = _results(spark, rows)
+    o = ev.overall_accuracy(r).collect()[0]
+    assert (o.total_cases, o.counted, o.correct, o.wrong, o.accuracy) == (2, 1, 1, 0, 1.0)
+    acc = {x.ExpectedLabel: (x.correct, x.total) for x in ev.label_accuracy(spark, r).collect()}
+    assert acc["Certain"] == (1, 1)

@@ -124,21 +124,30 @@ def label_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label_order int, ExpectedLabel string")
 
 
-def with_truth(results: DataFrame) -> DataFrame:
-    """Add ``truth`` (binary ground truth) and ``correct``.
+def judged(results: DataFrame) -> DataFrame:
+    """Rows the accuracy report counts, with ``truth``, ``known`` and ``correct``.
 
-    Partially Resolved has no truth and counts as correct for either prediction.
+    Only rows with a known prediction (Certain / Uncertain) are counted, as the
+    report reader skips any other line. ``known`` marks a known expected label;
+    rows without one are kept for the case total but never counted as correct.
+    Partially Resolved has no truth and is correct for either prediction.
     """
     truth = scoring.expected_binary(F.col("ExpectedLabel"))
-    return results.withColumn("truth", truth).withColumn(
-        "correct", F.when(truth.isNull(), F.lit(True)).otherwise(F.col("predicted_certainty") == truth)
+    known = F.coalesce(F.col("ExpectedLabel").isin(lexicon.EXPECTED_LABELS), F.lit(False))
+    rows = results.where(F.col("predicted_certainty").isin(lexicon.PREDICTED_LABELS))
+    return (
+        rows.withColumn("truth", truth)
+        .withColumn("known", known)
+        .withColumn("correct", known & F.when(truth.isNull(), F.lit(True)).otherwise(F.col("predicted_certainty") == truth))
     )
 
 
+
+
 def label_accuracy(spark: SparkSession, results: DataFrame) -> DataFrame:
     """Per expected label: correct, total, accuracy. All four labels appear."""
     dim = label_dimension(spark)
-    per = with_truth(results).groupBy("ExpectedLabel").agg(
+    per = judged(results).groupBy("ExpectedLabel").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct")
     )
     # at most one row per known label after the semi-join: a proven broadcast size
@@ -158,7 +167,7 @@ def label_accuracy(spark: SparkSession, results: DataFrame) -> DataFrame:
 def label_breakdown(spark: SparkSession, results: DataFrame) -> DataFrame:
     """Per expected label, count of each predicted label (pivot, zeros filled)."""
     dim = label_dimension(spark)
-    piv = results.groupBy("ExpectedLabel").pivot("predicted_certainty", lexicon.PREDICTED_LABELS).count()
+    piv = judged(results).groupBy("ExpectedLabel").pivot("predicted_certainty", lexicon.PREDICTED_LABELS).count()
     known = piv.join(F.broadcast(dim.select("ExpectedLabel")), "ExpectedLabel", "left_semi")
     j = dim.join(F.broadcast(known), "ExpectedLabel", "left")
     return j.select(
@@ -170,10 +179,10 @@ def label_breakdown(spark: SparkSession, results: DataFrame) -> DataFrame:
 
 def overall_accuracy(results: DataFrame) -> DataFrame:
     """Cases, counted, correct, wrong and accuracy (null on an empty input)."""
-    t = with_truth(results)
+    t = judged(results)
     a = t.agg(
         F.count(F.lit(1)).alias("total_cases"),
-        F.count_if(F.col("ExpectedLabel").isin(lexicon.EXPECTED_LABELS)).alias("counted"),
+        F.count_if("known").alias("counted"),
         F.count_if("correct").alias("correct"),
     )
     return a.select(
@@ -186,7 +195,7 @@ def overall_accuracy(results: DataFrame) -> DataFrame:
 
 
 def misclassified_cases(results: DataFrame) -> DataFrame:
-    t = with_truth(results)
+    t = judged(results)
     return t.where(F.col("truth").isNotNull() & ~F.col("correct")).select(
         "TestCaseID", "ExpectedLabel", "truth", F.col("predicted_certainty").alias("predicted")
     )

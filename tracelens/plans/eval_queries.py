@@ -71,9 +71,12 @@ results AS (
   FROM metrics m JOIN cases c ON c.TestCaseID = printf('TC%03d', m.user_id)),
 truth AS (
   SELECT *, CASE WHEN ExpectedLabel IN ('Certain', 'Resolved Uncertainty') THEN 'Certain'
-                 WHEN ExpectedLabel = 'Unresolved Uncertainty' THEN 'Uncertain' END AS truth
+                 WHEN ExpectedLabel = 'Unresolved Uncertainty' THEN 'Uncertain' END AS truth,
+            coalesce(ExpectedLabel IN ({', '.join(o.q(x) for x in lexicon.EXPECTED_LABELS)}), false) AS known
   FROM results),
-judged AS (SELECT *, CASE WHEN truth IS NULL THEN true ELSE predicted_certainty = truth END AS correct FROM truth),
+judged AS (
+  SELECT *, known AND (CASE WHEN truth IS NULL THEN true ELSE predicted_certainty = truth END) AS correct
+  FROM truth WHERE predicted_certainty IN ({', '.join(o.q(x) for x in lexicon.PREDICTED_LABELS)})),
 label_dim AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, {o.q(lbl)})" for i, lbl in enumerate(lexicon.EXPECTED_LABELS))}) t(label_order, ExpectedLabel))
 """
 )
@@ -164,7 +167,7 @@ def q_label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     + """ SELECT l.ExpectedLabel, l.label_order,
               count(r.TestCaseID) FILTER (WHERE r.predicted_certainty = 'Certain') AS Certain,
               count(r.TestCaseID) FILTER (WHERE r.predicted_certainty = 'Uncertain') AS Uncertain
-           FROM label_dim l LEFT JOIN results r ON r.ExpectedLabel = l.ExpectedLabel
+           FROM label_dim l LEFT JOIN judged r ON r.ExpectedLabel = l.ExpectedLabel
            GROUP BY l.ExpectedLabel, l.label_order""",
 )
 def q_label_breakdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,11 +178,10 @@ def q_label_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     "overall_accuracy",
     SUITE_SQL
     + f""" SELECT count(*) AS total_cases,
-              CAST(count_if(ExpectedLabel IN ({', '.join(o.q(x) for x in lexicon.EXPECTED_LABELS)})) AS BIGINT) AS counted,
+              CAST(count_if(known) AS BIGINT) AS counted,
               CAST(count_if(correct) AS BIGINT) AS correct,
-              CAST(count_if(ExpectedLabel IN ({', '.join(o.q(x) for x in lexicon.EXPECTED_LABELS)})) - count_if(correct) AS BIGINT) AS wrong,
-              CASE WHEN count_if(ExpectedLabel IN ({', '.join(o.q(x) for x in lexicon.EXPECTED_LABELS)})) > 0
-                   THEN {o.round4(f"count_if(correct) / count_if(ExpectedLabel IN ({', '.join(o.q(x) for x in lexicon.EXPECTED_LABELS)}))")} END AS accuracy
+              CAST(count_if(known) - count_if(correct) AS BIGINT) AS wrong,
+              CASE WHEN count_if(known) > 0 THEN {o.round4("count_if(correct) / count_if(known)")} END AS accuracy
            FROM judged""",
 )
 def q_overall_accuracy(spark: SparkSession, sf: str) -> DataFrame:
