@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.functions import scoring, sqlfuncs
+from tracelens.functions import lexicon, scoring, sqlfuncs
 from tracelens.operators import score
 from tracelens.plans import eval_queries
 from tracelens.plans import oracle_sql as o
-from tracelens.plans.common import scored, traces
+from tracelens.plans.common import scored, table, traces
 from tracelens.session import work_dir
 from tracelens.sources import files
 from tracelens.streaming import traces as stream
@@ -134,3 +134,25 @@ def q_stream_breakdown(spark: SparkSession, sf: str) -> DataFrame:
         scoring.round4(F.col("trur_sum") / F.col("traces")).alias("avg_trur"),
     )
 
+
+
+@register(
+    "scan_prompt_files",
+    f"""SELECT conv_id,
+              CASE WHEN {o.strip('t')} = '' THEN {o.q(lexicon.DEFAULT_PROMPT)} ELSE {o.strip('t')} END AS prompt
+       FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)""",
+)
+def q_scan_prompt_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Write each conversation's first user turn as a prompt file, scan the
+    folder whole-file (strip; blank -> default prompt) and key by file."""
+    first = (
+        table(spark, sf, "conversations")
+        .where(F.col("role") == "user")
+        .groupBy("conv_id")
+        .agg(F.min_by("text", "turn").alias("text"))
+    )
+    path = work_dir(spark, "prompt-files")
+    files.write_trace_files(first, path, id_col="conv_id")
+    prompts = files.scan_prompt_files(spark, path)
+    cid = F.regexp_extract(F.col("file_path"), r"conv_id=([^/]+)/", 1).cast("bigint")
+    return prompts.select(cid.alias("conv_id"), "prompt")
