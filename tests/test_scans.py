@@ -132,3 +132,21 @@ def test_pairs_hybrid_equals_in_row(spark):
     in_row = sorted(tuple(r) for r in sentence_rows.row_trace_pairs(rows, ["ts", "event_id"]).select(*cols).collect())
     routed = sorted(tuple(r) for r in sentence_rows.row_trace_pairs(rows, ["ts", "event_id"], max_rows=10).select(*cols).collect())
     assert in_row == routed and len(in_row) > 0
+
+
+def test_vector_hybrid_routes_long_traces(spark):
+    """Embedding similarity through the long-trace path equals the in-row form."""
+    from tracelens.plans.trace_queries import subject_vector_table
+
+    rows = sentence_rows.planted_rows(spark, table(spark, SF_SMALL, "events"), "user_day")
+    _, h, v = sentence_rows.statements_from_rows(rows, ["ts", "event_id"])
+    vecs = subject_vector_table(spark, SF_SMALL, h.select("subject").unionByName(v.select("subject")).distinct())
+    cols = ["trace_id", "total_hedges", "resolved_hedges", "total_verifications", "hvr", "late_unresolved_ratio",
+            "conclusion_finality", "predicted_certainty", "weighted_trur"]
+    one_row = {r.trace_id: r for r in sentence_rows.score_row_traces_full(rows, ["ts", "event_id"], subject_vectors=vecs)[0].select(*cols).collect()}
+    routed = {r.trace_id: r for r in sentence_rows.score_row_traces_full(rows, ["ts", "event_id"], max_rows=3, subject_vectors=vecs)[0].select(*cols).collect()}
+    assert one_row.keys() == routed.keys()
+    for tid, a in one_row.items():
+        b = routed[tid]
+        assert a[:-1] == b[:-1], tid
+        assert abs(a.weighted_trur - b.weighted_trur) <= 0.0001

@@ -113,6 +113,25 @@ def statements_from_rows(rows: DataFrame, order: Sequence[str], text_col: str =
     return n.select("trace_id", "pos", "sentence"), hedges, vers
 
 
+def hedge_subject_vectors(hedges: DataFrame, vers: DataFrame, subject_vectors: DataFrame) -> DataFrame:
+    """``(trace_id, hidx, subject, sim, hpos)`` for every hedge and every distinct
+    verification subject of its trace, with similarity from subject vectors
+    (``subject, vec``): cosine, 0 for an empty subject or a missing vector.
+
+    Vectors can make any pair similar, so all hedges x distinct subjects of a
+    trace are listed (the reduced pair set); subjects meet hedges through a
+    join on the trace, which AQE splits for a hot trace."""
+    vecs = subject_vectors.select("subject", F.col("vec").cast("array<double>").alias("vec"))
+    subjects = vers.select("trace_id", "subject").distinct().join(vecs, "subject", "left").withColumnRenamed("vec", "vvec")
+    hv = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"), F.col("subject").alias("hsubj")).join(
+        vecs.withColumnRenamed("subject", "hsubj").withColumnRenamed("vec", "hvec"), "hsubj", "left"
+    )
+    pairs = hv.join(subjects, "trace_id")
+    empty = (F.col("hsubj") == "") | (F.col("subject") == "") | F.col("hvec").isNull() | F.col("vvec").isNull()
+    sim = F.when(empty, F.lit(0.0)).otherwise(similarity.vector_cosine(F.col("hvec"), F.col("vvec")))
+    return pairs.select("trace_id", "hidx", "subject", sim.alias("sim"), "hpos")
+
+
 def hedge_subject_similarity(hedges: DataFrame, vers: DataFrame) -> DataFrame:
     """``(trace_id, hidx, hpos, subject, sim)`` for every hedge and verification
     subject of its trace that share a term (sim > 0); all other pairs have sim 0."""
@@ -148,11 +167,17 @@ def assign(
     decay: float = lexicon.PROXIMITY_DECAY,
     weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
     reuse_sim: float = lexicon.REUSE_SIMILARITY,
+    subject_sims: DataFrame | None = None,
 ) -> DataFrame:
     """Greedy exclusive assignment by claim fixpoint: ``(trace_id, hidx, vidx, vpos, sim, prox, score)``
-    for every hedge with a candidate."""
+    for every hedge with a candidate.
+
+    ``subject_sims`` (``trace_id, hidx, subject, sim, hpos``) lists every
+    (hedge, verification subject) pair that may have non-zero similarity; by
+    default the term-sharing pairs of :func:`hedge_subject_similarity`.
+    """
     spark = hedges.sparkSession
-    hg = scans.materialize(hedge_subject_similarity(hedges, vers))
+    hg = scans.materialize(subject_sims if subject_sims is not None else hedge_subject_similarity(hedges, vers))
     vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
     hq = hedges.select("trace_id", "hidx", F.col("pos").alias("key"))
     # term-sharing subjects above the reuse similarity ignore claims: computed once
@@ -237,9 +262,10 @@ def score_statements(
     decay: float = lexicon.PROXIMITY_DECAY,
     weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
     reduction: float = lexicon.RESOLUTION_WEIGHT_REDUCTION,
+    subject_sims: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Scoring after statement detection (see :func:`score_sentence_rows`)."""
-    best = assign(hedges, vers, threshold, decay, weights)
+    best = assign(hedges, vers, threshold, decay, weights, subject_sims=subject_sims)
     resolved = F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False))
     ms = scoring.round4(F.col("score"))
     matches = hedges.join(best.drop("hpos"), ["trace_id", "hidx"], "left").select(
@@ -421,6 +447,7 @@ def score_row_traces_full(
     text_col: str = "text",
     max_rows: int = ONE_ROW_LIMIT,
     keys: Sequence[str] = (),
+    subject_vectors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(metrics, matches)`` for traces given as rows (``trace_id, keys..., order..., text``).
 
@@ -440,7 +467,8 @@ def score_row_traces_full(
     metrics_parts, match_parts = [], []
     if hot_rows is not None:
         sents, hs, vs = statements_from_rows(hot_rows.drop(*keys), order, "_text")
-        m, mt = score_statements(sents, hs, vs)
+        sims = hedge_subject_vectors(hs, vs, subject_vectors) if subject_vectors is not None else None
+        m, mt = score_statements(sents, hs, vs, subject_sims=sims)
         if keys:
             # one row per long trace: as many rows as were counted
             key_rows = hot_rows.select("trace_id", *keys).distinct()
@@ -449,7 +477,7 @@ def score_row_traces_full(
             mt = mt.join(key_rows, "trace_id")
         metrics_parts.append(m.select("trace_id", *keys, *METRIC_COLS))
         match_parts.append(mt.select("trace_id", *keys, *MATCH_COLS))
-    one_row = score.score_traces(gather(cold, order, keys))
+    one_row = score.score_traces(gather(cold, order, keys), subject_vectors=subject_vectors)
     metrics_parts.insert(0, one_row.select("trace_id", *keys, *METRIC_COLS))
     match_parts.insert(0, one_row.select("trace_id", *keys, F.inline("matches")).select("trace_id", *keys, *MATCH_COLS))
 

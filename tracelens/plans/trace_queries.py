@@ -535,13 +535,16 @@ def subject_vector_table(spark: SparkSession, sf: str, subjects: DataFrame) -> D
 def q_trace_metrics_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship with embedding similarity: distinct subjects are mapped to
     vectors once (a dedup + join, the reference's embedding cache), then the
-    fold compares vectors."""
-    t = traces(spark, sf, "user")
-    stmts_subjects = statements(spark, sf, "user").select(
-        F.explode(F.concat(F.transform("_hedges", lambda x: x["subject"]), F.transform("_vers", lambda x: x["subject"]))).alias("subject")
-    ).distinct()
-    vecs = subject_vector_table(spark, sf, stmts_subjects)
-    return score.score_traces(t, subject_vectors=vecs).select("trace_id", *METRICS)
+    size-routed hybrid scores with vector cosine (in-row for ordinary traces,
+    claim fixpoint over hedges x subjects for long ones)."""
+    from tracelens.operators import sentence_rows as sr
+
+    h, v = row_statements(spark, sf, "user")
+    subjects = h.select("subject").unionByName(v.select("subject")).distinct()
+    vecs = subject_vector_table(spark, sf, subjects)
+    rows = sr.planted_rows(spark, table(spark, sf, "events"), "user")
+    metrics, _ = sr.score_row_traces_full(rows, ["ts", "event_id"], subject_vectors=vecs)
+    return metrics.select("trace_id", *METRICS)
 
 
 SKIP_SQL = "[" + ", ".join(o.q(w) for w in text.SKIP_WORDS) + "]"
