@@ -397,9 +397,18 @@ def q_no_hedge_traces(spark: SparkSession, sf: str) -> DataFrame:
           FROM tsplit t LEFT JOIN matches m ON m.trace_id = t.trace_id GROUP BY t.trace_id""",
 )
 def q_collect_matches(spark: SparkSession, sf: str) -> DataFrame:
-    m = scored(spark, sf, "user")
-    ids = F.transform("matches", lambda r: F.concat(r["id"], F.lit(":"), F.coalesce(r["matched_verification"], F.lit("-"))))
-    return m.select("trace_id", F.size("matches").alias("n_matches"), F.array_join(ids, ",").alias("match_ids"))
+    """Ordered per-trace match list (``H<i>:<V<j>|->``) from the hybrid's
+    per-hedge rows; traces without hedges get an empty list. The list itself
+    is per trace, so each trace's ids (not its text) meet in one group."""
+    metrics, matches = scored_rows(spark, sf, "user")
+    per = matches.groupBy("trace_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct("position", F.concat("id", F.lit(":"), F.coalesce("matched_verification", F.lit("-"))).alias("m")))
+        ).alias("_ms")
+    )
+    j = metrics.select("trace_id").join(per, "trace_id", "left")
+    ms = F.coalesce(F.transform("_ms", lambda x: x["m"]), F.array().cast("array<string>"))
+    return j.select("trace_id", F.size(ms).alias("n_matches"), F.array_join(ms, ",").alias("match_ids"))
 
 
 @register("trace_metrics", o.trace_ctes("user") + f" SELECT trace_id, {METRICS_SQL} FROM metrics")
