@@ -42,16 +42,19 @@ def register(name: str, sql: str | None = None):
            FROM ssub s JOIN ann a ON a.trace_id = s.trace_id AND a.pos = s.pos""",
 )
 def q_register_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Spark SQL over the registered SQL functions (no Python at run time)."""
+    """Spark SQL over the registered SQL functions (no Python at run time), on
+    skew-safe sentence rows: each row's text goes through ``split_sentences``
+    (one sentence per planted row) and the per-sentence functions."""
+    from tracelens.plans.common import sentence_rows
+
     sqlfuncs.register_functions(spark)
-    view = f"planted_traces_{abs(hash(sf)) % 10**8}"
-    traces(spark, sf, "user_day").createOrReplaceTempView(view)
+    view = f"planted_sentences_{abs(hash(sf)) % 10**8}"
+    sentence_rows(spark, sf, "user_day").createOrReplaceTempView(view)
     return spark.sql(
         f"""SELECT trace_id, position, hedge_keyword(sentence) AS hedge_keyword,
                    verification_count(sentence) AS n_verification, is_verification(sentence) AS is_verification,
                    extract_subject(sentence) AS subject
-            FROM (SELECT trace_id, split_sentences(text) AS sents FROM {view})
-            LATERAL VIEW posexplode(sents) x AS position, sentence"""
+            FROM (SELECT trace_id, pos AS position, element_at(split_sentences(sentence), 1) AS sentence FROM {view})"""
     )
 
 
