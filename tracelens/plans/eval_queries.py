@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import lexicon, scoring
 from tracelens.operators import evaluate as ev
-from tracelens.operators import score
 from tracelens.plans import oracle_sql as o
-from tracelens.plans.common import table, traces
+from tracelens.plans.common import scored_rows, table, traces
 from tracelens.session import work_dir
 from tracelens.sources import suite
 
@@ -41,8 +40,10 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = score.score_traces(cases(spark, sf), text_col="ReasoningText")
-    return ev.cases_with_metrics(scored)
+    """Per-case results: labels by rule, metrics from the size-routed hybrid
+    scorer (the case text is not needed, so no trace is gathered unbounded)."""
+    metrics, _ = scored_rows(spark, sf, "user")
+    return ev.cases_with_metrics(suite.derived_labels(metrics))
 
 
 def requested_ids(spark: SparkSession, sf: str) -> DataFrame:

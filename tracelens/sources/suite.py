@@ -38,21 +38,34 @@ def _pick(values: list[str], key) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int") + 1)
 
 
-def derived_cases(user_traces: DataFrame) -> DataFrame:
-    """A suite from planted user traces: label columns by rule on ``user_id``."""
-    u = F.col("user_id")
-    return user_traces.select(
+def _labels(u) -> list:
+    return [
         F.format_string("TC%03d", u).alias("TestCaseID"),
         _pick(CATEGORIES, u).alias("Category"),
         _pick(lexicon.CERTAINTY_LEVEL_ORDER, u).alias("CertaintyLevel"),
         _pick(TRAJECTORIES, u).alias("ConfidenceTrajectory"),
         _pick(lexicon.EXPECTED_LABELS, u).alias("ExpectedLabel"),
+    ]
+
+
+def derived_cases(user_traces: DataFrame) -> DataFrame:
+    """A suite from planted user traces: label columns by rule on ``user_id``."""
+    u = F.col("user_id")
+    return user_traces.select(
+        *_labels(u),
         F.col("text").alias("ReasoningText"),
         F.concat(F.lit("planted from the events of user "), u.cast("string")).alias("Explanation"),
         (F.pmod(u, F.lit(4)) + 1).cast("int").alias("batch"),
     )
 
 
+def derived_labels(scored: DataFrame) -> DataFrame:
+    """The suite's label columns for already-scored user traces (no text needed)."""
+    u = F.col("user_id")
+    extra = [c for c in scored.columns if c not in ("user_id", "trace_id")]
+    return scored.select(*_labels(u), (F.pmod(u, F.lit(4)) + 1).cast("int").alias("batch"), *extra)
+
+
 def derived_cases_sql(user_traces_cte: str) -> str:
     """DuckDB form of :func:`derived_cases` over a CTE with ``user_id, text``."""
 
