@@ -102,3 +102,17 @@ def test_unknown_predictions_and_labels_are_not_counted(spark):
     assert (o.total_cases, o.counted, o.correct, o.wrong, o.accuracy) == (2, 1, 1, 0, 1.0)
     acc = {x.ExpectedLabel: (x.correct, x.total) for x in ev.label_accuracy(spark, r).collect()}
     assert acc["Certain"] == (1, 1)
+
+
+def test_malformed_csv_record_is_rejected(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="suite-bad-"), "csv", "batch=1")
+    os.makedirs(d)
+    header = "TestCaseID,Category,CertaintyLevel,ConfidenceTrajectory,ExpectedLabel,ReasoningText,Explanation\n"
+    good = 'TC1,math,High,flat,Certain,"Maybe x, y.",e1\n'
+    bad = "TC2,math,High,flat,Certain,text,e2,extra,fields\n"
+    with open(os.path.join(d, "part-0.csv"), "w", encoding="utf-8") as fh:
+        fh.write(header + good + bad)
+    cases = suite.read_suite_csv(spark, os.path.dirname(d))
+    valid, rejects = suite.split_rejects(cases)
+    assert [r.TestCaseID for r in valid.collect()] == ["TC1"]
+    assert [(r.TestCaseID, r.reject_reason) for r in rejects.collect()] == [("TC2", "malformed_record")]
