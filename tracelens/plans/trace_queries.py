@@ -348,10 +348,23 @@ MATCH_COLS = [
     o.trace_ctes("user_day") + f" SELECT trace_id, {', '.join(MATCH_COLS)} FROM matches",
 )
 def q_explode_hedges(spark: SparkSession, sf: str) -> DataFrame:
-    """SQL table-function form: ``LATERAL VIEW inline(matches)``."""
+    """SQL table-function form: ``LATERAL VIEW inline(matches)`` over the
+    scored (bounded, gathered) traces; traces too long to gather add their
+    per-hedge rows from the sentence-row scorer."""
+    from tracelens.operators import sentence_rows as sr
+
+    rows = sr.planted_rows(spark, table(spark, sf, "events"), "user_day").select(
+        "trace_id", "ts", "event_id", F.col("text").alias("_text")
+    )
+    cold, hot_rows, _ = sr.split_by_size(rows, sr.ONE_ROW_LIMIT)
     view = f"scored_{abs(hash(sf)) % 10**8}"
-    scored(spark, sf, "user_day").createOrReplaceTempView(view)
-    return spark.sql(f"SELECT trace_id, m.* FROM {view} LATERAL VIEW inline(matches) m")
+    score.score_traces(sr.gather(cold, ["ts", "event_id"])).createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT trace_id, m.* FROM {view} LATERAL VIEW inline(matches) m")
+    if hot_rows is not None:
+        sents, hs, vs = sr.statements_from_rows(hot_rows, ["ts", "event_id"], "_text")
+        _, long_matches = sr.score_statements(sents, hs, vs)
+        out = out.unionByName(long_matches.select("trace_id", *MATCH_COLS))
+    return out
 
 
 # ---------------------------------------------------------------------------
