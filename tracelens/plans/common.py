@@ -31,10 +31,6 @@ def traces(spark: SparkSession, sf_dir: str, key: str = "user_day") -> DataFrame
     return planted.planted_traces(spark, table(spark, sf_dir, "events"), key)
 
 
-def statements(spark: SparkSession, sf_dir: str, key: str = "user_day") -> DataFrame:
-    return score.with_statements(traces(spark, sf_dir, key))
-
-
 def scored(spark: SparkSession, sf_dir: str, key: str = "user_day") -> DataFrame:
     return score.score_traces(traces(spark, sf_dir, key))
 

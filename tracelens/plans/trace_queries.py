@@ -9,7 +9,7 @@ from tracelens.functions import keywords as kw
 from tracelens.functions import scoring, similarity, text
 from tracelens.operators import joins, score
 from tracelens.plans import oracle_sql as o
-from tracelens.plans.common import row_statements, scored, scored_rows, sentence_rows as planted_rows, statements, table, text_table, traces
+from tracelens.plans.common import row_statements, scored_rows, sentence_rows as planted_rows, table, text_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
