@@ -9,7 +9,7 @@ from tracelens.functions import lexicon, scoring, sqlfuncs
 from tracelens.operators import score
 from tracelens.plans import eval_queries
 from tracelens.plans import oracle_sql as o
-from tracelens.plans.common import scored, table, traces
+from tracelens.plans.common import table, traces
 from tracelens.session import work_dir
 from tracelens.sources import files
 from tracelens.streaming import traces as stream
@@ -65,8 +65,21 @@ def q_register_functions(spark: SparkSession, sf: str) -> DataFrame:
            FROM metrics m LEFT JOIN (SELECT trace_id, count(*) AS n FROM matches GROUP BY trace_id) n ON n.trace_id = m.trace_id""",
 )
 def q_sink_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the full nested result as JSON lines and read it back with its schema."""
-    df = scored(spark, sf, "user_day").drop("user_id", "day")
+    """Write the full nested result as JSON lines and read it back with its schema.
+
+    Metrics and per-hedge rows come from the size-routed hybrid; only each
+    trace's match records meet, to form the nested ``matches`` list the JSON
+    needs (ordered by position).
+    """
+    from tracelens.plans.common import scored_rows
+
+    metrics, matches = scored_rows(spark, sf, "user_day")
+    match_cols = [f.split(":")[0] for f in score.MATCH_FIELDS.split(",")]
+    per = matches.groupBy("trace_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", F.struct(*match_cols).alias("m")))).alias("_ms")
+    )
+    nested = F.coalesce(F.transform("_ms", lambda x: x["m"]), F.array().cast(score.MATCHES_TYPE))
+    df = metrics.drop("user_id", "day").join(per, "trace_id", "left").select("trace_id", *METRICS, nested.alias("matches"))
     path = work_dir(spark, "metrics-json")
     files.sink_metrics_json(df, path)
     back = spark.read.schema(df.schema).json(path)
