@@ -118,7 +118,9 @@ def q_scan_trace_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_source(spark: SparkSession, sf: str) -> tuple[str, object]:
     src = work_dir(spark, "stream-src")
-    t = traces(spark, sf, "user_day").withColumn("ts", F.col("day").cast("timestamp"))
+    # event time = the day's midnight UTC, built from the epoch day so it does
+    # not depend on the session time zone (watermarks need TIMESTAMP)
+    t = traces(spark, sf, "user_day").withColumn("ts", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400))
     t.write.mode("overwrite").parquet(src)
     return src, t.schema
 
@@ -143,7 +145,7 @@ def q_stream_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     src, schema = _stream_source(spark, sf)
     out = stream.run_breakdown(spark, src, schema, "ts", work_dir(spark, "breakdown-out"), work_dir(spark, "breakdown-ckpt"))
     return out.select(
-        F.to_date(F.col("w.start")).alias("window_start"),
+        F.date_from_unix_date((F.unix_seconds(F.col("w.start")) / 86400).cast("int")).alias("window_start"),
         "predicted_certainty",
         "traces",
         "hedges",
