@@ -46,18 +46,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _local_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column], fn, out_fields: list[T.StructField], n: int | None) -> DataFrame:
     """Range-partition + sort, then ``fn(pdf, carry) -> (pdf, carry)`` per batch."""
     from tracelens.session import ship_package
 
     ship_package(df.sparkSession)
-    parts = _n_parts(df, n)
     keys = [F.col(g) for g in group] + list(order)
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count the range shuffle uses the session's shuffle
+    # width and AQE may merge adjacent small ranges up to its advisory size: a
+    # merged task still holds one contiguous, sorted key range, and a hot group
+    # still spans many tasks.
+    ranged = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys)
     schema = T.StructType(df.schema.fields + out_fields + [T.StructField(PID, T.IntegerType(), False)])
     group = list(group)
 
