@@ -123,3 +123,16 @@ def test_subjects(spark):
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     got = {r.s: r.subj for r in df.select("s", text.extract_subject(F.col("s")).alias("subj")).collect()}
     assert got == cases
+
+
+def test_keyword_window_subjects(spark):
+    from tracelens.operators.score import score_traces
+
+    txt = "Colors, maybe a dash of symbolism. I think the cat sat. Wait, the tax rule was skipped. Perhaps."
+    df = spark.createDataFrame([(1, txt)], "id int, text string")
+    r = score_traces(df, extractor=text.keyword_window_extractor()).collect()[0]
+    subjects = [m["subject"] for m in r["matches"]]
+    # content words after the keyword; "wait," is not found as a token (comma)
+    # and a keyword with nothing after it: both fall back to the regex subject,
+    # which stops at the first comma ("wait")
+    assert subjects == ["dash symbolism", "cat sat", "wait", "perhaps"]
