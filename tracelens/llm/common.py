@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, work_dir
 
 #: Rows that a Python task turns into Python objects at a time.
-SLICE_ROWS = 256
+SLICE_ROWS = 1024
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

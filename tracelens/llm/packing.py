@@ -148,8 +148,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
             held = 0
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids += end
                 total = len(ids) // 4
                 whole = total // window * window
                 for at in range(0, whole, window):

@@ -9,10 +9,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import packing, token_store
-from .common import table
+from . import bpe, langid, packing, quality, token_store, toxicity
+from .common import id_bucket, table, unit_hash
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = id_bucket("doc_id", 5) != 0
+    # labels are chosen before the join, so that the broadcast side is bounded
+    toxic = toxicity_labels(labels.where(learned))
+    rows = docs.where(learned).select("doc_id", "text").join(F.broadcast(toxic), "doc_id").select("text", "toxic")
+    model = toxicity.fit(docs.where(learned), rows)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def toxicity_labels(labels: DataFrame, per_class: int = 2 * toxicity.SAMPLE_PER_CLASS) -> DataFrame:
+    """About ``per_class`` labels of each kind, chosen by hash of the id."""
+    rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, per_class / max(1, counts.get(1, 0))).otherwise(per_class / max(1, counts.get(0, 0)))
+    return rows.where(unit_hash("doc_id", seed=3) < share)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratios = quality.fit(docs, labels.where("quality = 1").select("doc_id"))
+    return quality.verdicts(quality.score(docs, ratios))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +71,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {}

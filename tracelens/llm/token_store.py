@@ -52,19 +52,16 @@ def parsed(data: bytes, id_bytes: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, id_bytes: int, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> bytes:
-    """A dictionary from a bounded sample: ``sample_docs`` texts of at most ``sample_chars`` characters.
+    """A dictionary from a bounded sample: `about ``sample_docs`` texts of at most ``sample_chars`` characters.
 
     The dictionary serves short documents, so it is trained on such. It only
     sets the compression ratio. Fewer than 50 texts, or too little content to
     train on, give an empty dictionary.
     """
-    picked = (
-        docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars))
-        .withColumn("u", unit_hash("doc_id", "text")).orderBy("u").limit(sample_docs).select("text")
-    )
-    texts = [r["text"] for r in picked.collect()]
+    share = sample_docs / max(1, docs.count())
+    picked = docs.where((unit_hash("doc_id", "text") < share) & F.length("text").between(1, sample_chars)).select("text").dropDuplicates().limit(2 * sample_docs)
     enc = encoder(tokenizer_path)
-    samples = [serialised(enc.encode(t), id_bytes) for t in texts]
+    samples = [serialised(ids, id_bytes) for ids in enc.encode_all(picked.toArrow().column("text").combine_chunks())]
     if len(samples) < 50:
         return b""
     size = min(dict_bytes, max(1024, sum(map(len, samples)) // 10))
@@ -102,8 +99,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, le
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SHARD_TYPES, strict=True)], names=SHARD_NAMES)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids += end
                 frame = packer.compress(serialised(ids, id_bytes))
                 index.append((doc_id or 0, doc_id is None, size, len(frame), len(ids) // 4))
                 frames.append(frame)
