@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import bpe, langid, packing, quality, token_store, toxicity
-from .common import id_bucket, table, unit_hash
+from . import bpe, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, quality, token_store, toxicity
+from .common import id_bucket, table, unit_hash, written
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = id_bucket("doc_id", 5) != 0
@@ -40,6 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.score(docs, ratios))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return encoded.select(
@@ -63,6 +72,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", line_dedup.host_of_url(F.col("url")).alias("host"), line_dedup.text_of_html(F.col("html")).alias("text"))
+    out = line_dedup.drop_boilerplate(written(texts, "page-texts"), "page_id", "host")
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = work_dir(spark, "token-store")
@@ -71,11 +91,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_token_store": op10_token_store,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
+}
