@@ -49,7 +49,7 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     Columns named n_lines or n_dropped are replaced.
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    lines = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     keyed = pages.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.struct(*names).alias("__row"), F.col(text_col).alias("__text"))
     own = pages.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.array_distinct(F.transform(F.coalesce(lines, F.array().cast("array<string>")), _hash)).alias("lines"))
     each = own.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.x", "line.y")

@@ -145,8 +145,8 @@ class LabelModel:
 
 
 def fit_label_model(patterns: dict[int, int], m: int, prior: float, rounds: int = 60) -> LabelModel:
-    """Expectation maximisation over counted vote patterns; ``prior`` starts the share of label 1."""
-    keys = np.array(sorted(patterns))
+    """Expectation maximisation over counted vote patterns; ``prior`` is the share of label 1 until the correlations are found."""
+    keys = np.array(sorted(patterns), np.int64)
     n = np.array([patterns[k] for k in keys.tolist()], float)
     bits = (keys[:, None] >> np.arange(m) & 1).astype(float)
     post = np.clip(bits.mean(1) * 0.9 + 0.02, 0, 1) if len(keys) else np.zeros(0)
@@ -154,7 +154,7 @@ def fit_label_model(patterns: dict[int, int], m: int, prior: float, rounds: int
     model = LabelModel(prior, parents, tables)
     for step in range(rounds):
         weights = np.stack([n * (1 - post), n * post])
-        if step == rounds // 2:  # accuracies have settled: find the strongest correlations within the classes
+        if step in (rounds // 2, 3 * rounds // 4):  # accuracies have settled: find the strongest correlations within the classes
             parents = _tree(bits, weights)
         tables = np.empty((m, 2, 2))
         for k in range(m):
@@ -162,7 +162,8 @@ def fit_label_model(patterns: dict[int, int], m: int, prior: float, rounds: int
                 for v in (0, 1):
                     w = weights[label] * ((bits[:, parents[k]] == v) if parents[k] >= 0 else 1.0)
                     tables[k, label, v] = (w @ bits[:, k] + (0.05 if label == 0 else 0.5)) / (w.sum() + 1)
-        model = LabelModel(float(np.clip((weights[1].sum() + prior) / (n.sum() + 1), 1e-4, 0.5)), parents, tables)
+        share = float(np.clip((weights[1].sum() + prior) / (n.sum() + 1), 1e-4, 0.5))
+        model = LabelModel(prior if step < rounds // 2 else share, parents, tables)
         post = np.array([model.posterior(int(k)) for k in keys.tolist()])
     return model
 
