@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -124,7 +125,7 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
 
     def _symbols(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
+        letters = list(word.encode().decode("latin-1").translate(self.letters))
         letters[-1] += self.suffix
         return [self.vocab[c] for c in letters if c in self.vocab]
 
@@ -133,7 +134,7 @@ class Codec:
         index = PairIndex([self._symbols(w) for w in new], self.merges)
         index.merge_all()
         for word, ids in zip(new, index.words(), strict=True):
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            self.known[word] = array("I", ids).tobytes()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of strings without white space."""

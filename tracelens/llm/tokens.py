@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ WORDS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 ODD = r"[\x00\t\v\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 #: Pieces and words kept by a worker, and the longest that are kept.
 KEPT, KEPT_CHARS = 600_000, 48
+#: First characters of pieces that do not stand for themselves after a space.
+MARKS = ("", "\0", "\n")
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,16 +43,12 @@ def gathered(parts: pa.ListArray, ids_of: Callable[[list[str]], list[bytes]]) ->
     """Each list's ids in order (unsigned 32-bit); ``ids_of`` gives those of distinct strings."""
     coded = parts.flatten().dictionary_encode()
     found = ids_of(coded.dictionary.to_pylist())
-    each = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    flat = np.frombuffer(b"".join(found), "<u4")
     codes = coded.indices.to_numpy()
-    lengths = each[codes]
-    ends = np.cumsum(lengths)
-    # the ids of a string stand together in flat: shift a running index to where each string begins
-    at = np.repeat((np.cumsum(each) - each)[codes] - (ends - lengths), lengths)
-    ids = flat[at + np.arange(len(at))]
-    bounds = np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
-    return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    data = b"".join(map(found.__getitem__, codes.tolist()))
+    ends = np.append(0, np.cumsum(lengths[codes]))
+    bounds = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class WordEncoder:
@@ -76,6 +75,7 @@ class WordEncoder:
         self.words, self.letters = regex.compile(WORDS), byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.missed = 0
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit bytes."""
@@ -100,28 +100,42 @@ class WordEncoder:
         return b"".join(np.uint32(self.special[p]).tobytes() if p in self.special else self._of_words(p) for p in parts if p)
 
     def _of_words(self, text: str) -> bytes:
-        return b"".join([self.known.get(w) or self._word(w) for w in self.words.findall(text)])
+        return b"".join([self._word(w) for w in self.words.findall(text)])
 
     def _word(self, word: str) -> bytes:
-        letters = "".join([self.letters[b] for b in word.encode()])
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        if len(word) <= KEPT_CHARS:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            self.known[word] = ids
+        """Ids of one word of the pattern. A word after a space is kept like the piece that it also is."""
+        kept, key = (self.pieces, word[1:]) if word[:1] == " " and word[1:2] not in MARKS else (self.known, word)
+        ids = kept.get(key)
+        if ids is None:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            if len(kept) < KEPT and len(word) <= KEPT_CHARS:
+                kept[key] = ids
         return ids
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """A piece after a space comes without that space, one after a line end with it, the first of a text after a 0 character."""
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        found = list(map(self.pieces.get, pieces))
-        for i, ids in enumerate(found):
-            if ids is None:
-                p = pieces[i]
-                found[i] = ids = self._of_words(p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p)
-                if len(p) <= KEPT_CHARS:
-                    self.pieces[p] = ids
+        kept = self.pieces
+        found = list(map(kept.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        # full dictionaries keep the first, mostly frequent strings until they have missed many
+        self.missed += len(new)
+        if self.missed > 20 * KEPT:
+            kept.clear()
+            self.known.clear()
+            self.missed = 0
+        for i in new:
+            p = pieces[i]
+            if p.isalpha():
+                found[i] = self._word(" " + p)
+                continue
+            if p[:-1].isalpha() and p[-1] in ".,;:!?":
+                ids = self._word(" " + p[:-1]) + self._word(p[-1])
+            else:
+                ids = self._of_words(p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p)
+            found[i] = ids
+            if len(kept) < KEPT and len(p) <= KEPT_CHARS:
+                kept[p] = ids
         return found
 
 
