@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, unit_hash
 
@@ -157,14 +158,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     with score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    at = rows.columns.index(text_col)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts):
-        import pandas as pd
-
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        return pd.DataFrame([m.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
+        for batch in slices(batches):
+            found = [m.predict(t) for t in batch.column(at).to_pylist()]
+            langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs, scores], names=[*batch.schema.names, "lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = docs.select(*kept, predicted(F.col(text_col).cast("string")).alias("__found"))
-    return found.select(*kept, "__found.lang_pred", "__found.score")
+    # no column is non-null by contract after a Python task
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(predicted, schema)
