@@ -29,7 +29,7 @@ def test_trace_and_prompt_files(spark):
     assert got == {"a.txt": "Maybe the sum is off.\nLet me check the sum."}
     assert [os.path.basename(r.file_path) for r in rejects.collect()] == ["b.txt"]
     prompts = {os.path.basename(r.file_path): r.prompt for r in files.scan_prompt_files(spark, d).collect()}
-    assert prompts["b.txt"] == lexicon.DEFAULT_PROMPT
+    assert list(prompts) == ["a.txt"]  # a blank prompt file is rejected
     assert files.scan_prompt_files(spark, None).collect()[0].prompt == lexicon.DEFAULT_PROMPT
 
 

@@ -1,5 +1,7 @@
 """Streaming scoring equals batch scoring on the same files."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tracelens.operators.score import score_traces
@@ -34,3 +36,30 @@ def test_stream_restarts_from_checkpoint(spark):
     final = stream.run_trace_metrics(spark, src, t.schema, out, ckpt)  # same checkpoint: only new files
     assert final.count() == t.count()
     assert final.select("trace_id").distinct().count() == t.count()
+
+
+def _breakdown(spark, src, schema, lateness, files):
+    name = work_dir(spark, "t-breakdown")
+    out = stream.run_breakdown(spark, src, schema, "ts", f"{name}/out", f"{name}/ckpt", lateness, files)
+    return sorted((r.w.start, r.predicted_certainty, r.traces, r.hedges, round(r.trur_sum, 6)) for r in out.collect())
+
+
+def test_breakdown_does_not_depend_on_batches(spark):
+    src = work_dir(spark, "t-stream-src3")
+    t = traces(spark, SF_SMALL, "user_day").withColumn("ts", F.col("day").cast("timestamp"))
+    t.repartition(4).write.parquet(src)
+    whole = _breakdown(spark, src, t.schema, "40 days", None)
+    assert sum(r[2] for r in whole) == t.count()
+    assert _breakdown(spark, src, t.schema, "40 days", 1) == whole
+
+
+def test_late_rows_are_dropped_as_documented(spark):
+    src = work_dir(spark, "t-stream-src4")
+    t = traces(spark, SF_SMALL, "user_day").withColumn("ts", F.col("day").cast("timestamp"))
+    last = t.agg(F.max("day")).first()[0]
+    for _ in range(2):  # a watermark counts from the second batch after its rows
+        t.where(F.col("day") == last).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in order of their time
+    t.where(F.col("day") < F.date_sub(F.lit(last), 10)).coalesce(1).write.mode("append").parquet(src)
+    kept = _breakdown(spark, src, t.schema, "1 day", 1)
+    assert {r[0].date() for r in kept} == {last}

@@ -205,10 +205,12 @@ def assign_resolutions(
 # Trace-level metrics
 # --------------------------------------------------------------------------
 def weighted_trur(matches: Column, total: Column) -> Column:
-    """Mean of ``round(1 - effective_weight, 4)``, summed left to right in hedge order."""
+    """Mean of ``round(1 - effective_weight, 4)``; the sum of these 4-dp numbers is exact (decimal)."""
     total_reduction = F.aggregate(
-        matches, F.lit(0.0), lambda a, r: a + scoring.round4(F.lit(1.0) - r["effective_weight"])
-    )
+        matches,
+        F.lit(0).cast("decimal(20,4)"),
+        lambda a, r: (a + scoring.round4(F.lit(1.0) - r["effective_weight"]).cast("decimal(20,4)")).cast("decimal(20,4)"),
+    ).cast("double")
     return F.when(total == 0, F.lit(0.0)).otherwise(scoring.round4(total_reduction / total))
 
 

@@ -16,19 +16,22 @@ trace in one task:
   table. A round gives each hedge its best candidate given the claims of the
   previous round; after round r the first r hedges of every trace are final,
   and a fixpoint equals the sequential greedy result by induction over hedge
-  order. Rounds stop when the claims no longer change (2-4 rounds on the
-  planted data). Candidates per hedge are the nearest allowed verification
+  order. Claims settle in 2-4 rounds unless each hedge pushes the next one on;
+  the traces that still move after ``PARALLEL_ROUNDS`` are folded hedge by
+  hedge over narrow numeric rows, so the result is always the converged one.
+  Candidates per hedge are the nearest allowed verification
   overall plus the nearest allowed one of each term-sharing subject; they are
   found with skew-safe suffix-minimum scans, and together they provably contain
   the greedy choice.
 
-The output equals the one-row form except ``weighted_trur``: the per-trace sum
-of weight reductions is exact (decimal) instead of a left-to-right float sum,
-which can only differ at an exact 4-dp tie.
+The output equals the one-row form.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -38,7 +41,8 @@ from tracelens.functions import keywords as kw
 from tracelens.functions import lexicon, scoring, similarity, text
 from tracelens.operators import joins, scans
 
-MAX_ROUNDS = 1000
+# Rounds over all moving traces; traces that still move are then folded hedge by hedge.
+PARALLEL_ROUNDS = 4
 
 
 def sentence_rows(rows: DataFrame, order: Sequence[str], text_col: str = "text", trace_col: str = "trace_id") -> DataFrame:
@@ -192,7 +196,7 @@ def assign(
     claims = spark.createDataFrame([], "trace_id string, vidx int, cpos int")
     best_all = None
     active = None  # traces still moving; None = all
-    for _ in range(MAX_ROUNDS):
+    for turn in itertools.count(1):
 
         def only(df: DataFrame) -> DataFrame:
             return df if active is None else df.join(active, "trace_id", "left_semi")
@@ -233,11 +237,96 @@ def assign(
         n_moved = moved.count()
         if n_moved == 0:
             break
+        if turn >= PARALLEL_ROUNDS:
+            rest = fold_in_order(hq, vrows, hg, moved, threshold, decay, weights, reuse_sim)
+            best_all = scans.materialize(best_all.join(moved, "trace_id", "left_anti").unionByName(rest))
+            break
         claims = scans.materialize(claims.join(moved, "trace_id", "left_anti").unionByName(new_claims.join(moved, "trace_id", "left_semi")))
         active = F.broadcast(moved) if n_moved <= joins.BROADCAST_ROW_LIMIT else moved
     return best_all
 
 
+FOLD_SCHEMA = "trace_id string, hidx int, hpos int, vidx int, vpos int, sim double, prox double, score double"
+
+
+def fold_in_order(
+    hq: DataFrame, vrows: DataFrame, sims: DataFrame, traces: DataFrame, threshold: float, decay: float, weights: tuple[float, float], reuse_sim: float
+) -> DataFrame:
+    """The greedy assignment of some traces, hedge by hedge.
+
+    For traces whose claims cascade (each hedge takes the verification the
+    next one wanted), where the order of hedges cannot be cut. A trace is one
+    group of narrow rows (ids, positions, subjects, no sentences); pointers
+    past claimed verifications, one chain over all and one per subject, make a
+    hedge's candidates nearly constant time.
+    """
+    parts = [
+        hq.select("trace_id", F.lit(0).alias("kind"), F.col("hidx").alias("idx"), F.col("key").cast("int").alias("pos"), F.lit("").alias("subject"), F.lit(0.0).alias("sim")),
+        vrows.select("trace_id", F.lit(1).alias("kind"), F.col("vidx").alias("idx"), F.col("vpos").cast("int").alias("pos"), "subject", F.lit(0.0).alias("sim")),
+        sims.select("trace_id", F.lit(2).alias("kind"), F.col("hidx").alias("idx"), F.lit(0).alias("pos"), "subject", "sim"),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(traces, "trace_id", "left_semi")
+
+    def fold(pdf):
+        import pandas as pd
+
+        vers = pdf[pdf.kind == 1].sort_values("pos")
+        vpos, vidx, vsub = vers.pos.tolist(), vers.idx.tolist(), vers.subject.tolist()
+        members: dict[str, list[int]] = {}
+        place = []
+        for i, s in enumerate(vsub):
+            place.append(len(members.setdefault(s, [])))
+            members[s].append(i)
+        positions = {s: [vpos[i] for i in own] for s, own in members.items()}
+        after = list(range(len(vpos) + 1))
+        after_of = {s: list(range(len(own) + 1)) for s, own in members.items()}
+
+        def free(chain: list[int], i: int) -> int:
+            root = i
+            while chain[root] != root:
+                root = chain[root]
+            while chain[i] != root:
+                chain[i], i = root, chain[i]
+            return root
+
+        near: dict[int, list[tuple[str, float]]] = {}
+        known = pdf[pdf.kind == 2]
+        for h, s, x in zip(known.idx, known.subject, known.sim, strict=True):
+            near.setdefault(h, []).append((s, x))
+        out = []
+        hedges = pdf[pdf.kind == 0].sort_values("pos")
+        for h, hpos in zip(hedges.idx.tolist(), hedges.pos.tolist(), strict=True):
+            own = near.get(h, [])
+            found = []
+            j = free(after, bisect_right(vpos, hpos))
+            if j < len(vpos):
+                found.append((j, dict(own).get(vsub[j], 0.0)))
+            for s, x in own:
+                if s in members:
+                    k = bisect_right(positions[s], hpos)
+                    k = k if x > reuse_sim else free(after_of[s], k)
+                    if k < len(members[s]):
+                        found.append((members[s][k], x))
+            if not found:
+                continue
+            best = None
+            for j, x in found:
+                prox = math.exp(-(vpos[j] - hpos) / decay)
+                score = weights[0] * x + weights[1] * prox
+                if best is None or (score, -vpos[j]) > best[0]:
+                    best = (score, -vpos[j]), j, x, prox
+            (score, _), j, x, prox = best
+            out.append((h, hpos, vidx[j], vpos[j], x, prox, score))
+            if score >= threshold and x <= reuse_sim:
+                after[j] = j + 1
+                after_of[vsub[j]][place[j]] = place[j] + 1
+        result = pd.DataFrame(out, columns=["hidx", "hpos", "vidx", "vpos", "sim", "prox", "score"])
+        result.insert(0, "trace_id", pdf.trace_id.iloc[0])
+        return result
+
+    return rows.groupBy("trace_id").applyInPandas(fold, FOLD_SCHEMA)
+
+
 def score_sentence_rows(
     sents: DataFrame,
     threshold: float = lexicon.SIMILARITY_THRESHOLD,
@@ -263,8 +352,11 @@ def score_statements(
     weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
     reduction: float = lexicon.RESOLUTION_WEIGHT_REDUCTION,
     subject_sims: DataFrame | None = None,
+    traces: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Scoring after statement detection (see :func:`score_sentence_rows`)."""
+    """Scoring after statement detection (see :func:`score_sentence_rows`).
+
+    ``traces`` (``trace_id``) adds the traces that have no sentence."""
     best = assign(hedges, vers, threshold, decay, weights, subject_sims=subject_sims)
     resolved = F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False))
     ms = scoring.round4(F.col("score"))
@@ -284,6 +376,8 @@ def score_statements(
         scoring.effective_weight(resolved, ms, reduction).alias("effective_weight"),
     )
     n = sents.groupBy("trace_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    if traces is not None:
+        n = traces.join(n, "trace_id", "left").select("trace_id", F.coalesce("n", F.lit(0)).alias("n"))
     nver = vers.groupBy("trace_id").agg(F.count(F.lit(1)).cast("int").alias("nver"))
     late = F.col("position") >= F.col("n") / F.lit(2.0)
     reduction_dec = scoring.round4(F.lit(1.0) - F.col("effective_weight")).cast("decimal(20,4)")
@@ -316,6 +410,7 @@ def score_statements(
     fin = kw.with_lower(F.coalesce(F.col("tail"), F.lit("")), kw.finality_score)
     stage = base.select(
         "trace_id",
+        "n",
         total.cast("int").alias("total_hedges"),
         res.cast("int").alias("resolved_hedges"),
         (total - res).cast("int").alias("unresolved_hedges"),
@@ -332,6 +427,9 @@ def score_statements(
             F.col("total_hedges"), F.col("trur"), F.col("hvr"), F.col("late_unresolved_ratio"), F.col("conclusion_finality")
         ),
     )
+    # a blank trace has the short result: the other fields are null
+    short = ["total_verifications", "hvr", "late_unresolved_ratio", "conclusion_finality", "predicted_certainty"]
+    metrics = metrics.withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in short}).drop("n")
     return metrics, matches
 
 
@@ -467,8 +565,10 @@ def score_row_traces_full(
     metrics_parts, match_parts = [], []
     if hot_rows is not None:
         sents, hs, vs = statements_from_rows(hot_rows.drop(*keys), order, "_text")
+        # traces of blank rows only have no sentence, but are traces
+        traces = hot_rows.select("trace_id").distinct()
         sims = hedge_subject_vectors(hs, vs, subject_vectors) if subject_vectors is not None else None
-        m, mt = score_statements(sents, hs, vs, subject_sims=sims)
+        m, mt = score_statements(sents, hs, vs, subject_sims=sims, traces=traces)
         if keys:
             # one row per long trace: as many rows as were counted
             key_rows = hot_rows.select("trace_id", *keys).distinct()

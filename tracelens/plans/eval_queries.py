@@ -252,23 +252,25 @@ def q_scan_test_cases(spark: SparkSession, sf: str) -> DataFrame:
     SUITE_SQL + " SELECT TestCaseID, batch, ExpectedLabel, CAST(length(ReasoningText) AS INTEGER) AS n_chars FROM cases",
 )
 def q_union_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Each batch read on its own (partition pruning), appended in batch order."""
-    path = _suite_csv(spark, sf)
-    parts = [suite.read_suite_csv(spark, path, [b]) for b in (1, 2, 3, 4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All batch folders that are there, in one scan."""
+    out = suite.read_suite_csv(spark, _suite_csv(spark, sf))
     return out.select("TestCaseID", "batch", "ExpectedLabel", F.length("ReasoningText").alias("n_chars"))
 
 
 @register(
     "quarantine_cases",
     SUITE_SQL
-    + f""" SELECT TestCaseID, CASE WHEN TestCaseID IS NULL OR TestCaseID = '' THEN 'missing_id' ELSE 'blank_text' END AS reject_reason
-           FROM cases WHERE TestCaseID IS NULL OR TestCaseID = '' OR {o.is_blank('ReasoningText')}""",
+    + """ SELECT CASE WHEN user_id % 7 = 0 THEN NULL ELSE printf('TC%03d', user_id) END AS TestCaseID,
+              CASE WHEN user_id % 7 = 0 THEN 'missing_id' ELSE 'blank_text' END AS reject_reason
+           FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 7 IN (0, 1)""",
 )
 def q_quarantine_cases(spark: SparkSession, sf: str) -> DataFrame:
-    path = _suite_csv(spark, sf)
+    """Cases planted bad by rule (every seventh without an id, the next with a blank text) end up in the rejects."""
+    path = work_dir(spark, "suite-csv")
+    bad = F.pmod(F.regexp_extract("Explanation", r"(\d+)$", 1).cast("bigint"), F.lit(7))
+    planted = cases(spark, sf).withColumn("TestCaseID", F.when(bad != 0, F.col("TestCaseID")))
+    planted = planted.withColumn("ReasoningText", F.when(bad == 1, F.lit(" \n ")).otherwise(F.col("ReasoningText")))
+    suite.write_suite_csv(planted, path)
     _, rejects = suite.split_rejects(suite.read_suite_csv(spark, path))
     return rejects.select("TestCaseID", "reject_reason")
 

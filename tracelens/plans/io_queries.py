@@ -143,7 +143,10 @@ def q_stream_trace_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     """Daily tumbling-window breakdown of streamed traces with a watermark."""
     src, schema = _stream_source(spark, sf)
-    out = stream.run_breakdown(spark, src, schema, "ts", work_dir(spark, "breakdown-out"), work_dir(spark, "breakdown-ckpt"))
+    # the files are in no order of time: the watermark must cover the source's span
+    span = spark.read.schema(schema).parquet(src).agg((F.unix_date(F.max("day")) - F.unix_date(F.min("day"))).alias("days")).first()["days"]
+    lateness = f"{(span or 0) + 1} days"
+    out = stream.run_breakdown(spark, src, schema, "ts", work_dir(spark, "breakdown-out"), work_dir(spark, "breakdown-ckpt"), lateness)
     return out.select(
         F.date_from_unix_date((F.unix_seconds(F.col("w.start")) / 86400).cast("int")).alias("window_start"),
         "predicted_certainty",
@@ -156,21 +159,14 @@ def q_stream_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "scan_prompt_files",
-    f"""SELECT conv_id,
-              CASE WHEN {o.strip('t')} = '' THEN {o.q(lexicon.DEFAULT_PROMPT)} ELSE {o.strip('t')} END AS prompt
-       FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)""",
+    f"""SELECT conv_id, turn, {o.strip('text')} AS prompt FROM conversations WHERE role = 'user' AND {o.strip('text')} <> ''""",
 )
 def q_scan_prompt_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Write each conversation's first user turn as a prompt file, scan the
-    folder whole-file (strip; blank -> default prompt) and key by file."""
-    first = (
-        table(spark, sf, "conversations")
-        .where(F.col("role") == "user")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("text"))
-    )
+    """Write every user turn as a prompt file, scan the folder whole-file
+    (strip; blank files are rejected) and key by file."""
+    turns = table(spark, sf, "conversations").where(F.col("role") == "user")
     path = work_dir(spark, "prompt-files")
-    files.write_trace_files(first, path, id_col="conv_id")
+    files.write_trace_files(turns.select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "text"), path, id_col="prompt_id")
     prompts = files.scan_prompt_files(spark, path)
-    cid = F.regexp_extract(F.col("file_path"), r"conv_id=([^/]+)/", 1).cast("bigint")
-    return prompts.select(cid.alias("conv_id"), "prompt")
+    pid = F.split(F.regexp_extract(F.col("file_path"), r"prompt_id=([^/]+)/", 1), "-")
+    return prompts.select(pid[0].cast("bigint").alias("conv_id"), pid[1].cast("int").alias("turn"), "prompt")

@@ -88,7 +88,6 @@ def trace_ctes(
     key: str = "user_day",
     source: str | None = None,
     keys: str | None = None,
-    exact_sum: bool = False,
     vec_join: str | None = None,
 ) -> str:
     """``WITH`` chain from planted traces to per-trace metrics.
@@ -120,10 +119,8 @@ vsim AS (
   LEFT JOIN dots d ON d.trace_id = h.trace_id AND d.hidx = h.hidx AND d.vidx = v.vidx,
   LATERAL (SELECT CASE WHEN coalesce(hn.n2, 0) = 0 OR coalesce(vn.n2, 0) = 0 THEN 0.0
                        ELSE least(greatest(coalesce(d.dot, 0) / (sqrt(hn.n2) * sqrt(vn.n2)), 0.0), 1.0) END AS sim)"""
-    if exact_sum:  # decimal sum of the 4-dp reductions (sentence-row scorer)
-        wsum = f"CAST(sum(CAST({round4('1.0 - effective_weight')} AS DECIMAL(20,4))) AS DOUBLE)"
-    else:  # left-to-right float sum in hedge order (one-row scorer, as Python sums)
-        wsum = f"list_reduce(list({round4('1.0 - effective_weight')} ORDER BY hidx), lambda a, b: a + b)"
+    # exact sum of the 4-dp reductions
+    wsum = f"CAST(sum(CAST({round4('1.0 - effective_weight')} AS DECIMAL(20,4))) AS DOUBLE)"
     return f"""
 WITH RECURSIVE
 traces AS ({src}),

@@ -516,7 +516,7 @@ def _rows_scored(spark: SparkSession, sf: str, key: str):
 
 @register(
     "trace_metrics_rows",
-    o.trace_ctes("user", exact_sum=True) + f" SELECT trace_id, {METRICS_SQL} FROM metrics",
+    o.trace_ctes("user") + f" SELECT trace_id, {METRICS_SQL} FROM metrics",
 )
 def q_trace_metrics_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship metrics from event rows without gathering a trace anywhere:
@@ -539,14 +539,14 @@ def q_assign_resolutions_rows(spark: SparkSession, sf: str) -> DataFrame:
 # Subject vectors (embedding similarity)
 # ---------------------------------------------------------------------------
 # FIXED VALUES (ours): every distinct subject is given one row of `embeddings`
-# by a rule both engines compute; ids 0-499 exist at every scale.
-VEC_RULE_SQL = "e.vec_id = (length(s.subject) * 31 + ascii(s.subject)) % 500"
+# by a rule both engines compute, over all rows of the table (ids are 0 to count - 1).
+VEC_RULE_SQL = "e.vec_id = (length(s.subject) * 31 + ascii(s.subject)) % (SELECT count(*) FROM embeddings)"
 
 
 def subject_vector_table(spark: SparkSession, sf: str, subjects: DataFrame) -> DataFrame:
     """``(subject, vec)`` for the given distinct subjects, looked up in ``embeddings``."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    rule = F.pmod(F.length("subject") * 31 + F.ascii("subject"), F.lit(500)).cast("bigint")
+    rule = F.pmod(F.length("subject") * 31 + F.ascii("subject"), F.lit(e.count())).cast("bigint")
     return subjects.select("subject", rule.alias("vec_id")).join(e, "vec_id").select("subject", "vec")
 
 

@@ -29,11 +29,11 @@ def scan_trace_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 def scan_prompt_files(spark: SparkSession, path: str | None) -> DataFrame:
-    """Prompt text per file; the default prompt when no path is given or a file is blank."""
+    """Prompt text per file; the default prompt when no path is given. A blank file is rejected: it gives no row."""
     if path is None:
         return spark.createDataFrame([(None, lexicon.DEFAULT_PROMPT)], "file_path string, prompt string")
     df = scan_text_files(spark, path)
-    return df.select("file_path", F.when(F.col("text") != "", F.col("text")).otherwise(F.lit(lexicon.DEFAULT_PROMPT)).alias("prompt"))
+    return df.where(F.col("text") != "").select("file_path", F.col("text").alias("prompt"))
 
 
 def write_trace_files(traces: DataFrame, path: str, id_col: str = "trace_id") -> None:

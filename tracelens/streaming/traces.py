@@ -53,16 +53,24 @@ def stream_breakdown(scored_stream: DataFrame, ts_col: str, window: str = "1 day
 
 
 def run_breakdown(
-    spark: SparkSession, source_dir: str, schema: StructType, ts_col: str, sink_dir: str, checkpoint_dir: str
+    spark: SparkSession, source_dir: str, schema: StructType, ts_col: str, sink_dir: str, checkpoint_dir: str,
+    lateness: str = "1 day", files_per_batch: int | None = None,
 ) -> DataFrame:
     """Run the windowed breakdown over what is available now.
 
+    Rows whose window closed more than ``lateness`` before the latest event
+    time of earlier batches are dropped. Files that are not in order of event
+    time need a lateness that covers their span; then the result does not
+    depend on how files are batched (``files_per_batch``).
+
     Update mode emits every window a batch touches; each micro-batch appends
     its updated rows with the batch id, and the reader keeps the latest row per
     window key, which is the standard upsert over a plain Parquet sink.
     """
-    src = spark.readStream.schema(schema).parquet(source_dir)
-    agg = stream_breakdown(stream_trace_metrics(src), ts_col)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    agg = stream_breakdown(stream_trace_metrics(reader.parquet(source_dir)), ts_col, lateness=lateness)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
