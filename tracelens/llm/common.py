@@ -19,6 +19,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
