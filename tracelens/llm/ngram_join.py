@@ -244,7 +244,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component = components(links.union(verified(rest, keyed, rows, percent)))
 
     ids = keyed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    smallest = ids.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that the join below can split a component that holds many rows
+    smallest = written(ids.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id")), "smallest")
     out = ids.join(smallest, "c", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
