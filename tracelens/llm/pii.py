@@ -232,6 +232,7 @@ def find(docs: DataFrame) -> DataFrame:
         return scanned.drop("found").withColumn("spans", F.col("base"))
     each = scanned.select("tk", F.explode("found").alias("m")).select("tk", "m.*").where("NOT seed").select("tk", "start", "stop", "pattern")
     more = each.join(patterns, "pattern").groupBy("tk").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("more"))
+    more = written(more, "pii-more")  # a table of its own, so that the join can split a text that many rows share
     text = F.transform("more", lambda s: F.concat_ws(":", F.lit(FOUND_KIND), s["start"].cast("string"), s["stop"].cast("string")))
     spans = F.array_join(F.filter(F.concat(F.array("base"), F.coalesce(text, F.array().cast("array<string>"))), lambda s: s != ""), ",")
     return scanned.drop("found").join(more, "tk", "left").withColumn("spans", spans).drop("more")
