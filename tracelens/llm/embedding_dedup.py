@@ -122,7 +122,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(named, "node", "left")
+    # a table of its own, so that the join can split a vector that many rows share
+    out = rows.select("vec_id", "node").join(written(named, "named"), "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
