@@ -251,14 +251,6 @@ def with_statements(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def with_candidates(
-    stmts: DataFrame,
-    decay: float = lexicon.PROXIMITY_DECAY,
-    weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
-) -> DataFrame:
-    """Stage 2: ``_scored`` = each hedge with its scored later verifications."""
-    return stmts.withColumn("_scored", candidate_lists(F.col("_hedges"), F.col("_vers"), decay, weights))
-
 
 def attach_vectors(stmts: DataFrame, subject_vectors: DataFrame | None = None, encoder=None) -> DataFrame:
     """Add ``vec`` to every hedge and verification struct of a statements frame.
@@ -497,8 +489,3 @@ def reduced_pairs(stmts: DataFrame) -> DataFrame:
         prox.alias("prox"),
         scoring.match_score(F.col("v.sim"), prox).alias("score"),
     )
-
-
-def metrics_struct(df: DataFrame) -> Column:
-    """All metric columns of a scored frame as one struct (for JSON sinks)."""
-    return F.struct(*[F.col(c) for c in METRIC_COLUMNS])

@@ -37,9 +37,6 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "event_type string, k int, sentence string")
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
 
 def planted_sentences(spark: SparkSession, events: DataFrame) -> DataFrame:
     """One row per event: ``(user_id, day, ts, event_id, sentence)``.
