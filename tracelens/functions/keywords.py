@@ -14,24 +14,36 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import lexicon, scoring
 
+CURLY_APOSTROPHES = "\u2018\u2019"
 
-def with_lower(sentence: Column, fn) -> Column:
-    """Apply ``fn`` to ``lower(sentence)`` computed once.
+
+def lowered(sentence: Column, words: lexicon.Lexicon = lexicon.DEFAULT) -> Column:
+    """The form of a text that phrases are looked for in."""
+    return F.lower(F.translate(sentence, CURLY_APOSTROPHES, "''") if words.fold_apostrophes else sentence)
+
+
+def with_lower(sentence: Column, fn, words: lexicon.Lexicon = lexicon.DEFAULT) -> Column:
+    """Apply ``fn`` to ``lowered(sentence)`` computed once.
 
     Passing ``lower(s)`` straight into a keyword lambda re-lowers the sentence
     for every keyword once Catalyst inlines the projection; binding it as a
     lambda variable of a one-element ``transform`` evaluates it once.
     """
-    return F.get(F.transform(F.array(F.lower(sentence)), fn), 0)
+    return F.get(F.transform(F.array(lowered(sentence, words)), fn), 0)
 
 
 def lit_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A literal array, as one SQL expression (a column per phrase would be slow to build)."""
+    if not values:
+        return F.array().cast("array<string>")
+    escaped = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in escaped) + ")")
 
 
-def keyword_hits(lower: Column, keywords: Sequence[str]) -> Column:
+def keyword_hits(lower: Column, keywords: Sequence[str] | Column) -> Column:
     """Entries of ``keywords`` contained in ``lower``, in list order."""
-    return F.filter(lit_array(keywords), lambda k: F.contains(lower, k))
+    entries = keywords if isinstance(keywords, Column) else lit_array(keywords)
+    return F.filter(entries, lambda k: F.contains(lower, k))
 
 
 def keyword_any(lower: Column, keywords: Sequence[str]) -> Column:
@@ -61,8 +73,8 @@ def is_verification(lower: Column) -> Column:
     return keyword_any(lower, lexicon.VERIFICATION_KEYWORDS)
 
 
-def finality_score(tail_lower: Column) -> Column:
+def finality_score(tail_lower: Column, words: lexicon.Lexicon = lexicon.DEFAULT) -> Column:
     """(certain − uncertain) / (certain + uncertain) phrase hits, 0 when none, 4 dp."""
-    c = keyword_count(tail_lower, lexicon.FINALITY_CERTAIN)
-    u = keyword_count(tail_lower, lexicon.FINALITY_UNCERTAIN)
+    c = keyword_count(tail_lower, words.certain)
+    u = keyword_count(tail_lower, words.uncertain)
     return F.when(c + u == 0, F.lit(0.0)).otherwise(scoring.round4((c - u) / (c + u)))

@@ -8,6 +8,8 @@ count includes the duplicated ``therefore``. Do not sort or deduplicate them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 # --- FIXED VALUES: hedge phrases, in list order (61 entries) -----------------
 HEDGE_KEYWORDS: list[str] = [
     "maybe", "perhaps", "might", "could", "possibly", "probably",
@@ -106,3 +108,21 @@ TRUR_WEIGHT = 0.15
 HVR_WEIGHT = 0.45
 FINALITY_POSITION_WEIGHTS_RESOLVED = (0.15, 0.25)
 FINALITY_POSITION_WEIGHTS_UNRESOLVED = (0.05, 0.35)
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Phrases a scoring run looks for, in list order (see the fixed lists above).
+
+    ``fold_apostrophes`` lets curly apostrophes in a text match straight ones
+    in a phrase; sentences are reported as they stand.
+    """
+
+    hedges: tuple[str, ...] = tuple(HEDGE_KEYWORDS)
+    verifications: tuple[str, ...] = tuple(VERIFICATION_KEYWORDS)
+    certain: tuple[str, ...] = tuple(FINALITY_CERTAIN)
+    uncertain: tuple[str, ...] = tuple(FINALITY_UNCERTAIN)
+    fold_apostrophes: bool = False
+
+
+DEFAULT = Lexicon()

@@ -140,17 +140,22 @@ def keyword_window_subject(sentence: Column, keyword: Column) -> Column:
     word falls back to the regex subject. This re-aims a parser's
     "noun phrase right after the hedge" without part-of-speech tags.
     """
-    toks = sentence_tokens(sentence)
-    kw = F.split(F.lower(keyword), " ")
-    n = F.size(kw)
-    starts = F.filter(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.slice(toks, i, n) == kw)
-    start = F.when(keyword.isNotNull() & (F.size(toks) >= n), F.get(starts, 0))
-    window = F.slice(toks, F.coalesce(start, F.lit(1)) + n, KEYWORD_WINDOW)
     skip = F.array(*[F.lit(w) for w in SKIP_WORDS])
-    content = F.filter(window, lambda t: ~F.array_contains(skip, t))
-    return F.when(start.isNull() | (F.size(content) == 0), extract_subject(sentence)).otherwise(
-        F.array_join(F.slice(content, 1, KEYWORD_TAKE), " ")
-    )
+
+    def content(x: Column) -> Column:
+        """Content words of the window; null where the keyword is not found."""
+        n = F.size(x["kw"])
+        first = F.get(F.filter(F.sequence(F.lit(1), F.size(x["toks"]) - n + 1), lambda i: F.slice(x["toks"], i, n) == x["kw"]), 0)
+        start = F.when(F.size(x["toks"]) >= n, first)
+        return F.filter(F.slice(x["toks"], start + n, KEYWORD_WINDOW), lambda t: ~F.array_contains(skip, t))
+
+    def subject(words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, KEYWORD_TAKE), " "))
+
+    # tokens and words are bound as lambda variables, so that each is made once per sentence
+    parts = F.when(keyword.isNotNull(), F.struct(sentence_tokens(sentence).alias("toks"), F.split(F.lower(keyword), " ").alias("kw")))
+    found = F.get(F.transform(F.transform(F.array(parts), content), subject), 0)
+    return F.coalesce(found, extract_subject(sentence))
 
 
 def keyword_window_extractor():

@@ -57,25 +57,36 @@ def _restruct(x: Column, fields: Sequence[str], **extra: Column) -> Column:
 # --------------------------------------------------------------------------
 # Statement arrays
 # --------------------------------------------------------------------------
-def annotated_sentences(sentences: Column) -> Column:
-    """``array<struct<pos, sentence, nver, hkw>>`` for a sentence array.
-
-    ``lower`` is computed once per sentence and bound as a struct field before
-    the keyword lambdas read it (a plain column would be re-lowered per keyword).
+def annotated_sentences(sentences: Column, whole: Column, words: lexicon.Lexicon = lexicon.DEFAULT) -> Column:
+    """``array<struct<pos, sentence, nver, hkw>>`` for the sentences of the text ``whole``.
+
+    A sentence is a run of its text, so it can only hold phrases that the text
+    holds: the lexicon is cut down to those once per text (bound as a lambda
+    variable), and a sentence is held against the few that are left. ``lower``
+    is bound per sentence in the same way (a plain column would be re-lowered
+    per keyword).
     """
-    lowered = F.transform(
-        sentences, lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), F.lower(s).alias("low"))
+    present = F.transform(
+        F.array(kw.lowered(whole, words)),
+        lambda t: F.struct(kw.keyword_hits(t, words.hedges).alias("h"), kw.keyword_hits(t, words.verifications).alias("v")),
     )
-    return F.transform(
-        lowered,
-        lambda x: F.struct(
-            x["pos"].alias("pos"),
-            x["sentence"].alias("sentence"),
-            kw.verification_count(x["low"]).alias("nver"),
-            kw.hedge_keyword(x["low"]).alias("hkw"),
-        ),
+    lowered = F.transform(
+        sentences, lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), kw.lowered(s, words).alias("low"))
     )
 
+    def annotate(found: Column) -> Column:
+        return F.transform(
+            lowered,
+            lambda x: F.struct(
+                x["pos"].alias("pos"),
+                x["sentence"].alias("sentence"),
+                F.size(kw.keyword_hits(x["low"], found["v"])).alias("nver"),
+                F.get(kw.keyword_hits(x["low"], found["h"]), 0).alias("hkw"),
+            ),
+        )
+
+    return F.get(F.transform(present, annotate), 0)
+
 
 def hedge_statements(annotated: Column) -> Column:
     """Hedges: a hedge keyword and fewer than two verification entries; ids H1..Hn."""
@@ -222,17 +233,17 @@ def late_unresolved_ratio(matches: Column, n_sentences: Column) -> Column:
     )
 
 
-def conclusion_finality(sentences: Column, window: int = lexicon.FINALITY_WINDOW) -> Column:
+def conclusion_finality(sentences: Column, window: int = lexicon.FINALITY_WINDOW, words: lexicon.Lexicon = lexicon.DEFAULT) -> Column:
     """Finality over the last ``window`` sentences (all of them when fewer).
 
     ``slice(s, -3, 3)`` returns [] for shorter arrays, so the start is clamped.
     """
     n = F.size(sentences)
     tail = F.slice(sentences, F.greatest(n - F.lit(window - 1), F.lit(1)), window)
-    return kw.with_lower(F.array_join(tail, " "), kw.finality_score)
+    return kw.with_lower(F.array_join(tail, " "), lambda low: kw.finality_score(low, words), words)
 
 
-def with_statements(df: DataFrame, text_col: str = "text") -> DataFrame:
+def with_statements(df: DataFrame, text_col: str = "text", words: lexicon.Lexicon = lexicon.DEFAULT) -> DataFrame:
     """Stage 1: sentences, hedges and verifications as arrays on each row.
 
     Adds ``_blank``, ``_sents`` (array<string>), ``_hedges`` and ``_vers``
@@ -240,8 +251,8 @@ def with_statements(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     keep = [c for c in df.columns if c != text_col]
     t = F.col(text_col)
-    s1 = df.select(*keep, text.is_blank(t).alias("_blank"), text.split_sentences(t).alias("_sents"))
-    s2 = s1.select(*keep, "_blank", "_sents", annotated_sentences(F.col("_sents")).alias("_ann"))
+    s1 = df.select(*keep, t.alias("_whole"), text.is_blank(t).alias("_blank"), text.split_sentences(t).alias("_sents"))
+    s2 = s1.select(*keep, "_blank", "_sents", annotated_sentences(F.col("_sents"), F.col("_whole"), words).alias("_ann"))
     return s2.select(
         *keep,
         "_blank",
@@ -348,6 +359,7 @@ def score_traces(
     subject_vectors: DataFrame | None = None,
     encoder=None,
     extractor=None,
+    words: lexicon.Lexicon = lexicon.DEFAULT,
 ) -> DataFrame:
     """Score every trace of ``df[text_col]``; all other columns pass through.
 
@@ -356,10 +368,11 @@ def score_traces(
     omits in that case. Subjects come from the regex extractor unless
     ``extractor`` is given (see :func:`attach_subjects`); similarity is the
     native term-count cosine unless ``subject_vectors`` or ``encoder``
-    supplies subject embeddings (see :func:`attach_vectors`).
+    supplies subject embeddings (see :func:`attach_vectors`). ``words`` are the
+    phrases looked for.
     """
     keep = [c for c in df.columns if c != text_col]
-    s3 = with_statements(df, text_col)
+    s3 = with_statements(df, text_col, words)
     if extractor is not None:
         s3 = attach_subjects(s3, extractor)
     mode = "tf_cosine"
@@ -390,7 +403,7 @@ def score_traces(
         total.alias("total_hedges"),
         resolved.alias("resolved_hedges"),
         F.size("_sents").alias("_n"),
-        conclusion_finality(F.col("_sents")).alias("_fin"),
+        conclusion_finality(F.col("_sents"), words=words).alias("_fin"),
     )
     total = F.col("total_hedges")
     trur = scoring.ratio4(F.col("resolved_hedges"), total)

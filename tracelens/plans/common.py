@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelens.operators import score
@@ -14,16 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy table, spread over the cores when the scan is too coarse.
+    """A text-heavy table; a local session spreads it over its cores.
 
-    A single-row-group file reads as one task, which then does all sentence
-    splitting. On cluster-sized inputs the scan already has many splits and no
-    shuffle is added.
+    The small files of a local run are one row group, which reads as one task
+    that would do all sentence splitting. On a cluster the scan's own splits
+    are used and no text is shuffled.
     """
     df = table(spark, sf_dir, name)
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
+    if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 

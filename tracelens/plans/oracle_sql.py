@@ -46,17 +46,21 @@ def is_blank(x: str) -> str:
     return f"({x} IS NULL OR {strip(x)} = '')"
 
 
-def ver_count(low: str) -> str:
-    return f"len(list_filter({sql_list(lexicon.VERIFICATION_KEYWORDS)}, lambda k: contains({low}, k)))"
+def low(x: str, words: lexicon.Lexicon = lexicon.DEFAULT) -> str:
+    return f"lower(translate({x}, chr(8216) || chr(8217), chr(39) || chr(39)))" if words.fold_apostrophes else f"lower({x})"
 
 
-def hedge_kw(low: str) -> str:
-    return f"list_filter({sql_list(lexicon.HEDGE_KEYWORDS)}, lambda k: contains({low}, k))[1]"
+def ver_count(low: str, words: lexicon.Lexicon = lexicon.DEFAULT) -> str:
+    return f"len(list_filter({sql_list(words.verifications)}, lambda k: contains({low}, k)))"
 
 
-def finality(tail_low: str) -> str:
-    c = f"len(list_filter({sql_list(lexicon.FINALITY_CERTAIN)}, lambda k: contains({tail_low}, k)))"
-    u = f"len(list_filter({sql_list(lexicon.FINALITY_UNCERTAIN)}, lambda k: contains({tail_low}, k)))"
+def hedge_kw(low: str, words: lexicon.Lexicon = lexicon.DEFAULT) -> str:
+    return f"list_filter({sql_list(words.hedges)}, lambda k: contains({low}, k))[1]"
+
+
+def finality(tail_low: str, words: lexicon.Lexicon = lexicon.DEFAULT) -> str:
+    c = f"len(list_filter({sql_list(words.certain)}, lambda k: contains({tail_low}, k)))"
+    u = f"len(list_filter({sql_list(words.uncertain)}, lambda k: contains({tail_low}, k)))"
     return f"(CASE WHEN {c} + {u} = 0 THEN 0.0 ELSE {round4(f'({c} - {u}) / ({c} + {u})')} END)"
 
 
@@ -84,11 +88,36 @@ def subject_ctes(src: str, name: str = "subj") -> str:
   FROM {name}3)"""
 
 
+def window_subject_ctes(src: str, name: str = "subj") -> str:
+    """As ``subject_ctes``, but a subject is taken from the words after the hedge keyword ``hkw`` where there are any."""
+    skip = sql_list(text.SKIP_WORDS)
+    return f"""{subject_ctes(src, name + "r")},
+{name}t AS (
+  SELECT *,
+    list_filter(list_transform(regexp_split_to_array(lower(sentence), {q(WS + '+')}),
+                               lambda t: regexp_replace(t, {q(text.EDGE_PUNCT)}, '', 'g')), lambda t: t <> '') AS _toks,
+    string_split(lower(hkw), ' ') AS _kw
+  FROM {name}r),
+{name}s AS (
+  SELECT *, CASE WHEN len(_toks) >= len(_kw) THEN
+           list_filter(range(1, len(_toks) - len(_kw) + 2), lambda i: _toks[i:i + len(_kw) - 1] = _kw)[1] END AS _st
+  FROM {name}t),
+{name}w AS (
+  SELECT *, list_filter(_toks[_st + len(_kw):_st + len(_kw) + {text.KEYWORD_WINDOW - 1}], lambda t: NOT list_contains({skip}, t)) AS _content
+  FROM {name}s),
+{name} AS (
+  SELECT * EXCLUDE (_toks, _kw, _st, _content, subject),
+    CASE WHEN _st IS NULL OR len(_content) = 0 THEN subject ELSE array_to_string(_content[1:{text.KEYWORD_TAKE}], ' ') END AS subject
+  FROM {name}w)"""
+
+
 def trace_ctes(
     key: str = "user_day",
     source: str | None = None,
     keys: str | None = None,
     vec_join: str | None = None,
+    words: lexicon.Lexicon = lexicon.DEFAULT,
+    window_subjects: bool = False,
 ) -> str:
     """``WITH`` chain from planted traces to per-trace metrics.
 
@@ -131,7 +160,7 @@ sents AS (
   SELECT trace_id, unnest(sents) AS sentence, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS pos
   FROM tsplit),
 ann AS (
-  SELECT trace_id, pos, sentence, {ver_count('lower(sentence)')} AS nver, {hedge_kw('lower(sentence)')} AS hkw
+  SELECT trace_id, pos, sentence, {ver_count(low('sentence', words), words)} AS nver, {hedge_kw(low('sentence', words), words)} AS hkw
   FROM sents),
 hedges AS (
   SELECT trace_id, pos, sentence, hkw, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS INTEGER) AS hidx
@@ -140,10 +169,10 @@ verifs AS (
   SELECT trace_id, pos, sentence, nver, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS INTEGER) AS vidx
   FROM ann WHERE nver > 0),
 stmts AS (
-  SELECT 'H' AS kind, trace_id, hidx AS idx, pos, sentence FROM hedges
+  SELECT 'H' AS kind, trace_id, hidx AS idx, pos, sentence, hkw FROM hedges
   UNION ALL
-  SELECT 'V' AS kind, trace_id, vidx AS idx, pos, sentence FROM verifs),
-{subject_ctes('stmts')},
+  SELECT 'V' AS kind, trace_id, vidx AS idx, pos, sentence, CAST(NULL AS VARCHAR) AS hkw FROM verifs),
+{window_subject_ctes('stmts') if window_subjects else subject_ctes('stmts')},
 toks AS (
   SELECT kind, trace_id, idx, tok, count(*) AS cnt FROM (
     SELECT kind, trace_id, idx,
@@ -201,7 +230,7 @@ lstats AS (
 vstats AS (SELECT trace_id, count(*) AS nver FROM verifs GROUP BY trace_id),
 tails AS (
   SELECT t.trace_id,
-    lower(array_to_string(t.sents[greatest(len(t.sents) - 2, 1):], ' ')) AS tail
+    {low("array_to_string(t.sents[greatest(len(t.sents) - 2, 1):], ' ')", words)} AS tail
   FROM tsplit t),
 base AS (
   SELECT t.trace_id, {keys}, t.blank,
@@ -212,7 +241,7 @@ base AS (
     CAST(coalesce(vs.nver, 0) AS INTEGER) AS nver,
     CASE WHEN coalesce(ms.total, 0) = 0 THEN 0.0 ELSE {round4('ms.total / greatest(1, coalesce(vs.nver, 0))')} END AS hvr,
     CASE WHEN coalesce(ls.unres, 0) = 0 OR len(t.sents) = 0 THEN 0.0 ELSE {round4('ls.late / ls.unres')} END AS late,
-    {finality('tl.tail')} AS fin
+    {finality('tl.tail', words)} AS fin
   FROM tsplit t
   LEFT JOIN mstats ms ON ms.trace_id = t.trace_id
   LEFT JOIN lstats ls ON ls.trace_id = t.trace_id

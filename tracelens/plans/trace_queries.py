@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.functions import keywords as kw
-from tracelens.functions import scoring, similarity, text
+from tracelens.functions import lexicon, scoring, similarity, text
 from tracelens.operators import joins, score
 from tracelens.plans import oracle_sql as o
 from tracelens.plans.common import row_statements, scored_rows, sentence_rows as planted_rows, table, text_table
@@ -601,3 +601,52 @@ def q_extract_subject_by_keyword(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("H"), F.col("hidx").cast("string")).alias("id"),
         text.keyword_window_subject(F.col("sentence"), F.col("keyword")).alias("subject"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Whole documents with a lexicon, an extractor and an encoder of the user's own
+# ---------------------------------------------------------------------------
+# FIXED VALUES (ours): phrases that do occur in the documents' prose.
+PROSE = lexicon.Lexicon(
+    hedges=("that", "this", "which", "it's"),
+    verifications=(" from ", " for "),
+    certain=(" for ", " with "),
+    uncertain=("that", "this"),
+    fold_apostrophes=True,
+)
+
+
+@register(
+    "document_metrics_lexicon",
+    o.trace_ctes("user", source=DOC_TRACES, keys="doc_id", words=PROSE) + f" SELECT doc_id, {METRICS_SQL} FROM metrics",
+)
+def q_document_metrics_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole document scored with a lexicon given as data."""
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
+    return score.score_traces(d, words=PROSE).select("doc_id", *METRICS)
+
+
+@register(
+    "subject_dispatch",
+    o.trace_ctes("user", source=DOC_TRACES, keys="doc_id", words=PROSE, window_subjects=True)
+    + f" SELECT t.doc_id, {', '.join('m.' + c for c in MATCH_COLS)} FROM matches m JOIN tsplit t ON t.trace_id = m.trace_id",
+)
+def q_subject_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Hedges of whole documents, with subjects from an extractor plug-in that
+    sees each distinct (sentence, keyword) pair once."""
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
+    scored = score.score_traces(d, words=PROSE, extractor=text.keyword_window_extractor())
+    return scored.select("doc_id", F.inline("matches")).select("doc_id", *MATCH_COLS)
+
+
+@register(
+    "encoder_similarity",
+    o.trace_ctes("user", source=DOC_TRACES, keys="doc_id", words=PROSE, vec_join=VEC_RULE_SQL)
+    + f" SELECT t.doc_id, {', '.join('m.' + c for c in MATCH_COLS)} FROM matches m JOIN tsplit t ON t.trace_id = m.trace_id",
+)
+def q_encoder_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Hedges of whole documents, with similarity from an encoder plug-in that
+    sees each distinct subject once."""
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
+    scored = score.score_traces(d, words=PROSE, encoder=lambda subjects: subject_vector_table(spark, sf, subjects))
+    return scored.select("doc_id", F.inline("matches")).select("doc_id", *MATCH_COLS)
