@@ -26,10 +26,42 @@ def test_validation_rules(spark):
 
 def test_google_normalisation(spark):
     rows = [
-        (1, "google", "m", 1.0, "full", [(([("think ", True), ("", False), ("answer", False), ("more", True)],),)], None),
-        (2, "google", "m", 1.0, "full text", [(([("only thoughts", True)],),)], (3, 4)),
+        (1, "google", "m", 1.0, "full", [(([("think ", True), ("", False), ("answer", False), ("more", True)],),)], None, None),
+        (2, "google", "m", 1.0, "full text", [(([("only thoughts", True)],),)], (3, 4), False),
     ]
     df = spark.createDataFrame(rows, calls.GOOGLE_SCHEMA)
     out = {r.call_id: r for r in calls.normalize_google(df).collect()}
     assert (out[1].content, out[1].reasoning, out[1].total_tokens) == ("answer", "think more", 0)
     assert (out[2].content, out[2].reasoning, out[2].total_tokens) == ("full text", "only thoughts", 7)
+
+
+def test_structured_answers(spark):
+    rows = [
+        (1, "aws_bedrock", "m", 1.0, (([('{"b": 1, "a": "x"}',)],),), (1, 2), True),
+        (2, "aws_bedrock", "m", 1.0, (([('{"b": 1}',)],),), None, False),
+        (3, "aws_bedrock", "m", 1.0, (([("not json",)],),), None, True),
+        (4, "aws_bedrock", "m", 1.0, (([("",)],),), None, True),
+    ]
+    out = {r.call_id: r for r in calls.normalize_bedrock(spark.createDataFrame(rows, calls.BEDROCK_SCHEMA)).collect()}
+    assert [out[k].structured_json for k in (1, 2, 3, 4)] == ['{"a":"x","b":1}', None, None, None]
+    assert out[1].content == '{"b": 1, "a": "x"}' and out[1].total_tokens == 3
+
+
+def test_payloads_with_a_response_schema(spark):
+    schema = "call_id long, provider_key string, model_id string, temperature double, top_p double, max_tokens int, prompt string, system_instruction string, response_schema string"
+    rows = [(i, p, "m", 0.0, 1.0, 10, "p", "sys" if i % 2 else None, '{"type":"object"}' if i < 4 else None) for i, p in enumerate(["openai", "google", "aws_bedrock"] * 2, 1)]
+    p = {r.call_id: json.loads(r.payload) for r in calls.build_batch_requests(spark.createDataFrame(rows, schema)).collect()}
+    assert p[1]["response_format"]["json_schema"]["schema"] == {"type": "object"}
+    assert (p[2]["config"]["response_mime_type"], p[2]["config"]["response_schema"]) == ("application/json", {"type": "object"})
+    assert p[2]["config"]["thinking_config"] == {"include_thoughts": True}
+    assert p[3]["additionalModelRequestFields"] == {"outputConfig": {"textFormat": {"json": {"type": "object"}}}}
+    assert p[3]["system"] == [{"text": "sys"}]
+    assert "response_format" not in p[4] and "additionalModelRequestFields" not in p[6]
+    assert (p[5]["config"]["response_mime_type"], p[5]["config"]["response_schema"]) == ("text/plain", None)
+
+
+def test_percentiles_of_latency(spark):
+    rows = [("openai", "m", 1, 1, 2, ms) for ms in (1.9, 2.0, 3.5, 10.0)]
+    df = spark.createDataFrame(rows, "provider_key string, model string, prompt_tokens int, completion_tokens int, total_tokens int, latency_ms double")
+    r = calls.telemetry_by_model(df).first()
+    assert (r.p50_latency_ms, r.p95_latency_ms, r.max_latency_ms) == (2.5, 8.95, 10.0)

@@ -141,3 +141,31 @@ def test_subject_extractor_plugin(spark):
     assert subjects == ["incorrect", "condition", "reasonable"]
     # "incorrect" vs "equation": no shared term, so H1 can only reach 0.3 * proximity
     assert r["matches"][0]["resolved"] is False and r["matches"][0]["subject_similarity"] == 0.0
+
+
+def test_lexicon_as_a_parameter(spark):
+    """Phrases of the caller's own, with curly apostrophes folded only when asked for."""
+    from tracelens.functions.lexicon import Lexicon
+
+    df = spark.createDataFrame([("It\u2019s odd. We looked from above.",), (None,), ("",)], "text string")
+    words = {"hedges": ("it's",), "verifications": ("looked from",), "certain": ("above",), "uncertain": ()}
+    got = [[r.total_hedges, r.total_verifications, r.conclusion_finality] for r in score_traces(df, words=Lexicon(**words, fold_apostrophes=True)).collect()]
+    assert got == [[1, 1, 1.0], [0, None, None], [0, None, None]]
+    first = score_traces(df, words=Lexicon(**words, fold_apostrophes=True)).first().matches[0]
+    assert (first.sentence, first.matched_keyword) == ("It\u2019s odd.", "it's")
+    assert score_traces(df, words=Lexicon(**words)).first().total_hedges == 0
+    assert score_traces(df, words=Lexicon(hedges=(), verifications=("a\\'b",))).first().total_hedges == 0
+
+
+def test_one_subject_per_extraction_step(spark):
+    """The words after "about"; the head of the cleaned sentence; its first three words; its first thirty characters."""
+    from tracelens.functions.text import extract_subject
+    from pyspark.sql import functions as F
+
+    cases = {
+        "I'm not sure about the boundary condition.": "the boundary condition",
+        "Maybe the equation is incorrect.": "the equation",
+        "The final answer seems reasonable.": "the final answer",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.x for r in df.select("s", extract_subject(F.col("s")).alias("x")).collect()} == cases

@@ -24,6 +24,7 @@ NORMALIZED_COLUMNS = [
     "model",
     "content",
     "reasoning",
+    "structured_json",
     "prompt_tokens",
     "completion_tokens",
     "total_tokens",
@@ -75,6 +76,11 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where(F.col("valid")), validated.where(~F.col("valid"))
 
 
+def _schema() -> Column:
+    """The response schema as a JSON value; keys come out in alphabetical order."""
+    return F.parse_json(F.col("response_schema"))
+
+
 def _openai_payload() -> Column:
     sys_msg = F.when(
         F.col("system_instruction").isNotNull(),
@@ -82,6 +88,8 @@ def _openai_payload() -> Column:
     )
     user_msg = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
     messages = F.filter(F.array(sys_msg, user_msg), lambda m: m.isNotNull())
+    named = F.struct(F.lit("response").alias("name"), _schema().alias("schema"))
+    wanted = F.when(F.col("response_schema").isNotNull(), F.struct(F.lit("json_schema").alias("type"), named.alias("json_schema")))
     return F.to_json(
         F.struct(
             F.col("model_id").alias("model"),
@@ -89,6 +97,7 @@ def _openai_payload() -> Column:
             F.col("temperature").alias("temperature"),
             F.col("max_tokens").alias("max_tokens"),
             F.col("top_p").alias("top_p"),
+            wanted.alias("response_format"),
         )
     )
 
@@ -99,7 +108,9 @@ def _google_payload() -> Column:
         F.col("max_tokens").alias("max_output_tokens"),
         F.col("top_p").alias("top_p"),
         F.col("system_instruction").alias("system_instruction"),
-        F.lit("text/plain").alias("response_mime_type"),
+        F.when(F.col("response_schema").isNull(), "text/plain").otherwise("application/json").alias("response_mime_type"),
+        _schema().alias("response_schema"),
+        F.struct(F.lit(True).alias("include_thoughts")).alias("thinking_config"),
     )
     return F.to_json(
         F.struct(F.col("model_id").alias("model"), F.col("prompt").alias("contents"), config.alias("config")),
@@ -116,18 +127,30 @@ def _bedrock_payload() -> Column:
         F.col("max_tokens").alias("maxTokens"),
         F.col("top_p").alias("topP"),
     )
-    base = [F.col("model_id").alias("modelId"), messages.alias("messages"), inference.alias("inferenceConfig")]
-    with_sys = F.to_json(F.struct(*base, F.array(F.struct(F.col("system_instruction").alias("text"))).alias("system")))
-    return F.when(F.col("system_instruction").isNull(), F.to_json(F.struct(*base))).otherwise(with_sys)
+    system = F.when(F.col("system_instruction").isNotNull(), F.array(F.struct(F.col("system_instruction").alias("text"))))
+    text_format = F.struct(F.struct(_schema().alias("json")).alias("textFormat"))
+    extra = F.when(F.col("response_schema").isNotNull(), F.struct(text_format.alias("outputConfig")))
+    return F.to_json(
+        F.struct(
+            F.col("model_id").alias("modelId"),
+            messages.alias("messages"),
+            inference.alias("inferenceConfig"),
+            system.alias("system"),
+            extra.alias("additionalModelRequestFields"),
+        )
+    )
 
 
 def build_batch_requests(valid_requests: DataFrame) -> DataFrame:
     """``(call_id, provider_key, payload)``: one vendor-shaped JSON body per request.
 
     A system message comes first when present; sampling parameters follow the
-    vendor's names. The payload is a narrow projection (no shuffle) and can be
+    vendor's names; a ``response_schema`` (JSON text, null for plain answers)
+    asks for structured output. The payload is a narrow projection (no shuffle) and can be
     written straight out as JSON lines for a batch endpoint.
     """
+    if "response_schema" not in valid_requests.columns:
+        valid_requests = valid_requests.withColumn("response_schema", F.lit(None).cast("string"))
     p = F.col("provider_key")
     payload = (
         F.when(p == "openai", _openai_payload())
@@ -143,17 +166,17 @@ def build_batch_requests(valid_requests: DataFrame) -> DataFrame:
 OPENAI_SCHEMA = (
     "call_id bigint, provider_key string, model string, latency_ms double, "
     "choices array<struct<message:struct<content:string,parsed:string>>>, "
-    "usage struct<prompt_tokens:int,completion_tokens:int>"
+    "usage struct<prompt_tokens:int,completion_tokens:int>, structured boolean"
 )
 GOOGLE_SCHEMA = (
     "call_id bigint, provider_key string, model string, latency_ms double, text string, "
     "candidates array<struct<content:struct<parts:array<struct<text:string,thought:boolean>>>>>, "
-    "usage_metadata struct<prompt_token_count:int,candidates_token_count:int>"
+    "usage_metadata struct<prompt_token_count:int,candidates_token_count:int>, structured boolean"
 )
 BEDROCK_SCHEMA = (
     "call_id bigint, provider_key string, model string, latency_ms double, "
     "output struct<message:struct<content:array<struct<text:string>>>>, "
-    "usage struct<inputTokens:int,outputTokens:int>"
+    "usage struct<inputTokens:int,outputTokens:int>, structured boolean"
 )
 
 
@@ -163,6 +186,15 @@ def _tokens(p: Column, c: Column) -> list[Column]:
     return [p0.alias("prompt_tokens"), c0.alias("completion_tokens"), (p0 + c0).alias("total_tokens")]
 
 
+def _structured(json_text: Column) -> Column:
+    """A structured answer as canonical JSON text.
+
+    Null when no structure was asked for (``structured`` of the log), for an
+    empty answer, and for one that is not JSON.
+    """
+    return F.when(F.col("structured") & (json_text != ""), F.to_json(F.try_parse_json(json_text)))
+
+
 def normalize_openai(df: DataFrame) -> DataFrame:
     msg = F.get(F.col("choices"), 0)["message"]
     return df.select(
@@ -171,6 +203,7 @@ def normalize_openai(df: DataFrame) -> DataFrame:
         "model",
         F.coalesce(msg["content"], F.lit("")).alias("content"),
         F.lit(None).cast("string").alias("reasoning"),
+        _structured(msg["parsed"]).alias("structured_json"),
         *_tokens(F.col("usage.prompt_tokens"), F.col("usage.completion_tokens")),
         "latency_ms",
     )
@@ -197,6 +230,7 @@ def normalize_google(df: DataFrame) -> DataFrame:
         "model",
         content.alias("content"),
         reasoning.alias("reasoning"),
+        _structured(content).alias("structured_json"),
         *_tokens(F.col("usage_metadata.prompt_token_count"), F.col("usage_metadata.candidates_token_count")),
         "latency_ms",
     )
@@ -210,6 +244,7 @@ def normalize_bedrock(df: DataFrame) -> DataFrame:
         "model",
         F.coalesce(first, F.lit("")).alias("content"),
         F.lit(None).cast("string").alias("reasoning"),
+        _structured(first).alias("structured_json"),
         *_tokens(F.col("usage.inputTokens"), F.col("usage.outputTokens")),
         "latency_ms",
     )
@@ -224,8 +259,11 @@ def telemetry_by_model(normalized: DataFrame) -> DataFrame:
     """Calls, token totals and latency per provider and model.
 
     Map-side partial aggregation keeps a dominant model cheap; all aggregates
-    are algebraic, so no group is ever gathered in one place.
+    are algebraic, so no group is ever gathered in one place. Percentiles are of
+    whole milliseconds, whose counts a group's state holds: at most as many as
+    a call's time limit has milliseconds.
     """
+    whole_ms = F.floor("latency_ms")
     return normalized.groupBy("provider_key", "model").agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
@@ -233,4 +271,6 @@ def telemetry_by_model(normalized: DataFrame) -> DataFrame:
         F.sum("total_tokens").alias("total_tokens"),
         scoring.round4(F.avg("latency_ms")).alias("avg_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
+        scoring.round4(F.percentile(whole_ms, F.lit(0.5))).alias("p50_latency_ms"),
+        scoring.round4(F.percentile(whole_ms, F.lit(0.95))).alias("p95_latency_ms"),
     )

@@ -10,7 +10,7 @@ from tracelens.operators import calls
 from tracelens.plans import oracle_sql as o
 from tracelens.plans.common import table
 from tracelens.session import work_dir
-from tracelens.sources import calllog
+from tracelens.sources import calllog, inventory
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,8 @@ req AS (
          CAST(c.turn % 6 AS DOUBLE) * 0.5 AS temperature,
          CAST((c.conv_id + c.turn) % 6 AS DOUBLE) * 0.25 AS top_p,
          CAST(length(c.text) % 2000 - 50 AS INTEGER) AS max_tokens,
-         c.text AS prompt, s.system_instruction
+         c.text AS prompt, s.system_instruction,
+         CASE WHEN c.conv_id % 5 = 0 THEN {o.q(calllog.RESPONSE_SCHEMA)}::JSON END AS response_schema
   FROM conversations c LEFT JOIN sysi s ON s.conv_id = c.conv_id WHERE c.role = 'user'),
 val AS (
   SELECT *, lower(provider) AS provider_key,
@@ -72,19 +73,25 @@ def q_validate_requests(spark: SparkSession, sf: str) -> DataFrame:
     REQ_SQL
     + """ SELECT call_id, provider_key,
           CASE provider_key
-            WHEN 'openai' THEN to_json({'model': model_id,
+            WHEN 'openai' THEN json_merge_patch(to_json({'model': model_id,
                  'messages': list_filter([CASE WHEN system_instruction IS NOT NULL THEN {'role': 'system', 'content': system_instruction} END,
                                           {'role': 'user', 'content': prompt}], lambda m: m IS NOT NULL),
-                 'temperature': temperature, 'max_tokens': max_tokens, 'top_p': top_p})
+                 'temperature': temperature, 'max_tokens': max_tokens, 'top_p': top_p}),
+                 CASE WHEN response_schema IS NULL THEN '{}'::JSON
+                      ELSE to_json({'response_format': {'type': 'json_schema', 'json_schema': {'name': 'response', 'schema': response_schema}}}) END)
             WHEN 'google' THEN to_json({'model': model_id, 'contents': prompt,
                  'config': {'temperature': temperature, 'max_output_tokens': max_tokens, 'top_p': top_p,
-                            'system_instruction': system_instruction, 'response_mime_type': 'text/plain'}})
-            WHEN 'aws_bedrock' THEN CASE WHEN system_instruction IS NULL
+                            'system_instruction': system_instruction,
+                            'response_mime_type': CASE WHEN response_schema IS NULL THEN 'text/plain' ELSE 'application/json' END,
+                            'response_schema': response_schema, 'thinking_config': {'include_thoughts': true}}})
+            WHEN 'aws_bedrock' THEN json_merge_patch(CASE WHEN system_instruction IS NULL
               THEN to_json({'modelId': model_id, 'messages': [{'role': 'user', 'content': [{'text': prompt}]}],
                             'inferenceConfig': {'temperature': temperature, 'maxTokens': max_tokens, 'topP': top_p}})
               ELSE to_json({'modelId': model_id, 'messages': [{'role': 'user', 'content': [{'text': prompt}]}],
                             'inferenceConfig': {'temperature': temperature, 'maxTokens': max_tokens, 'topP': top_p},
-                            'system': [{'text': system_instruction}]}) END
+                            'system': [{'text': system_instruction}]}) END,
+              CASE WHEN response_schema IS NULL THEN '{}'::JSON
+                   ELSE to_json({'additionalModelRequestFields': {'outputConfig': {'textFormat': {'json': response_schema}}}}) END)
           END::VARCHAR AS payload
         FROM val WHERE len(violations) = 0""",
 )
@@ -97,8 +104,10 @@ RESP_SQL = f"""
 WITH resp AS (
   SELECT conv_id * 1000 + turn AS call_id,
          {_lst(lexicon.PROVIDERS)}[conv_id % 3 + 1] AS provider_key,
-         'model-' || CAST(conv_id % 3 AS VARCHAR) AS model, text,
-         string_split(text, chr(10)) AS lines,
+         'model-' || CAST(conv_id % 3 AS VARCHAR) AS model,
+         CASE WHEN conv_id % 5 = 0 THEN CAST(to_json({{'answer': text}}) AS VARCHAR) END AS structured_json,
+         coalesce(structured_json, text) AS body,
+         string_split(body, chr(10)) AS lines,
          CASE WHEN conv_id % 11 = 0 THEN 0 ELSE CAST(turn * 10 + conv_id % 7 AS INTEGER) END AS prompt_tokens,
          CASE WHEN conv_id % 11 = 0 THEN 0 ELSE CAST(len(string_split(text, ' ')) AS INTEGER) END AS completion_tokens,
          CAST(printf('%.2f', CAST(length(text) AS DOUBLE) * 0.37 + CAST(turn AS DOUBLE) * 12.5) AS DOUBLE) AS latency_ms
@@ -111,8 +120,8 @@ parts AS (
 norm AS (
   SELECT call_id, provider_key, model,
     CASE WHEN provider_key = 'google' AND len(content_parts) > 0 THEN array_to_string(content_parts, '')
-         ELSE text END AS content,
-    CASE WHEN provider_key = 'google' AND len(thought_parts) > 0 THEN array_to_string(thought_parts, '') END AS reasoning,
+         ELSE body END AS content,
+    CASE WHEN provider_key = 'google' AND len(thought_parts) > 0 THEN array_to_string(thought_parts, '') END AS reasoning, structured_json,
     prompt_tokens, completion_tokens, CAST(prompt_tokens + completion_tokens AS INTEGER) AS total_tokens, latency_ms
   FROM parts)
 """
@@ -144,7 +153,9 @@ def q_normalize_responses(spark: SparkSession, sf: str) -> DataFrame:
     + f""" SELECT provider_key, model, count(*) AS calls,
               CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
               CAST(sum(total_tokens) AS BIGINT) AS total_tokens, {o.round4('avg(latency_ms)')} AS avg_latency_ms,
-              max(latency_ms) AS max_latency_ms
+              max(latency_ms) AS max_latency_ms,
+              {o.round4('quantile_cont(floor(latency_ms), 0.5)')} AS p50_latency_ms,
+              {o.round4('quantile_cont(floor(latency_ms), 0.95)')} AS p95_latency_ms
            FROM norm GROUP BY provider_key, model""",
 )
 def q_telemetry_by_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,3 +168,21 @@ def q_sink_responses(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "response-text")
     normalized(spark, sf).select("call_id", "content").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+@register(
+    "scan_lexicon_inventory",
+    f"""WITH turns AS (
+          SELECT role, list_filter(list_transform(string_split(replace(text, '`', ''), chr(10)), lambda x: {o.strip('x')}), lambda x: x <> '') AS lines
+          FROM conversations WHERE role IN ('user', 'assistant')),
+        said AS (SELECT CASE role WHEN 'user' THEN 'hedge' ELSE 'verification' END AS category, role, unnest(lines) AS line FROM turns),
+        groups AS (SELECT category, role, line, array_to_string(string_split(line, ' ')[1:2], ' / ') AS phrase_group FROM said),
+        phrases AS (SELECT category, phrase_group, unnest(string_split(phrase_group, ' / ')) AS phrase, line AS usage_context, role AS reasoning_purpose FROM groups)
+        SELECT category, phrase_group, {o.strip('phrase')} AS phrase, usage_context, reasoning_purpose FROM phrases
+        UNION ALL
+        SELECT 'opening', NULL, lines[1], NULL, NULL FROM turns WHERE len(lines) > 0""",
+)
+def q_scan_lexicon_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrase inventories (JSON answers in a code fence), one per turn, parsed into rows."""
+    c = table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
+    return inventory.parse_inventory(c.select(calllog.inventory_answer(F.col("text"), F.col("role")).alias("value")))

@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 
 METRICS = [c for c in score.METRIC_COLUMNS if c != "matches"]
 METRICS_SQL = ", ".join(METRICS)
+MATCH_COLS = [f.split(":")[0] for f in score.MATCH_FIELDS.split(",")]
 
 
 def register(name: str, sql: str | None = None):
@@ -61,8 +62,8 @@ def q_register_functions(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "sink_metrics_json",
     o.trace_ctes("user_day")
-    + f""" SELECT m.trace_id, {', '.join('m.' + c for c in METRICS)}, CAST(coalesce(n.n, 0) AS INTEGER) AS n_matches
-           FROM metrics m LEFT JOIN (SELECT trace_id, count(*) AS n FROM matches GROUP BY trace_id) n ON n.trace_id = m.trace_id""",
+    + f""" SELECT m.trace_id, {', '.join('m.' + c for c in METRICS)}, {', '.join('n.' + c for c in MATCH_COLS)}
+           FROM metrics m LEFT JOIN matches n ON n.trace_id = m.trace_id""",
 )
 def q_sink_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
     """Write the full nested result as JSON lines and read it back with its schema.
@@ -74,16 +75,23 @@ def q_sink_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
     from tracelens.plans.common import scored_rows
 
     metrics, matches = scored_rows(spark, sf, "user_day")
-    match_cols = [f.split(":")[0] for f in score.MATCH_FIELDS.split(",")]
     per = matches.groupBy("trace_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", F.struct(*match_cols).alias("m")))).alias("_ms")
+        F.array_sort(F.collect_list(F.struct("position", F.struct(*MATCH_COLS).alias("m")))).alias("_ms")
     )
     nested = F.coalesce(F.transform("_ms", lambda x: x["m"]), F.array().cast(score.MATCHES_TYPE))
     df = metrics.drop("user_id", "day").join(per, "trace_id", "left").select("trace_id", *METRICS, nested.alias("matches"))
     path = work_dir(spark, "metrics-json")
     files.sink_metrics_json(df, path)
     back = spark.read.schema(df.schema).json(path)
-    return back.select("trace_id", *METRICS, F.size("matches").alias("n_matches"))
+    return back.select("trace_id", *METRICS, F.inline_outer("matches")).select("trace_id", *METRICS, *MATCH_COLS)
+
+
+@register("sink_run_summary", eval_queries.ORACLES["run_summary"])
+def q_sink_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Persist the run's summary row; read the table back."""
+    path = work_dir(spark, "summary")
+    eval_queries.QUERIES["run_summary"](spark, sf).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 @register(

@@ -11,13 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.functions import lexicon
+from tracelens.functions import lexicon, text
 
 # FIXED VALUES (ours): provider spellings assigned to conversations, including
 # a case variant and an unknown vendor so validation has work to do.
 REQUEST_PROVIDERS = ["openai", "google", "aws_bedrock", "OpenAI", "azure"]
 
 
+# FIXED VALUE (ours): the structure asked for, keys in alphabetical order.
+RESPONSE_SCHEMA = '{"properties":{"answer":{"type":"string"}},"type":"object"}'
+
+
 def _pick(values: list[str], key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int") + 1)
 
@@ -53,6 +57,7 @@ def requests(conversations: DataFrame) -> DataFrame:
         (F.pmod(F.length("text"), F.lit(2000)) - 50).cast("int").alias("max_tokens"),
         F.col("text").alias("prompt"),
         "system_instruction",
+        F.when(F.pmod(conv, F.lit(5)) == 0, F.lit(RESPONSE_SCHEMA)).alias("response_schema"),
     )
 
 
@@ -60,13 +65,17 @@ def responses(conversations: DataFrame) -> DataFrame:
     """Assistant turns with the fields every raw shape is built from."""
     a = conversations.where(F.col("role") == "assistant")
     conv, turn, t = F.col("conv_id"), F.col("turn"), F.col("text")
-    lines = F.split(t, "\n", -1)
+    # conversations with a response schema get their answers as JSON
+    structured = F.pmod(conv, F.lit(5)) == 0
+    body = F.when(structured, F.to_json(F.struct(t.alias("answer")))).otherwise(t)
+    lines = F.split(body, "\n", -1)
     no_usage = F.pmod(conv, F.lit(11)) == 0
     return a.select(
         (conv * 1000 + turn).alias("call_id"),
         _pick(lexicon.PROVIDERS, conv).alias("provider_key"),
         F.concat(F.lit("model-"), F.pmod(conv, F.lit(3)).cast("string")).alias("model"),
-        t.alias("text"),
+        body.alias("text"),
+        structured.alias("structured"),
         F.transform(lines, lambda x, i: F.struct(x.alias("text"), (i < F.size(lines) / F.lit(2.0)).alias("thought"))).alias("parts"),
         F.when(~no_usage, (turn * 10 + F.pmod(conv, F.lit(7))).cast("int")).alias("p_tok"),
         F.when(~no_usage, F.size(F.split(t, " ", -1))).alias("c_tok"),
@@ -77,8 +86,8 @@ def responses(conversations: DataFrame) -> DataFrame:
 def raw_openai(resp: DataFrame) -> DataFrame:
     r = resp.where(F.col("provider_key") == "openai")
     usage = F.when(F.col("p_tok").isNotNull(), F.struct(F.col("p_tok").alias("prompt_tokens"), F.col("c_tok").alias("completion_tokens")))
-    msg = F.struct(F.col("text").alias("content"), F.lit(None).cast("string").alias("parsed"))
-    return r.select("call_id", "provider_key", "model", "latency_ms", F.array(F.struct(msg.alias("message"))).alias("choices"), usage.alias("usage"))
+    msg = F.struct(F.col("text").alias("content"), F.when(F.col("structured"), F.col("text")).alias("parsed"))
+    return r.select("call_id", "provider_key", "model", "latency_ms", F.array(F.struct(msg.alias("message"))).alias("choices"), usage.alias("usage"), "structured")
 
 
 def raw_google(resp: DataFrame) -> DataFrame:
@@ -88,12 +97,33 @@ def raw_google(resp: DataFrame) -> DataFrame:
         F.struct(F.col("p_tok").alias("prompt_token_count"), F.col("c_tok").alias("candidates_token_count")),
     )
     cand = F.array(F.struct(F.struct(F.col("parts").alias("parts")).alias("content")))
-    return r.select("call_id", "provider_key", "model", "latency_ms", "text", cand.alias("candidates"), usage.alias("usage_metadata"))
+    return r.select("call_id", "provider_key", "model", "latency_ms", "text", cand.alias("candidates"), usage.alias("usage_metadata"), "structured")
 
 
 def raw_bedrock(resp: DataFrame) -> DataFrame:
     r = resp.where(F.col("provider_key") == "aws_bedrock")
     usage = F.when(F.col("p_tok").isNotNull(), F.struct(F.col("p_tok").alias("inputTokens"), F.col("c_tok").alias("outputTokens")))
     out = F.struct(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("content")).alias("message"))
-    return r.select("call_id", "provider_key", "model", "latency_ms", out.alias("output"), usage.alias("usage"))
+    return r.select("call_id", "provider_key", "model", "latency_ms", out.alias("output"), usage.alias("usage"), "structured")
+
+
+def inventory_answer(turn: Column, role: Column) -> Column:
+    """A phrase inventory as a model would answer it: JSON in a code fence.
 
+    Each line of a turn gives a phrase group of its first two words, as a hedge
+    in a user's turn and as a verification otherwise.
+    """
+    lines = F.filter(F.transform(F.split(F.regexp_replace(turn, "`", ""), "\n", -1), text.strip_ws), lambda x: x != "")
+    entries = F.transform(
+        lines,
+        lambda x: F.struct(
+            F.array_join(F.slice(F.split(x, " ", -1), 1, 2), " / ").alias("phrase"), x.alias("usage_context"), role.alias("reasoning_purpose")
+        ),
+    )
+    user = role == "user"
+    answer = F.struct(
+        F.when(user, entries).alias("hedge_words"),
+        F.when(~user, entries).alias("verification_words"),
+        F.create_map(F.lit("opening"), F.slice(lines, 1, 1)).alias("reasoning_patterns"),
+    )
+    return F.concat(F.lit("```json\n"), F.to_json(answer), F.lit("\n```"))
