@@ -32,3 +32,20 @@ def test_fold_computed_once_under_filters(spark):
     # filtering on a metric must not copy the fold into the filter (it did: 86 vs 6)
     assert folds("no_hedge_traces") == folds("trace_metrics_user_day")
     assert folds("misclassified_cases") == folds("trace_metrics_user_day")
+
+
+def test_broadcast_limit_is_in_bytes(spark):
+    from tracelens.operators import joins
+
+    big = spark.range(100).selectExpr("id", "id % 3 AS k")
+    small = spark.range(3).selectExpr("id AS k", "repeat('x', 1000) AS wide")
+    rows, size = joins.measured(small)
+    assert rows == 3 and 3_000 < size < 3_200
+    assert joins.measured(small.where("k < 0")) == (0, 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in _plan(joins.join_checked(big, small, "k", limit=size))
+        over = joins.join_checked(big, small, "k", limit=size - 1)
+        assert "BroadcastHashJoin" not in _plan(over) and over.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

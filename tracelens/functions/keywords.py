@@ -29,7 +29,7 @@ def with_lower(sentence: Column, fn, words: lexicon.Lexicon = lexicon.DEFAULT) -
     for every keyword once Catalyst inlines the projection; binding it as a
     lambda variable of a one-element ``transform`` evaluates it once.
     """
-    return F.get(F.transform(F.array(lowered(sentence, words)), fn), 0)
+    return F.get(F.transform(F.array(lowered(sentence, words)), lambda low: fn(low)), 0)
 
 
 def lit_array(values: Sequence[str]) -> Column:

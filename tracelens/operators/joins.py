@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may hold. Well under the driver/executor memory of a
-# cluster node for the narrow dimension rows used here.
-BROADCAST_ROW_LIMIT = 2_000_000
+# Bytes a broadcast side may hold, well under the memory of a driver or executor.
+BROADCAST_BYTES = 64 << 20
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join, broadcasting ``small`` only after counting it.
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df``, in one aggregate; bytes are those of its rows as JSON."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("bigint") + 16
+    rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows, total or 0
+
+
+def broadcast_if(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its measured size is within the limit."""
+    return F.broadcast(df) if n_bytes <= limit else df
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join, broadcasting ``small`` only after measuring it in bytes.
 
-    The count is one cheap aggregate job over the (already reduced) small side.
     Over the limit the join stays a shuffle join, where AQE's skew-join split
     handles hot keys on the big side.
     """
-    if small.count() <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    return big.join(broadcast_if(small, measured(small)[1], limit), on, how)
 
 
 def barrier(df: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def assign(
             best_all = best
         else:
             best_all = scans.materialize(best_all.join(active, "trace_id", "left_anti").unionByName(best))
-        n_moved = moved.count()
+        n_moved, moved_bytes = joins.measured(moved)
         if n_moved == 0:
             break
         if turn >= PARALLEL_ROUNDS:
@@ -242,7 +242,7 @@ def assign(
             best_all = scans.materialize(best_all.join(moved, "trace_id", "left_anti").unionByName(rest))
             break
         claims = scans.materialize(claims.join(moved, "trace_id", "left_anti").unionByName(new_claims.join(moved, "trace_id", "left_semi")))
-        active = F.broadcast(moved) if n_moved <= joins.BROADCAST_ROW_LIMIT else moved
+        active = joins.broadcast_if(moved, moved_bytes)
     return best_all
 
 
@@ -492,15 +492,15 @@ MATCH_COLS = [
 def split_by_size(r: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(short-trace rows, long-trace rows or None, long trace ids or None).
 
-    Sizes are a partial aggregate; the long-trace id list is counted, then
-    broadcast only when within the row limit.
+    Sizes are a partial aggregate; the long-trace id list is measured, then
+    broadcast only when within the byte limit.
     """
     sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > max_rows).select("trace_id")
-    n_hot = hot.count()
+    n_hot, hot_bytes = joins.measured(hot)
     if not n_hot:
         return r, None, None
-    hot_side = F.broadcast(hot) if n_hot <= joins.BROADCAST_ROW_LIMIT else hot
+    hot_side = joins.broadcast_if(hot, hot_bytes)
     return r.join(hot_side, "trace_id", "left_anti"), r.join(hot_side, "trace_id", "left_semi"), hot_side
 
 

@@ -4,7 +4,7 @@ The reference scores a labelled CSV suite (7 string columns, quoted text with
 commas, doubled quotes and embedded newlines) split into numbered batches. The
 reader here keeps that format; batches are ``batch=N`` partitions, so choosing
 batches is partition pruning. Because multi-line CSV cannot be split, large
-suites should be converted once to Parquet (:func:`csv_to_parquet`).
+suites should be converted once to Parquet.
 """
 
 from __future__ import annotations
@@ -138,9 +138,3 @@ def split_rejects(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     if has_corrupt:
         valid = valid.drop(CORRUPT)
     return valid, rejects
-
-
-def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
-    """Convert a (non-splittable) multi-line CSV suite once to Parquet."""
-    read_suite_csv(spark, csv_path).write.mode("overwrite").partitionBy("batch").parquet(parquet_path)
-    return spark.read.parquet(parquet_path)
