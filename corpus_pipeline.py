@@ -14,6 +14,9 @@ from tracelens.llm import langid, line_dedup, ngram_join, packing, pii
 from tracelens.llm.common import written
 from tracelens.session import ensure_checkpoint_dir
 
+#: Words of a shingle and least similarity of near duplicates; op9 has its own.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``n_chars`` anew after the text has changed."""
@@ -41,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (9)."""
     ensure_checkpoint_dir(spark)
-    return ngram_join.first_of_each(docs)
+    return ngram_join.first_of_each(docs, SIMILAR_PERCENT, SHINGLE_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Size-aware heavy-light Jaccard join of documents' word n-gram sets.
 
-A document's set is its distinct runs of ``N`` words, as 64-bit hashes. Sets
+A document's set is its distinct runs of ``n`` words (``N`` unless told), as 64-bit hashes. Sets
 are ordered by a global order, rare n-grams first (a sketch of fixed size
 counts all n-grams of the corpus). Two sets that reach the similarity share an
 element among their first ``a - ceil(t a) + 1``, and two among one more.
@@ -107,13 +107,13 @@ def boundary(counts: np.ndarray, percent: int = PERCENT) -> int:
     return max(0, (prefix - 1) * 100 // (100 - percent))
 
 
-def sketch(rows: DataFrame) -> np.ndarray:
+def sketch(rows: DataFrame, n: int = N) -> np.ndarray:
     """How often n-grams of each cell occur in the documents' sets, over all rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in slices(batches):
-            sets = shingle_sets(batch.column(0))
+            sets = shingle_sets(batch.column(0), n)
             if sets:
                 total += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(total)
@@ -125,7 +125,7 @@ def sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) -> DataFrame:
     """Each row's set number and size, and the keys under which it is looked for.
 
     ``rests`` holds how many elements a link found under a key can share at
@@ -142,7 +142,7 @@ def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         counts = shared.value
         for batch in slices(batches, 512):
             out = []
-            for grams in shingle_sets(batch.column(2)):
+            for grams in shingle_sets(batch.column(2), n):
                 size, keys, rests, parts = len(grams), [], [], []
                 if not size:
                     out.append((None, 0, [], [], []))
@@ -179,14 +179,14 @@ def possible(a: str, b: str, percent: int) -> Column:
     return sizes & (F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) * (100 + percent) >= percent * (na + nb))
 
 
-def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int, n: int = N) -> DataFrame:
     """The pairs (a, b) of set numbers whose sets reach the similarity; sets are made anew from the texts of those concerned."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("tk").alias("tk")).join(wanted, "node").select("tk").distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            sets = shingle_sets(batch.column(0))
+            sets = shingle_sets(batch.column(0), n)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
 
     chosen = rows.join(texts, "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text")).select("text")
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int)
     return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that is not null among rows reachable
@@ -215,8 +215,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    counts = sketch(rows)
-    keyed = written(keyed_sets(rows, counts, percent), "keyed-sets")
+    counts = sketch(rows, n)
+    keyed = written(keyed_sets(rows, counts, percent, n), "keyed-sets")
     # equal sets are one node from here on
     nodes = keyed.where("node IS NOT NULL AND size(keys) > 0").groupBy("node").agg(F.first(F.struct("n", F.arrays_zip("keys", "rests", "parts").alias("under"))).alias("s"))
     entries = nodes.select("node", "s.n", F.explode("s.under").alias("e")).select(
@@ -231,7 +231,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = firsts.join(firsts.groupBy("key").agg(F.min("m").alias("pivot")), "key")
     star = lists.select("pivot", "m").union(firsts.select("pivot", "m")).where((F.col("m.node") != F.col("pivot.node")) & possible("pivot", "m", percent))
     star = written(star.select(F.least("m.node", "pivot.node").alias("a"), F.greatest("m.node", "pivot.node").alias("b")).distinct(), "pairs")
-    links = written(verified(star, keyed, rows, percent), "links")
+    links = written(verified(star, keyed, rows, percent, n), "links")
     # lists whose members are not all connected by now
     so_far = components(links)
     members = lists.select("key", F.col("m.node").alias("node"), "m").join(so_far, "node", "left").select("key", "m", F.coalesce("component", "node").alias("c"))
@@ -241,7 +241,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = x.join(y, "key").where((F.col("c") < F.col("d")) & possible("m", "w", percent))
     rest = rest.select(F.least("m.node", "w.node").alias("a"), F.greatest("m.node", "w.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
-    component = components(links.union(verified(rest, keyed, rows, percent)))
+    component = components(links.union(verified(rest, keyed, rows, percent, n)))
 
     ids = keyed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
     # a table of its own, so that the join below can split a component that holds many rows
@@ -250,13 +250,13 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def first_of_each(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """``docs`` with one document of each group of linked ones: the one whose doc_id names the group.
 
     Rows without words all stay. Of several rows with the id that names their
     group, one stays.
     """
-    found = link_documents(docs, percent).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    found = link_documents(docs, percent, n).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     words = F.coalesce(F.length(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", "")), F.lit(0)) > 0
     unnamed = docs.where(~words | F.col("doc_id").isNull())
     named = docs.where(words & F.col("doc_id").isNotNull()).join(found, F.col("doc_id") == F.col("__id"), "left_semi")
