@@ -2,8 +2,13 @@
 
 import random
 import re
+from collections import Counter
+
+import numpy as np
+import pytest
 
 import corpus_pipeline
+from tracelens.llm import ngram_join, quality
 
 from .test_dedup import ASCII_LOWER, copies, roots
 
@@ -31,3 +36,41 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     out = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     want = firsts(texts, 5, 80)
     assert want != firsts(texts, 4, 85) and len(out) == len(want) and set(out) == want
+
+
+LATIN = {"en": "the weather was fine and people walked along the river talking about their work and home".split(), "fr": "le temps était beau et les gens marchaient le long de la rivière en parlant de leur travail".split()}
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    r = random.Random(3)
+    clean = [(lang, " ".join(r.choice(words) for _ in range(40))) for lang, words in LATIN.items() for _ in range(40)]
+    strange = ["日本語の文章です。これは長いです。" * 5, "Это русский текст о погоде и людях. " * 5, "xqzj kkfw pqzx wvvq zzkj qxwp " * 10]
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(clean)] + [(1000 + k, t, None) for k, t in enumerate([*strange, "12 34", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x["doc_id"] for x in corpus_pipeline.languages(spark, df, "").collect()} == set(range(len(clean)))
+
+
+def test_language_stage_keeps_letters_when_nothing_was_learned(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "日本語", None), (3, "12", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert {x["doc_id"] for x in corpus_pipeline.languages(spark, df, "").collect()} == {1, 2}
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "a b c d e f g h", "other words in here too", "a third text of its own"
+    rows = [(1, a), (1, b), (2, a), (2, c), (None, a), (None, c), (None, "without a name"), (None, "without a name"), (None, ""), (None, None)]
+    left = ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x["doc_id"], x["text"]) for x in left) == Counter([(1, a), (1, b), (2, c), (None, "without a name"), (None, ""), (None, None)])
+
+
+@pytest.mark.parametrize("broadcast_ids", [200_000, 0])
+def test_every_trusted_document_counts(spark, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", broadcast_ids)
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdef ") for _ in range(30)) for _ in range(300)]
+    docs = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    raw, good = np.full(quality.BUCKETS, 1.0), np.full(quality.BUCKETS, 1.0)
+    for i, t in enumerate(texts):
+        np.add.at(raw, quality.n_grams(t), 1)
+        np.add.at(good, quality.n_grams(t), i % 3 != 0 and i < 200)
+    ratios = quality.fit(docs, spark.range(-60_000, 200).withColumnRenamed("id", "doc_id"))
+    assert np.allclose(ratios, np.log(good / good.sum()) - np.log(raw / raw.sum()))

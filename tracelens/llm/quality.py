@@ -7,9 +7,8 @@ by the number of n-grams. n-grams are runs of ``ORDER`` bytes of the text,
 hashed to ``BUCKETS``; both multinomials are smoothed by ``SMOOTHING`` counts
 per bucket. A document is kept when its score reaches a fixed threshold.
 
-Raw counts cover every document. Trusted documents are those whose id is in a
-bounded list; counts are added up on the executors and the driver gets one
-number per bucket.
+Raw counts cover every document and target counts every trusted one. Counts
+are added up on the executors and the driver gets one number per bucket.
 """
 
 from __future__ import annotations
@@ -22,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, unit_hash
+from .common import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 ORDER, BUCKETS, SMOOTHING = 3, 1 << 14, 1.0
 THRESHOLD = -0.5
-TRUSTED_IDS = 20_000
+#: Trusted ids that are sent to every executor; with more, texts are shuffled to them.
+BROADCAST_IDS = 200_000
 SCORED_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
@@ -66,18 +66,19 @@ def rules(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated
 
 
-def fit(docs: DataFrame, trusted: DataFrame, trusted_ids: int = TRUSTED_IDS) -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratio of each bucket's share among trusted documents to its share in all ``docs``.
 
-    ``trusted`` has one column, doc_id; about ``trusted_ids`` of its ids are
-    used, chosen by hash, so that the list can be broadcast. With no trusted
+    ``trusted`` has one column, doc_id; all its ids count. With no trusted
     document all ratios are 0, which keeps every document.
     """
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").dropDuplicates()
-    share = trusted_ids / max(1, ids.count())
-    ids = ids.where(unit_hash("doc_id") < share).withColumn("trusted", F.lit(True))
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.withColumns({"trusted": F.lit(True), "part": F.lit(0)})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # rows without an id are dealt by their text, so that they are not one task
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.hash("text")).otherwise(0))
+    rows = rows.join(F.broadcast(ids) if few else ids, ["doc_id", "part"], "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
