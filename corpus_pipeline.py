@@ -26,13 +26,9 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told (7); the model is learned from the documents' ``lang``."""
+    """Documents whose language can be told with enough confidence (7); the model is learned from the documents' ``lang``."""
     ensure_checkpoint_dir(spark)
-    model = langid.fit(docs)
-    # predicted columns may clash with the documents' own, so those come under names of their own
-    own = {c: f"__{c}" for c in docs.columns}
-    found = langid.predict(docs.withColumnsRenamed(own), model, text_col="__text").where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.select(*[F.col(n).alias(c) for c, n in own.items()])
+    return langid.tellable(docs, langid.fit(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,12 +38,17 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     assert want != firsts(texts, 4, 85) and len(out) == len(want) and set(out) == want
 
 
-LATIN = {"en": "the weather was fine and people walked along the river talking about their work and home".split(), "fr": "le temps était beau et les gens marchaient le long de la rivière en parlant de leur travail".split()}
+WORDS = {
+    "en": "the weather was fine and people walked along the river talking about their work and home",
+    "de": "das wetter war schön und die leute gingen am ufer entlang und sprachen über ihre arbeit",
+    "fr": "le temps était beau et les gens marchaient le long de la rivière en parlant de leur travail",
+    "es": "hacía buen tiempo y la gente caminaba junto al río hablando de su trabajo y de sus hijos",
+}
 
 
 def test_language_stage_rejects_what_was_not_learned(spark):
     r = random.Random(3)
-    clean = [(lang, " ".join(r.choice(words) for _ in range(40))) for lang, words in LATIN.items() for _ in range(40)]
+    clean = [(lang, " ".join(r.choice(words) for _ in range(40))) for lang, line in WORDS.items() for words in [line.split()] for _ in range(30)]
     strange = ["日本語の文章です。これは長いです。" * 5, "Это русский текст о погоде и людях. " * 5, "xqzj kkfw pqzx wvvq zzkj qxwp " * 10]
     rows = [(k, t, lang) for k, (lang, t) in enumerate(clean)] + [(1000 + k, t, None) for k, t in enumerate([*strange, "12 34", None])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
