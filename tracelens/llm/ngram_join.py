@@ -205,14 +205,8 @@ def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int,
     return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
-
-    component_id is the smallest doc_id that is not null among rows reachable
-    by links. Rows without words (null, empty or white texts) have no set and
-    are their own component. Rows with a repeated doc_id are documents of
-    their own. Set numbers have 64 bits; other columns are left out.
-    """
+def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tk, n_shingles and c, the number of its component; null without words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     counts = sketch(rows, n)
@@ -243,7 +237,18 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataF
     rest = written(rest, "pairs")
     component = components(links.union(verified(rest, keyed, rows, percent, n)))
 
-    ids = keyed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    return keyed.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").select("doc_id", "tk", "n_shingles", F.coalesce("component", "node").alias("c"))
+
+
+def link_documents(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id that is not null among rows reachable
+    by links. Rows without words (null, empty or white texts) have no set and
+    are their own component. Rows with a repeated doc_id are documents of
+    their own. Set numbers have 64 bits; other columns are left out.
+    """
+    ids = _grouped(docs, percent, n)
     # a table of its own, so that the join below can split a component that holds many rows
     smallest = written(ids.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id")), "smallest")
     out = ids.join(smallest, "c", "left")
@@ -251,16 +256,20 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataF
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: the one whose doc_id names the group.
+    """``docs`` with one row of each group of linked ones: the one with the smallest doc_id, nulls last.
 
-    Rows without words all stay. Of several rows with the id that names their
-    group, one stays.
+    Rows are told apart by doc_id and a 64-bit hash of the text, which also
+    decides between rows with one doc_id; of rows equal in both, one stays.
+    Rows without words all stay.
     """
-    found = link_documents(docs, percent, n).where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tk")
+    firsts = _grouped(docs, percent, n).where("c IS NOT NULL").groupBy("c").agg(F.min(order).alias("first"))
+    firsts = written(firsts.select(F.col("first.doc_id").alias("__first"), F.col("first.tk").alias("__tk")), "firsts")
     words = F.coalesce(F.length(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", "")), F.lit(0)) > 0
-    unnamed = docs.where(~words | F.col("doc_id").isNull())
-    named = docs.where(words & F.col("doc_id").isNotNull()).join(found, F.col("doc_id") == F.col("__id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    keyed = docs.where(words).withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64(F.col("text").cast("string"))})
+    same = F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__key") == F.col("__tk"))
+    left = keyed.join(firsts, same, "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    return left.unionByName(docs.where(~words))
 
 
 ORACLE = rf"""
