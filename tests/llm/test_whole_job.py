@@ -79,3 +79,11 @@ def test_every_trusted_document_counts(spark, monkeypatch, broadcast_ids):
         np.add.at(good, quality.n_grams(t), i % 3 != 0 and i < 200)
     ratios = quality.fit(docs, spark.range(-60_000, 200).withColumnRenamed("id", "doc_id"))
     assert np.allclose(ratios, np.log(good / good.sum()) - np.log(raw / raw.sum()))
+
+
+def test_line_stage_drops_boilerplate_that_is_most_of_a_text(spark):
+    menu = "home and news and sport and contact and imprint"
+    rows = [(k, "s", f"{menu}\na long line of its own that says {k} and goes on for a while") for k in range(20)]
+    rows += [(30, "s", f"{menu}\nthin"), (31, "s", menu)] + [(40 + k, "s", "a copied page\nof two lines") for k in range(6)]
+    out = {x["doc_id"]: x["text"] for x in corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"), "").collect()}
+    assert out == {i: t.removeprefix(menu).removeprefix("\n") for i, _, t in rows}

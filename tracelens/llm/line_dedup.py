@@ -2,9 +2,8 @@
 
 A line is boilerplate of a host when it stands on at least ``min_pages`` of the
 host's pages and on more than ``ratio`` of them. Such lines are dropped from
-the host's pages. A page that would lose more than half of its characters is
-not framed by boilerplate but a copy of other pages; it is left to document
-deduplication.
+the host's pages. By default, as the SQL has it, a page that would lose more
+than half of its characters is left whole.
 
 DataFrame operations only. Pages meet by (host, line hash), counts are added
 up before they are dealt, and the lines to drop come back to each page by the
@@ -40,21 +39,28 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
 
 
-def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_mostly: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text_col``, and n_lines and n_dropped.
 
     Lines are compared without spaces at their ends; blank lines are neither
     counted nor dropped. Each row is a page, also when its id or text is
     repeated; null hosts are one host. A null text stays null, with no lines.
-    Columns named n_lines or n_dropped are replaced.
+    Columns named n_lines or n_dropped are replaced. Without ``spare_mostly``
+    boilerplate goes from every page, and pages of one host with equal texts
+    count as one, which tells copies of a page from boilerplate.
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    own_lines = F.array_distinct(F.transform(F.coalesce(lines, F.array().cast("array<string>")), _hash))
     keyed = pages.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.struct(*names).alias("__row"), F.col(text_col).alias("__text"))
-    own = pages.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.array_distinct(F.transform(F.coalesce(lines, F.array().cast("array<string>")), _hash)).alias("lines"))
+    own = pages.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), own_lines.alias("lines"))
+    counted = own
+    if not spare_mostly:
+        counted = pages.select(F.col(host_col).alias("host"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), own_lines.alias("lines")).dropDuplicates(["host", "tk"])
     each = own.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.x", "line.y")
-    totals = own.groupBy("host").agg(F.count("*").alias("total"))
-    often = each.groupBy("host", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = counted.groupBy("host").agg(F.count("*").alias("total"))
+    seen = counted.select("host", F.explode("lines").alias("line")).select("host", "line.x", "line.y")
+    often = seen.groupBy("host", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     t, o = totals.alias("t"), often.alias("o")
     common = o.join(t, F.col("o.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > ratio * F.col("total")).select("o.host", "x", "y")
     e, c = each.alias("e"), common.alias("c")
@@ -64,7 +70,9 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     every = F.split("__text", "\n")
     kept = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _hash(F.trim(x))))
     joined = joined.withColumn("__kept", F.when(F.col("drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("__text")))
-    changed = F.col("drop").isNotNull() & (2 * F.length("__kept") >= F.length("__text"))
+    changed = F.col("drop").isNotNull()
+    if spare_mostly:
+        changed &= 2 * F.length("__kept") >= F.length("__text")
 
     def filled(text: str) -> Column:
         return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
