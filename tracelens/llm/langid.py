@@ -40,7 +40,8 @@ UNKNOWN = "und"
 DIMS = 4096
 PER_LANGUAGE, MAX_CHARS = 1_000, 20_000
 #: Least score of a text in a learned language: on held-out labels clean texts
-#: scored 0.5 and more (README), other languages and letter junk below 0.4.
+#: scored 0.5 and more, other languages and letter junk below 0.4; a few that
+#: mix learned languages score less (README).
 LEAST_SCORE = 0.45
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
