@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import bpe, embedding_dedup, langid, line_dedup, ngram_join, packing, pii, quality, token_store, toxicity
+from . import bpe, embedding_dedup, hard_negatives, langid, lexical_search, line_dedup, ngram_join, packing, pii, quality, token_store, toxicity, url_filter
 from .common import id_bucket, table, unit_hash, written
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -90,6 +90,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by rules, then by trust and distrust of hosts."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all."""
+    return hard_negatives.stated(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of all for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
@@ -101,9 +116,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_store": op10_token_store,
+    "op11_url_filter": op11_url_filter,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
+    "op11_url_filter": url_filter.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_ranked_search": lexical_search.ORACLE,
 }
