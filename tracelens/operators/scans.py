@@ -6,29 +6,26 @@ are done the parallel-prefix way instead:
 
 1. range-partition on ``(group, order)``: the partitioner samples the full
    sort key, so a hot group is split over many partitions by volume;
-2. each partition is sorted and scanned locally (an Arrow batch iterator in
-   ``mapInPandas``, carrying state only across batches of the same partition);
-3. the per-(group, partition) totals form a small table whose prefix over the
-   partition index is the carry for each partition;
-4. the carry is joined back on ``(group, partition)``, a balanced key.
-
-The locally scanned frame is checkpointed (reliable checkpoint in the shared
-checkpoint folder) so that the partition ids seen by steps 3 and 4 come from
-one materialisation, and so that a lost executor does not re-sample the range
-bounds.
+2. each partition is sorted, and its rows get its number and an increasing
+   number; both are fixed by a reliable checkpoint in the shared checkpoint
+   folder, so that a lost executor does not re-sample the range bounds;
+3. a (group, partition) is then a key that no group can make hot. Positions
+   come from the increasing numbers, running counts and minima from windows over
+   narrow rows;
+4. the per-(group, partition) totals form a small table whose prefix over the
+   partition number is the carry for each partition, joined back on that key.
+
+All of it is DataFrame code; no row passes through Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PID = "_pid"
+PID, ROW = "_pid", "_row"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,133 +43,65 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def _local_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column], fn, out_fields: list[T.StructField], n: int | None) -> DataFrame:
-    """Range-partition + sort, then ``fn(pdf, carry) -> (pdf, carry)`` per batch."""
-    from tracelens.session import ship_package
+def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | None) -> DataFrame:
+    """Rows in ranges of (group, order), each with its range's number and an increasing number; written.
 
-    ship_package(df.sparkSession)
+    Without an explicit count the range shuffle uses the session's shuffle
+    width and AQE may merge adjacent small ranges up to its advisory size: a
+    merged task still holds one contiguous, sorted key range, and a hot group
+    still spans many tasks.
+    """
     keys = [F.col(g) for g in group] + list(order)
-    # Without an explicit count the range shuffle uses the session's shuffle
-    # width and AQE may merge adjacent small ranges up to its advisory size: a
-    # merged task still holds one contiguous, sorted key range, and a hot group
-    # still spans many tasks.
     ranged = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
     ranged = ranged.sortWithinPartitions(*keys)
-    schema = T.StructType(df.schema.fields + out_fields + [T.StructField(PID, T.IntegerType(), False)])
-    group = list(group)
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pdf, carry = fn(pdf, carry, group)
-            pdf[PID] = np.int32(pid)
-            yield pdf
-
-    return ranged.mapInPandas(run, schema)
-
-
-def _group_change(pdf: pd.DataFrame, group: list[str]) -> np.ndarray:
-    """Boolean array: row starts a new group (relative to the previous row)."""
-    if len(group) == 1:
-        g = pdf[group[0]]
-        return (g != g.shift()).to_numpy()
-    changed = np.zeros(len(pdf), dtype=bool)
-    for c in group:
-        col = pdf[c]
-        changed |= (col != col.shift()).to_numpy()
-    return changed
-
-
-def _first_key(pdf: pd.DataFrame, group: list[str]) -> tuple:
-    return tuple(pdf[c].iloc[0] for c in group)
-
-
-def _last_key(pdf: pd.DataFrame, group: list[str]) -> tuple:
-    return tuple(pdf[c].iloc[-1] for c in group)
-
-
-# ---------------------------------------------------------------------------
-# Row numbering
-# ---------------------------------------------------------------------------
-def _number_batch(pdf: pd.DataFrame, carry, group: list[str], flags: Sequence[str] = ()):
-    starts = _group_change(pdf, group)
-    starts[0] = True
-    seg = np.cumsum(starts) - 1
-    first_rows = np.flatnonzero(starts)
-    idx = np.arange(len(pdf)) - first_rows[seg]
-    cums = {}
-    for f in flags:
-        v = pdf[f].fillna(False).to_numpy(dtype=bool).astype(np.int64)
-        c = np.cumsum(v)
-        base = np.where(first_rows > 0, c[first_rows - 1], 0)
-        cums[f] = c - base[seg]
-    if carry is not None and carry[0] == _first_key(pdf, group):
-        same = seg == 0
-        idx[same] += carry[1]
-        for f in flags:
-            cums[f][same] += carry[2][f]
-    pdf["_local"] = idx.astype(np.int64)
-    for f in flags:
-        pdf[f"_cum_{f}"] = cums[f]
-    last = len(pdf) - 1
-    return pdf, (_last_key(pdf, group), int(idx[last]) + 1, {f: int(cums[f][last]) for f in flags})
+    return materialize(ranged.withColumns({PID: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
+
+
+def _carried(sums: DataFrame, group: Sequence[str], columns: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Prefixes of per-(group, partition) totals over the partitions before; null where there is none."""
+    w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*[F.col(g).alias(f"_c_{g}") for g in group], F.col(PID).alias("_c_pid"), *keep, *[c.over(w).alias(name) for name, c in columns.items()])
+
 
+def _with_carry(df: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
+    same = F.col(PID) == F.col("_c_pid")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_c_{g}"))
+    return df.join(carry, same, "left").drop("_c_pid", *[f"_c_{g}" for g in group])
 
-def group_row_number(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, n: int | None = None, flags: Sequence[str] = ()
-) -> DataFrame:
+
+def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, n: int | None = None) -> DataFrame:
     """0-based dense row number within ``group`` by ``order`` (order must be
-    unique within a group), without ever placing a group in one task.
+    unique within a group), without ever placing a group in one task. Rows of
+    a null group are one group."""
+    return number_flagged(df, group, order, out, [], n)[0]
 
-    For each boolean column in ``flags`` the same scan also yields
-    ``<out>_<flag>``: the number of rows up to and including this one (within
-    the group, in order) where the flag is true.
-    """
-    flags = list(flags)
-    fields = [T.StructField("_local", T.LongType(), False)] + [T.StructField(f"_cum_{f}", T.LongType(), False) for f in flags]
 
-    def batch(pdf, carry, grp):
-        return _number_batch(pdf, carry, grp, flags)
+def number_flagged(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, flags: Sequence[str], n: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows, and those of them with a flag with counts: ``(all, flagged)``.
 
-    local = materialize(_local_scan(df, group, order, batch, fields, n))
-    sizes = local.groupBy(*group, PID).agg(
-        F.count(F.lit(1)).alias("_cnt"), *[F.count_if(F.col(f)).alias(f"_n_{f}") for f in flags]
-    )
-    w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *group,
-        PID,
-        F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
-        *[F.coalesce(F.sum(f"_n_{f}").over(w), F.lit(0)).alias(f"_off_{f}") for f in flags],
-    )
-    j = local.join(offsets, [*group, PID])
-    extra = [(F.col(f"_cum_{f}") + F.col(f"_off_{f}")).alias(f"{out}_{f}") for f in flags]
-    return j.select(*df.columns, (F.col("_local") + F.col("_off")).alias(out), *extra)
-
-
-# ---------------------------------------------------------------------------
-# Suffix minimum (dominance query)
-# ---------------------------------------------------------------------------
-def _suffix_batch(pdf: pd.DataFrame, carry, group: list[str]):
-    starts = _group_change(pdf, group)
-    starts[0] = True
-    seg = np.cumsum(starts) - 1
-    vals = pdf["_v"].to_numpy(dtype="float64", na_value=np.nan)
-    vals = np.where(np.isnan(vals), np.inf, vals)
-    if carry is not None and carry[0] == _first_key(pdf, group):
-        first = seg == 0
-        vals = vals.copy()
-        pos = np.flatnonzero(first)
-        if len(pos):
-            vals[pos[0]] = min(vals[pos[0]], carry[1])
-    run = pd.Series(vals).groupby(seg).cummin().to_numpy()
-    pdf["_run"] = np.where(np.isinf(run), np.nan, run)
-    return pdf, (_last_key(pdf, group), float(run[-1]))
+    ``flagged`` holds the rows where one of the boolean columns ``flags`` is
+    true, and for each flag ``<out>_<flag>``: the number of rows up to and
+    including this one (within the group, in order) where it is true.
+    """
+    rows = _ranged(df, group, order, n)
+    flag_sums = [F.count_if(F.col(f)).alias(f"_n_{f}") for f in flags]
+    sums = rows.groupBy(*group, PID).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_cnt"), *flag_sums)
+    offsets = _carried(sums, group, {"_off": F.sum("_cnt"), **{f"_off_{f}": F.sum(f"_n_{f}") for f in flags}}, ["_first"])
+    offsets = offsets.fillna(0, ["_off", *[f"_off_{f}" for f in flags]])
+    joined = _with_carry(rows, offsets, group)
+    number = (F.col(ROW) - F.col("_first") + F.col("_off")).alias(out)
+    everything = joined.select(*df.columns, number)
+    if not flags:
+        return everything, everything
+    w = Window.partitionBy(*group, PID).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    some = F.lit(False)
+    for f in flags:
+        some |= F.coalesce(F.col(f), F.lit(False))
+    counts = [(F.count_if(F.col(f)).over(w) + F.col(f"_off_{f}")).alias(f"{out}_{f}") for f in flags]
+    return everything, joined.where(some).select(*df.columns, number, *counts)
 
 
 def suffix_min(values: DataFrame, queries: DataFrame, group: Sequence[str], n: int | None = None) -> DataFrame:
@@ -189,11 +118,10 @@ def suffix_min(values: DataFrame, queries: DataFrame, group: Sequence[str], n: i
                       F.col("value").cast("double").alias("_v"), F.lit(None).cast(qtype).alias("qid"))
     q = queries.select(*group, F.col("key").cast("double").alias("_k"), F.lit(1).alias("_t"),
                        F.lit(None).cast("double").alias("_v"), F.col("qid"))
-    u = v.unionByName(q)
-    out_fields = [T.StructField("_run", T.DoubleType(), True)]
-    local = materialize(_local_scan(u, group, [F.col("_k").desc(), F.col("_t").asc()], _suffix_batch, out_fields, n))
-    pmin = local.groupBy(*group, PID).agg(F.min("_v").alias("_pm"))
-    w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry = pmin.select(*group, PID, F.min("_pm").over(w).alias("_carry"))
-    hits = local.where(F.col("_t") == 1).join(carry, [*group, PID], "left")
+    rows = _ranged(v.unionByName(q), group, [F.col("_k").desc(), F.col("_t").asc()], n)
+    lows = rows.groupBy(*group, PID).agg(F.min("_v").alias("_pm"))
+    carry = _carried(lows, group, {"_carry": F.min("_pm")})
+    w = Window.partitionBy(*group, PID).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select(*group, PID, "_t", "qid", F.min("_v").over(w).alias("_run"))
+    hits = _with_carry(run.where(F.col("_t") == 1), carry, group)
     return hits.select("qid", F.least(F.col("_run"), F.col("_carry")).alias("answer"))

@@ -10,28 +10,20 @@ trace in one task:
   (:mod:`tracelens.operators.scans`);
 * counts and conclusion finality are partial aggregates (the finality window is
   at most three rows per trace);
-* similarity is computed per (hedge, verification subject) pair that shares a
-  term, through a join on ``(trace, term)``, never over all pairs;
-* the exclusive greedy assignment is computed as a fixpoint over the claim
-  table. A round gives each hedge its best candidate given the claims of the
-  previous round; after round r the first r hedges of every trace are final,
-  and a fixpoint equals the sequential greedy result by induction over hedge
-  order. Claims settle in 2-4 rounds unless each hedge pushes the next one on;
-  the traces that still move after ``PARALLEL_ROUNDS`` are folded hedge by
-  hedge over narrow numeric rows, so the result is always the converged one.
-  Candidates per hedge are the nearest allowed verification
-  overall plus the nearest allowed one of each term-sharing subject; they are
-  found with skew-safe suffix-minimum scans, and together they provably contain
-  the greedy choice.
+* a hedge meets verifications through short lists (:mod:`tracelens.operators.candidates`),
+  never through all pairs of its trace or all subjects that share a word with it;
+* the exclusive greedy assignment folds segments of fixed length in parallel until
+  the claims between them stand still (:mod:`tracelens.operators.assignment`),
+  which is the sequential greedy's result.
+
+Trace ids must not be null here; :func:`score_row_traces_full` takes the rows
+of a null id apart, as one trace, whatever their number.
 
 The output equals the one-row form.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -39,10 +31,8 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import keywords as kw
 from tracelens.functions import lexicon, scoring, similarity, text
-from tracelens.operators import joins, scans
-
-# Rounds over all moving traces; traces that still move are then folded hedge by hedge.
-PARALLEL_ROUNDS = 4
+from tracelens.operators import candidates, joins, scans
+from tracelens.operators.assignment import assign
 
 
 def sentence_rows(rows: DataFrame, order: Sequence[str], text_col: str = "text", trace_col: str = "trace_id") -> DataFrame:
@@ -65,11 +55,6 @@ def _subject(df: DataFrame) -> DataFrame:
     return parts.withColumn("subject", text.subject_from_parts(F.col("_sp"), F.col("sentence"))).drop("_sp")
 
 
-def _term_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    toks = df.select(*keys, F.explode(similarity.subject_tokens(F.col("subject"))).alias("tok"))
-    return toks.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def annotate(sents: DataFrame) -> DataFrame:
     """Per-sentence keyword facts: ``nver``, ``keyword`` and the two statement flags."""
     both = kw.with_lower(
@@ -83,22 +68,20 @@ def annotate(sents: DataFrame) -> DataFrame:
     )
 
 
-def _split_statements(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split_statements(numbered: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    hidx, vidx = F.col(f"{name}_is_hedge").cast("int"), F.col(f"{name}_is_ver").cast("int")
+    numbered = numbered.withColumn("pos", F.col("pos").cast("int"))
     # `vseen`: verifications at or before the hedge (for "strictly later" counts)
-    h = numbered.where("is_hedge").select(
-        "trace_id", "pos", "sentence", "keyword", F.col("hidx").cast("int").alias("hidx"), F.col("vidx").cast("int").alias("vseen")
-    )
-    v = numbered.where("is_ver").select("trace_id", "pos", "sentence", F.col("vidx").cast("int").alias("vidx"))
+    h = numbered.where("is_hedge").select("trace_id", "pos", "sentence", "keyword", hidx.alias("hidx"), vidx.alias("vseen"))
+    v = numbered.where("is_ver").select("trace_id", "pos", "sentence", vidx.alias("vidx"))
     return scans.materialize(_subject(h)), scans.materialize(_subject(v))
 
 
 def statements(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hedges, verifications) with ids, positions and subjects, from numbered
     sentence rows: one skew-safe scan counts hedges and verifications so far."""
-    ann = annotate(sents)
-    n = scans.group_row_number(ann, ["trace_id"], [F.col("pos")], "_rn", flags=["is_hedge", "is_ver"])
-    n = n.withColumnRenamed("_rn_is_hedge", "hidx").withColumnRenamed("_rn_is_ver", "vidx")
-    return _split_statements(n)
+    _, found = scans.number_flagged(annotate(sents), ["trace_id"], [F.col("pos")], "_rn", ["is_hedge", "is_ver"])
+    return _split_statements(found, "_rn")
 
 
 def statements_from_rows(rows: DataFrame, order: Sequence[str], text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,12 +92,10 @@ def statements_from_rows(rows: DataFrame, order: Sequence[str], text_col: str =
         *[F.col(c) for c in order],
         F.posexplode(text.split_sentences(F.col(text_col))).alias("_sub", "sentence"),
     )
-    ann = annotate(exploded)
     keys = [F.col(c) for c in order] + [F.col("_sub")]
-    n = scans.group_row_number(ann, ["trace_id"], keys, "pos", flags=["is_hedge", "is_ver"])
-    n = n.withColumn("pos", F.col("pos").cast("int")).withColumnRenamed("pos_is_hedge", "hidx").withColumnRenamed("pos_is_ver", "vidx")
-    hedges, vers = _split_statements(n)
-    return n.select("trace_id", "pos", "sentence"), hedges, vers
+    sents, found = scans.number_flagged(annotate(exploded), ["trace_id"], keys, "pos", ["is_hedge", "is_ver"])
+    hedges, vers = _split_statements(found, "pos")
+    return sents.select("trace_id", F.col("pos").cast("int").alias("pos"), "sentence"), hedges, vers
 
 
 def hedge_subject_vectors(hedges: DataFrame, vers: DataFrame, subject_vectors: DataFrame) -> DataFrame:
@@ -136,25 +117,6 @@ def hedge_subject_vectors(hedges: DataFrame, vers: DataFrame, subject_vectors: D
     return pairs.select("trace_id", "hidx", "subject", sim.alias("sim"), "hpos")
 
 
-def hedge_subject_similarity(hedges: DataFrame, vers: DataFrame) -> DataFrame:
-    """``(trace_id, hidx, hpos, subject, sim)`` for every hedge and verification
-    subject of its trace that share a term (sim > 0); all other pairs have sim 0."""
-    ht = _term_counts(hedges, ["trace_id", "hidx"])
-    groups = vers.select("trace_id", "subject").distinct()
-    gt = _term_counts(groups, ["trace_id", "subject"])
-    hn = ht.groupBy("trace_id", "hidx").agg(F.sum(F.col("cnt") * F.col("cnt")).alias("hn2"))
-    gn = gt.groupBy("trace_id", "subject").agg(F.sum(F.col("cnt") * F.col("cnt")).alias("gn2"))
-    dots = (
-        ht.join(gt.withColumnRenamed("cnt", "gcnt"), ["trace_id", "tok"])
-        .groupBy("trace_id", "hidx", "subject")
-        .agg(F.sum(F.col("cnt") * F.col("gcnt")).alias("dot"))
-    )
-    sim = F.least(F.greatest(F.col("dot") / (F.sqrt("hn2") * F.sqrt("gn2")), F.lit(0.0)), F.lit(1.0))
-    j = dots.join(hn, ["trace_id", "hidx"]).join(gn, ["trace_id", "subject"])
-    pos = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"))
-    return j.select("trace_id", "hidx", "subject", sim.alias("sim")).join(pos, ["trace_id", "hidx"])
-
-
 def _nearest(values: DataFrame, queries: DataFrame, group: list[str]) -> DataFrame:
     """Queries ``(group..., hidx, key=hpos)`` -> ``(trace_id, hidx, vpos)``."""
     q = queries.select(*group, F.col("key"), F.struct(F.col("trace_id").alias("t"), F.col("hidx").alias("h")).alias("qid"))
@@ -164,169 +126,6 @@ def _nearest(values: DataFrame, queries: DataFrame, group: list[str]) -> DataFra
     )
 
 
-def assign(
-    hedges: DataFrame,
-    vers: DataFrame,
-    threshold: float = lexicon.SIMILARITY_THRESHOLD,
-    decay: float = lexicon.PROXIMITY_DECAY,
-    weights: tuple[float, float] = lexicon.MATCH_WEIGHTS,
-    reuse_sim: float = lexicon.REUSE_SIMILARITY,
-    subject_sims: DataFrame | None = None,
-) -> DataFrame:
-    """Greedy exclusive assignment by claim fixpoint: ``(trace_id, hidx, vidx, vpos, sim, prox, score)``
-    for every hedge with a candidate.
-
-    ``subject_sims`` (``trace_id, hidx, subject, sim, hpos``) lists every
-    (hedge, verification subject) pair that may have non-zero similarity; by
-    default the term-sharing pairs of :func:`hedge_subject_similarity`.
-    """
-    spark = hedges.sparkSession
-    hg = scans.materialize(subject_sims if subject_sims is not None else hedge_subject_similarity(hedges, vers))
-    vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
-    hq = hedges.select("trace_id", "hidx", F.col("pos").alias("key"))
-    # term-sharing subjects above the reuse similarity ignore claims: computed once
-    high = hg.where(F.col("sim") > reuse_sim)
-    free_vals = vrows.select("trace_id", "subject", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
-    c_high = scans.materialize(
-        _nearest(free_vals, high.select("trace_id", "subject", "hidx", F.col("hpos").alias("key")), ["trace_id", "subject"])
-    )
-    low = hg.where(F.col("sim") <= reuse_sim).select("trace_id", "subject", "hidx", F.col("hpos").alias("key"))
-
-    hpos = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"))
-    claims = spark.createDataFrame([], "trace_id string, vidx int, cpos int")
-    best_all = None
-    active = None  # traces still moving; None = all
-    for turn in itertools.count(1):
-
-        def only(df: DataFrame) -> DataFrame:
-            return df if active is None else df.join(active, "trace_id", "left_semi")
-
-        vk = only(vrows).join(claims, ["trace_id", "vidx"], "left").select(
-            "trace_id", "subject", F.coalesce(F.col("cpos"), F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value")
-        )
-        c_all = _nearest(vk.drop("subject"), only(hq), ["trace_id"])
-        c_low = _nearest(vk, only(low), ["trace_id", "subject"])
-        cands = c_all.unionByName(c_low).unionByName(only(c_high)).join(vrows, ["trace_id", "vpos"])
-        cands = cands.join(hg.select("trace_id", "hidx", "subject", "sim"), ["trace_id", "hidx", "subject"], "left")
-        sim = F.coalesce(F.col("sim"), F.lit(0.0))
-        prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
-        scored = cands.join(hpos, ["trace_id", "hidx"]).select(
-            "trace_id", "hidx", "hpos", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")
-        ).withColumn("score", scoring.match_score(F.col("sim"), F.col("prox"), weights))
-        best = scans.materialize(
-            scored.groupBy("trace_id", "hidx", "hpos")
-            .agg(F.max_by(F.struct("vidx", "vpos", "sim", "prox", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b"))
-            .select("trace_id", "hidx", "hpos", "b.*")
-        )
-        new_claims = scans.materialize(
-            best.where((F.col("score") >= threshold) & (F.col("sim") <= reuse_sim))
-            .groupBy("trace_id", "vidx")
-            .agg(F.min("hpos").cast("int").alias("cpos"))
-        )
-        old_claims = only(claims)
-        moved = (
-            new_claims.exceptAll(old_claims).unionByName(old_claims.exceptAll(new_claims)).select("trace_id").distinct()
-        )
-        moved = scans.materialize(moved)
-        # Claims never cross traces, so a trace whose claims did not move is at
-        # its fixpoint; only moving traces are recomputed next round.
-        if best_all is None:
-            best_all = best
-        else:
-            best_all = scans.materialize(best_all.join(active, "trace_id", "left_anti").unionByName(best))
-        n_moved, moved_bytes = joins.measured(moved)
-        if n_moved == 0:
-            break
-        if turn >= PARALLEL_ROUNDS:
-            rest = fold_in_order(hq, vrows, hg, moved, threshold, decay, weights, reuse_sim)
-            best_all = scans.materialize(best_all.join(moved, "trace_id", "left_anti").unionByName(rest))
-            break
-        claims = scans.materialize(claims.join(moved, "trace_id", "left_anti").unionByName(new_claims.join(moved, "trace_id", "left_semi")))
-        active = joins.broadcast_if(moved, moved_bytes)
-    return best_all
-
-
-FOLD_SCHEMA = "trace_id string, hidx int, hpos int, vidx int, vpos int, sim double, prox double, score double"
-
-
-def fold_in_order(
-    hq: DataFrame, vrows: DataFrame, sims: DataFrame, traces: DataFrame, threshold: float, decay: float, weights: tuple[float, float], reuse_sim: float
-) -> DataFrame:
-    """The greedy assignment of some traces, hedge by hedge.
-
-    For traces whose claims cascade (each hedge takes the verification the
-    next one wanted), where the order of hedges cannot be cut. A trace is one
-    group of narrow rows (ids, positions, subjects, no sentences); pointers
-    past claimed verifications, one chain over all and one per subject, make a
-    hedge's candidates nearly constant time.
-    """
-    parts = [
-        hq.select("trace_id", F.lit(0).alias("kind"), F.col("hidx").alias("idx"), F.col("key").cast("int").alias("pos"), F.lit("").alias("subject"), F.lit(0.0).alias("sim")),
-        vrows.select("trace_id", F.lit(1).alias("kind"), F.col("vidx").alias("idx"), F.col("vpos").cast("int").alias("pos"), "subject", F.lit(0.0).alias("sim")),
-        sims.select("trace_id", F.lit(2).alias("kind"), F.col("hidx").alias("idx"), F.lit(0).alias("pos"), "subject", "sim"),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(traces, "trace_id", "left_semi")
-
-    def fold(pdf):
-        import pandas as pd
-
-        vers = pdf[pdf.kind == 1].sort_values("pos")
-        vpos, vidx, vsub = vers.pos.tolist(), vers.idx.tolist(), vers.subject.tolist()
-        members: dict[str, list[int]] = {}
-        place = []
-        for i, s in enumerate(vsub):
-            place.append(len(members.setdefault(s, [])))
-            members[s].append(i)
-        positions = {s: [vpos[i] for i in own] for s, own in members.items()}
-        after = list(range(len(vpos) + 1))
-        after_of = {s: list(range(len(own) + 1)) for s, own in members.items()}
-
-        def free(chain: list[int], i: int) -> int:
-            root = i
-            while chain[root] != root:
-                root = chain[root]
-            while chain[i] != root:
-                chain[i], i = root, chain[i]
-            return root
-
-        near: dict[int, list[tuple[str, float]]] = {}
-        known = pdf[pdf.kind == 2]
-        for h, s, x in zip(known.idx, known.subject, known.sim, strict=True):
-            near.setdefault(h, []).append((s, x))
-        out = []
-        hedges = pdf[pdf.kind == 0].sort_values("pos")
-        for h, hpos in zip(hedges.idx.tolist(), hedges.pos.tolist(), strict=True):
-            own = near.get(h, [])
-            found = []
-            j = free(after, bisect_right(vpos, hpos))
-            if j < len(vpos):
-                found.append((j, dict(own).get(vsub[j], 0.0)))
-            for s, x in own:
-                if s in members:
-                    k = bisect_right(positions[s], hpos)
-                    k = k if x > reuse_sim else free(after_of[s], k)
-                    if k < len(members[s]):
-                        found.append((members[s][k], x))
-            if not found:
-                continue
-            best = None
-            for j, x in found:
-                prox = math.exp(-(vpos[j] - hpos) / decay)
-                score = weights[0] * x + weights[1] * prox
-                if best is None or (score, -vpos[j]) > best[0]:
-                    best = (score, -vpos[j]), j, x, prox
-            (score, _), j, x, prox = best
-            out.append((h, hpos, vidx[j], vpos[j], x, prox, score))
-            if score >= threshold and x <= reuse_sim:
-                after[j] = j + 1
-                after_of[vsub[j]][place[j]] = place[j] + 1
-        result = pd.DataFrame(out, columns=["hidx", "hpos", "vidx", "vpos", "sim", "prox", "score"])
-        result.insert(0, "trace_id", pdf.trace_id.iloc[0])
-        return result
-
-    return rows.groupBy("trace_id").applyInPandas(fold, FOLD_SCHEMA)
-
-
 def score_sentence_rows(
     sents: DataFrame,
     threshold: float = lexicon.SIMILARITY_THRESHOLD,
@@ -447,17 +246,13 @@ def nearest_candidates(
     """Each hedge with its nearest later verification (no exclusivity):
     ``(trace_id, hidx, hpos, vidx, vpos, sim, prox, score)``; hedges with no
     later verification are absent. A skew-safe suffix-minimum scan finds the
-    verification; similarity comes from the term join (0 without a shared term)."""
+    verification; similarity is that of the two subjects, computed where it is used."""
     vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
     vals = vrows.select("trace_id", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
     near = _nearest(vals, hedges.select("trace_id", "hidx", F.col("pos").alias("key")), ["trace_id"])
-    hg = hedge_subject_similarity(hedges, vers).select("trace_id", "hidx", "subject", "sim")
-    j = (
-        near.join(vrows, ["trace_id", "vpos"])
-        .join(hg, ["trace_id", "hidx", "subject"], "left")
-        .join(hedges.select("trace_id", "hidx", F.col("pos").alias("hpos")), ["trace_id", "hidx"])
-    )
-    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    own = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"), F.col("subject").alias("hsubject"))
+    j = near.join(vrows, ["trace_id", "vpos"]).join(own, ["trace_id", "hidx"])
+    sim = similarity.tf_cosine(F.col("hsubject"), F.col("subject"))
     prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
     return j.select("trace_id", "hidx", "hpos", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
         "score", scoring.match_score(F.col("sim"), F.col("prox"), weights)
@@ -489,19 +284,32 @@ MATCH_COLS = [
 ]
 
 
-def split_by_size(r: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(short-trace rows, long-trace rows or None, long trace ids or None).
+def split_by_size(r: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(short-trace rows, long-trace rows or None, long trace ids or None, rows of a null id or None).
 
     Sizes are a partial aggregate; the long-trace id list is measured, then
-    broadcast only when within the byte limit.
+    broadcast only when within the byte limit. Joins never match a null id, so
+    its rows are told apart here.
     """
     sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > max_rows).select("trace_id")
-    n_hot, hot_bytes = joins.measured(hot)
+    hot = sizes.where((F.col("_rows") > max_rows) & F.col("trace_id").isNotNull()).select("trace_id")
+    of_null = F.count_if(F.col("trace_id").isNull()).alias("n")
+    n_null, (n_hot, hot_bytes) = sizes.agg(of_null).first().n, joins.measured(hot)
+    unnamed = r.where("trace_id IS NULL") if n_null else None
+    named = r.where("trace_id IS NOT NULL") if n_null else r
     if not n_hot:
-        return r, None, None
+        return named, None, None, unnamed
     hot_side = joins.broadcast_if(hot, hot_bytes)
-    return r.join(hot_side, "trace_id", "left_anti"), r.join(hot_side, "trace_id", "left_semi"), hot_side
+    return named.join(hot_side, "trace_id", "left_anti"), named.join(hot_side, "trace_id", "left_semi"), hot_side, unnamed
+
+
+def under_a_name(unnamed: DataFrame) -> DataFrame:
+    """Rows of a null id under an id of its type, to be scored by themselves."""
+    return unnamed.withColumn("trace_id", F.lit("0").cast(unnamed.schema["trace_id"].dataType))
+
+
+def without_name(df: DataFrame) -> DataFrame:
+    return df.withColumn("trace_id", F.lit(None).cast(df.schema["trace_id"].dataType))
 
 
 def gather(cold: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -522,7 +330,7 @@ def row_trace_pairs(rows: DataFrame, order: Sequence[str], text_col: str = "text
     from tracelens.operators import score
 
     r = rows.select("trace_id", *order, F.col(text_col).alias("_text"))
-    cold, hot_rows, _ = split_by_size(r, max_rows)
+    cold, hot_rows, _, unnamed = split_by_size(r, max_rows)
     cols = ["trace_id", "hedge_id", "verification_id", "sim", "prox", "score"]
     out = score.reduced_pairs(score.with_statements(gather(cold, order))).select(*cols)
     if hot_rows is not None:
@@ -536,6 +344,8 @@ def row_trace_pairs(rows: DataFrame, order: Sequence[str], text_col: str = "text
             "score",
         )
         out = out.unionByName(p)
+    if unnamed is not None:
+        out = out.unionByName(without_name(row_trace_pairs(under_a_name(unnamed), order, "_text", max_rows)))
     return out
 
 
@@ -555,13 +365,14 @@ def score_row_traces_full(
     one-row scorer; longer ones, which could not be gathered safely, go to the
     skew-safe sentence-row scorer. The list of long trace ids is broadcast only
     after it has been counted. ``keys`` are columns constant within a trace
-    that are carried to both outputs; ``matches`` has one row per hedge.
+    that are carried to both outputs; ``matches`` has one row per hedge. Rows
+    of a null trace id are one trace, scored by itself and with a null id.
     """
     from tracelens.operators import score
 
     keys = list(keys)
     r = rows.select("trace_id", *keys, *order, F.col(text_col).alias("_text"))
-    cold, hot_rows, hot_side = split_by_size(r, max_rows)
+    cold, hot_rows, hot_side, unnamed = split_by_size(r, max_rows)
     metrics_parts, match_parts = [], []
     if hot_rows is not None:
         sents, hs, vs = statements_from_rows(hot_rows.drop(*keys), order, "_text")
@@ -580,6 +391,9 @@ def score_row_traces_full(
     one_row = score.score_traces(gather(cold, order, keys), subject_vectors=subject_vectors)
     metrics_parts.insert(0, one_row.select("trace_id", *keys, *METRIC_COLS))
     match_parts.insert(0, one_row.select("trace_id", *keys, F.inline("matches")).select("trace_id", *keys, *MATCH_COLS))
+    if unnamed is not None:
+        for parts, part in zip((metrics_parts, match_parts), score_row_traces_full(under_a_name(unnamed), order, "_text", max_rows, keys, subject_vectors), strict=True):
+            parts.append(without_name(part))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -604,31 +418,17 @@ def independent_best(
     hedges: DataFrame, vers: DataFrame, decay: float = lexicon.PROXIMITY_DECAY, weights: tuple[float, float] = lexicon.MATCH_WEIGHTS
 ) -> DataFrame:
     """Best later verification per hedge ignoring exclusivity (ties to the
-    earliest): the first round of :func:`assign`. Candidates are the nearest
-    later verification overall and the nearest later one of every term-sharing
-    subject, which together contain the winner."""
-    vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
-    hg = hedge_subject_similarity(hedges, vers)
-    free_all = vrows.select("trace_id", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
-    free_subj = vrows.select("trace_id", "subject", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
-    c_all = _nearest(free_all, hedges.select("trace_id", "hidx", F.col("pos").alias("key")), ["trace_id"])
-    c_subj = _nearest(free_subj, hg.select("trace_id", "subject", "hidx", F.col("hpos").alias("key")), ["trace_id", "subject"])
-    cands = (
-        c_all.unionByName(c_subj)
-        .join(vrows, ["trace_id", "vpos"])
-        .join(hg.select("trace_id", "hidx", "subject", "sim"), ["trace_id", "hidx", "subject"], "left")
-        .join(hedges.select("trace_id", "hidx", F.col("pos").alias("hpos")), ["trace_id", "hidx"])
-    )
-    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    earliest): the nearest member of each of the hedge's lists, and the best of these."""
+    lists, members = candidates.hedge_lists(hedges, vers)
+    near = candidates.nearest(lists, members)
     prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
-    scored = cands.select("trace_id", "hidx", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
-        "score", scoring.match_score(F.col("sim"), F.col("prox"), weights)
-    )
-    return (
+    scored = near.withColumn("prox", prox).withColumn("score", scoring.match_score(F.col("sim"), F.col("prox"), weights))
+    best = (
         scored.groupBy("trace_id", "hidx")
-        .agg(F.max_by(F.struct("vidx", "vpos", "sim", "prox", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b"))
+        .agg(F.max_by(F.struct("vpos", "sim", "prox", "score"), F.struct(F.col("score"), -F.col("vpos"))).alias("b"))
         .select("trace_id", "hidx", "b.*")
     )
+    return best.join(vers.select("trace_id", "vidx", F.col("pos").alias("vpos")), ["trace_id", "vpos"])
 
 
 def subject_pairs(
@@ -648,13 +448,9 @@ def subject_pairs(
     queries = hedges.select("trace_id", "hidx", F.col("pos").alias("key")).join(subjects, "trace_id")
     vals = vrows.select("trace_id", "subject", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
     first = _nearest(vals, queries, ["trace_id", "subject"])
-    hg = hedge_subject_similarity(hedges, vers).select("trace_id", "hidx", "subject", "sim")
-    j = (
-        first.join(vrows, ["trace_id", "vpos"])
-        .join(hg, ["trace_id", "hidx", "subject"], "left")
-        .join(hedges.select("trace_id", "hidx", F.col("pos").alias("hpos")), ["trace_id", "hidx"])
-    )
-    sim = F.coalesce(F.col("sim"), F.lit(0.0))
+    own = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"), F.col("subject").alias("hsubject"))
+    j = first.join(vrows, ["trace_id", "vpos"]).join(own, ["trace_id", "hidx"])
+    sim = similarity.tf_cosine(F.col("hsubject"), F.col("subject"))
     prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
     return j.select("trace_id", "hidx", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
         "score", scoring.match_score(F.col("sim"), F.col("prox"), weights)

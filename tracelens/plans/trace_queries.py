@@ -356,7 +356,7 @@ def q_explode_hedges(spark: SparkSession, sf: str) -> DataFrame:
     rows = sr.planted_rows(spark, table(spark, sf, "events"), "user_day").select(
         "trace_id", "ts", "event_id", F.col("text").alias("_text")
     )
-    cold, hot_rows, _ = sr.split_by_size(rows, sr.ONE_ROW_LIMIT)
+    cold, hot_rows, _, unnamed = sr.split_by_size(rows, sr.ONE_ROW_LIMIT)
     view = f"scored_{abs(hash(sf)) % 10**8}"
     score.score_traces(sr.gather(cold, ["ts", "event_id"])).createOrReplaceTempView(view)
     out = spark.sql(f"SELECT trace_id, m.* FROM {view} LATERAL VIEW inline(matches) m")
@@ -364,6 +364,9 @@ def q_explode_hedges(spark: SparkSession, sf: str) -> DataFrame:
         sents, hs, vs = sr.statements_from_rows(hot_rows, ["ts", "event_id"], "_text")
         _, long_matches = sr.score_statements(sents, hs, vs)
         out = out.unionByName(long_matches.select("trace_id", *MATCH_COLS))
+    if unnamed is not None:
+        _, of_null = sr.score_row_traces_full(sr.under_a_name(unnamed), ["ts", "event_id"], "_text")
+        out = out.unionByName(sr.without_name(of_null.select("trace_id", *MATCH_COLS)))
     return out
 
 
