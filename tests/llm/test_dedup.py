@@ -112,11 +112,11 @@ def copies(seed):
     return texts
 
 
-@pytest.mark.parametrize(("part", "key_cost"), [(5_000, 50), (1, 0.02)])
-def test_ngram_join(spark, monkeypatch, part, key_cost):
+@pytest.mark.parametrize(("part", "pair_cost"), [(5_000, 1), (1, 200)])
+def test_ngram_join(spark, monkeypatch, part, pair_cost):
     # the second case deals lists to parts and enumerates subsets for many sizes
     monkeypatch.setattr(ngram_join, "PART", part)
-    monkeypatch.setattr(ngram_join, "KEY_COST", key_cost)
+    monkeypatch.setattr(ngram_join, "PAIR_COST", pair_cost)
     texts = copies(5)
     rows = [(k * 2 if k % 40 else None, t, "x") for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
@@ -133,11 +133,49 @@ def test_ngram_join(spark, monkeypatch, part, key_cost):
 
 
 def test_subsets_are_chosen_where_lists_are_long():
-    assert ngram_join.boundary(np.zeros(ngram_join.CELLS, np.int64)) == 0
-    few = np.ones(ngram_join.CELLS, np.int64)
-    hot = few.copy()
-    hot[:50] = 100_000
-    assert ngram_join.boundary(few) < ngram_join.boundary(hot)
+    sizes = np.array([3, 10, 20, 40, 80, 160])
+    assert ngram_join.boundary(sizes[:0], sizes[:0]) == 0
+    assert ngram_join.boundary(sizes, 0 * sizes) < ngram_join.boundary(sizes, 0 * sizes + 20) < ngram_join.boundary(sizes, 0 * sizes + 2000) == 160
+
+
+def test_subsets_are_enumerated_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    counts = ngram_join.sketch(docs)
+    small = ngram_join.boundary(*ngram_join.sampled(docs, counts, 85), 85)
+    keyed = ngram_join.keyed_sets(docs, counts, 85)
+    # sets that no large one can link with have subsets only
+    assert keyed.where(f"100 * n <= 85 * {small} AND size(keys) > 0").count() > 10
+
+
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    r = random.Random(21)
+    base = [f"g{k}" for k in range(120)]
+    texts = []
+    for k in range(200):  # a third of all rows; each pair of them shares most, and each has words of its own
+        at = r.randrange(len(base))
+        texts.append(" ".join(base[:at] + [f"own{k}", f"more{k}"] + base[at:]))
+    texts += [" ".join(f"x{r.randrange(5000)}" for _ in range(60)) for _ in range(400)]
+    tested, whole = [], ngram_join.verified
+
+    def counting(pairs, *args):
+        tested.append(pairs.count())
+        return whole(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "verified", counting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {x["doc_id"]: x["component_id"] for x in ngram_join.link_documents(df).collect()}
+    assert all(out[k] == 0 for k in range(200)) and all(out[k] == k for k in range(200, 600))
+    assert sum(tested) <= 2 * len(texts)
+
+
+def test_parity_bits_never_hide_a_link():
+    r = np.random.default_rng(6)
+    for n in (1, 40, 900, 6000):
+        x = r.integers(0, 1 << 62, n).astype(np.uint64)
+        for changed in (0, n // 40, n // 8, n):
+            y = np.unique(np.concatenate([x[changed:], r.integers(0, 1 << 62, changed).astype(np.uint64)]))
+            differ = int(np.bitwise_count((ngram_join.parity(x) ^ ngram_join.parity(y)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(x, y)) and (differ > 0 or changed == 0 or n > 5000 or changed < 3)
 
 
 def test_one_of_each_group_stays(spark):

@@ -14,24 +14,32 @@ element among their first ``a - ceil(t a) + 1``, and two among one more.
 The boundary is where enumerating subsets begins to cost more than scanning
 lists (``boundary``).
 
-A list of k sets is not expanded into its pairs. First its members are held
-against one of them. Links found connect nearly all of a group of copies; only
-lists whose members are not yet connected are then joined with themselves,
-and only over pairs in different components whose sizes and places in the
-lists still allow a link. So every link that could join two components is
-tested, and the components are exact. Lists of very frequent n-grams are dealt
-to several parts before the first step, so that none falls to one task.
+A list of k sets is not expanded into its pairs. First, in rounds, each set is
+held against one other, the smallest first member of its lists that is not in
+its component yet; links found are contracted before the next round. So a group
+of g copies costs about g pairs a round, and is connected after few. Then lists whose members are
+not all connected are joined with themselves, by classes of size, and only
+over pairs in different components whose sizes, places in the lists and
+parity bits still allow a link. So every link that could join two components
+is tested, and the components are exact. Lists of very frequent n-grams are
+dealt to several parts before the first step, so that none falls to one task.
+
+Parity bits: of a set's elements that fall to one of ``PARITY`` cells, whether
+their number is odd. Where two sets differ in a cell, an element stands in only
+one of them, so the cells that differ are at most as many as such elements.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +47,17 @@ from .common import slices, written
 from .graph import components
 
 N, PERCENT = 4, 85
-#: Cells of the sketch that orders n-grams, and list members a part should have at most.
-CELLS, PART = 1 << 18, 5_000
-#: Cost of making and shuffling a key, in reads of a list member.
-KEY_COST = 50
-SETS_SCHEMA = "doc_id long, tk long, node long, n int, keys array<long>, rests array<int>, parts array<int>"
+#: Cells of the sketch that orders n-grams, cells of a chunk of it, tasks whose chunks are added up at once.
+CELLS, CHUNK, TASKS = 1 << 21, 1 << 12, 256
+#: List members a part should have at most.
+PART = 5_000
+#: Cost of a pair found in a list, in keys made and shuffled.
+PAIR_COST = 1
+#: Texts whose sets choose the boundary.
+SAMPLE = 2_000
+#: Parity bits of a set.
+PARITY = 1024
+SETS_SCHEMA = "doc_id long, tk long, node long, n int, keys array<long>, rests array<int>, parts array<int>, bits array<long>"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -86,42 +100,87 @@ def node_of(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    odd = np.bincount(((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def needed(a: int, percent: int) -> int:
     """The least overlap of a set of ``a`` elements with one it links with."""
     return -(-percent * a // 100)
 
 
-def boundary(counts: np.ndarray, percent: int = PERCENT) -> int:
-    """The largest size of a small set.
+def boundary(sizes: np.ndarray, partners: np.ndarray, percent: int = PERCENT) -> int:
+    """The largest size of a small set, from the sizes of some sets and the other members of their prefixes' lists.
 
     A prefix of p elements has p (p + 1) / 2 two-element subsets, each a key;
-    scanning costs p keys and p lists. The length of the list a random n-gram
-    stands in comes from the sketch's sum of squares without what chance puts
-    into a cell.
+    scanning costs p keys, and a pair for each other member of p lists. Sets
+    up to the boundary enumerate, those that a larger one may link with and
+    all larger ones scan; the boundary with the least cost of the given sets is
+    taken, the largest of several.
     """
-    total = counts.sum()
-    if not total:
-        return 0
-    length = max(1.0, float((counts.astype(float) ** 2).sum() / total - total / len(counts)))
-    prefix = int(1 + 2 * length / KEY_COST)
-    return max(0, (prefix - 1) * 100 // (100 - percent))
+    order = np.argsort(sizes, kind="stable")
+    sizes, partners = sizes[order], partners[order]
+    prefix = sizes - -(-percent * sizes // 100) + 1
+    subsets = np.concatenate([[0], np.cumsum(prefix * (prefix + 1) // 2)])
+    scans = np.concatenate([[0], np.cumsum(prefix + PAIR_COST * partners)])
+    choices = np.unique(np.concatenate([[0], sizes]))
+    low, high = np.searchsorted(sizes, choices, "right"), np.searchsorted(100 * sizes, percent * choices, "right")
+    cost = subsets[low] + scans[-1] - scans[high]
+    return int(choices[::-1][np.argmin(cost[::-1])])
+
+
+def sampled(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of about ``SAMPLE`` texts' sets, and how many other sets stand in the lists of their prefixes, beyond chance.
+
+    They only choose the boundary; no result depends on them.
+    """
+    total = rows.count()
+    shared, usual = rows.sparkSession.sparkContext.broadcast(counts), counts.mean()
+    some = rows.where(F.pmod(F.xxhash64("tk", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, total)))).select("tk", "text").dropDuplicates(["tk"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, partners = [], []
+        for batch in slices(batches):
+            for grams in shingle_sets(batch.column(1), n):
+                if len(grams):
+                    own = np.sort(shared.value[(grams % np.uint64(CELLS)).astype(np.int64)])
+                    sizes.append(len(grams))
+                    partners.append(int(np.maximum(0, own[: len(grams) - needed(len(grams), percent) + 1] - usual).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(partners, pa.int64())], names=["size", "partners"])
+
+    found = some.mapInArrow(measured, "size long, partners long").toArrow()
+    return found.column("size").to_numpy(), found.column("partners").to_numpy()
 
 
 def sketch(rows: DataFrame, n: int = N) -> np.ndarray:
     """How often n-grams of each cell occur in the documents' sets, over all rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int32)
         for batch in slices(batches):
             sets = shingle_sets(batch.column(0), n)
             if sets:
-                total += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
-
-    sums = rows.select("text").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+                cells = np.concatenate(sets) % np.uint64(CELLS)
+                total += np.bincount(cells.astype(np.int64), minlength=CELLS).astype(np.int32)
+        parts = [(k, total[k * CHUNK : (k + 1) * CHUNK]) for k in range(CELLS // CHUNK)]
+        parts = [(k, x.tobytes()) for k, x in parts if x.any()]
+        some = TaskContext.get().partitionId() // TASKS
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([some] * len(parts), pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "some", "counts"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int32)
+        for x in group.column("counts"):
+            total = np.minimum(total.astype(np.int64) + np.frombuffer(x.as_buffer(), np.int32), np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table([group.column("chunk").slice(0, 1), group.column("some").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["chunk", "some", "counts"])
+
+    schema = "chunk int, some int, counts binary"
+    sums = rows.select("text").mapInArrow(counted, schema)
+    # rows of fixed length; those of up to TASKS tasks are added up first
+    sums = sums.groupBy("chunk", "some").applyInArrow(added, schema).groupBy("chunk").applyInArrow(added, schema)
     out = np.zeros(CELLS, np.int64)
-    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    for r in sums.collect():  # CELLS numbers at any size of the corpus
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int32)
     return out
 
 
@@ -132,10 +191,10 @@ def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) ->
     most, counted from the key's place in the order; ``parts`` into how many
     parts the key's list is dealt.
     """
-    small = boundary(counts, percent)
+    small = boundary(*sampled(rows, counts, percent, n), percent)
     usual = int(np.median(counts))
     shared = rows.sparkSession.sparkContext.broadcast(counts)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in SETS_SCHEMA.split(", ")]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +204,7 @@ def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) ->
             for grams in shingle_sets(batch.column(2), n):
                 size, keys, rests, parts = len(grams), [], [], []
                 if not size:
-                    out.append((None, 0, [], [], []))
+                    out.append((None, 0, [], [], [], []))
                     continue
                 prefix = size - needed(size, percent) + 1
                 if size > 1 and size - needed(size + 1, percent) >= 0:
@@ -165,8 +224,8 @@ def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) ->
                         keys += first[:prefix].tolist()
                         rests += range(size, size - prefix, -1)
                         parts += often[:prefix].tolist()
-                out.append((node_of(grams), size, np.array(keys, np.uint64).astype(np.int64), rests, parts))
-            columns = list(zip(*out, strict=True)) or [()] * 5
+                out.append((node_of(grams), size, np.array(keys, np.uint64).astype(np.int64), rests, parts, parity(grams)))
+            columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names=names)
 
     return rows.mapInArrow(keyed, SETS_SCHEMA)
@@ -179,10 +238,15 @@ def possible(a: str, b: str, percent: int) -> Column:
     return sizes & (F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) * (100 + percent) >= percent * (na + nb))
 
 
-def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int, n: int = N) -> DataFrame:
-    """The pairs (a, b) of set numbers whose sets reach the similarity; sets are made anew from the texts of those concerned."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("tk").alias("tk")).join(wanted, "node").select("tk").distinct()
+def near_enough(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether the parity bits ``a`` and ``b`` of sets with ``na`` and ``nb`` elements allow a link."""
+    differ = reduce(Column.__add__, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(PARITY // 64)])
+    return (100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb)
+
+
+def kept_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
+    """(node, grams) of the ``wanted`` nodes, made anew from one text of each; written."""
+    texts = nodes.join(wanted, "node", "left_semi").select("tk").distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -190,7 +254,11 @@ def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int,
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
 
     chosen = rows.join(texts, "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text")).select("text")
-    sets = written(chosen.mapInArrow(sets_of, "node long, grams array<long>"), "sets")
+    return written(chosen.mapInArrow(sets_of, "node long, grams array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set numbers whose sets reach the similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +273,29 @@ def verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, percent: int,
     return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
+def contracted(star: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found by rounds in which each node is held against one partner of ``star``.
+
+    Partners in a node's own component are passed over. The rounds end with
+    one that finds no link; what ``star`` still holds is left to the caller.
+    """
+    links = None
+    while not star.isEmpty():
+        tried = written(star.groupBy("a").agg(F.min("b").alias("b")), "tried")
+        chosen = tried.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+        chosen = chosen.join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+        chosen = chosen.where(near_enough(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent)).select("a", "b")
+        found = written(verified(chosen, sets, percent), "links")
+        links = found if links is None else links.union(found)
+        if found.isEmpty():
+            break
+        of = components(links)
+        left = star.join(tried, ["a", "b"], "left_anti").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        left = left.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        star = written(left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
+    return star.select("a", "b").limit(0) if links is None else links
+
+
 def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, tk, n_shingles and c, the number of its component; null without words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -212,8 +303,9 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     counts = sketch(rows, n)
     keyed = written(keyed_sets(rows, counts, percent, n), "keyed-sets")
     # equal sets are one node from here on
-    nodes = keyed.where("node IS NOT NULL AND size(keys) > 0").groupBy("node").agg(F.first(F.struct("n", F.arrays_zip("keys", "rests", "parts").alias("under"))).alias("s"))
-    entries = nodes.select("node", "s.n", F.explode("s.under").alias("e")).select(
+    nodes = keyed.where("node IS NOT NULL AND size(keys) > 0").groupBy("node")
+    nodes = written(nodes.agg(F.min_by(F.struct("tk", "n", "bits", F.arrays_zip("keys", "rests", "parts").alias("under")), "tk").alias("s")).select("node", "s.*"), "nodes")
+    entries = nodes.select("node", "n", F.explode("under").alias("e")).select(
         F.when(F.col("e.parts") == 1, F.col("e.keys")).otherwise(F.xxhash64("e.keys", F.pmod("node", F.col("e.parts")))).alias("key"),
         F.when(F.col("e.parts") > 1, F.col("e.keys")).alias("whole"), "node", "n", F.col("e.rests").alias("rest"),
     )
@@ -224,18 +316,24 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     firsts = lists.where("dealt").select("key", F.col("pivot").alias("m")).distinct()
     firsts = firsts.join(firsts.groupBy("key").agg(F.min("m").alias("pivot")), "key")
     star = lists.select("pivot", "m").union(firsts.select("pivot", "m")).where((F.col("m.node") != F.col("pivot.node")) & possible("pivot", "m", percent))
-    star = written(star.select(F.least("m.node", "pivot.node").alias("a"), F.greatest("m.node", "pivot.node").alias("b")).distinct(), "pairs")
-    links = written(verified(star, keyed, rows, percent, n), "links")
+    star = written(star.select(F.col("m.node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
+    ends = lists.select(F.col("m.node").alias("node")).distinct()
+    sets = kept_sets(ends, nodes, rows, n)
+    bits = nodes.select("node", "n", "bits")
+    links = contracted(star, sets, bits, percent)
     # lists whose members are not all connected by now
     so_far = components(links)
-    members = lists.select("key", F.col("m.node").alias("node"), "m").join(so_far, "node", "left").select("key", "m", F.coalesce("component", "node").alias("c"))
+    members = lists.select("key", F.col("m.node").alias("node"), "m").join(so_far, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("c"))
     open_lists = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    members = written(members.join(open_lists, "key", "left_semi").distinct(), "open-lists")
-    x, y = members.alias("x"), members.select("key", F.col("m").alias("w"), F.col("c").alias("d")).alias("y")
-    rest = x.join(y, "key").where((F.col("c") < F.col("d")) & possible("m", "w", percent))
-    rest = rest.select(F.least("m.node", "w.node").alias("a"), F.greatest("m.node", "w.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = written(rest, "pairs")
-    component = components(links.union(verified(rest, keyed, rows, percent, n)))
+    members = members.join(open_lists, "key", "left_semi").distinct().join(bits.select("node", "bits"), "node")
+    # sizes of linked sets differ by a class at most
+    members = written(members.withColumn("size", F.floor(F.ln(F.col("m.n")) / float(np.log(100 / percent))).cast("int")), "open-lists")
+    x = members.alias("x")
+    y = members.select("key", F.col("m").alias("w"), F.col("c").alias("d"), F.col("bits").alias("others"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).alias("y")
+    allowed = (F.col("c") < F.col("d")) & possible("m", "w", percent) & near_enough(F.col("m.n"), F.col("w.n"), F.col("bits"), F.col("others"), percent)
+    rest = x.join(y, ["key", "size"]).where(allowed)
+    rest = written(rest.select(F.least("m.node", "w.node").alias("a"), F.greatest("m.node", "w.node").alias("b")).distinct(), "pairs")
+    component = components(links.union(verified(rest, sets, percent)))
 
     return keyed.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").select("doc_id", "tk", "n_shingles", F.coalesce("component", "node").alias("c"))
 
