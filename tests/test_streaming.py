@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelens.operators.score import score_traces
 from tracelens.plans.common import traces
 from tracelens.session import work_dir
+from tracelens.streaming import sessions
 from tracelens.streaming import traces as stream
 
 from .conftest import SF_SMALL
@@ -63,3 +64,62 @@ def test_late_rows_are_dropped_as_documented(spark):
     t.where(F.col("day") < F.date_sub(F.lit(last), 10)).coalesce(1).write.mode("append").parquet(src)
     kept = _breakdown(spark, src, t.schema, "1 day", 1)
     assert {r[0].date() for r in kept} == {last}
+
+
+HEDGE, CHECK = "Maybe the red box is big.", "Let me verify the box."
+
+
+def _arrivals(spark):
+    """Rows of three traces over ten days, each with a quiet day in between."""
+    rows, n = [], 0
+    for trace in ("a", "b", None):
+        for day in (1, 2, 4, 5, 8):
+            for hour in range(0, 20, 4):
+                n += 1
+                rows.append((trace, f"2024-03-0{day} {hour:02d}:10:00", n, [HEDGE, CHECK, "Then.\nSo it is."][n % 3]))
+    df = spark.createDataFrame(rows, "trace_id string, ts string, row_id long, text string")
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _session_rows(out):
+    return sorted(map(str, out.select("trace_id", "session_start", "n_rows", *COLS[1:]).collect()))
+
+
+def test_sessions_do_not_depend_on_deliveries(spark):
+    rows = _arrivals(spark).unionByName(spark.createDataFrame([("end", "2024-03-20 00:00:00", 999, "x")], "trace_id string, ts string, row_id long, text string").withColumn("ts", F.col("ts").cast("timestamp")))
+    found = []
+    for cuts in (["2024-03-30"], ["2024-03-02 09:00:00", "2024-03-04 01:00:00", "2024-03-08 05:00:00", "2024-03-30"]):
+        base = work_dir(spark, "t-sessions")
+        before = "2000-01-01"
+        for k, cut in enumerate(cuts):
+            sessions.deliver(rows.where((F.col("ts") >= before) & (F.col("ts") < cut)), f"{base}/rows", k)
+            before = cut
+            # a new start each time, from the checkpoint
+            out = sessions.run_sessions(spark, f"{base}/rows", f"{base}/out", f"{base}/ckpt", "12 hours", "1 hours", max_rows=4000 if len(cuts) > 1 else 3)
+        found.append(_session_rows(out))
+        assert sessions.late_rows(spark, f"{base}/rows", f"{base}/out", "12 hours", "1 hours").count() == 0
+    assert found[0] == found[1] and len(found[0]) == 9  # two days, two days and one day of each trace
+    texts = [r.text for r in rows.where("trace_id = 'a' AND row_id <= 10").orderBy("ts").collect()]
+    one = score_traces(spark.createDataFrame([("\n".join(texts),)], "text string")).first()
+    first = out.where("trace_id = 'a'").orderBy("session_start").first()
+    assert [first[c] for c in COLS[1:]] == [one[c] for c in COLS[1:]] and first.n_rows == 10
+
+
+def test_rows_of_a_closed_session_come_late(spark):
+    rows = _arrivals(spark).where("trace_id = 'a'")
+    base = work_dir(spark, "t-late")
+    run = lambda: sessions.run_sessions(spark, f"{base}/rows", f"{base}/out", f"{base}/ckpt", "12 hours", "1 hours")
+    sessions.deliver(rows.where("row_id <= 12"), f"{base}/rows", 0)
+    first = _session_rows(run())
+    assert len(first) == 1  # the second session is still open
+    late = spark.createDataFrame([("a", "2024-03-01 09:00:00", 500, CHECK), ("z", "2024-02-01 00:00:00", 501, HEDGE)], "trace_id string, ts string, row_id long, text string")
+    sessions.deliver(late.withColumn("ts", F.col("ts").cast("timestamp")).unionByName(rows.where("row_id > 12")), f"{base}/rows", 1)
+    second = _session_rows(run())
+    assert first[0] in second and len(second) == 2  # scored sessions stay as they are
+    assert sorted(r.row_id for r in sessions.late_rows(spark, f"{base}/rows", f"{base}/out", "12 hours", "1 hours").collect()) == [500, 501]
+
+
+def test_no_session_has_closed(spark):
+    base = work_dir(spark, "t-open")
+    sessions.deliver(_arrivals(spark).limit(0), f"{base}/rows", 0)
+    assert sessions.run_sessions(spark, f"{base}/rows", f"{base}/out", f"{base}/ckpt", "12 hours", "1 hours").count() == 0

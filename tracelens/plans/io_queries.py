@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import lexicon, scoring, sqlfuncs
 from tracelens.operators import score
+from tracelens.operators import sentence_rows as sr
 from tracelens.plans import eval_queries
 from tracelens.plans import oracle_sql as o
 from tracelens.plans.common import table, traces
 from tracelens.session import work_dir
-from tracelens.sources import files
+from tracelens.sources import files, planted
+from tracelens.streaming import sessions
 from tracelens.streaming import traces as stream
 
 QUERIES: dict = {}
@@ -164,6 +166,38 @@ def q_stream_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SESSION_GAP, SESSION_LATENESS, DELIVERIES = "24 hours", "1 hours", 3
+SESSIONS_SQL = f"""
+SELECT CAST(user_id AS VARCHAR) || '/' || CAST(no AS VARCHAR) AS trace_id, user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       count(*) AS n_rows, string_agg(sentence, ' ' ORDER BY ts, event_id) AS text
+FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no
+      FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL {SESSION_GAP} THEN 0 ELSE 1 END AS opens
+            FROM ({planted.planted_sentence_sql()})))
+GROUP BY user_id, no
+HAVING max(ts) + INTERVAL {SESSION_GAP} <= (SELECT max(ts) FROM events) - INTERVAL {SESSION_LATENESS}
+"""
+
+
+@register(
+    "stream_row_traces",
+    o.trace_ctes(source=SESSIONS_SQL, keys="user_id, session_start, n_rows")
+    + f" SELECT CAST(user_id AS VARCHAR) AS trace_id, session_start, n_rows, {METRICS_SQL} FROM metrics",
+)
+def q_stream_row_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Events arrive in three deliveries; each session of a user is scored once
+    the watermark has passed it. The stream is stopped after each delivery
+    and goes on from its checkpoint."""
+    rows = sr.planted_rows(spark, table(spark, sf, "events"), "user").withColumns({"ts": F.col("ts").cast("timestamp"), "row_id": F.col("event_id")})
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / DELIVERIES for k in range(1, DELIVERIES)]
+    number = sum((F.when(F.col("ts") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    base = work_dir(spark, "sessions")
+    for k in range(DELIVERIES):
+        sessions.deliver(rows.where(number == k), f"{base}/rows", k)
+        out = sessions.run_sessions(spark, f"{base}/rows", f"{base}/out", f"{base}/ckpt", SESSION_GAP, SESSION_LATENESS)
+    start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start")
+    return out.select("trace_id", start, "n_rows", *METRICS)
+
 
 @register(
     "scan_prompt_files",

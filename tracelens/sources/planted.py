@@ -85,9 +85,19 @@ def planted_traces(spark: SparkSession, events: DataFrame, key: str = "user_day"
     )
 
 
+def planted_sentence_sql() -> str:
+    """DuckDB form of :func:`planted_sentences` (for oracles): user_id, day, ts, event_id, sentence."""
+    vals = ", ".join(f"('{t}', {k}, '{s.replace(chr(39), chr(39) * 2)}')" for t, k, s in TEMPLATES)
+    return f"""
+      SELECT e.user_id, CAST(e.ts AS DATE) AS day, e.ts, e.event_id, t.sentence
+      FROM events e
+      JOIN (VALUES {vals}) t(event_type, k, sentence)
+        ON e.event_type = t.event_type AND CAST(((e.event_id % 3) + 3) % 3 AS INTEGER) = t.k
+    """
+
+
 def planted_trace_sql(key: str = "user_day") -> str:
     """DuckDB form of :func:`planted_traces` (for oracles)."""
-    vals = ", ".join(f"('{t}', {k}, '{s.replace(chr(39), chr(39) * 2)}')" for t, k, s in TEMPLATES)
     if key == "user":
         tid, keys, grp = "CAST(user_id AS VARCHAR)", "user_id", "user_id"
     else:
@@ -96,11 +106,6 @@ def planted_trace_sql(key: str = "user_day") -> str:
     return f"""
     SELECT {tid} AS trace_id, {keys},
            string_agg(sentence, ' ' ORDER BY ts, event_id) AS text
-    FROM (
-      SELECT e.user_id, CAST(e.ts AS DATE) AS day, e.ts, e.event_id, t.sentence
-      FROM events e
-      JOIN (VALUES {vals}) t(event_type, k, sentence)
-        ON e.event_type = t.event_type AND CAST(((e.event_id % 3) + 3) % 3 AS INTEGER) = t.k
-    ) s
+    FROM ({planted_sentence_sql()}) s
     GROUP BY {grp}
     """
