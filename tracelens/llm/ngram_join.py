@@ -31,7 +31,7 @@ one of them, so the cells that differ are at most as many as such elements.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -244,8 +244,9 @@ def near_enough(na: Column, nb: Column, a: Column, b: Column, percent: int) -> C
     return (100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb)
 
 
-def kept_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
-    """(node, grams) of the ``wanted`` nodes, made anew from one text of each; written."""
+def kept_sets(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
+    """(node, grams) of the nodes of ``pairs``, made anew from one text of each; written."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = nodes.join(wanted, "node", "left_semi").select("tk").distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,10 +274,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
-def contracted(star: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def contracted(star: DataFrame, check: Callable[[DataFrame], DataFrame], bits: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found by rounds in which each node is held against one partner of ``star``.
 
-    Partners in a node's own component are passed over. The rounds end with
+    ``check`` gives the linked ones of some pairs. Partners in a node's own component are passed over. The rounds end with
     one that finds no link; what ``star`` still holds is left to the caller.
     """
     links = None
@@ -285,7 +286,7 @@ def contracted(star: DataFrame, sets: DataFrame, bits: DataFrame, percent: int)
         chosen = tried.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
         chosen = chosen.join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
         chosen = chosen.where(near_enough(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent)).select("a", "b")
-        found = written(verified(chosen, sets, percent), "links")
+        found = written(check(written(chosen, "chosen")), "links")
         links = found if links is None else links.union(found)
         if found.isEmpty():
             break
@@ -303,9 +304,10 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     counts = sketch(rows, n)
     keyed = written(keyed_sets(rows, counts, percent, n), "keyed-sets")
     # equal sets are one node from here on
-    nodes = keyed.where("node IS NOT NULL AND size(keys) > 0").groupBy("node")
-    nodes = written(nodes.agg(F.min_by(F.struct("tk", "n", "bits", F.arrays_zip("keys", "rests", "parts").alias("under")), "tk").alias("s")).select("node", "s.*"), "nodes")
-    entries = nodes.select("node", "n", F.explode("under").alias("e")).select(
+    usable = keyed.where("node IS NOT NULL AND size(keys) > 0")
+    nodes = written(usable.groupBy("node").agg(F.min_by(F.struct("tk", "n", "bits"), "tk").alias("s")).select("node", "s.*"), "nodes")
+    once = usable.groupBy("node").agg(F.first(F.struct("n", F.arrays_zip("keys", "rests", "parts").alias("under"))).alias("s"))
+    entries = once.select("node", "s.n", F.explode("s.under").alias("e")).select(
         F.when(F.col("e.parts") == 1, F.col("e.keys")).otherwise(F.xxhash64("e.keys", F.pmod("node", F.col("e.parts")))).alias("key"),
         F.when(F.col("e.parts") > 1, F.col("e.keys")).alias("whole"), "node", "n", F.col("e.rests").alias("rest"),
     )
@@ -317,10 +319,12 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     firsts = firsts.join(firsts.groupBy("key").agg(F.min("m").alias("pivot")), "key")
     star = lists.select("pivot", "m").union(firsts.select("pivot", "m")).where((F.col("m.node") != F.col("pivot.node")) & possible("pivot", "m", percent))
     star = written(star.select(F.col("m.node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
-    ends = lists.select(F.col("m.node").alias("node")).distinct()
-    sets = kept_sets(ends, nodes, rows, n)
     bits = nodes.select("node", "n", "bits")
-    links = contracted(star, sets, bits, percent)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, kept_sets(pairs, nodes, rows, n), percent)
+
+    links = contracted(star, check, bits, percent)
     # lists whose members are not all connected by now
     so_far = components(links)
     members = lists.select("key", F.col("m.node").alias("node"), "m").join(so_far, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("c"))
@@ -333,7 +337,7 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     allowed = (F.col("c") < F.col("d")) & possible("m", "w", percent) & near_enough(F.col("m.n"), F.col("w.n"), F.col("bits"), F.col("others"), percent)
     rest = x.join(y, ["key", "size"]).where(allowed)
     rest = written(rest.select(F.least("m.node", "w.node").alias("a"), F.greatest("m.node", "w.node").alias("b")).distinct(), "pairs")
-    component = components(links.union(verified(rest, sets, percent)))
+    component = components(links.union(check(rest)))
 
     return keyed.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").select("doc_id", "tk", "n_shingles", F.coalesce("component", "node").alias("c"))
 
