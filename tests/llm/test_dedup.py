@@ -195,9 +195,10 @@ def test_shingle_sets():
     assert [shingles_of(t) for t in (None, "", "  ", "a", "a b c", "a b c d", "a a a a a a", "a b c d e")] == [0, 0, 0, 1, 1, 1, 1, 2]
 
 
-def brute_lines(rows, ratio, min_pages):
-    pages, total = defaultdict(set), Counter(h for _, h, _ in rows)
-    for k, (_, host, text) in enumerate(rows):
+def brute_lines(rows, ratio, min_pages, copies_once=False):
+    counted = list({(h, t): (i, h, t) for i, h, t in rows}.values()) if copies_once else rows
+    pages, total = defaultdict(set), Counter(h for _, h, _ in counted)
+    for k, (_, host, text) in enumerate(counted):
         for line in (text or "").split("\n"):
             if line.strip(" "):
                 pages[host, line.strip(" ")].add(k)
@@ -210,11 +211,12 @@ def brute_lines(rows, ratio, min_pages):
         drop = [x.strip(" ") != "" and len(p := pages[host, x.strip(" ")]) >= min_pages and len(p) > ratio * total[host] for x in lines]
         kept = "\n".join(x for x, d in zip(lines, drop, strict=True) if not d)
         n = sum(x.strip(" ") != "" for x in lines)
-        out.append((i, kept, n, sum(drop)) if 2 * len(kept) >= len(text) else (i, text, n, 0))
+        out.append((i, kept, n, sum(drop)))
     return Counter(out)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("copies_once", [False, True])
+def test_line_dedup(spark, copies_once):
     r = random.Random(6)
     rows = []
     for k in range(200):
@@ -223,11 +225,13 @@ def test_line_dedup(spark):
         rows.append((k // 2 if k % 9 else None, host, "\n".join(["Menu", *body, " Footer ", ""][r.randint(0, 1) :])))
     rows += [(900, "a", None), (901, "a", ""), (902, "a", "Menu"), (903, "b", "x" * 100_000)] + [(910, "a", "same\npage")] * 40
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("host", F.lit(1)).withColumn("drop", F.lit("d")).withColumn("n_lines", F.lit("old"))
-    out = line_dedup.drop_boilerplate(df, "doc_id", "source", ratio=0.1, min_pages=5)
+    out = line_dedup.drop_boilerplate(df, "doc_id", "source", ratio=0.1, min_pages=5, copies_once=copies_once)
     assert out.columns == ["doc_id", "source", "text", "host", "drop", "n_lines", "n_dropped"]
     got = Counter((x["doc_id"], x["text"], x["n_lines"], x["n_dropped"]) for x in out.collect())
-    assert got == brute_lines(rows, 0.1, 5) and sum(x[3] * n for x, n in got.items()) > 100
-    assert line_dedup.drop_boilerplate(df.limit(0), "doc_id", "source").count() == 0
+    assert got == brute_lines(rows, 0.1, 5, copies_once) and sum(x[3] * n for x, n in got.items()) > 100
+    emptied = [x for x in got if x[0] == 910]
+    assert emptied == [(910, "same\npage", 2, 0) if copies_once else (910, "", 2, 2)]
+    assert line_dedup.drop_boilerplate(df.limit(0), "doc_id", "source", copies_once=copies_once).count() == 0
 
 
 def test_html_text_and_hosts(spark):

@@ -172,3 +172,74 @@ def test_held_out_uses_crc32(spark):
 
     out = spark.range(50).select("id", (queries.id_bucket(F.col("id"), 5) == 0).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in out)
+
+
+def plain_graph(texts):
+    """Accepted patterns and spans by dictionaries, with the same rules."""
+    graph, total = Counter(), Counter()
+    seeds = set()
+    for text in texts:
+        for line in (text or "").split("\n"):
+            words = [pii.context_word(w) for w in line.split()]
+            for i in range(len(words)):
+                total.update(pii.patterns_at(words, i))
+        for instance, patterns, seed in pii.mentions(text or "", pii.base_spans(text or "")):
+            graph.update((p, instance) for p in patterns)
+            seeds |= {instance} if seed else set()
+    by = {}
+    for p, x in graph:
+        by.setdefault(p, []).append(x)
+    by = {p: own for p, own in by.items() if len(own) >= pii.MIN_INSTANCES}
+    scores, accepted = {x: float(x in seeds) for own in by.values() for x in own}, {}
+    while True:
+        new = {}
+        for p, own in by.items():
+            confidence = min(1.0, sum(graph[p, x] * scores[x] for x in own) / total[p])
+            if p not in accepted and sum(scores[x] >= 0.5 for x in own) >= pii.MIN_INSTANCES and confidence >= pii.LEAST:
+                new[p] = confidence
+        if not new:
+            return accepted
+        accepted |= new
+        for x in scores:
+            if x not in seeds:
+                scores[x] = 1 - float(np.prod([max(1e-9, 1 - accepted.get(p, 0.0)) for p, own in by.items() if x in own]))
+
+
+def labelled(seed=4):
+    import random
+
+    r = random.Random(seed)
+    word = lambda: r.choice("alpha beta gamma delta sigma omega river stone".split())
+    ids = [f"P{k}-{r.randrange(10**6)}" for k in range(40)]
+    texts = [f"{word()} {word()}\nEmail: user{k}@example.com\n{word()}" for k in range(14)]
+    texts += [f"Email: {x}\n{word()} {word()}" for x in ids[:6]]  # the label begins a line
+    texts += [f"{word()} {word()} ref {x} {word()}" for x in ids[:6] for _ in range(2)]  # known identifiers carry a new label
+    texts += [f"{word()} ref {x} {word()} {word()}" for x in ids[6:9]]
+    texts += [f"{word()} {x} (member) {word()}" for x in ids[:9] for _ in range(2)]  # the label stands behind
+    texts += [f"{word()} {x} (member) {word()}" for x in ids[14:18]]
+    texts += [f"{word()} {word()} ref unknown-person {word()}", "pin: 12 is what " + word(), f"api key = {'0af9' * 10} {word()}", f"api key = {'1bc8' * 10} {word()}", f"api key = {'77ee' * 11}", "api key = plainword"]
+    texts += [f"{word()} {k} {word()} 20{k} {word()}" for k in range(10, 40)]
+    return texts, ids
+
+
+def test_pattern_graph_against_brute_force(spark):
+    texts, ids = labelled()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    accepted = pii.accepted_patterns(df, pii.scan(df)).collect()
+    want = plain_graph(texts)
+    assert {r["pattern"]: round(r["confidence"], 9) for r in accepted} == {p: round(c, 9) for p, c in want.items()}
+    assert {"2 ^ email:", "1 ref", "r (member)", "2 key ="} <= set(want)
+    out = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    for k, text in enumerate(texts):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in out[k].split(",") if s.startswith("id")]
+        assert spans == sorted((a, b) for a, b, _ in pii.behind(text, pii.base_spans(text), want.__contains__))
+    found = {texts[k][int(s.split(":")[1]) : int(s.split(":")[2])] for k in out for s in out[k].split(",") if s.startswith("id")}
+    assert set(ids[:9] + ids[14:18]) <= found and {"unknown-person", "plainword", "0af9" * 10} <= found and not {"12", "20", "alpha", "river"} & found
+
+
+def test_masking_of_repeated_rows_and_of_nothing(spark):
+    texts, _ = labelled()
+    df = spark.createDataFrame([(1, t, "x") for t in texts] + [(None, None, None), (1, texts[0], "x")], "doc_id long, text string, spans string")
+    out = pii.mask(df)
+    assert out.columns == df.columns and out.count() == len(texts) + 2 and out.where("text LIKE '%user%'").count() == 0 and out.where("text IS NULL").count() == 1
+    assert pii.mask(df.limit(0)).count() == 0

@@ -2,8 +2,7 @@
 
 A line is boilerplate of a host when it stands on at least ``min_pages`` of the
 host's pages and on more than ``ratio`` of them. Such lines are dropped from
-the host's pages. By default, as the SQL has it, a page that would lose more
-than half of its characters is left whole.
+all of the host's pages, also where they are most or all of a page.
 
 DataFrame operations only. Pages meet by (host, line hash), counts are added
 up before they are dealt, and the lines to drop come back to each page by the
@@ -39,15 +38,15 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
 
 
-def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_mostly: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text_col``, and n_lines and n_dropped.
 
     Lines are compared without spaces at their ends; blank lines are neither
     counted nor dropped. Each row is a page, also when its id or text is
     repeated; null hosts are one host. A null text stays null, with no lines.
-    Columns named n_lines or n_dropped are replaced. Without ``spare_mostly``
-    boilerplate goes from every page, and pages of one host with equal texts
-    count as one, which tells copies of a page from boilerplate.
+    Columns named n_lines or n_dropped are replaced. A page whose lines all go
+    keeps its row, with an empty text. With ``copies_once`` pages of one host
+    with equal texts count as one, which tells copies of a page from boilerplate.
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -55,7 +54,7 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     keyed = pages.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.struct(*names).alias("__row"), F.col(text_col).alias("__text"))
     own = pages.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), own_lines.alias("lines"))
     counted = own
-    if not spare_mostly:
+    if copies_once:
         counted = pages.select(F.col(host_col).alias("host"), F.xxhash64(F.col(text_col).cast("string")).alias("tk"), own_lines.alias("lines")).dropDuplicates(["host", "tk"])
     each = own.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.x", "line.y")
     totals = counted.groupBy("host").agg(F.count("*").alias("total"))
@@ -71,13 +70,10 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     kept = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _hash(F.trim(x))))
     joined = joined.withColumn("__kept", F.when(F.col("drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("__text")))
     changed = F.col("drop").isNotNull()
-    if spare_mostly:
-        changed &= 2 * F.length("__kept") >= F.length("__text")
 
     def filled(text: str) -> Column:
         return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
 
-    joined = joined.withColumn("__kept", F.when(changed, F.col("__kept")).otherwise(F.col("__text")))
     counts = [F.when(F.col("__text").isNull(), F.lit(0)).otherwise(filled("__text")).alias("n_lines"), F.when(changed, filled("__text") - filled("__kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"__row.{c}").alias(c) for c in names], *counts)
 
@@ -99,8 +95,7 @@ marked AS (
 joined AS (
   SELECT r, count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (dropped) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '') AS kept FROM marked GROUP BY r)
-SELECT n.page_id, n.host, coalesce(j.n_lines, 0) AS n_lines,
-       CASE WHEN 2 * length(j.kept) >= length(n.text) THEN coalesce(j.n_dropped, 0) ELSE 0 END AS n_dropped,
-       sha256(CASE WHEN 2 * length(j.kept) >= length(n.text) THEN j.kept ELSE n.text END) AS text_sha256
+SELECT n.page_id, n.host, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_dropped, 0) AS n_dropped,
+       sha256(CASE WHEN n.text IS NOT NULL THEN j.kept END) AS text_sha256
 FROM numbered n LEFT JOIN joined j USING (r)
 """

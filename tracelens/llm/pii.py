@@ -1,27 +1,30 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Emails, IP addresses, card and phone numbers are found by fixed patterns; they
-are the seeds. A lexical pattern is the pair of words before a mention. From
-the seeds Spark builds a graph of patterns and instances (the mentioned
+are the seeds, and so are words that look like keys (``SHAPED``). A lexical
+pattern is what stands beside a mention in its line: the two words before it
+(the line's start counts as one), the word before it, or the word after it. From the
+seeds Spark builds a graph of patterns and instances (the mentioned
 strings: seeds, and other words with a digit that no fixed pattern covers) and
 scores it in rounds:
 
 * a pattern's confidence is the score-weighted number of its mentions, divided
-  by all places where its two words occur in the corpus, whatever follows;
+  by all places where its words occur like that in the corpus, whatever they stand beside;
 * an instance's score is 1 for a seed, else the chance that not all of its
   accepted patterns err.
 
 Patterns with enough different instances and a confidence of at least
-``LEAST`` are accepted, and all other instances behind them become spans of
-kind ``id``. Since every occurrence of the two words counts, ordinary word
-pairs that merely happen to stand before seeds never reach that.
+``LEAST`` are accepted, and stay so; the rounds end when no pattern is added.
+All words beside accepted patterns, whatever their length and letters, then
+become spans of kind ``id``. Since every occurrence of a pattern's words counts,
+ordinary words that merely happen to stand beside seeds never reach that.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,9 @@ from .common import slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND_KIND = "id"
-LEAST, MIN_INSTANCES, ROUNDS = 0.6, 3, 3
+LEAST, MIN_INSTANCES = 0.6, 3
+#: What a key or token looks like: letters and digits of one word, several of each.
+SHAPED = re.compile(r"(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9+/_=-]{20,200}")
 #: Bits of the map of patterns that the counting pass looks for.
 BITS = 1 << 23
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -45,8 +50,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 QUOTES = "\"'([{<`"
 ENDS = QUOTES + ")]}>.,;:!?*#%&$|"
-MENTION_CHARS, CONTEXT_CHARS = 64, 24
-SCAN_SCHEMA = "doc_id long, tk long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<start:int,stop:int,instance:string,pattern:string,seed:boolean>>"
+#: Words longer than this stand for themselves by a hash, as instances and as context.
+LONG_WORD = 64
+LINE_START = "^"
+SCAN_SCHEMA = "doc_id long, tk long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<instance:string,patterns:array<string>,seed:boolean>>"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -87,60 +94,98 @@ def listed(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind in KINDS for a, b in spans[kind])
 
 
-def context_words(text: str) -> list[str]:
-    return [w[-CONTEXT_CHARS:] for w in DIGIT.sub("0", text.lower()).split()]
+def context_word(word: str) -> str:
+    """A word as context: lower case, all digits alike, long words by a hash."""
+    word = DIGIT.sub("0", word.lower())
+    return word if len(word) <= LONG_WORD else f"#{xxhash.xxh3_64_hexdigest(word)}"
 
 
-def pattern_before(text: str, start: int) -> str | None:
-    """The two words before the word that starts at ``start``."""
-    words = context_words(text[max(0, start - 200) : start])
-    return " ".join(words[-2:]) if len(words) > 1 else None
+def patterns_at(words: list[str], i: int, last: int | None = None) -> list[str]:
+    """The patterns of the words ``i`` to ``last`` of a line of context words."""
+    out = []
+    if i:
+        out = [f"2 {words[i - 2] if i > 1 else LINE_START} {words[i - 1]}", f"1 {words[i - 1]}"]
+    if (i if last is None else last) + 1 < len(words):
+        out.append(f"r {words[(i if last is None else last) + 1]}")
+    return out
+
+
+WORD = re.compile(r"\S+")
+
+
+def lines_of(text: str) -> Iterator[tuple[int, str]]:
+    """(start, line) of each line."""
+    start = 0
+    for line in text.split("\n"):
+        yield start, line
+        start += len(line) + 1
+
+
+def bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """A word's bounds without quotes before it and punctuation behind it."""
+    word = text[a:b]
+    return a + len(word) - len(word.lstrip(QUOTES)), b - (len(word) - len(word.rstrip(ENDS)))
+
+
+def instance_of(word: str) -> str:
+    word = word.lower()
+    return word if len(word) <= LONG_WORD else f"#{xxhash.xxh3_64_hexdigest(word)}"
 
 
-def mentions(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, instance, pattern, is a seed) of words that are a seed or hold a digit outside all seeds."""
+def mentions(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, list[str], bool]]:
+    """(instance, patterns, is a seed) of seeds that begin a word, and of words with a digit outside all seeds."""
+    if not DIGIT.search(text) and not spans["email"]:
+        return []
     taken = sorted(s for kind in KINDS for s in spans[kind])
-    out, seeds = [], {}
-    for a, b in taken:
-        seeds.setdefault(a, b)
-    done, k, reach = 0, 0, 0
-    for m in DIGIT.finditer(text) if DIGIT.search(text) else ():
-        if m.start() < done:
+    out, k, reach = [], 0, 0
+    for start, line in lines_of(text):
+        if not DIGIT.search(line) and "@" not in line:
             continue
-        a, b = m.start(), m.end()
-        while a > 0 and m.start() - a <= MENTION_CHARS and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and b - m.start() <= MENTION_CHARS and not text[b].isspace():
-            b += 1
-        done = b
-        if b - a > MENTION_CHARS:
-            continue
-        word = text[a:b]
-        start = a + len(word) - len(word.lstrip(QUOTES))
-        end = b - (len(word) - len(word.rstrip(ENDS)))
-        while k < len(taken) and taken[k][0] < end:
-            reach = max(reach, taken[k][1])
-            k += 1
-        if start < reach or end - start < 5:
-            continue
-        pattern = pattern_before(text, a)
-        if pattern:
-            out.append((start, end, text[start:end].lower(), pattern, False))
-    for a, b in seeds.items():
-        left = a
-        while left > 0 and a - left <= 4 and text[left - 1] in QUOTES:
-            left -= 1
-        if left and text[left - 1].isspace():
-            pattern = pattern_before(text, left)
-            if pattern:
-                out.append((a, b, text[a:b].lower(), pattern, True))
+        places = [(start + m.start(), start + m.end()) for m in WORD.finditer(line)]
+        words: list[str] = []
+        for i, (a, b) in enumerate(places):
+            p, q = bare(text, a, b)
+            while k < len(taken) and taken[k][0] < p:
+                reach = max(reach, taken[k][1])
+                k += 1
+            seed = taken[k] if k < len(taken) and taken[k][0] == p else None
+            if p >= q or (seed is None and (p < reach or (k < len(taken) and taken[k][0] < q) or not DIGIT.search(text, p, q))):
+                continue
+            words = words or [context_word(text[x:y]) for x, y in places]
+            last = i
+            while seed and last + 1 < len(places) and places[last + 1][0] < seed[1]:
+                last += 1
+            own = patterns_at(words, i, last)
+            if own:
+                found = text[p : seed[1]] if seed else text[p:q]
+                out.append((instance_of(found), own, seed is not None or SHAPED.fullmatch(found) is not None))
+    return out
+
+
+def behind(text: str, spans: dict[str, list[tuple[int, int]]], accepted: Callable[[str], bool]) -> list[tuple[int, int, list[str]]]:
+    """(start, end, accepted patterns) of words outside the fixed kinds' spans."""
+    taken = sorted(s for kind in KINDS for s in spans[kind])
+    out, k, reach = [], 0, 0
+    for start, line in lines_of(text):
+        places = [(start + m.start(), start + m.end()) for m in WORD.finditer(line)]
+        words = [context_word(line[a - start : b - start]) for a, b in places]
+        for i, (a, b) in enumerate(places):
+            own = [p for p in patterns_at(words, i) if accepted(p)]
+            if not own:
+                continue
+            p, q = bare(text, a, b)
+            while k < len(taken) and taken[k][0] < q:
+                reach = max(reach, taken[k][1])
+                k += 1
+            if p < q and p >= reach:
+                out.append((p, q, own))
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and mentions of each row; ``tk`` is a hash of the text."""
     names = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
-    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("pattern", pa.string()), ("seed", pa.bool_())])
+    item = pa.struct([("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -150,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 counts.append([len(spans[k]) for k in KINDS])
                 base.append(listed(spans))
-                found.append([dict(zip(("start", "stop", "instance", "pattern", "seed"), m, strict=True)) for m in mentions(text, spans)])
+                found.append([dict(zip(("instance", "patterns", "seed"), m, strict=True)) for m in mentions(text, spans)])
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(base, pa.string()), pa.array(found, pa.list_(item))], names=names)
 
@@ -162,12 +207,8 @@ def bit_of(pattern: str) -> int:
     return xxhash.xxh32_intdigest(pattern) % BITS
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each pattern's words stand side by side before a word, in all texts.
-
-    A map of fixed size says which word pairs may be patterns; the join with
-    ``patterns`` drops those that only share a bit with one.
-    """
+def bit_map(patterns: DataFrame) -> bytes:
+    """A map of fixed size that says which strings may be among ``patterns``."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,46 +217,102 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     at = patterns.select("pattern").mapInArrow(bits, "bit int").distinct().toArrow().column("bit").to_numpy()
     table = np.zeros(BITS // 8, np.uint8)
     np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    return table.tobytes()
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): beside how many words each pattern's words stand in all texts.
+
+    The join with ``patterns`` drops strings that only share a bit with one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(patterns))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, digest, bits = shared.value, xxhash.xxh32_intdigest, BITS
+
+        def maybe(pattern: str) -> bool:
+            bit = digest(pattern) % bits
+            return bool(table[bit >> 3] >> (bit & 7) & 1)
+
         for batch in slices(batches):
             total: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                words = context_words(text or "")
-                hits = []
-                for a, b in zip(words, words[1:-1]):
-                    pair = f"{a} {b}"
-                    bit = digest(pair) % bits
-                    if table[bit >> 3] >> (bit & 7) & 1:
-                        hits.append(pair)
-                total.update(hits)
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["pattern", "n"])
+                for line in (text or "").split("\n"):
+                    words = [context_word(w) for w in line.split()]
+                    before = LINE_START
+                    for i, w in enumerate(words[:-1]):
+                        pair = f"2 {before} {w}"
+                        if maybe(pair):
+                            total[pair] += 1
+                        before = w
+                    for w in words[:-1]:
+                        total[f"1 {w}"] += 1
+                    for w in words[1:]:
+                        total[f"r {w}"] += 1
+            hits = [(p, n) for p, n in total.items() if p[0] == "2" or maybe(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in hits], pa.string()), pa.array([n for _, n in hits], pa.int64())], names=["pattern", "n"])
 
     sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     return sums.join(patterns.select("pattern"), "pattern")
 
 
-def accepted_patterns(docs: DataFrame, scanned: DataFrame, least: float = LEAST, min_instances: int = MIN_INSTANCES, rounds: int = ROUNDS) -> DataFrame | None:
-    """(pattern, confidence) of the patterns that end up accepted; None when no pattern has enough instances."""
-    each = scanned.select(F.explode("found").alias("m")).select("m.*")
+def accepted_patterns(docs: DataFrame, scanned: DataFrame, least: float = LEAST, min_instances: int = MIN_INSTANCES) -> DataFrame | None:
+    """(pattern, confidence) of the patterns that end up accepted; None when there is none."""
+    each = scanned.select(F.explode("found").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.instance", "m.seed")
     graph = written(each.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-graph")
-    often = graph.groupBy("pattern").agg(F.count("*").alias("k"), F.max("seed").alias("seeded")).where(F.col("k") >= min_instances)
+    often = graph.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= min_instances)
     often = written(often.select("pattern"), "pii-patterns")
     if often.isEmpty():
         return None
-    graph = written(graph.join(occurrences(docs, often), "pattern"), "pii-graph")
-    seeds = graph.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    scores = written(seeds, "pii-scores")
-    for _ in range(rounds):
-        support = F.sum(F.col("n") * F.col("score")) / F.max("total")
-        patterns = graph.join(scores, "instance").groupBy("pattern").agg(F.least(support, F.lit(1.0)).alias("confidence"), F.count_if(F.col("score") >= 0.5).alias("k"))
-        patterns = written(patterns.where((F.col("k") >= min_instances) & (F.col("confidence") >= least)).select("pattern", "confidence"), "pii-accepted")
+    totals = written(occurrences(docs, often), "pii-totals")
+    graph = written(graph.join(often, "pattern", "left_semi"), "pii-graph")
+    scores = written(graph.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), "pii-scores")
+    accepted = None
+    while True:
+        # sums are made before the totals are joined, so that a frequent pattern is not one task's join
+        support = graph.join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("support"), F.count_if(F.col("score") >= 0.5).alias("k"))
+        found = support.where(F.col("k") >= min_instances).join(totals, "pattern").select("pattern", F.least(F.col("support") / F.col("total"), F.lit(1.0)).alias("confidence"))
+        found = found.where(F.col("confidence") >= least)
+        if accepted is None:
+            accepted = written(found, "pii-accepted")
+            if accepted.isEmpty():
+                return None
+        else:
+            more = written(found.join(accepted, "pattern", "left_anti"), "pii-accepted")
+            if more.isEmpty():
+                return accepted
+            accepted = written(accepted.union(more), "pii-accepted")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
-        scores = graph.join(patterns, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"))
+        scores = graph.join(accepted, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"))
         scores = written(scores, "pii-scores")
-    return patterns
+
+
+def discovered(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(tk, more): the spans (start, stop) of words beside accepted ``patterns``, once per text that has any."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(patterns))
+    schema = "tk long, start int, stop int, pattern string"
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+
+        def maybe(pattern: str) -> bool:
+            bit = bit_of(pattern)
+            return bool(table[bit >> 3] >> (bit & 7) & 1)
+
+        for batch in slices(batches):
+            rows = [
+                (tk, a, b, p)
+                for tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                if text
+                for a, b, own in behind(text, base_spans(text), maybe)
+                for p in own
+            ]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["tk", "start", "stop", "pattern"])
+
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("tk"), F.col("text").cast("string").alias("text"))
+    each = texts.mapInArrow(found, schema).distinct().join(patterns.select("pattern"), "pattern", "left_semi")
+    return each.groupBy("tk").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("more"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -223,23 +320,27 @@ def find(docs: DataFrame) -> DataFrame:
 
     ``base`` lists the fixed kinds' spans as kind:start:end, by kind and start;
     ``spans`` adds the discovered ones, of kind ``id``. ``tk`` is a 64-bit hash
-    of the text: rows of equal text have equal spans. Null texts count as
+    of the text: rows of equal text, also repeated rows, have equal spans, and
+    each counts as a text of the corpus. Null texts count as
     empty; other columns are left out.
     """
     scanned = written(scan(docs), "pii-scan")
     patterns = accepted_patterns(docs, scanned)
     if patterns is None:
         return scanned.drop("found").withColumn("spans", F.col("base"))
-    each = scanned.select("tk", F.explode("found").alias("m")).select("tk", "m.*").where("NOT seed").select("tk", "start", "stop", "pattern")
-    more = each.join(patterns, "pattern").groupBy("tk").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("more"))
-    more = written(more, "pii-more")  # a table of its own, so that the join can split a text that many rows share
+    # a table of its own, so that the join can split a text that many rows share
+    more = written(discovered(docs, patterns), "pii-more")
     text = F.transform("more", lambda s: F.concat_ws(":", F.lit(FOUND_KIND), s["start"].cast("string"), s["stop"].cast("string")))
     spans = F.array_join(F.filter(F.concat(F.array("base"), F.coalesce(text, F.array().cast("array<string>"))), lambda s: s != ""), ",")
     return scanned.drop("found").join(more, "tk", "left").withColumn("spans", spans).drop("more")
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Each row stays, also repeated ones; null texts stay null, other columns as
+    they are.
+    """
 
     @F.pandas_udf("string")
     def masked(texts, spans):
