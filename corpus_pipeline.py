@@ -34,7 +34,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in too many of a source's different texts go, also where they are most of a text (8)."""
     ensure_checkpoint_dir(spark)
-    return _recounted(line_dedup.drop_boilerplate(docs, "doc_id", "source", spare_mostly=False), docs.columns)
+    return _recounted(line_dedup.drop_boilerplate(docs, "doc_id", "source", copies_once=True), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
