@@ -38,3 +38,19 @@ def test_inventory(spark):
     _write(d, "answer.txt", INVENTORY)
     rows = sorted((r.category, r.phrase) for r in inventory.scan_lexicon_inventory(spark, d).collect())
     assert rows == [("hedge", "it might be"), ("hedge", "perhaps"), ("math", "plug the value back in"), ("verification", "let me recheck")]
+
+
+def test_missing_blank_and_badly_encoded_files_are_told_apart(spark, tmp_path):
+    folder = tmp_path / "traces"
+    (folder / "sub").mkdir(parents=True)
+    for name, content in {"a.txt": b" One.\n", "b.txt": b" \n\t", "c.txt": b"caf\xe9", "d.txt": b"", "other.txt": b"x", "sub/e.txt": "été".encode()}.items():
+        (folder / name).write_bytes(content)
+    names = ["a.txt", "b.txt", "c.txt", "d.txt", "gone.txt", "a.txt", None]
+    requested = spark.createDataFrame([(n and f"file:{folder}/{n}",) for n in names], "file_path string")
+    ok, rejects = files.scan_trace_files(spark, str(folder), requested)
+    assert [r.text for r in ok.collect()] == ["One."]
+    assert sorted((r.file_path.rsplit("/", 1)[1], r.reason) for r in rejects.collect()) == [("b.txt", "empty_file"), ("c.txt", "not_utf8"), ("d.txt", "missing_file"), ("gone.txt", "missing_file")]
+    ok, rejects = files.scan_trace_files(spark, str(folder))
+    assert sorted(r.text for r in ok.collect()) == ["One.", "x"] and rejects.count() == 2
+    ok, _ = files.scan_trace_files(spark, f"{folder}/sub", spark.createDataFrame([(f"{folder}/sub/",)], "file_path string"))
+    assert [r.text for r in ok.collect()] == ["été"]

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes a broadcast side may hold, well under the memory of a driver or executor.
 BROADCAST_BYTES = 64 << 20
 
 
+def row_bytes(columns: Sequence[str]) -> Column:
+    """About the bytes that a row with these columns takes: those of its JSON."""
+    return F.octet_length(F.to_json(F.struct(*columns))).cast("bigint") + 16
+
+
 def measured(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes) of ``df``, in one aggregate; bytes are those of its rows as JSON."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("bigint") + 16
-    rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    rows, total = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df.columns))).first()
     return rows, total or 0
 
 

@@ -292,9 +292,9 @@ def split_by_size(r: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame | N
     its rows are told apart here.
     """
     sizes = r.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where((F.col("_rows") > max_rows) & F.col("trace_id").isNotNull()).select("trace_id")
-    of_null = F.count_if(F.col("trace_id").isNull()).alias("n")
-    n_null, (n_hot, hot_bytes) = sizes.agg(of_null).first().n, joins.measured(hot)
+    long = (F.col("_rows") > max_rows) & F.col("trace_id").isNotNull()
+    hot = sizes.where(long).select("trace_id")
+    n_null, n_hot, hot_bytes = sizes.agg(F.count_if(F.col("trace_id").isNull()), F.count_if(long), F.sum(F.when(long, joins.row_bytes(["trace_id"])))).first()
     unnamed = r.where("trace_id IS NULL") if n_null else None
     named = r.where("trace_id IS NOT NULL") if n_null else r
     if not n_hot:

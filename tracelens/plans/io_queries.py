@@ -126,6 +126,24 @@ def q_scan_trace_files(spark: SparkSession, sf: str) -> DataFrame:
     return score.score_traces(t).select("trace_id", "n_chars", *METRICS)
 
 
+@register(
+    "scan_trace_files_rejects",
+    f"""SELECT trace_id, CASE CAST(user_id % 10 AS INTEGER) WHEN 3 THEN 'empty_file' WHEN 7 THEN 'not_utf8' WHEN 9 THEN 'missing_file' ELSE 'read' END AS outcome
+        FROM ({planted.planted_trace_sql("user")})""",
+)
+def q_scan_trace_files_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's trace is requested; by rule some files are blank, end in
+    bytes that are no UTF-8, or were never written."""
+    path = work_dir(spark, "trace-files")
+    kind = F.col("user_id") % 10
+    t = traces(spark, sf, "user")
+    bad = F.concat("text", F.expr("cast(X'C3FF' AS STRING)"))
+    files.write_trace_files(t.where(kind != 9).select("trace_id", F.when(kind == 3, " ").when(kind == 7, bad).otherwise(F.col("text")).alias("text")), path)
+    ok, rejects = files.scan_trace_files(spark, path, t.select(F.concat(F.lit(f"{path}/trace_id="), "trace_id").alias("file_path")))
+    tid = F.regexp_extract("file_path", r"trace_id=([^/]+)", 1).alias("trace_id")
+    return ok.select(tid, F.lit("read").alias("outcome")).unionByName(rejects.select(tid, F.col("reason").alias("outcome")))
+
+
 def _stream_source(spark: SparkSession, sf: str) -> tuple[str, object]:
     src = work_dir(spark, "stream-src")
     # event time = the day's midnight UTC, built from the epoch day so it does

@@ -1,35 +1,54 @@
 """Whole-file trace and prompt sources, and result sinks.
 
-A trace file is one trace: the file is read whole (``wholetext``), stripped,
-and rejected when missing or blank. Files are independent, so a directory of
+A trace file is one trace: the file is read whole, stripped, and rejected when
+it is missing, blank or no UTF-8. Files are independent, so a directory of
 them splits across tasks file by file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.functions import lexicon, text
 
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_path, text)``: one row per file, UTF-8, stripped."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("file_path"), text.strip_ws(F.col("value")).alias("text"))
+    """``(file_path, text)``: one row per file, stripped; the text of a file that is no UTF-8 is null."""
+    df = spark.read.format("binaryFile").load(path)
+    content = F.col("content").cast("string")
+    return df.select(F.col("path").alias("file_path"), F.when(F.is_valid_utf8(content), text.strip_ws(content)).alias("text"))
 
 
-def scan_trace_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(traces, rejects). A blank file goes to rejects with a reason."""
+def _plain_path(path: Column) -> Column:
+    """A path without scheme and authority, as requests and readers write them differently."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"/+$", "")
+
+
+def scan_trace_files(spark: SparkSession, path: str, requested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(traces, rejects): ``(file_path, text)``, and ``(file_path, reason)`` of ``empty_file``, ``not_utf8`` or ``missing_file``.
+
+    ``requested`` (``file_path``) names the files, or folders of files, that
+    are wanted: others are left out, and those that are not there are
+    rejected as missing, as are files of no bytes, which Spark's file scans
+    pass over. Repeated requests count once, null ones not at all.
+    """
     df = scan_text_files(spark, path)
-    blank = F.col("text") == F.lit("")
-    traces = df.where(~blank)
-    rejects = df.where(blank).select("file_path", F.lit("empty_file").alias("reason"))
-    return traces, rejects
+    if requested is not None:
+        wanted = requested.where("file_path IS NOT NULL").select(F.col("file_path").alias("request"), _plain_path(F.col("file_path")).alias("_at")).dropDuplicates(["_at"])
+        own = _plain_path(F.col("file_path"))
+        there = df.withColumn("_own", own).withColumn("_at", F.explode(F.array_distinct(F.array(own, F.regexp_replace(own, "/[^/]*$", "")))))
+        absent = wanted.join(there.select("_at").distinct(), "_at", "left_anti").select(F.col("request").alias("file_path"), F.lit("missing_file").alias("reason"))
+        df = there.join(wanted.select("_at"), "_at", "left_semi").dropDuplicates(["_own"]).select("file_path", "text")
+    reason = F.when(F.col("text").isNull(), "not_utf8").when(F.col("text") == "", "empty_file")
+    rejects = df.select("file_path", reason.alias("reason")).where("reason IS NOT NULL")
+    if requested is not None:
+        rejects = rejects.unionByName(absent)
+    return df.where("text <> ''"), rejects
 
 
 def scan_prompt_files(spark: SparkSession, path: str | None) -> DataFrame:
-    """Prompt text per file; the default prompt when no path is given. A blank file is rejected: it gives no row."""
+    """Prompt text per file; the default prompt when no path is given. A file that is blank or no UTF-8 is rejected: it gives no row."""
     if path is None:
         return spark.createDataFrame([(None, lexicon.DEFAULT_PROMPT)], "file_path string, prompt string")
     df = scan_text_files(spark, path)
