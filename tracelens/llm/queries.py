@@ -16,10 +16,12 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label, one row per vector; see ``embedding_dedup.near_duplicates`` for odd rows."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out; null and empty texts get a score, repeated rows each one."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = id_bucket("doc_id", 5) != 0
     # labels are chosen before the join, so that the broadcast side is bounded
@@ -39,17 +41,20 @@ def toxicity_labels(labels: DataFrame, per_class: int = 2 * toxicity.SAMPLE_PER_
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; labelled ones of quality 1 are the trusted target. Null texts have no words."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ratios = quality.fit(docs, labels.where("quality = 1").select("doc_id"))
     return quality.verdicts(quality.score(docs, ratios))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed and discovered personal data of every document; null texts count as empty, equal texts have equal spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document; null texts count as empty."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return encoded.select(
         "doc_id",
@@ -60,6 +65,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out; ``und`` for texts that are null or have no letter."""
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket("doc_id", 4) == 2
     model = langid.fit(docs.where(~held_out))
@@ -68,11 +74,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens; null texts count as empty and hold the end id."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines dropped from all pages; null html has no lines, null hosts are one host, repeated rows are pages of their own."""
     pages = table(spark, sf_dir, "pages")
     texts = pages.select("page_id", line_dedup.host_of_url(F.col("url")).alias("host"), line_dedup.text_of_html(F.col("html")).alias("text"))
     out = line_dedup.drop_boilerplate(written(texts, "page-texts"), "page_id", "host")
@@ -80,10 +88,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents; those without words are their own, rows of one doc_id are documents of their own."""
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to the store and read back in the order of doc_id; null texts count as empty."""
     docs = table(spark, sf_dir, "documents")
     path = work_dir(spark, "token-store")
     token_store.write_store(docs, path, public_tokenizers.path(BYTE_BPE), end_id=2)
@@ -91,7 +101,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all pages by rules, then by trust and distrust of hosts."""
+    """Verdicts on all pages by rules, then by trust and distrust of hosts; null URLs are allowed."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
