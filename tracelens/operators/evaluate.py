@@ -217,26 +217,6 @@ def missing_case_ids(cases: DataFrame, requested_ids: DataFrame, id_col: str = "
 # ---------------------------------------------------------------------------
 # Report lines (legacy text reports)
 # ---------------------------------------------------------------------------
-def render_report_lines(results: DataFrame) -> DataFrame:
-    """Fixed-layout result lines, one per case (the batch runner's table)."""
-    line = F.format_string(
-        "%-10s  %-12s  %-14s  %-14s  %9d  %8d  %8d  %6.2f  %6.1f%%  %7.1f%%  %-12s  %7.1f",
-        "TestCaseID",
-        "Category",
-        "CertaintyLevel",
-        "ExpectedLabel",
-        "total_hedges",
-        "resolved_hedges",
-        "total_verifications",
-        "hvr",
-        F.col("trur") * 100,
-        F.col("weighted_trur") * 100,
-        "predicted_certainty",
-        F.lit(0.0),
-    )
-    return results.select(line.alias("value"))
-
-
 def parse_report_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """``(tc_id, expected, predicted)`` from report text lines.
 

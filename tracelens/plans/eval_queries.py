@@ -281,7 +281,8 @@ def q_quarantine_cases(spark: SparkSession, sf: str) -> DataFrame:
     + " SELECT TestCaseID AS tc_id, ExpectedLabel AS expected, predicted_certainty AS predicted FROM results WHERE predicted_certainty IN ('Certain', 'Uncertain')",
 )
 def q_parse_report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Render the fixed-layout report, write it as text, read it back and parse it."""
+    """Write a line of text per case (id, labels, prediction, hedges), read the text back and parse it."""
     path = work_dir(spark, "report")
-    ev.render_report_lines(results(spark, sf)).write.mode("overwrite").text(path)
+    line = F.concat_ws(" ", "TestCaseID", "ExpectedLabel", "predicted_certainty", "total_hedges")
+    results(spark, sf).select(line.alias("value")).write.mode("overwrite").text(path)
     return ev.parse_report_lines(spark.read.text(path))
