@@ -65,3 +65,26 @@ def test_percentiles_of_latency(spark):
     df = spark.createDataFrame(rows, "provider_key string, model string, prompt_tokens int, completion_tokens int, total_tokens int, latency_ms double")
     r = calls.telemetry_by_model(df).first()
     assert (r.p50_latency_ms, r.p95_latency_ms, r.max_latency_ms) == (2.5, 8.95, 10.0)
+
+
+def test_lines_of_one_log_are_told_by_their_shape(spark):
+    lines = [
+        {"call_id": 1, "provider_key": "openai", "model": "m", "latency_ms": 2, "choices": [{"message": {"content": "a", "parsed": '{"b":1}'}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}, "structured": True},
+        {"call_id": 2, "candidates": [{"content": {"parts": [{"text": "why", "thought": True}, {"text": ""}, {"text": "x"}]}}], "usage_metadata": {"prompt_token_count": 1}},
+        {"call_id": 3, "text": "full"},
+        {"call_id": 4, "output": {"message": {"content": [{"text": "out"}]}}, "usage": {"inputTokens": 5, "outputTokens": "6"}},
+        {"call_id": 5, "choices": []},
+        {"call_id": 6, "answer": "?"},
+        {"choices": [{"message": {"content": "a"}}]},
+        {"call_id": "seven", "text": "t"},
+        {"call_id": 8, "choices": "no list", "text": "t"},
+        [1, 2],
+        "text",
+    ]
+    df = spark.createDataFrame([(json.dumps(x),) for x in lines] + [("{cut",), ("",), (None,)], "value string")
+    out = [r.asDict() for r in calls.normalize_log(df).collect()]
+    assert [r["reject_reason"] for r in out] == [None] * 5 + ["unknown_shape", "no_call_id", "no_call_id", None] + ["not_json"] * 5
+    assert [r["content"] for r in out[:5]] == ["a", "x", "full", "out", ""] and out[1]["reasoning"] == "why" and out[0]["structured_json"] == '{"b":1}'
+    assert [(r["prompt_tokens"], r["completion_tokens"], r["total_tokens"]) for r in out[:4]] == [(3, 4, 7), (1, 0, 1), (0, 0, 0), (5, 6, 11)]
+    assert out[5]["call_id"] == 6 and all(out[5][c] is None for c in calls.NORMALIZED_COLUMNS if c != "call_id")
+    assert calls.normalize_log(df.limit(0)).count() == 0

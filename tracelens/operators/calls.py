@@ -209,6 +209,17 @@ def normalize_openai(df: DataFrame) -> DataFrame:
     )
 
 
+def _google_text(parts: Column, full: Column) -> tuple[Column, Column]:
+    """(content, reasoning) of a response's parts and its full text."""
+    parts = F.coalesce(parts, F.array().cast("array<struct<text:string,thought:boolean>>"))
+    nonempty = F.filter(parts, lambda x: x["text"].isNotNull() & (x["text"] != ""))
+    thoughts = F.filter(nonempty, lambda x: F.coalesce(x["thought"], F.lit(False)))
+    contents = F.filter(nonempty, lambda x: ~F.coalesce(x["thought"], F.lit(False)))
+    content = F.when(F.size(contents) > 0, F.array_join(F.transform(contents, lambda x: x["text"]), "")).otherwise(F.coalesce(full, F.lit("")))
+    reasoning = F.when(F.size(thoughts) > 0, F.array_join(F.transform(thoughts, lambda x: x["text"]), ""))
+    return content, reasoning
+
+
 def normalize_google(df: DataFrame) -> DataFrame:
     """Thought parts become ``reasoning``; the rest is ``content``.
 
@@ -216,14 +227,7 @@ def normalize_google(df: DataFrame) -> DataFrame:
     thought parts gives null reasoning; no content parts falls back to the
     response's full text.
     """
-    parts = F.coalesce(F.get(F.col("candidates"), 0)["content"]["parts"], F.array().cast("array<struct<text:string,thought:boolean>>"))
-    nonempty = F.filter(parts, lambda x: x["text"].isNotNull() & (x["text"] != ""))
-    thoughts = F.filter(nonempty, lambda x: F.coalesce(x["thought"], F.lit(False)))
-    contents = F.filter(nonempty, lambda x: ~F.coalesce(x["thought"], F.lit(False)))
-    content = F.when(F.size(contents) > 0, F.array_join(F.transform(contents, lambda x: x["text"]), "")).otherwise(
-        F.coalesce(F.col("text"), F.lit(""))
-    )
-    reasoning = F.when(F.size(thoughts) > 0, F.array_join(F.transform(thoughts, lambda x: x["text"]), ""))
+    content, reasoning = _google_text(F.get(F.col("candidates"), 0)["content"]["parts"], F.col("text"))
     return df.select(
         "call_id",
         "provider_key",
@@ -255,6 +259,49 @@ def normalize_responses(openai: DataFrame, google: DataFrame, bedrock: DataFrame
     return normalize_openai(openai).unionByName(normalize_google(google)).unionByName(normalize_bedrock(bedrock))
 
 
+def normalize_log(raw: DataFrame, col: str = "value") -> DataFrame:
+    """One mixed log, a JSON answer of any of the three shapes per line, in one pass: the normalised columns and ``reject_reason``.
+
+    A line is parsed once, as a variant, and told by what it holds: ``choices``,
+    ``candidates`` or ``text``, or ``output``, in this order. Lines that are no
+    JSON object (``not_json``), that have no number in ``call_id`` (``no_call_id``) or
+    none of the shapes (``unknown_shape``) are quarantined: they keep their
+    call_id, if any, and a reason. Fields of another type than expected count as
+    absent.
+    """
+    v = raw.select(F.try_parse_json(F.col(col)).alias("v"))
+
+    def at(path: str, kind: str) -> Column:
+        return F.try_variant_get("v", path, kind)
+
+    def has(path: str) -> Column:
+        return F.try_variant_get("v", path, "variant").isNotNull()
+
+    shape = F.when(has("$.choices"), "openai").when(has("$.candidates") | has("$.text"), "google").when(has("$.output"), "aws_bedrock")
+    parts = "array<struct<text:string,thought:boolean>>"
+    base = v.select(
+        at("$.call_id", "bigint").alias("call_id"), at("$.provider_key", "string").alias("provider_key"), at("$.model", "string").alias("model"),
+        at("$.latency_ms", "double").alias("latency_ms"), at("$.structured", "boolean").alias("structured"), (F.schema_of_variant("v").startswith("OBJECT")).alias("is_object"),
+        shape.alias("shape"),
+        at("$.choices[0].message.content", "string").alias("said"), at("$.choices[0].message.parsed", "string").alias("parsed"),
+        at("$.candidates[0].content.parts", parts).alias("parts"), at("$.text", "string").alias("full"),
+        at("$.output.message.content[0].text", "string").alias("first"),
+        F.coalesce(at("$.usage.prompt_tokens", "int"), at("$.usage_metadata.prompt_token_count", "int"), at("$.usage.inputTokens", "int")).alias("p"),
+        F.coalesce(at("$.usage.completion_tokens", "int"), at("$.usage_metadata.candidates_token_count", "int"), at("$.usage.outputTokens", "int")).alias("c"),
+    )
+    reason = F.when(~F.coalesce("is_object", F.lit(False)), "not_json").when(F.col("call_id").isNull(), "no_call_id").when(F.col("shape").isNull(), "unknown_shape")
+    content, reasoning = _google_text(F.col("parts"), F.col("full"))
+    google = F.col("shape") == "google"
+    answer = F.when(google, content).when(F.col("shape") == "openai", F.coalesce("said", F.lit(""))).otherwise(F.coalesce("first", F.lit("")))
+    asked = F.when(google, content).when(F.col("shape") == "openai", F.col("parsed")).otherwise(F.col("first"))
+    out = base.select(
+        "call_id", "provider_key", "model", answer.alias("content"), F.when(google, reasoning).alias("reasoning"), _structured(asked).alias("structured_json"),
+        *_tokens(F.col("p"), F.col("c")), "latency_ms", reason.alias("reject_reason"),
+    )
+    good = F.col("reject_reason").isNull()
+    return out.select("call_id", *[F.when(good, F.col(c)).alias(c) for c in NORMALIZED_COLUMNS if c != "call_id"], "reject_reason")
+
+
 def telemetry_by_model(normalized: DataFrame) -> DataFrame:
     """Calls, token totals and latency per provider and model.
 

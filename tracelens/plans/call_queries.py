@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.functions import lexicon
-from tracelens.operators import calls
+from tracelens.operators import calls, score
 from tracelens.plans import oracle_sql as o
 from tracelens.plans.common import table
 from tracelens.session import work_dir
@@ -147,6 +147,50 @@ def q_normalize_responses(spark: SparkSession, sf: str) -> DataFrame:
     return normalized(spark, sf)
 
 
+LOG_COLUMNS = [c for c in calls.NORMALIZED_COLUMNS if c != "call_id"]
+
+
+def raw_log(spark: SparkSession, sf: str) -> DataFrame:
+    """All answers as lines of one log; by rule some are cut off and some have another shape."""
+    resp = calllog.responses(table(spark, sf, "conversations"))
+    lines = [build(resp).select("call_id", F.to_json(F.struct("*")).alias("line")) for build in (calllog.raw_openai, calllog.raw_google, calllog.raw_bedrock)]
+    every = lines[0].unionByName(lines[1]).unionByName(lines[2])
+    other = F.to_json(F.struct("call_id", F.col("line").alias("answer")))
+    broken = F.when(F.col("call_id") % 13 == 5, F.expr("substring(line, 1, length(line) div 2)")).when(F.col("call_id") % 17 == 3, other)
+    return every.select(F.coalesce(broken, F.col("line")).alias("value"))
+
+
+@register(
+    "normalize_mixed_log",
+    RESP_SQL
+    + f""", marked AS (
+        SELECT *, CASE WHEN call_id % 13 = 5 THEN 'not_json' WHEN call_id % 17 = 3 THEN 'unknown_shape' END AS reject_reason FROM norm)
+      SELECT CASE WHEN reject_reason = 'not_json' THEN NULL ELSE call_id END AS call_id,
+             {', '.join(f"CASE WHEN reject_reason IS NULL THEN {c} END AS {c}" for c in LOG_COLUMNS)}, reject_reason FROM marked""",
+)
+def q_normalize_mixed_log(spark: SparkSession, sf: str) -> DataFrame:
+    """One raw log of all providers' answers, written and read as text: normalised rows, and quarantined ones with a reason."""
+    path = work_dir(spark, "response-log")
+    raw_log(spark, sf).write.mode("overwrite").text(path)
+    return calls.normalize_log(spark.read.text(path))
+
+
+# FIXED VALUES (ours): phrases that do occur in the answers' prose.
+PROSE = lexicon.Lexicon(hedges=("that", "this", "which"), verifications=(" from ", " for "), certain=(" for ", " with "), uncertain=("that", "this"))
+METRICS = [c for c in score.METRIC_COLUMNS if c != "matches"]
+
+
+@register(
+    "score_logged_reasoning",
+    o.trace_ctes(source=f"SELECT CAST(call_id AS VARCHAR) AS trace_id, call_id, model, reasoning AS text FROM ({RESP_SQL} SELECT * FROM norm WHERE reasoning IS NOT NULL)", keys="call_id, model", words=PROSE)
+    + f" SELECT call_id, model, {', '.join(METRICS)} FROM metrics",
+)
+def q_score_logged_reasoning(spark: SparkSession, sf: str) -> DataFrame:
+    """From logged answers to metrics: the reasoning of every answer that has one, scored as a trace."""
+    reasons = normalized(spark, sf).where("reasoning IS NOT NULL").select("call_id", "model", F.col("reasoning").alias("text"))
+    return score.score_traces(reasons, words=PROSE).select("call_id", "model", *METRICS)
+
+
 @register(
     "telemetry_by_model",
     RESP_SQL
