@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +144,8 @@ def mentions(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[s
         places = [(start + m.start(), start + m.end()) for m in WORD.finditer(line)]
         words: list[str] = []
         for i, (a, b) in enumerate(places):
+            if (k == len(taken) or taken[k][0] >= b) and not DIGIT.search(text, a, b):
+                continue
             p, q = bare(text, a, b)
             while k < len(taken) and taken[k][0] < p:
                 reach = max(reach, taken[k][1])
@@ -162,18 +164,78 @@ def mentions(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[s
     return out
 
 
-def behind(text: str, spans: dict[str, list[tuple[int, int]]], accepted: Callable[[str], bool]) -> list[tuple[int, int, list[str]]]:
-    """(start, end, accepted patterns) of words outside the fixed kinds' spans."""
-    taken = sorted(s for kind in KINDS for s in spans[kind])
+class _Kept(dict):
+    """Results of a function of words; started anew when there are many."""
+
+    def __init__(self, fn: Callable[[str], object]):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, word: str):
+        if len(self) > 1 << 18:
+            self.clear()
+        out = self[word] = self.fn(word)
+        return out
+
+
+def bit_of(string: str) -> int:
+    return xxhash.xxh32_intdigest(string) % BITS
+
+
+def keys_of(pattern: str) -> list[str]:
+    """A pattern, and what its words are in it."""
+    kind, *words = pattern.split(" ")
+    return [pattern, f"k {words[-1]}"] if kind != "2" else [pattern, f"k {words[1]}", f"b {words[1]}", f"a {words[0]}"]
+
+
+def folded(text: str) -> str:
+    """A text whose words are context words, but for long ones."""
+    text = text.lower()
+    return DIGIT.sub("0", text) if DIGIT.search(text) else text
+
+
+def line_words(folded_line: str) -> list[str]:
+    words = folded_line.split()
+    return [context_word(w) for w in words] if any(map(LONG_WORD.__lt__, map(len, words))) else words
+
+
+class Wanted:
+    """Which strings may be wanted patterns, by a map of fixed size, and which words may be part of one."""
+
+    def __init__(self, table: bytes):
+        self.table = table
+        self.key, self.first, self.second = (_Kept(lambda w, kind=kind: self._bit(f"{kind} {w}")) for kind in "kab")
+
+    @classmethod
+    def of(cls, patterns: Iterable[str]) -> Wanted:
+        table = bytearray(BITS // 8)
+        for bit in (bit_of(x) for p in patterns for x in keys_of(p)):
+            table[bit >> 3] |= 1 << (bit & 7)
+        return cls(bytes(table))
+
+    def _bit(self, string: str) -> int:
+        bit = xxhash.xxh32_intdigest(string) % BITS
+        return self.table[bit >> 3] >> (bit & 7) & 1
+
+    def __contains__(self, pattern: str) -> bool:
+        return bool(self._bit(pattern))
+
+
+def behind(text: str, wanted: Wanted) -> list[tuple[int, int, list[str]]]:
+    """(start, end, wanted patterns) of words outside the fixed kinds' spans."""
+    key = wanted.key
+    if not any(key[w] for w in set(line_words(folded(text)))):
+        return []
+    taken = sorted(s for own in base_spans(text).values() for s in own)
     out, k, reach = [], 0, 0
     for start, line in lines_of(text):
-        places = [(start + m.start(), start + m.end()) for m in WORD.finditer(line)]
-        words = [context_word(line[a - start : b - start]) for a, b in places]
-        for i, (a, b) in enumerate(places):
-            own = [p for p in patterns_at(words, i) if accepted(p)]
+        places = [(m.start(), m.end()) for m in WORD.finditer(line)]
+        words = [context_word(line[a:b]) for a, b in places]
+        for i in sorted({j for i, w in enumerate(words) if key[w] for j in (i - 1, i + 1) if 0 <= j < len(words)}):
+            own = [p for p in patterns_at(words, i) if p in wanted]
             if not own:
                 continue
-            p, q = bare(text, a, b)
+            p, q = bare(text, start + places[i][0], start + places[i][1])
             while k < len(taken) and taken[k][0] < q:
                 reach = max(reach, taken[k][1])
                 k += 1
@@ -182,6 +244,28 @@ def behind(text: str, spans: dict[str, list[tuple[int, int]]], accepted: Callabl
     return out
 
 
+def counted_patterns(texts: Iterable[str], wanted: Wanted) -> Counter[str]:
+    """How many words of the texts have each wanted pattern beside them."""
+    first, second = wanted.first, wanted.second
+    before: Counter[str] = Counter()
+    after: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    for text in texts:
+        for line in folded(text).split("\n"):
+            words = line_words(line)
+            if len(words) < 2:
+                continue
+            before.update(words[:-1])
+            after.update(words[1:])
+            own = [(a, b) for a, b in zip([LINE_START, *words], words[:-1], strict=False) if second[b] and first[a]]
+            if own:
+                pairs.update(own)
+    key = wanted.key
+    total = {f"1 {w}": n for w, n in before.items() if key[w]} | {f"r {w}": n for w, n in after.items() if key[w]}
+    total |= {f"2 {a} {b}": n for (a, b), n in pairs.items()}
+    return Counter({p: n for p, n in total.items() if p in wanted})
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and mentions of each row; ``tk`` is a hash of the text."""
     names = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
@@ -203,16 +287,12 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scanned, SCAN_SCHEMA)
 
 
-def bit_of(pattern: str) -> int:
-    return xxhash.xxh32_intdigest(pattern) % BITS
-
-
 def bit_map(patterns: DataFrame) -> bytes:
     """A map of fixed size that says which strings may be among ``patterns``."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([bit_of(p) for p in batch.column(0).to_pylist()], pa.int32())], names=["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array([bit_of(x) for p in batch.column(0).to_pylist() for x in keys_of(p)], pa.int32())], names=["bit"])
 
     at = patterns.select("pattern").mapInArrow(bits, "bit int").distinct().toArrow().column("bit").to_numpy()
     table = np.zeros(BITS // 8, np.uint8)
@@ -228,29 +308,10 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(patterns))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, digest, bits = shared.value, xxhash.xxh32_intdigest, BITS
-
-        def maybe(pattern: str) -> bool:
-            bit = digest(pattern) % bits
-            return bool(table[bit >> 3] >> (bit & 7) & 1)
-
+        wanted = Wanted(shared.value)
         for batch in slices(batches):
-            total: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    words = [context_word(w) for w in line.split()]
-                    before = LINE_START
-                    for i, w in enumerate(words[:-1]):
-                        pair = f"2 {before} {w}"
-                        if maybe(pair):
-                            total[pair] += 1
-                        before = w
-                    for w in words[:-1]:
-                        total[f"1 {w}"] += 1
-                    for w in words[1:]:
-                        total[f"r {w}"] += 1
-            hits = [(p, n) for p, n in total.items() if p[0] == "2" or maybe(p)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in hits], pa.string()), pa.array([n for _, n in hits], pa.int64())], names=["pattern", "n"])
+            total = counted_patterns([t for t in batch.column(0).to_pylist() if t], wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["pattern", "n"])
 
     sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     return sums.join(patterns.select("pattern"), "pattern")
@@ -293,18 +354,13 @@ def discovered(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     schema = "tk long, start int, stop int, pattern string"
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-
-        def maybe(pattern: str) -> bool:
-            bit = bit_of(pattern)
-            return bool(table[bit >> 3] >> (bit & 7) & 1)
-
+        wanted = Wanted(shared.value)
         for batch in slices(batches):
             rows = [
                 (tk, a, b, p)
                 for tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                 if text
-                for a, b, own in behind(text, base_spans(text), maybe)
+                for a, b, own in behind(text, wanted)
                 for p in own
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 4
