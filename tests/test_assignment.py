@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelens.operators import assignment, candidates, sentence_rows
+from tracelens.operators import assignment, candidates, scans, sentence_rows
 
 WORDS = ["red", "box", "sum", "total", "value", "input", "result", "case", "row", "table", "edge", "node"]
 
@@ -150,3 +151,21 @@ def test_rows_of_a_null_trace_are_one_trace_of_any_length(spark):
         assert {r.trace_id for r in pairs.select("trace_id").distinct().collect()} == {"a", None}
     cold, hot, _, unnamed = sentence_rows.split_by_size(df.select("trace_id", "ts", F.col("text").alias("_text")), 10)
     assert cold.where("trace_id IS NULL").count() == 0 and hot.where("trace_id IS NULL").count() == 0 and unnamed.count() == 200
+
+
+def test_segments_of_several_batches_are_folded_whole():
+    """One Python call folds many short segments, also those that a batch ends in."""
+    rows = [("a", 0, k) for k in range(3)] + [("a", 1, 9)] + [("b", 1, k) for k in range(4)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("trace_id", "seg", "x"), r, strict=True)) for r in rows[i : i + 2]]) for i in range(0, len(rows), 2)]
+    found = list(assignment._segments(iter(batches)))
+    assert found == [(("a", 0), [(0,), (1,), (2,)]), (("a", 1), [(9,)]), (("b", 1), [(0,), (1,), (2,), (3,)])]
+
+
+def test_short_traces_are_not_folded_one_python_call_each(spark, monkeypatch):
+    plans = []
+    whole = scans.materialize
+    monkeypatch.setattr(scans, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    traces = {f"t{k}": [("h", "red box"), ("v", "box"), ("v", f"red box {k}")] for k in range(300)}
+    hedges, vers = frames(spark, traces)
+    assert got(assignment.assign(hedges, vers)) == want(traces)
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroups" in p for p in plans)

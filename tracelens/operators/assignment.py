@@ -32,9 +32,11 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ from tracelens.operators import candidates, joins, scans
 
 #: Sentences of a segment, and members of a list beyond its end that a fold is given at most.
 SEGMENT, AHEAD = 2048, 512
+#: Rows that a task of folds gives out at a time, about.
+FOLDED_ROWS = 10_000
 LINK, INSIDE, BEYOND, FIXED = range(4)
 
 
@@ -66,24 +70,32 @@ class _List:
         return self.places[root] if root < len(self.places) else None
 
 
-def fold_segment(rows: pd.DataFrame, threshold: float, decay: float, weights: tuple[float, float], reuse_sim: float, ahead: int = AHEAD) -> pd.DataFrame:
-    """One segment's hedges in order: ``hidx, hpos, vpos, sim, claims, done`` (vpos null where nothing is left)."""
-    kind, cls, vpos = rows["kind"].to_numpy(), rows["cls"].to_numpy(), rows["vpos"].to_numpy()
-    links = kind == LINK
-    asked = Counter(cls[links].tolist())
+def fold_segment(rows: Iterable[tuple], threshold: float, decay: float, weights: tuple[float, float], reuse_sim: float, ahead: int = AHEAD) -> list[tuple]:
+    """One segment's hedges in order: ``(hidx, hpos, vpos, sim, claims, done)`` (vpos null where nothing is left).
+
+    ``rows`` are ``(kind, hidx, hpos, cls, vpos, sim)``.
+    """
+    asked: Counter = Counter()
+    given: dict[int, set[int]] = {}
+    beyond: dict[int, list[int]] = {}
+    fixed: dict[int, tuple[int, float]] = {}
+    own: dict[tuple[int, int], list[tuple[int, float]]] = {}
+    for kind, h, at, c, p, s in rows:
+        if kind == LINK:
+            asked[c] += 1
+            own.setdefault((at, h), []).append((c, s))
+        elif kind == FIXED:
+            fixed[h] = (p, s)
+        else:
+            given.setdefault(c, set()).add(p)
+            if kind == BEYOND:
+                beyond.setdefault(c, []).append(p)
     lists: dict[int, _List] = {}
-    given = np.flatnonzero((kind == INSIDE) | (kind == BEYOND))
-    given = given[np.argsort(cls[given], kind="stable")]
-    for part in np.split(given, np.flatnonzero(np.diff(cls[given])) + 1) if len(given) else []:
-        c = int(cls[part[0]])
-        beyond = np.sort(vpos[part[kind[part] == BEYOND]])
-        full = len(beyond) >= min(asked[c] + 1, ahead)
-        lists[c] = _List(np.unique(vpos[part]).tolist(), float(beyond[-1]) if full else math.inf)
-    fixed = {h: (p, s) for h, p, s in zip(rows["hidx"][kind == FIXED], rows["vpos"][kind == FIXED], rows["sim"][kind == FIXED], strict=True)}
+    for c, places in given.items():
+        far = beyond.get(c, ())
+        full = len(far) >= min(asked[c] + 1, ahead)
+        lists[c] = _List(sorted(places), float(max(far)) if full else math.inf)
     nothing = _List([], math.inf)
-    own: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    for h, p, c, s in zip(rows["hpos"][links].tolist(), rows["hidx"][links].tolist(), cls[links].tolist(), rows["sim"][links].tolist(), strict=True):
-        own.setdefault((h, p), []).append((c, s))
 
     def value(sim: float, gap: float) -> float:
         return weights[0] * sim + weights[1] * math.exp(-gap / decay)
@@ -116,8 +128,13 @@ def fold_segment(rows: pd.DataFrame, threshold: float, decay: float, weights: tu
             if claims:
                 taken.add(-p)
             out.append((h, at, -p, s, claims, True))
-    frame = pd.DataFrame(out, columns=["hidx", "hpos", "vpos", "sim", "claims", "done"])
-    return frame.astype({"vpos": "Int32", "sim": "Float64"})
+    return out
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """``((trace_id, seg), rows)`` of each segment, from batches in which its rows follow one another."""
+    for key, rows in groupby((r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)), itemgetter(0, 1)):
+        yield key, [r[2:] for r in rows]
 
 
 def _bits_of(number: str, value: int, levels: int):
@@ -179,13 +196,26 @@ def assign(
         df = df.withColumn("kind", F.lit(kind))
         return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.fillna({"cls": 0, "vpos": -1, "sim": 0.0, "hidx": -1, "hpos": -1})
-        pdf = pdf.astype({"cls": "int64", "vpos": "int64", "hidx": "int64", "hpos": "int64"})
-        out = fold_segment(pdf, threshold, decay, weights, reuse_sim, ahead)
-        out.insert(0, "trace_id", key[0])
-        out.insert(1, "seg", key[1])
-        return out
+    fields = [("seg", pa.int32()), ("hidx", pa.int32()), ("hpos", pa.int32()), ("vpos", pa.int32()), ("sim", pa.float64()), ("claims", pa.bool_()), ("done", pa.bool_())]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # segments are often short: many go into one batch
+        out: list[tuple] = []
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([("trace_id", first.schema.field("trace_id").type), *fields])
+
+        def to_batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for key, held in _segments(chain([first], batches)):
+            out += [(*key, *r) for r in fold_segment(held, threshold, decay, weights, reuse_sim, ahead)]
+            if len(out) >= FOLDED_ROWS:
+                yield to_batch(out)
+                out = []
+        if out:
+            yield to_batch(out)
 
     claims = best = active = None  # active segments; None = all
     while True:
@@ -208,7 +238,7 @@ def assign(
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        folded = rows.groupBy("trace_id", "seg").applyInPandas(fold, folded_schema)
+        folded = rows.repartition("trace_id", "seg").sortWithinPartitions("trace_id", "seg").mapInArrow(fold, folded_schema)
         if best is not None:
             folded = best.join(active, ["trace_id", "seg"], "left_anti").unionByName(folded)
         best = scans.materialize(folded)
