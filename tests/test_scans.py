@@ -186,3 +186,38 @@ def test_size_limit_never_changes_the_result(spark):
         results.append((sorted(map(str, metrics.collect())), sorted(map(str, matches.collect()))))
     assert results[0] == results[1] == results[2]
     assert sum("'blank'" in r or "'one'" in r or "'nulls'" in r for r in results[0][0]) == 3
+
+
+def _plans(monkeypatch):
+    """The physical plans of all that is written by the scans from now on."""
+    plans, whole = [], scans.materialize
+    monkeypatch.setattr(scans, "materialize", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or whole(df))
+    return plans
+
+
+def test_sentences_are_annotated_behind_the_range_shuffle(spark, monkeypatch):
+    """What stands before a range shuffle runs twice, and on the scan's tasks."""
+    plans = _plans(monkeypatch)
+    texts = ["Maybe the box is big. Let me check the box.", "Done. Therefore the sum is fine.", " "]
+    rows = spark.createDataFrame([(f"t{k % 3}", k, texts[k % 7 % 3]) for k in range(60)], "trace_id string, ts int, text string")
+    sents, hedges, vers = sentence_rows.statements_from_rows(rows, ["ts"])
+    shuffle = plans[0].index("rangepartitioning")
+    assert "Generate" in plans[0][:shuffle] and "Generate" not in plans[0][shuffle:]
+    want = {}
+    for k in range(60):
+        want.setdefault(f"t{k % 3}", []).extend([] if not texts[k % 7 % 3].strip() else [x + "." for x in texts[k % 7 % 3].rstrip(".").split(". ")])
+    got = {}
+    for r in sents.orderBy("trace_id", "pos").collect():
+        assert r.pos == len(got.setdefault(r.trace_id, []))
+        got[r.trace_id].append(r.sentence)
+    assert got == {t: s for t, s in want.items() if s}
+    assert hedges.count() == sum(s.startswith("Maybe") for x in want.values() for s in x)
+
+
+def test_nearest_candidates_come_from_the_scan_alone(spark):
+    h = spark.createDataFrame([("a", 1, 0, "red box"), ("a", 2, 3, "sum"), ("b", 1, 5, "sum"), (None, 1, 0, "sum")], "trace_id string, hidx int, pos int, subject string")
+    v = spark.createDataFrame([("a", 1, 2, "box"), ("a", 2, 4, "sum"), ("a", 3, 6, "row"), ("b", 1, 5, "sum"), (None, 1, 1, "sum")], "trace_id string, vidx int, pos int, subject string")
+    near = sentence_rows.nearest_candidates(h, v)
+    assert "qid" not in near.columns and near._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {(r.trace_id, r.hidx): (r.vidx, r.vpos, round(r.sim, 4)) for r in near.collect()}
+    assert got == {("a", 1): (1, 2, 0.7071), ("a", 2): (2, 4, 1.0)}

@@ -50,9 +50,13 @@ def tf_cosine_from_tokens(a: Column, a_norm2: Column, b: Column, b_norm2: Column
 
 
 def tf_cosine(a: Column, b: Column) -> Column:
-    """Term-count cosine of two subject strings (0 if either is empty)."""
-    ta, tb = subject_tokens(a), subject_tokens(b)
-    return tf_cosine_from_tokens(ta, term_norm2(ta), tb, term_norm2(tb))
+    """Term-count cosine of two subject strings (0 if either is empty).
+
+    The terms are bound once: as plain columns they would be split anew for
+    each term that they are held against.
+    """
+    terms = F.struct(subject_tokens(a).alias("a"), subject_tokens(b).alias("b"))
+    return F.get(F.transform(F.array(terms), lambda t: tf_cosine_from_tokens(t["a"], term_norm2(t["a"]), t["b"], term_norm2(t["b"]))), 0)
 
 
 def vector_cosine(a: Column, b: Column) -> Column:
@@ -61,10 +65,17 @@ def vector_cosine(a: Column, b: Column) -> Column:
     Spark 4.1 has no built-in vector cosine, so it is ``aggregate(zip_with)``;
     the arrays stay inside the row, no explode or shuffle.
     """
+    return vector_cosine_from_norms(a, vector_norm(a), b, vector_norm(b))
+
+
+def vector_norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def vector_cosine_from_norms(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """:func:`vector_cosine` given the vectors' norms."""
     prod = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     dot = F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(
         F.least(F.greatest(dot / (na * nb), F.lit(0.0)), F.lit(1.0))
     )

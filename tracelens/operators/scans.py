@@ -20,7 +20,7 @@ All of it is DataFrame code; no row passes through Python.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,9 +43,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | None) -> DataFrame:
+def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | None, each: Callable[[DataFrame], DataFrame] | None = None, within: Sequence[Column] = ()) -> DataFrame:
     """Rows in ranges of (group, order), each with its range's number and an increasing number; written.
 
+    ``each`` makes zero or more rows of every row, which are then ordered by
+    ``within``. It runs behind the shuffle, as what stands before it runs twice:
+    range bounds come from a sample of all rows.
+
     Without an explicit count the range shuffle uses the session's shuffle
     width and AQE may merge adjacent small ranges up to its advisory size: a
     merged task still holds one contiguous, sorted key range, and a hot group
@@ -53,7 +57,9 @@ def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int
     """
     keys = [F.col(g) for g in group] + list(order)
     ranged = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
-    ranged = ranged.sortWithinPartitions(*keys)
+    if each is not None:
+        ranged = each(ranged)
+    ranged = ranged.sortWithinPartitions(*keys, *within)
     return materialize(ranged.withColumns({PID: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
 
 
@@ -78,22 +84,26 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 
 def number_flagged(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, flags: Sequence[str], n: int | None = None
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, flags: Sequence[str], n: int | None = None,
+    each: Callable[[DataFrame], DataFrame] | None = None, within: Sequence[Column] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Numbered rows, and those of them with a flag with counts: ``(all, flagged)``.
 
     ``flagged`` holds the rows where one of the boolean columns ``flags`` is
     true, and for each flag ``<out>_<flag>``: the number of rows up to and
     including this one (within the group, in order) where it is true.
+    The rows are those that ``each`` makes of ``df``, if it is given, ordered
+    by ``within`` among rows of the same order.
     """
-    rows = _ranged(df, group, order, n)
+    rows = _ranged(df, group, order, n, each, within)
+    columns = [c for c in rows.columns if c not in (PID, ROW)]
     flag_sums = [F.count_if(F.col(f)).alias(f"_n_{f}") for f in flags]
     sums = rows.groupBy(*group, PID).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_cnt"), *flag_sums)
     offsets = _carried(sums, group, {"_off": F.sum("_cnt"), **{f"_off_{f}": F.sum(f"_n_{f}") for f in flags}}, ["_first"])
     offsets = offsets.fillna(0, ["_off", *[f"_off_{f}" for f in flags]])
     joined = _with_carry(rows, offsets, group)
     number = (F.col(ROW) - F.col("_first") + F.col("_off")).alias(out)
-    everything = joined.select(*df.columns, number)
+    everything = joined.select(*columns, number)
     if not flags:
         return everything, everything
     w = Window.partitionBy(*group, PID).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,7 +111,7 @@ def number_flagged(
     for f in flags:
         some |= F.coalesce(F.col(f), F.lit(False))
     counts = [(F.count_if(F.col(f)).over(w) + F.col(f"_off_{f}")).alias(f"{out}_{f}") for f in flags]
-    return everything, joined.where(some).select(*df.columns, number, *counts)
+    return everything, joined.where(some).select(*columns, number, *counts)
 
 
 def suffix_min(values: DataFrame, queries: DataFrame, group: Sequence[str], n: int | None = None) -> DataFrame:
@@ -109,15 +119,15 @@ def suffix_min(values: DataFrame, queries: DataFrame, group: Sequence[str], n: i
     group whose ``key`` is >= the query's ``key``.
 
     ``values``: ``group..., key, value``; ``queries``: ``group..., key, qid``
-    (``qid`` any struct identifying the query). Returns ``qid, answer`` (null
-    when no value qualifies). Value rows sort before query rows at equal keys,
+    (``qid`` any struct identifying the query; ``value`` of any ordered type).
+    Returns ``qid, answer`` (null when no value qualifies). Value rows sort before query rows at equal keys,
     so equality counts.
     """
-    qtype = queries.schema["qid"].dataType
+    qtype, vtype = queries.schema["qid"].dataType, values.schema["value"].dataType
     v = values.select(*group, F.col("key").cast("double").alias("_k"), F.lit(0).alias("_t"),
-                      F.col("value").cast("double").alias("_v"), F.lit(None).cast(qtype).alias("qid"))
+                      F.col("value").alias("_v"), F.lit(None).cast(qtype).alias("qid"))
     q = queries.select(*group, F.col("key").cast("double").alias("_k"), F.lit(1).alias("_t"),
-                       F.lit(None).cast("double").alias("_v"), F.col("qid"))
+                       F.lit(None).cast(vtype).alias("_v"), F.col("qid"))
     rows = _ranged(v.unionByName(q), group, [F.col("_k").desc(), F.col("_t").asc()], n)
     lows = rows.groupBy(*group, PID).agg(F.min("_v").alias("_pm"))
     carry = _carried(lows, group, {"_carry": F.min("_pm")})

@@ -87,13 +87,13 @@ def statements(sents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def statements_from_rows(rows: DataFrame, order: Sequence[str], text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sentences, hedges, verifications) from unnumbered rows in one numbering
     scan: positions, hedge ids and verification ids together."""
-    exploded = rows.select(
-        "trace_id",
-        *[F.col(c) for c in order],
-        F.posexplode(text.split_sentences(F.col(text_col))).alias("_sub", "sentence"),
-    )
-    keys = [F.col(c) for c in order] + [F.col("_sub")]
-    sents, found = scans.number_flagged(annotate(exploded), ["trace_id"], keys, "pos", ["is_hedge", "is_ver"])
+
+    def annotated(part: DataFrame) -> DataFrame:
+        return annotate(part.select("trace_id", *order, F.posexplode(text.split_sentences(F.col(text_col))).alias("_sub", "sentence")))
+
+    keys = [F.col(c) for c in order]
+    few = rows.select("trace_id", *order, text_col)
+    sents, found = scans.number_flagged(few, ["trace_id"], keys, "pos", ["is_hedge", "is_ver"], each=annotated, within=[F.col("_sub")])
     hedges, vers = _split_statements(found, "pos")
     return sents.select("trace_id", F.col("pos").cast("int").alias("pos"), "sentence"), hedges, vers
 
@@ -246,12 +246,13 @@ def nearest_candidates(
     """Each hedge with its nearest later verification (no exclusivity):
     ``(trace_id, hidx, hpos, vidx, vpos, sim, prox, score)``; hedges with no
     later verification are absent. A skew-safe suffix-minimum scan finds the
-    verification; similarity is that of the two subjects, computed where it is used."""
-    vrows = vers.select("trace_id", "vidx", F.col("pos").alias("vpos"), "subject")
-    vals = vrows.select("trace_id", (F.col("vpos") - 1).alias("key"), F.col("vpos").alias("value"))
-    near = _nearest(vals, hedges.select("trace_id", "hidx", F.col("pos").alias("key")), ["trace_id"])
-    own = hedges.select("trace_id", "hidx", F.col("pos").alias("hpos"), F.col("subject").alias("hsubject"))
-    j = near.join(vrows, ["trace_id", "vpos"]).join(own, ["trace_id", "hidx"])
+    verification and carries its id and subject; similarity is that of the two
+    subjects, computed where it is used."""
+    named = F.col("trace_id").isNotNull()
+    vals = vers.where(named).select("trace_id", (F.col("pos") - 1).alias("key"), F.struct(F.col("pos").alias("vpos"), "vidx", "subject").alias("value"))
+    asked = F.struct("trace_id", "hidx", F.col("pos").alias("hpos"), F.col("subject").alias("hsubject"))
+    near = scans.suffix_min(vals, hedges.where(named).select("trace_id", F.col("pos").alias("key"), asked.alias("qid")), ["trace_id"])
+    j = near.where(F.col("answer").isNotNull()).select("qid.*", "answer.*")
     sim = similarity.tf_cosine(F.col("hsubject"), F.col("subject"))
     prox = scoring.proximity_score(F.col("vpos") - F.col("hpos"), decay)
     return j.select("trace_id", "hidx", "hpos", "vidx", "vpos", sim.alias("sim"), prox.alias("prox")).withColumn(
