@@ -169,3 +169,29 @@ def test_one_subject_per_extraction_step(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.x for r in df.select("s", extract_subject(F.col("s")).alias("x")).collect()} == cases
+
+
+def test_vector_cosines_are_computed_once_a_pair_of_subjects(spark):
+    """A trace of many statements on two subjects keeps four cosines; the scores are those of all pairs."""
+    from tracelens.operators import score
+
+    text = " ".join(["Maybe the box is big.", "Perhaps the sum is odd.", "Let me check the box.", "Let me verify the sum."] * 5)
+    df = spark.createDataFrame([("t", text), ("blank", " "), ("none", "Done.")], "trace_id string, text string")
+    stmts = score.with_statements(df)
+    subjects = stmts.selectExpr("explode(concat(_hedges, _vers)) AS s").select("s.subject").distinct()
+    names = sorted(r.subject for r in subjects.collect())
+    vecs = spark.createDataFrame([(s, [1.0, float(k)]) for k, s in enumerate(names[:-1])], "subject string, vec array<double>")
+    found = {r.trace_id: r for r in score.attach_vectors(stmts, vecs).collect()}
+    t = found["t"]
+    hs, vs = list(dict.fromkeys(h.subject for h in t._hedges)), list(dict.fromkeys(v.subject for v in t._vers))
+    assert (len(t._cos), len(t._cos[0])) == (len(hs), len(vs)) and not found["none"]._cos and not found["blank"]._cos
+
+    def cosine(a, b):
+        if a == names[-1] or b == names[-1]:
+            return 0.0
+        x, y = names.index(a), names.index(b)
+        return (1 + x * y) / ((1 + x * x) ** 0.5 * (1 + y * y) ** 0.5)
+
+    for h in t._hedges:
+        for v in t._vers:
+            assert abs(t._cos[h.at][v.at] - cosine(h.subject, v.subject)) < 1e-9

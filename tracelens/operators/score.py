@@ -124,8 +124,8 @@ def _with_subjects(stmts: Column, prefix: str, keyword: bool) -> Column:
 
 def _pair_similarity(h: Column, v: Column, mode: str) -> Column:
     if mode == "vectors":
-        empty = (h["subject"] == F.lit("")) | (v["subject"] == F.lit("")) | h["vec"].isNull() | v["vec"].isNull()
-        return F.when(empty, F.lit(0.0)).otherwise(similarity.vector_cosine(h["vec"], v["vec"]))
+        known = h["at"].isNotNull() & v["at"].isNotNull()
+        return F.when(known, F.get(F.get(F.col("_cos"), h["at"]), v["at"])).otherwise(F.lit(0.0))
     return similarity.tf_cosine_from_tokens(h["toks"], h["n2"], v["toks"], v["n2"])
 
 
@@ -139,7 +139,8 @@ def candidate_lists(
     """Each hedge with its later verifications, scored, in verification order.
 
     ``mode`` is ``tf_cosine`` (term-count cosine of subjects) or ``vectors``
-    (cosine of the subject vectors attached by :func:`attach_vectors`).
+    (cosine of the subjects' vectors, looked up in the column ``_cos`` of
+    :func:`attach_vectors`).
     """
 
     def cands(h: Column) -> Column:
@@ -264,45 +265,49 @@ def with_statements(df: DataFrame, text_col: str = "text", words: lexicon.Lexico
 
 
 def attach_vectors(stmts: DataFrame, subject_vectors: DataFrame | None = None, encoder=None) -> DataFrame:
-    """Add ``vec`` to every hedge and verification struct of a statements frame.
+    """Add ``_cos``, the similarities of a trace's subjects, to a statements frame.
 
     Distinct subjects over *all* traces are embedded once (the reference's
     per-process embedding cache becomes a ``distinct`` + join), either by
     joining ``subject_vectors`` (``subject, vec``) or by calling ``encoder``, a
     function ``DataFrame[subject] -> DataFrame[subject, vec]`` (for example an
-    iterator pandas UDF that loads a model once per worker). The vectors are
-    gathered back per trace row, which is already one row, so nothing grows
-    beyond the trace itself.
+    iterator pandas UDF that loads a model once per worker). The vectors of a
+    trace's distinct subjects are gathered back per trace row, which is already
+    one row, so nothing grows beyond the trace itself. ``_cos`` has a row for each distinct
+    hedge subject and a column for each distinct verification subject: a
+    cosine is computed once, not for every pair of statements. Each hedge's
+    and verification's ``at`` is the place of its subject.
     """
     from tracelens.operators.scans import materialize
 
     base = materialize(stmts.withColumn("_rid", F.monotonically_increasing_id()))
-    items = base.select(
-        "_rid",
-        F.inline(
-            F.concat(
-                F.transform("_hedges", lambda h: F.struct(F.concat(F.lit("H"), h["idx"].cast("string")).alias("k"), h["subject"].alias("subject"))),
-                F.transform("_vers", lambda v: F.struct(F.concat(F.lit("V"), v["idx"].cast("string")).alias("k"), v["subject"].alias("subject"))),
-            )
-        ),
-    )
+
+    def names(arr: str) -> Column:
+        return F.array_distinct(F.transform(arr, lambda x: x["subject"]))
+
+    items = base.select("_rid", F.explode(F.array_distinct(F.concat(names("_hedges"), names("_vers")))).alias("subject"))
     distinct = items.select("subject").distinct()
     vecs = encoder(distinct) if encoder is not None else subject_vectors.join(distinct, "subject", "left_semi")
     vecs = vecs.select("subject", F.col("vec").cast("array<double>").alias("vec"))
-    per_row = (
-        items.join(vecs, "subject", "left")
-        .groupBy("_rid")
-        .agg(F.map_from_entries(F.collect_list(F.struct("k", "vec"))).alias("_vmap"))
-    )
-    j = base.join(per_row, "_rid", "left")
-    fields = ["idx", "id", "pos", "sentence", "keyword", "subject", "toks", "n2"]
+    per_row = items.join(vecs, "subject").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("subject", "vec"))).alias("_vmap"))
+    keep = [c for c in stmts.columns if c not in ("_hedges", "_vers")]
+    j = base.join(per_row, "_rid", "left").select(*keep, "_hedges", "_vers", "_vmap", names("_hedges").alias("_hnames"), names("_vers").alias("_vnames"))
 
-    def add(arr: str, prefix: str) -> Column:
-        return F.transform(
-            arr, lambda x: _restruct(x, fields, vec=F.try_element_at(F.col("_vmap"), F.concat(F.lit(prefix), x["idx"].cast("string"))))
-        )
+    def with_vectors(arr: str) -> Column:
+        held = F.transform(arr, lambda s: F.struct(s.alias("subject"), F.try_element_at(F.col("_vmap"), s).alias("vec")))
+        return F.transform(held, lambda x: _restruct(x, ["subject", "vec"], norm=similarity.vector_norm(x["vec"])))
+
+    def cosine(a: Column, b: Column) -> Column:
+        empty = (a["subject"] == F.lit("")) | (b["subject"] == F.lit("")) | a["vec"].isNull() | b["vec"].isNull()
+        return F.when(empty, F.lit(0.0)).otherwise(similarity.vector_cosine_from_norms(a["vec"], a["norm"], b["vec"], b["norm"]))
+
+    def placed(arr: str, known: str) -> Column:
+        fields = ["idx", "id", "pos", "sentence", "keyword", "subject"]
+        return F.transform(arr, lambda x: _restruct(x, fields, at=(F.array_position(F.col(known), x["subject"]) - 1).cast("int")))
 
-    return j.withColumn("_hedges", add("_hedges", "H")).withColumn("_vers", add("_vers", "V")).drop("_vmap", "_rid")
+    j = j.select(*keep, placed("_hedges", "_hnames").alias("_hedges"), placed("_vers", "_vnames").alias("_vers"), with_vectors("_hnames").alias("_hvecs"), with_vectors("_vnames").alias("_vvecs"))
+    cosines = F.transform("_hvecs", lambda a: F.transform("_vvecs", lambda b: cosine(a, b)))
+    return j.select(*keep, "_hedges", "_vers", cosines.alias("_cos"))
 
 
 def attach_subjects(stmts: DataFrame, extractor) -> DataFrame:
