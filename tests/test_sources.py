@@ -54,3 +54,14 @@ def test_missing_blank_and_badly_encoded_files_are_told_apart(spark, tmp_path):
     assert sorted(r.text for r in ok.collect()) == ["One.", "x"] and rejects.count() == 2
     ok, _ = files.scan_trace_files(spark, f"{folder}/sub", spark.createDataFrame([(f"{folder}/sub/",)], "file_path string"))
     assert [r.text for r in ok.collect()] == ["été"]
+
+
+def test_trace_files_are_written_by_all_tasks(spark, tmp_path):
+    """Small texts are many files: they stay dealt to the shuffle width and are all there."""
+    df = spark.createDataFrame([(f"t{k}", f"text {k}") for k in range(64)], "trace_id string, text string")
+    path = str(tmp_path / "traces")
+    files.write_trace_files(df, path)
+    parts = {f.split("-")[1] for _, _, names in os.walk(path) for f in names if f.startswith("part-")}
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ok, rejects = files.scan_trace_files(spark, path)
+    assert sorted(r.text for r in ok.collect()) == sorted(f"text {k}" for k in range(64)) and rejects.count() == 0

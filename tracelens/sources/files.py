@@ -56,8 +56,15 @@ def scan_prompt_files(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def write_trace_files(traces: DataFrame, path: str, id_col: str = "trace_id") -> None:
-    """One text file per trace under ``<id_col>=<id>/`` (for trace-file sources)."""
-    traces.select(id_col, "text").repartition(id_col).write.mode("overwrite").partitionBy(id_col).text(path)
+    """One text file per trace under ``<id_col>=<id>/`` (for trace-file sources).
+
+    Opening a file costs far more than its bytes, so the rows keep the shuffle
+    width (AQE, which goes by bytes, would merge them into a few tasks), and tasks
+    put their files in place themselves instead of leaving all to the driver.
+    """
+    n = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = traces.select(id_col, "text").repartition(n, id_col).write.mode("overwrite").partitionBy(id_col)
+    out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 def sink_metrics_json(scored: DataFrame, path: str) -> None:
