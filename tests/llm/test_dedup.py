@@ -168,6 +168,37 @@ def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
     assert sum(tested) <= 2 * len(texts)
 
 
+def test_a_group_of_which_some_pairs_link_costs_few_pairs(spark, monkeypatch):
+    r = random.Random(22)
+    base, texts = [f"g{k}" for k in range(205)], []
+    for k in range(400):  # two or three words of each are its own: two and two link, two and three link where they meet
+        words = list(base)
+        for at in r.sample(range(len(base)), 2 + k % 2):
+            words[at] = f"own{k}x{at}"
+        texts.append(" ".join(words))
+    tested, whole = [], ngram_join.verified
+
+    def counting(pairs, *args):
+        tested.append(pairs.count())
+        return whole(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "verified", counting)
+    sets = word_sets(texts)
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = roots(len(sets), links)
+    out = {x["doc_id"]: x["component_id"] for x in ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert out == dict(enumerate(root))
+    assert len(links) > 25 * len(texts) and sum(tested) <= 5 * len(texts)
+
+
+def test_texts_are_found_by_shuffle_where_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST", 0)
+    df = spark.createDataFrame(list(enumerate(copies(9)[:80])), "doc_id long, text string")
+    out = sorted(map(tuple, ngram_join.link_documents(df).collect()), key=str)
+    monkeypatch.undo()
+    assert out == sorted(map(tuple, ngram_join.link_documents(df).collect()), key=str)
+
+
 def test_parity_bits_never_hide_a_link():
     r = np.random.default_rng(6)
     for n in (1, 40, 900, 6000):

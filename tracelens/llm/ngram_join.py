@@ -14,13 +14,17 @@ element among their first ``a - ceil(t a) + 1``, and two among one more.
 The boundary is where enumerating subsets begins to cost more than scanning
 lists (``boundary``).
 
-A list of k sets is not expanded into its pairs. First, in rounds, each set is
-held against one other, the smallest first member of its lists that is not in
-its component yet; links found are contracted before the next round. So a group
-of g copies costs about g pairs a round, and is connected after few. Then lists whose members are
+A list of k sets is not expanded into its pairs. First each set is held against
+few others: the smallest first member of its lists, and, of the sets that have
+one of its minhash values, one taken at random for each value. Near copies share
+most of these values, so a group of g copies costs about g pairs for each of
+them. Links found are contracted, and the same is done with more values for sets
+in different components: these are the groups of which only some pairs link.
+Then lists whose members are
 not all connected are joined with themselves, by classes of size, and only
 over pairs in different components whose sizes, places in the lists and
-parity bits still allow a link. So every link that could join two components
+parity bits still allow a link; of two components few pairs are tested first,
+and all only where these do not link. So every link that could join two components
 is tested, and the components are exact. Lists of very frequent n-grams are
 dealt to several parts before the first step, so that none falls to one task.
 
@@ -39,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +61,14 @@ PAIR_COST = 1
 SAMPLE = 2_000
 #: Parity bits of a set.
 PARITY = 1024
-SETS_SCHEMA = "doc_id long, tk long, node long, n int, keys array<long>, rests array<int>, parts array<int>, bits array<long>"
+#: Minhash values of a set that are used in the first round and in the second, and an odd factor for each.
+ROUNDS = (4, 12)
+FACTORS = np.random.default_rng(9).integers(0, 1 << 63, sum(ROUNDS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs of two components that are tested at most before all are.
+SOME = (1, 16)
+#: Keys of texts that are broadcast to find these among all; more are joined by shuffle.
+BROADCAST = 1_000_000
+SETS_SCHEMA = "doc_id long, tk long, node long, n int, keys array<long>, rests array<int>, parts array<int>, bits array<long>, marks array<int>"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -105,6 +116,11 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def marks(grams: np.ndarray) -> np.ndarray:
+    """Minhash values: two sets agree in each with about the chance that is their similarity."""
+    return (np.array([(grams * factor).min() for factor in FACTORS], np.uint64) >> np.uint64(16)).astype(np.uint32).view(np.int32)
+
+
 def needed(a: int, percent: int) -> int:
     """The least overlap of a set of ``a`` elements with one it links with."""
     return -(-percent * a // 100)
@@ -130,13 +146,18 @@ def boundary(sizes: np.ndarray, partners: np.ndarray, percent: int = PERCENT) ->
     return int(choices[::-1][np.argmin(cost[::-1])])
 
 
-def sampled(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+def _shared(rows: DataFrame, counts: np.ndarray | Broadcast) -> Broadcast:
+    return counts if isinstance(counts, Broadcast) else rows.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+
+def sampled(rows: DataFrame, counts: np.ndarray | Broadcast, percent: int, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of about ``SAMPLE`` texts' sets, and how many other sets stand in the lists of their prefixes, beyond chance.
 
     They only choose the boundary; no result depends on them.
     """
     total = rows.count()
-    shared, usual = rows.sparkSession.sparkContext.broadcast(counts), counts.mean()
+    shared = _shared(rows, counts)
+    usual = shared.value.mean()
     some = rows.where(F.pmod(F.xxhash64("tk", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, total)))).select("tk", "text").dropDuplicates(["tk"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +205,17 @@ def sketch(rows: DataFrame, n: int = N) -> np.ndarray:
     return out
 
 
-def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) -> DataFrame:
+def keyed_sets(rows: DataFrame, counts: np.ndarray | Broadcast, percent: int, n: int = N) -> DataFrame:
     """Each row's set number and size, and the keys under which it is looked for.
 
     ``rests`` holds how many elements a link found under a key can share at
     most, counted from the key's place in the order; ``parts`` into how many
     parts the key's list is dealt.
     """
-    small = boundary(*sampled(rows, counts, percent, n), percent)
-    usual = int(np.median(counts))
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    shared = _shared(rows, counts)
+    small = boundary(*sampled(rows, shared, percent, n), percent)
+    usual = int(np.median(shared.value))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [c.split()[0] for c in SETS_SCHEMA.split(", ")]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +225,11 @@ def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) ->
             for grams in shingle_sets(batch.column(2), n):
                 size, keys, rests, parts = len(grams), [], [], []
                 if not size:
-                    out.append((None, 0, [], [], [], []))
+                    out.append((None, 0, [], [], [], [], []))
                     continue
                 prefix = size - needed(size, percent) + 1
                 if size > 1 and size - needed(size + 1, percent) >= 0:
-                    cells = counts[(grams % np.uint64(CELLS)).astype(np.int64)]
+                    cells = counts[(grams % np.uint64(CELLS)).astype(np.int64)].astype(np.int64)
                     # only the head of the order is needed
                     head = np.argpartition(cells, min(prefix, size - 1))[: prefix + 1]
                     limit = cells[head].max()
@@ -224,8 +245,8 @@ def keyed_sets(rows: DataFrame, counts: np.ndarray, percent: int, n: int = N) ->
                         keys += first[:prefix].tolist()
                         rests += range(size, size - prefix, -1)
                         parts += often[:prefix].tolist()
-                out.append((node_of(grams), size, np.array(keys, np.uint64).astype(np.int64), rests, parts, parity(grams)))
-            columns = list(zip(*out, strict=True)) or [()] * 6
+                out.append((node_of(grams), size, np.array(keys, np.uint64).astype(np.int64), rests, parts, parity(grams), marks(grams)))
+            columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names=names)
 
     return rows.mapInArrow(keyed, SETS_SCHEMA)
@@ -247,7 +268,9 @@ def near_enough(na: Column, nb: Column, a: Column, b: Column, percent: int) -> C
 def kept_sets(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int = N) -> DataFrame:
     """(node, grams) of the nodes of ``pairs``, made anew from one text of each; written."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = nodes.join(wanted, "node", "left_semi").select("tk").distinct()
+    texts = written(nodes.join(wanted, "node", "left_semi").select("tk").distinct(), "texts")
+    if texts.count() <= BROADCAST:
+        texts = F.broadcast(texts)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -274,27 +297,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
-def contracted(star: DataFrame, check: Callable[[DataFrame], DataFrame], bits: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found by rounds in which each node is held against one partner of ``star``.
+def contracted(pairs: DataFrame, check: Callable[[DataFrame], DataFrame], links: DataFrame) -> DataFrame:
+    """``links`` and as many of ``pairs`` (a, b, and their components c < d) as connect what all links among them would.
 
-    ``check`` gives the linked ones of some pairs. Partners in a node's own component are passed over. The rounds end with
-    one that finds no link; what ``star`` still holds is left to the caller.
+    ``check`` gives the linked ones of some pairs. A few pairs of each two components are tested, then more, then all;
+    pairs within one component by then are passed over.
     """
-    links = None
-    while not star.isEmpty():
-        tried = written(star.groupBy("a").agg(F.min("b").alias("b")), "tried")
-        chosen = tried.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
-        chosen = chosen.join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
-        chosen = chosen.where(near_enough(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent)).select("a", "b")
-        found = written(check(written(chosen, "chosen")), "links")
-        links = found if links is None else links.union(found)
-        if found.isEmpty():
+    for most in (*SOME, None):
+        if pairs.isEmpty():
             break
-        of = components(links)
-        left = star.join(tried, ["a", "b"], "left_anti").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        left = left.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        star = written(left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
-    return star.select("a", "b").limit(0) if links is None else links
+        if most:
+            slot = F.pmod(F.xxhash64("a", "b"), F.lit(most))
+            tried = written(pairs.groupBy("c", "d", slot.alias("slot")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"), "tried")
+        else:
+            tried = pairs.select("a", "b")
+        found = written(check(tried), "links")
+        links = links.union(found)
+        if most:
+            of = components(links)
+            left = pairs.join(tried, ["a", "b"], "left_anti").select("a", "b").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            left = left.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            left = left.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
+            pairs = written(left.select("a", "b", F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")), "pairs")
+    return links
+
+
+def alike(nodes: DataFrame, percent: int, start: int, values: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, n, c, marks) in different components c.
+
+    For each of the minhash values from ``start``, one of its sets with every other whose size allows a link.
+    """
+    marked = nodes.select("node", "n", "c", F.posexplode(F.slice("marks", start + 1, values)).alias("seed", "mark"))
+    pivots = marked.groupBy("seed", "mark").agg(F.min(F.struct(F.xxhash64("node", "seed").alias("at"), "node", "n", "c")).alias("pivot"), F.count("*").alias("k")).where("k > 1")
+    sizes = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    pairs = marked.join(pivots, ["seed", "mark"]).where((F.col("c") != F.col("pivot.c")) & sizes)
+    return pairs.select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
@@ -305,7 +342,7 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     keyed = written(keyed_sets(rows, counts, percent, n), "keyed-sets")
     # equal sets are one node from here on
     usable = keyed.where("node IS NOT NULL AND size(keys) > 0")
-    nodes = written(usable.groupBy("node").agg(F.min_by(F.struct("tk", "n", "bits"), "tk").alias("s")).select("node", "s.*"), "nodes")
+    nodes = written(usable.groupBy("node").agg(F.min_by(F.struct("tk", "n", "bits", "marks"), "tk").alias("s")).select("node", "s.*"), "nodes")
     once = usable.groupBy("node").agg(F.first(F.struct("n", F.arrays_zip("keys", "rests", "parts").alias("under"))).alias("s"))
     entries = once.select("node", "s.n", F.explode("s.under").alias("e")).select(
         F.when(F.col("e.parts") == 1, F.col("e.keys")).otherwise(F.xxhash64("e.keys", F.pmod("node", F.col("e.parts")))).alias("key"),
@@ -318,13 +355,24 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     firsts = lists.where("dealt").select("key", F.col("pivot").alias("m")).distinct()
     firsts = firsts.join(firsts.groupBy("key").agg(F.min("m").alias("pivot")), "key")
     star = lists.select("pivot", "m").union(firsts.select("pivot", "m")).where((F.col("m.node") != F.col("pivot.node")) & possible("pivot", "m", percent))
-    star = written(star.select(F.col("m.node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
+    star = star.groupBy(F.col("m.node").alias("a")).agg(F.min("pivot.node").alias("b"))
     bits = nodes.select("node", "n", "bits")
 
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, kept_sets(pairs, nodes, rows, n), percent)
 
-    links = contracted(star, check, bits, percent)
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+        pairs = pairs.join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+        pairs = pairs.where(near_enough(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent))
+        return written(check(written(pairs.select("a", "b"), "pairs")), "links")
+
+    # sets that stand in no list with others link with nothing
+    listed = nodes.select("node", "n", "marks").join(lists.select("m.node").distinct(), "node", "left_semi")
+    few, more = ROUNDS
+    links = linked(star.union(alike(listed.withColumn("c", F.col("node")), percent, 0, few)).distinct())
+    listed = listed.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    links = links.union(linked(alike(listed, percent, few, more)))
     # lists whose members are not all connected by now
     so_far = components(links)
     members = lists.select("key", F.col("m.node").alias("node"), "m").join(so_far, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("c"))
@@ -336,8 +384,8 @@ def _grouped(docs: DataFrame, percent: int, n: int) -> DataFrame:
     y = members.select("key", F.col("m").alias("w"), F.col("c").alias("d"), F.col("bits").alias("others"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")).alias("y")
     allowed = (F.col("c") < F.col("d")) & possible("m", "w", percent) & near_enough(F.col("m.n"), F.col("w.n"), F.col("bits"), F.col("others"), percent)
     rest = x.join(y, ["key", "size"]).where(allowed)
-    rest = written(rest.select(F.least("m.node", "w.node").alias("a"), F.greatest("m.node", "w.node").alias("b")).distinct(), "pairs")
-    component = components(links.union(check(rest)))
+    rest = written(rest.select(F.col("m.node").alias("a"), F.col("w.node").alias("b"), "c", "d").distinct(), "pairs")
+    component = components(contracted(rest, check, links))
 
     return keyed.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), "node").join(component, "node", "left").select("doc_id", "tk", "n_shingles", F.coalesce("component", "node").alias("c"))
 
