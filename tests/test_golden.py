@@ -195,3 +195,27 @@ def test_vector_cosines_are_computed_once_a_pair_of_subjects(spark):
     for h in t._hedges:
         for v in t._vers:
             assert abs(t._cos[h.at][v.at] - cosine(h.subject, v.subject)) < 1e-9
+
+
+def test_extractor_alone_gives_the_subjects(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracelens.functions import text
+    from tracelens.operators import score
+
+    def unasked(*_):
+        raise AssertionError("the regex extractor was asked, too")
+
+    monkeypatch.setattr(text, "subject_parts", unasked)
+    sentences = [f"Maybe item {k} is it." if k % 3 else f"Let me verify that item {k} is it." for k in range(30)]
+    df = spark.createDataFrame([(1, " ".join(sentences)), (2, " ".join(sentences[::-1])), (3, ""), (4, None), (5, "Nothing.")], "id int, text string")
+
+    def number(pairs):
+        return pairs.withColumn("subject", F.regexp_extract("sentence", r"item (\d+)", 1))
+
+    rows = {r["id"]: r["matches"] for r in score.score_traces(df, extractor=number).collect()}
+    assert len(rows[1]) == 20 and rows[3] == rows[4] == rows[5] == []
+    assert all(m["subject"] == m["sentence"].split()[2] for k in (1, 2) for m in rows[k])
+    twice = lambda pairs: number(pairs).union(number(pairs))
+    with pytest.raises(Exception, match="two subjects"):
+        score.score_traces(df, extractor=twice).collect()

@@ -88,20 +88,20 @@ def annotated_sentences(sentences: Column, whole: Column, words: lexicon.Lexicon
     return F.get(F.transform(present, annotate), 0)
 
 
-def hedge_statements(annotated: Column) -> Column:
+def hedge_statements(annotated: Column, subjects: bool = True) -> Column:
     """Hedges: a hedge keyword and fewer than two verification entries; ids H1..Hn."""
-    hedges = F.filter(annotated, lambda x: x["hkw"].isNotNull() & (x["nver"] < 2))
-    return _with_subjects(hedges, "H", keyword=True)
+    hedges = _numbered(F.filter(annotated, lambda x: x["hkw"].isNotNull() & (x["nver"] < 2)), "H", True, subjects)
+    return _with_subjects(hedges) if subjects else hedges
 
 
-def verification_statements(annotated: Column) -> Column:
+def verification_statements(annotated: Column, subjects: bool = True) -> Column:
     """Verifications: any verification entry; ids V1..Vn."""
-    vers = F.filter(annotated, lambda x: x["nver"] > 0)
-    return _with_subjects(vers, "V", keyword=False)
+    vers = _numbered(F.filter(annotated, lambda x: x["nver"] > 0), "V", False, subjects)
+    return _with_subjects(vers) if subjects else vers
 
 
-def _with_subjects(stmts: Column, prefix: str, keyword: bool) -> Column:
-    step1 = F.transform(
+def _numbered(stmts: Column, prefix: str, keyword: bool, parts: bool) -> Column:
+    return F.transform(
         stmts,
         lambda x, i: F.struct(
             (i + 1).alias("idx"),
@@ -109,9 +109,12 @@ def _with_subjects(stmts: Column, prefix: str, keyword: bool) -> Column:
             x["pos"].alias("pos"),
             x["sentence"].alias("sentence"),
             (x["hkw"] if keyword else F.lit(None).cast("string")).alias("keyword"),
-            text.subject_parts(x["sentence"]).alias("sp"),
+            *([text.subject_parts(x["sentence"]).alias("sp")] if parts else []),
         ),
     )
+
+
+def _with_subjects(step1: Column) -> Column:
     base = ["idx", "id", "pos", "sentence", "keyword"]
     step2 = F.transform(
         step1, lambda x: _restruct(x, base, subject=text.subject_from_parts(x["sp"], x["sentence"]))
@@ -244,11 +247,14 @@ def conclusion_finality(sentences: Column, window: int = lexicon.FINALITY_WINDOW
     return kw.with_lower(F.array_join(tail, " "), lambda low: kw.finality_score(low, words), words)
 
 
-def with_statements(df: DataFrame, text_col: str = "text", words: lexicon.Lexicon = lexicon.DEFAULT) -> DataFrame:
+def with_statements(
+    df: DataFrame, text_col: str = "text", words: lexicon.Lexicon = lexicon.DEFAULT, subjects: bool = True
+) -> DataFrame:
     """Stage 1: sentences, hedges and verifications as arrays on each row.
 
     Adds ``_blank``, ``_sents`` (array<string>), ``_hedges`` and ``_vers``
-    (array<struct<idx,id,pos,sentence,keyword,subject,toks,n2>>); drops ``text_col``.
+    (array<struct<idx,id,pos,sentence,keyword,subject,toks,n2>>, without the last
+    three if ``subjects`` is false); drops ``text_col``.
     """
     keep = [c for c in df.columns if c != text_col]
     t = F.col(text_col)
@@ -258,8 +264,8 @@ def with_statements(df: DataFrame, text_col: str = "text", words: lexicon.Lexico
         *keep,
         "_blank",
         "_sents",
-        hedge_statements(F.col("_ann")).alias("_hedges"),
-        verification_statements(F.col("_ann")).alias("_vers"),
+        hedge_statements(F.col("_ann"), subjects).alias("_hedges"),
+        verification_statements(F.col("_ann"), subjects).alias("_vers"),
     )
 
 
@@ -311,47 +317,43 @@ def attach_vectors(stmts: DataFrame, subject_vectors: DataFrame | None = None, e
 
 
 def attach_subjects(stmts: DataFrame, extractor) -> DataFrame:
-    """Replace the regex subjects with a user extractor's.
+    """Give statements the subjects of a user extractor, in place of any they have.
 
     ``extractor`` maps ``DataFrame[sentence, keyword]`` to
     ``DataFrame[sentence, keyword, subject]`` (a parser wrapped in an iterator
     Arrow UDF, say). It sees each distinct (sentence, keyword) pair once over
     all traces; hedges pass their matched keyword, verifications a null one.
-    Its answers are joined back and gathered per trace row.
+    Its answers, one a pair at most, are joined back and gathered per trace row
+    in the order of the statements, hedges first.
     """
     from tracelens.operators.scans import materialize
 
     base = materialize(stmts.withColumn("_rid", F.monotonically_increasing_id()))
 
-    def items(arr: str, prefix: str) -> Column:
-        return F.transform(
-            arr,
-            lambda x: F.struct(
-                F.concat(F.lit(prefix), x["idx"].cast("string")).alias("k"),
-                x["sentence"].alias("sentence"),
-                x["keyword"].alias("keyword"),
-            ),
-        )
+    def items(arr: str) -> Column:
+        return F.transform(arr, lambda x: F.struct(x["sentence"].alias("sentence"), x["keyword"].alias("keyword")))
 
-    rows = base.select("_rid", F.inline(F.concat(items("_hedges", "H"), items("_vers", "V"))))
+    rows = base.select("_rid", F.posexplode(F.concat(items("_hedges"), items("_vers"))).alias("k", "x")).select("_rid", "k", "x.*")
     distinct = rows.select("sentence", "keyword").distinct()
     found = extractor(distinct).select("sentence", "keyword", F.col("subject").cast("string").alias("subject"))
     cond = (rows["sentence"] == found["sentence"]) & rows["keyword"].eqNullSafe(found["keyword"])
     per_row = (
         rows.join(found, cond, "left")
         .groupBy(rows["_rid"])
-        .agg(F.map_from_entries(F.collect_list(F.struct(rows["k"], F.coalesce(found["subject"], F.lit(""))))).alias("_smap"))
+        .agg(F.sort_array(F.collect_list(F.struct(rows["k"], F.coalesce(found["subject"], F.lit("")).alias("subject")))).alias("_found"))
     )
-    j = base.join(per_row, "_rid", "left")
+    n = F.size("_hedges") + F.size("_vers")
+    once = F.when(F.size("_found") == n, F.col("_found")["subject"]).otherwise(F.raise_error(F.lit("the extractor gave a sentence and keyword two subjects")))
+    keep = [c for c in stmts.columns if c not in ("_hedges", "_vers")]
+    j = base.join(per_row, "_rid", "left").select(*keep, "_hedges", "_vers", F.when(n > 0, once).alias("_subjects"))
     fields = ["idx", "id", "pos", "sentence", "keyword"]
 
-    def swap(arr: str, prefix: str) -> Column:
-        subj = lambda x: F.coalesce(F.try_element_at(F.col("_smap"), F.concat(F.lit(prefix), x["idx"].cast("string"))), F.lit(""))
-        with_subject = F.transform(arr, lambda x: _restruct(x, fields, subject=subj(x)))
+    def with_found(arr: str, before: Column) -> Column:
+        with_subject = F.transform(arr, lambda x: _restruct(x, fields, subject=F.get(F.col("_subjects"), before + x["idx"] - 1)))
         with_toks = F.transform(with_subject, lambda x: _restruct(x, fields + ["subject"], toks=similarity.subject_tokens(x["subject"])))
         return F.transform(with_toks, lambda x: _restruct(x, fields + ["subject", "toks"], n2=similarity.term_norm2(x["toks"])))
 
-    return j.withColumn("_hedges", swap("_hedges", "H")).withColumn("_vers", swap("_vers", "V")).drop("_smap", "_rid")
+    return j.select(*keep, with_found("_hedges", F.lit(0)).alias("_hedges"), with_found("_vers", F.size("_hedges")).alias("_vers"))
 
 
 def score_traces(
@@ -377,7 +379,7 @@ def score_traces(
     phrases looked for.
     """
     keep = [c for c in df.columns if c != text_col]
-    s3 = with_statements(df, text_col, words)
+    s3 = with_statements(df, text_col, words, subjects=extractor is None)
     if extractor is not None:
         s3 = attach_subjects(s3, extractor)
     mode = "tf_cosine"
