@@ -168,6 +168,54 @@ def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
     assert sum(tested) <= 2 * len(texts)
 
 
+def test_few_edges_are_one_part(spark, monkeypatch):
+    r = random.Random(24)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 430)] + [(7, 7)]
+    root = roots(430 + 1, [(max(e), min(e)) for e in edges])
+    want = {k: root[k] for e in edges if e[0] != e[1] for k in e}
+    files, whole = [], graph.written
+
+    def counting(df, name):
+        out = whole(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "written", counting)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (100_000, 0):
+            monkeypatch.setattr(graph, "ONE_PART", most)
+            files.clear()
+            assert {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+            assert (max(files[1:]) == 1) == (most > 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_near_copies_in_lists_do_not_multiply_keys(spark):
+    r = random.Random(23)
+    base, texts = [f"g{k}" for k in range(120)], []
+    for k in range(200):
+        at = r.randrange(len(base))
+        texts.append(" ".join(base[:at] + [f"own{k}", f"more{k}"] + base[at:]))
+    texts += [" ".join(f"x{r.randrange(5000)}" for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    keyed = ngram_join.keyed_sets(docs, ngram_join.sketch(docs), 85)
+    keys, prefixes = keyed.agg(F.sum(F.size("keys")), F.sum(F.expr("n - ceil(0.85 * n) + 1"))).first()
+    assert prefixes <= keys <= 1.2 * float(prefixes)
+
+
+def test_members_of_other_groups_are_counted():
+    heads = [np.array(h, np.int64) for h in ([1, 2], [1, 2], [1, 3], [2], [])]
+    alone = np.arange(5 * 16, dtype=np.int32).reshape(5, 16)
+    assert ngram_join.others_listed(heads, alone).tolist() == [4, 4, 2, 2, 0]
+    grouped = alone.copy()
+    grouped[1, :8] = grouped[0, :8]
+    grouped[2, :7] = grouped[0, :7]  # less than half: not of the group
+    assert ngram_join.others_listed(heads, grouped).tolist() == [2, 2, 2, 2, 0]
+    assert ngram_join.others_listed([], alone[:0]).tolist() == []
+
+
 def test_a_group_of_which_some_pairs_link_costs_few_pairs(spark, monkeypatch):
     r = random.Random(22)
     base, texts = [f"g{k}" for k in range(205)], []

@@ -12,7 +12,8 @@ element among their first ``a - ceil(t a) + 1``, and two among one more.
   lists, too.
 
 The boundary is where enumerating subsets begins to cost more than scanning
-lists (``boundary``).
+lists (``boundary``). Near copies do not count there as members of lists: they
+are contracted before lists are joined, while their subsets would all be keys.
 
 A list of k sets is not expanded into its pairs. First each set is held against
 few others: the smallest first member of its lists, and, of the sets that have
@@ -57,8 +58,12 @@ CELLS, CHUNK, TASKS = 1 << 21, 1 << 12, 256
 PART = 5_000
 #: Cost of a pair found in a list, in keys made and shuffled.
 PAIR_COST = 1
+#: Percent that a boundary may cost more than the cheapest.
+SLACK = 2
 #: Texts whose sets choose the boundary.
 SAMPLE = 2_000
+#: Elements of such a set's prefix that the driver gets at most.
+HEAD = 512
 #: Parity bits of a set.
 PARITY = 1024
 #: Minhash values of a set that are used in the first round and in the second, and an odd factor for each.
@@ -132,8 +137,9 @@ def boundary(sizes: np.ndarray, partners: np.ndarray, percent: int = PERCENT) ->
     A prefix of p elements has p (p + 1) / 2 two-element subsets, each a key;
     scanning costs p keys, and a pair for each other member of p lists. Sets
     up to the boundary enumerate, those that a larger one may link with and
-    all larger ones scan; the boundary with the least cost of the given sets is
-    taken, the largest of several.
+    all larger ones scan. Of the boundaries whose cost for the given sets is the
+    least or ``SLACK`` percent more, the largest is taken: pairs grow faster with
+    the corpus than keys.
     """
     order = np.argsort(sizes, kind="stable")
     sizes, partners = sizes[order], partners[order]
@@ -143,35 +149,67 @@ def boundary(sizes: np.ndarray, partners: np.ndarray, percent: int = PERCENT) ->
     choices = np.unique(np.concatenate([[0], sizes]))
     low, high = np.searchsorted(sizes, choices, "right"), np.searchsorted(100 * sizes, percent * choices, "right")
     cost = subsets[low] + scans[-1] - scans[high]
-    return int(choices[::-1][np.argmin(cost[::-1])])
+    return int(choices[100 * cost <= (100 + SLACK) * cost.min()].max())
 
 
 def _shared(rows: DataFrame, counts: np.ndarray | Broadcast) -> Broadcast:
     return counts if isinstance(counts, Broadcast) else rows.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
 
 
+def others_listed(heads: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+    """For each set, how many sets stand in the lists of its ``heads``, without those of its own group.
+
+    Sets are of one group if half of their minhash values (``signs``) agree with
+    those of the first set that has one of them: such sets are held against
+    each other and contracted before any list is joined.
+    """
+    group = np.arange(len(heads))
+    for seed in range(signs.shape[1] if len(heads) else 0):
+        _, first, which = np.unique(signs[:, seed], return_index=True, return_inverse=True)
+        pivot = first[which]
+        near = 2 * (signs == signs[pivot]).sum(axis=1) >= signs.shape[1]
+        for i in np.flatnonzero(near & (group != group[pivot])):
+            x, y = group[i], group[pivot[i]]
+            group[group == max(x, y)] = min(x, y)
+    lengths = np.array([len(h) for h in heads], np.int64)
+    _, element = np.unique(np.concatenate([np.zeros(0, np.int64), *heads]), return_inverse=True)
+    owner = np.repeat(np.arange(len(heads)), lengths)
+    _, pair, inside = np.unique(element * np.int64(len(heads) + 1) + group[owner], return_inverse=True, return_counts=True)
+    others = np.bincount(element)[element] - inside[pair] if len(element) else np.zeros(0, np.int64)
+    return np.bincount(owner, others, len(heads))
+
+
 def sampled(rows: DataFrame, counts: np.ndarray | Broadcast, percent: int, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of about ``SAMPLE`` texts' sets, and how many other sets stand in the lists of their prefixes, beyond chance.
+    """Sizes of about ``SAMPLE`` texts' sets, and how many sets that are no near copies stand in the lists of their prefixes.
 
-    They only choose the boundary; no result depends on them.
+    The latter from the lists of the sample, times what it stands for. They
+    only choose the boundary; no result depends on them.
     """
     total = rows.count()
     shared = _shared(rows, counts)
-    usual = shared.value.mean()
-    some = rows.where(F.pmod(F.xxhash64("tk", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, total)))).select("tk", "text").dropDuplicates(["tk"])
+    share = min(1.0, SAMPLE / max(1, total))
+    some = rows.where(F.pmod(F.xxhash64("tk", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * share)).select("tk", "text").dropDuplicates(["tk"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, partners = [], []
+        sizes, heads, signs = [], [], []
         for batch in slices(batches):
             for grams in shingle_sets(batch.column(1), n):
                 if len(grams):
-                    own = np.sort(shared.value[(grams % np.uint64(CELLS)).astype(np.int64)])
+                    cells = shared.value[(grams % np.uint64(CELLS)).astype(np.int64)]
+                    prefix = np.lexsort((grams, cells))[: len(grams) - needed(len(grams), percent) + 1]
                     sizes.append(len(grams))
-                    partners.append(int(np.maximum(0, own[: len(grams) - needed(len(grams), percent) + 1] - usual).sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(partners, pa.int64())], names=["size", "partners"])
-
-    found = some.mapInArrow(measured, "size long, partners long").toArrow()
-    return found.column("size").to_numpy(), found.column("partners").to_numpy()
+                    heads.append(np.sort(grams[prefix])[:HEAD].view(np.int64))
+                    signs.append(marks(grams))
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((sizes, heads, signs), types, strict=True)], names=["size", "head", "marks"])
+
+    found = some.mapInArrow(measured, "size long, head array<long>, marks array<int>").toArrow()
+    sizes = found.column("size").to_numpy()
+    heads = [np.array(h, np.int64) for h in found.column("head").to_pylist()]
+    partners = others_listed(heads, np.array(found.column("marks").to_pylist(), np.int32).reshape(len(heads), len(FACTORS)))
+    # a long prefix is known by its smallest HEAD elements
+    longer = (sizes - -(-percent * sizes // 100) + 1) / np.maximum(1, [len(h) for h in heads])
+    return sizes, np.rint(partners * longer / share).astype(np.int64)
 
 
 def sketch(rows: DataFrame, n: int = N) -> np.ndarray:
