@@ -121,7 +121,7 @@ def q_scan_trace_files(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "trace-files")
     files.write_trace_files(traces(spark, sf, "user").select("trace_id", "text"), path)
     ok, _rejects = files.scan_trace_files(spark, path)
-    tid = F.regexp_extract(F.col("file_path"), r"trace_id=([^/]+)/", 1)
+    tid = files.id_in_path(F.col("file_path"))
     t = ok.select(tid.alias("trace_id"), F.length("text").alias("n_chars"), "text")
     return score.score_traces(t).select("trace_id", "n_chars", *METRICS)
 
@@ -139,8 +139,8 @@ def q_scan_trace_files_rejects(spark: SparkSession, sf: str) -> DataFrame:
     t = traces(spark, sf, "user")
     bad = F.concat("text", F.expr("cast(X'C3FF' AS STRING)"))
     files.write_trace_files(t.where(kind != 9).select("trace_id", F.when(kind == 3, " ").when(kind == 7, bad).otherwise(F.col("text")).alias("text")), path)
-    ok, rejects = files.scan_trace_files(spark, path, t.select(F.concat(F.lit(f"{path}/trace_id="), "trace_id").alias("file_path")))
-    tid = F.regexp_extract("file_path", r"trace_id=([^/]+)", 1).alias("trace_id")
+    ok, rejects = files.scan_trace_files(spark, path, t.select(files.trace_file(spark, path, F.col("trace_id")).alias("file_path")))
+    tid = files.id_in_path(F.col("file_path")).alias("trace_id")
     return ok.select(tid, F.lit("read").alias("outcome")).unionByName(rejects.select(tid, F.col("reason").alias("outcome")))
 
 
@@ -228,5 +228,5 @@ def q_scan_prompt_files(spark: SparkSession, sf: str) -> DataFrame:
     path = work_dir(spark, "prompt-files")
     files.write_trace_files(turns.select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "text"), path, id_col="prompt_id")
     prompts = files.scan_prompt_files(spark, path)
-    pid = F.split(F.regexp_extract(F.col("file_path"), r"prompt_id=([^/]+)/", 1), "-")
+    pid = F.split(files.id_in_path(F.col("file_path"), "prompt_id"), "-")
     return prompts.select(pid[0].cast("bigint").alias("conv_id"), pid[1].cast("int").alias("turn"), "prompt")
