@@ -197,6 +197,37 @@ def test_vector_cosines_are_computed_once_a_pair_of_subjects(spark):
             assert abs(t._cos[h.at][v.at] - cosine(h.subject, v.subject)) < 1e-9
 
 
+def test_statements_with_vectors_are_stored_and_not_cached(spark, monkeypatch):
+    """What is stored holds no sentence but those of hedges; vectors of floats do, and a subject has one at most."""
+    from pyspark.sql import functions as F
+
+    from tracelens.operators import scans, score
+
+    def cached(*_):
+        raise AssertionError("all rows of a task are cached")
+
+    schemas, stored = [], scans.stored
+    monkeypatch.setattr(scans, "materialize", cached)
+    monkeypatch.setattr(scans, "stored", lambda df, name: schemas.append(df.schema) or stored(df, name))
+    text = "Maybe the box is big. Let me check the box. Perhaps it is odd. Let me verify the sum. Therefore it is so."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "Done."), (4, " "), (5, "Nothing.")], "id int, text string")
+
+    def encoder(subjects):
+        return subjects.select("subject", F.array(F.length("subject").cast("float"), F.lit(2.0).cast("float")).alias("vec"))
+
+    rows = {r["id"]: r for r in score_traces(df, encoder=encoder).collect()}
+    (schema,) = schemas
+    assert "_sents" not in schema.names and "sentence" not in schema["_vers"].dataType.elementType.names
+    plain = {r["id"]: r for r in score_traces(df).collect()}
+    for c in ("total_hedges", "total_verifications", "hvr", "conclusion_finality"):
+        assert {k: r[c] for k, r in rows.items()} == {k: r[c] for k, r in plain.items()}
+    # "the box" and "therefore it": (7, 2) and (12, 2)
+    assert rows[1].matches[0].subject_similarity == 0.9936 and rows[1].matches[0].matched_verification == "V3"
+    twice = lambda subjects: encoder(subjects).union(encoder(subjects))
+    with pytest.raises(Exception, match="two vectors"):
+        score_traces(df, encoder=twice).collect()
+
+
 def test_extractor_alone_gives_the_subjects(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -25,7 +25,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.session import work_dir
+
 PID, ROW = "_pid", "_row"
+#: Bytes of a row group of stored rows.
+GROUP_BYTES = 16 << 20
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -43,6 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame's rows as a Parquet table in the shared checkpoint folder.
+
+    For wide rows: it is computed once, as by :func:`materialize`, but a task holds
+    a row group at a time, and not all of its rows in the cache.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | None, each: Callable[[DataFrame], DataFrame] | None = None, within: Sequence[Column] = ()) -> DataFrame:
     """Rows in ranges of (group, order), each with its range's number and an increasing number; written.
 

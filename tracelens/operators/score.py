@@ -48,6 +48,11 @@ METRIC_COLUMNS = [
 ]
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, wherever ``fn`` uses it and whatever projections Catalyst merges."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def _restruct(x: Column, fields: Sequence[str], **extra: Column) -> Column:
     cols = [x[f].alias(f) for f in fields]
     cols += [c.alias(n) for n, c in extra.items()]
@@ -125,10 +130,10 @@ def _with_subjects(step1: Column) -> Column:
     )
 
 
-def _pair_similarity(h: Column, v: Column, mode: str) -> Column:
-    if mode == "vectors":
+def _pair_similarity(h: Column, v: Column, cosines: Column | None) -> Column:
+    if cosines is not None:
         known = h["at"].isNotNull() & v["at"].isNotNull()
-        return F.when(known, F.get(F.get(F.col("_cos"), h["at"]), v["at"])).otherwise(F.lit(0.0))
+        return F.when(known, F.get(F.get(cosines, h["at"]), v["at"])).otherwise(F.lit(0.0))
     return similarity.tf_cosine_from_tokens(h["toks"], h["n2"], v["toks"], v["n2"])
 
 
@@ -146,7 +151,7 @@ def candidate_lists(
     :func:`attach_vectors`).
     """
 
-    def cands(h: Column) -> Column:
+    def cands(h: Column, cosines: Column | None) -> Column:
         later = F.filter(verifications, lambda v: v["pos"] > h["pos"])
         raw = F.transform(
             later,
@@ -154,7 +159,7 @@ def candidate_lists(
                 v["idx"].alias("idx"),
                 v["id"].alias("id"),
                 v["pos"].alias("pos"),
-                _pair_similarity(h, v, mode).alias("sim"),
+                _pair_similarity(h, v, cosines).alias("sim"),
                 scoring.proximity_score(v["pos"] - h["pos"], decay).alias("prox"),
             ),
         )
@@ -162,7 +167,10 @@ def candidate_lists(
             raw, lambda c: _restruct(c, ["idx", "id", "pos", "sim", "prox"], score=scoring.match_score(c["sim"], c["prox"], weights))
         )
 
-    return F.transform(hedges, lambda h: _restruct(h, ["idx", "id", "pos", "sentence", "keyword", "subject"], cands=cands(h)))
+    def lists(cosines: Column | None = None) -> Column:
+        return F.transform(hedges, lambda h: _restruct(h, ["idx", "id", "pos", "sentence", "keyword", "subject"], cands=cands(h, cosines)))
+
+    return _bound(F.col("_cos"), lists) if mode == "vectors" else lists()
 
 
 def assign_resolutions(
@@ -278,41 +286,53 @@ def attach_vectors(stmts: DataFrame, subject_vectors: DataFrame | None = None, e
     joining ``subject_vectors`` (``subject, vec``) or by calling ``encoder``, a
     function ``DataFrame[subject] -> DataFrame[subject, vec]`` (for example an
     iterator pandas UDF that loads a model once per worker). The vectors of a
-    trace's distinct subjects are gathered back per trace row, which is already
+    trace's distinct subjects, one a subject at most, are gathered back per trace row, which is already
     one row, so nothing grows beyond the trace itself. ``_cos`` has a row for each distinct
     hedge subject and a column for each distinct verification subject: a
     cosine is computed once, not for every pair of statements. Each hedge's
-    and verification's ``at`` is the place of its subject.
+    and verification's ``at`` is the place of its subject. Verifications keep
+    neither sentence nor keyword, and vectors the type they came in.
     """
-    from tracelens.operators.scans import materialize
-
-    base = materialize(stmts.withColumn("_rid", F.monotonically_increasing_id()))
+    from tracelens.operators.scans import stored
 
     def names(arr: str) -> Column:
         return F.array_distinct(F.transform(arr, lambda x: x["subject"]))
 
-    items = base.select("_rid", F.explode(F.array_distinct(F.concat(names("_hedges"), names("_vers")))).alias("subject"))
+    def placed(arr: str, known: str, fields: Sequence[str]) -> Column:
+        return F.transform(arr, lambda x: _restruct(x, fields, at=(F.array_position(F.col(known), x["subject"]) - 1).cast("int")))
+
+    keep = [c for c in stmts.columns if c not in ("_hedges", "_vers")]
+    named = stmts.select(*keep, "_hedges", "_vers", names("_hedges").alias("_hnames"), names("_vers").alias("_vnames"))
+    base = named.select(
+        *keep,
+        placed("_hedges", "_hnames", ["idx", "id", "pos", "sentence", "keyword", "subject"]).alias("_hedges"),
+        placed("_vers", "_vnames", ["idx", "id", "pos", "subject"]).alias("_vers"),
+        # those of the hedges come first
+        F.size("_hnames").alias("_nh"),
+        "_vnames",
+        F.array_distinct(F.concat("_hnames", "_vnames")).alias("_names"),
+    )
+    base = base.withColumn("_vat", F.transform("_vnames", lambda s: (F.array_position(F.col("_names"), s) - 1).cast("int"))).drop("_vnames")
+    base = stored(base.withColumn("_rid", F.monotonically_increasing_id()), "statements")
+    items = base.select("_rid", F.posexplode("_names").alias("k", "subject"))
     distinct = items.select("subject").distinct()
     vecs = encoder(distinct) if encoder is not None else subject_vectors.join(distinct, "subject", "left_semi")
-    vecs = vecs.select("subject", F.col("vec").cast("array<double>").alias("vec"))
-    per_row = items.join(vecs, "subject").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("subject", "vec"))).alias("_vmap"))
-    keep = [c for c in stmts.columns if c not in ("_hedges", "_vers")]
-    j = base.join(per_row, "_rid", "left").select(*keep, "_hedges", "_vers", "_vmap", names("_hedges").alias("_hnames"), names("_vers").alias("_vnames"))
+    vecs = vecs.select("subject", "vec")
+    per_row = items.join(vecs, "subject", "left").groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("k", "vec"))).alias("_found"))
+    once = F.when(F.size("_found") == F.size("_names"), F.col("_found")).otherwise(F.raise_error(F.lit("a subject has two vectors")))
+    j = base.join(per_row, "_rid", "left").withColumn("_found", F.when(F.size("_names") > 0, once))
 
-    def with_vectors(arr: str) -> Column:
-        held = F.transform(arr, lambda s: F.struct(s.alias("subject"), F.try_element_at(F.col("_vmap"), s).alias("vec")))
-        return F.transform(held, lambda x: _restruct(x, ["subject", "vec"], norm=similarity.vector_norm(x["vec"])))
+    def found(subject: Column, k: Column) -> Column:
+        return F.when(subject != F.lit(""), F.get(F.col("_found"), k)["vec"])
 
-    def cosine(a: Column, b: Column) -> Column:
-        empty = (a["subject"] == F.lit("")) | (b["subject"] == F.lit("")) | a["vec"].isNull() | b["vec"].isNull()
-        return F.when(empty, F.lit(0.0)).otherwise(similarity.vector_cosine_from_norms(a["vec"], a["norm"], b["vec"], b["norm"]))
+    vectors = F.transform(F.transform("_names", found), lambda v: F.struct(v.alias("vec"), similarity.vector_norm(v).alias("norm")))
+    sides = _bound(vectors, lambda held: F.struct(F.slice(held, 1, F.col("_nh")).alias("h"), F.transform("_vat", lambda k: F.get(held, k)).alias("v")))
 
-    def placed(arr: str, known: str) -> Column:
-        fields = ["idx", "id", "pos", "sentence", "keyword", "subject"]
-        return F.transform(arr, lambda x: _restruct(x, fields, at=(F.array_position(F.col(known), x["subject"]) - 1).cast("int")))
+    def cosine(a: Column, b: Column) -> Column:
+        unknown = a["vec"].isNull() | b["vec"].isNull()
+        return F.when(unknown, F.lit(0.0)).otherwise(similarity.vector_cosine_from_norms(a["vec"], a["norm"], b["vec"], b["norm"]))
 
-    j = j.select(*keep, placed("_hedges", "_hnames").alias("_hedges"), placed("_vers", "_vnames").alias("_vers"), with_vectors("_hnames").alias("_hvecs"), with_vectors("_vnames").alias("_vvecs"))
-    cosines = F.transform("_hvecs", lambda a: F.transform("_vvecs", lambda b: cosine(a, b)))
+    cosines = _bound(sides, lambda x: F.transform(x["h"], lambda a: F.transform(x["v"], lambda b: cosine(a, b))))
     return j.select(*keep, "_hedges", "_vers", cosines.alias("_cos"))
 
 
@@ -380,6 +400,8 @@ def score_traces(
     """
     keep = [c for c in df.columns if c != text_col]
     s3 = with_statements(df, text_col, words, subjects=extractor is None)
+    # what is needed of the sentences, before rows are stored or shuffled
+    s3 = s3.select(*keep, "_blank", F.size("_sents").alias("_n"), conclusion_finality(F.col("_sents"), words=words).alias("_fin"), "_hedges", "_vers")
     if extractor is not None:
         s3 = attach_subjects(s3, extractor)
     mode = "tf_cosine"
@@ -389,14 +411,16 @@ def score_traces(
     s4 = s3.select(
         *keep,
         "_blank",
-        "_sents",
+        "_n",
+        "_fin",
         F.size("_vers").alias("_nver"),
         candidate_lists(F.col("_hedges"), F.col("_vers"), decay, weights, mode).alias("_scored"),
     )
     s5 = s4.select(
         *keep,
         "_blank",
-        "_sents",
+        "_n",
+        "_fin",
         "_nver",
         assign_resolutions(F.col("_scored"), threshold, reduction).alias("matches"),
     )
@@ -409,8 +433,8 @@ def score_traces(
         "matches",
         total.alias("total_hedges"),
         resolved.alias("resolved_hedges"),
-        F.size("_sents").alias("_n"),
-        conclusion_finality(F.col("_sents"), words=words).alias("_fin"),
+        "_n",
+        "_fin",
     )
     total = F.col("total_hedges")
     trur = scoring.ratio4(F.col("resolved_hedges"), total)
