@@ -95,11 +95,14 @@ def test_odd_ids_and_bytes_are_written_and_read(spark, tmp_path, monkeypatch, mo
     df = df.withColumn("text", F.when(F.col("text") == "bad", F.expr("cast(X'61FF' AS STRING)")).otherwise(F.col("text")))
     path = str(tmp_path / "traces")
     files.write_trace_files(df, path)
+    everything = files.scan_trace_files(spark, path)[0].select(files.id_in_path(F.col("file_path")).alias("id"), "text").where(F.col("id") == files.NO_ID)
+    assert sorted(line for r in everything.collect() for line in r.text.split("\n")) == ["empty", "none"]
+    # a null id names no file
+    df = df.where("trace_id IS NULL OR trace_id <> ''")
     requested = df.select(files.trace_file(spark, path, F.col("trace_id")).alias("file_path")).unionByName(spark.createDataFrame([(f"{path}/gone.txt",)], "file_path string"))
     ok, rejects = files.scan_trace_files(spark, path, requested)
-    got = [(r.id, r.text) for r in ok.select(files.id_in_path(F.col("file_path")).alias("id"), "text").collect()]
-    lines = sorted(line for i, text in got if i == files.NO_ID for line in text.split("\n"))
-    assert {i: text for i, text in got if i != files.NO_ID} == {"a%2Fb": "One.", "a%3Ab%25": "Two.", "x.txt": "Three.", "8": "caf\u00e9", "9": "same\nsame"} and lines == ["empty", "none"]
+    got = {r.id: r.text for r in ok.select(files.id_in_path(F.col("file_path")).alias("id"), "text").collect()}
+    assert got == {"a%2Fb": "One.", "a%3Ab%25": "Two.", "x.txt": "Three.", "8": "caf\u00e9", "9": "same\nsame"}
     found = rejects.select(files.id_in_path(F.col("file_path")).alias("id"), "reason").collect()
     assert sorted((r.id, r.reason) for r in found) == [("", "missing_file"), ("-1", "empty_file"), ("10", "not_utf8"), ("7", "empty_file")]
 

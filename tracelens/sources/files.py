@@ -177,10 +177,12 @@ def _file_name(spark: SparkSession, trace_id: Column, id_col: str) -> Column:
 
 
 def trace_file(spark: SparkSession, path: str, trace_id: Column, id_col: str = "trace_id") -> Column:
-    """Where :func:`write_trace_files` puts a trace under ``path``: its file, or the folder of its file."""
+    """Where :func:`write_trace_files` puts a trace under ``path``: its file, or the folder of its file; null for a null id."""
     if _mounted(spark, path) is None:
-        return F.concat(F.lit(f"{path}/{id_col}="), _escaped(trace_id))
-    return F.concat(F.lit(f"{path}/"), _file_name(spark, trace_id, id_col))
+        at = F.concat(F.lit(f"{path}/{id_col}="), _escaped(trace_id))
+    else:
+        at = F.concat(F.lit(f"{path}/"), _file_name(spark, trace_id, id_col))
+    return F.when(trace_id.isNotNull(), at)
 
 
 def id_in_path(file_path: Column, id_col: str = "trace_id") -> Column:
